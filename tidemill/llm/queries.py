@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import packing
+from tidemill.llm import language, mixing, packing, toxicity
 from tidemill.session import read_table
 
 
@@ -16,9 +16,21 @@ def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+def op3_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_json())
 
 
-QUERIES = {"op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op7_pareto_mixing": op7_pareto_mixing, "op10_best_fit_packing": op10_best_fit_packing}
 ORACLES: dict[str, str] = {}
