@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import language, mixing, packing, toxicity
+from tidemill.llm import html, language, mixing, packing, toxicity
 from tidemill.session import read_table
 
 
@@ -28,9 +28,13 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_json())
 
 
-QUERIES = {"op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op7_pareto_mixing": op7_pareto_mixing, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op10_best_fit_packing": op10_best_fit_packing}
 ORACLES: dict[str, str] = {}
