@@ -35,6 +35,13 @@ GROUP_PIECES = 50_000
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself if printable, else the next unused one from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids of words, remembered. Words split at white space are tokenized independently."""
 
@@ -43,6 +50,7 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model, self.characters = self.tokenizer.model, byte_characters()
         self.parts: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -63,7 +71,9 @@ class WordIds(dict):
         if value is None:
             if len(self.parts) >= CACHE_WORDS:
                 self.parts.clear()
-            value = self.parts[part] = self._encoded(part)
+            # a part is one run of the file's own splitting: straight to the merges
+            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.characters))
+            value = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
         return value
 
     def _encoded(self, text: str) -> bytes:

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import html, language, mixing, packing, toxicity
+from tidemill.llm import exact, html, language, mixing, packing, toxicity
 from tidemill.session import read_table
 
 
@@ -24,6 +24,10 @@ def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(read_table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -36,5 +40,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_json())
 
 
-QUERIES = {"op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op10_best_fit_packing": op10_best_fit_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op10_best_fit_packing": op10_best_fit_packing}
+ORACLES: dict[str, str] = {
+    "op5_chunk_recipes": """
+        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
+        g AS (SELECT doc_id, points, norm, count(*) OVER (PARTITION BY norm) AS group_size, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id FROM t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+}
