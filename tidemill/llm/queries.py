@@ -5,8 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import exact, html, language, mixing, packing, toxicity
+from tidemill.llm import exact, html, language, lines, mixing, packing, toxicity
 from tidemill.session import read_table
 
 
@@ -28,6 +29,11 @@ def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op6_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.remove_boilerplate(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -40,10 +46,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_json())
 
 
-QUERIES = {"op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op6_site_spread": op6_site_spread, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op10_best_fit_packing": op10_best_fit_packing}
 ORACLES: dict[str, str] = {
     "op5_chunk_recipes": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
         g AS (SELECT doc_id, points, norm, count(*) OVER (PARTITION BY norm) AS group_size, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op6_site_spread": """
+        WITH l AS (SELECT doc_id, coalesce(source, 'null') AS site, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+        k AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+        w AS (SELECT *, len(list_filter(string_split_regex(key, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words FROM k),
+        b AS (SELECT key, min(doc_id) AS keeper FROM w WHERE words >= 3 GROUP BY key HAVING count(DISTINCT site) >= 10),
+        m AS (SELECT w.doc_id, w.i, w.line, b.key IS NOT NULL AND (w.doc_id <> b.keeper OR row_number() OVER (PARTITION BY w.doc_id, w.key ORDER BY w.i) > 1) AS gone FROM w LEFT JOIN b ON w.key = b.key),
+        t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+        SELECT doc_id, n_lines, n_removed, length(kept) AS n_chars_kept, sha256(kept) AS kept_sha256 FROM t""",
 }
