@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exact, html, language, lines, mixing, nearest, packing, toxicity
+from tidemill.llm import exact, html, language, lines, minhash, mixing, nearest, packing, toxicity
 from tidemill.session import read_table
 
 
@@ -21,6 +21,10 @@ def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.neighbours(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op2_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_json())
 
 
-QUERIES = {"op1_cross_polytope": op1_cross_polytope, "op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op6_site_spread": op6_site_spread, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_cross_polytope": op1_cross_polytope, "op2_min_max_hash": op2_min_max_hash, "op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op6_site_spread": op6_site_spread, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op10_best_fit_packing": op10_best_fit_packing}
 ORACLES: dict[str, str] = {
     "op5_chunk_recipes": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
