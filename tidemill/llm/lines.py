@@ -68,3 +68,11 @@ def remove_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CL
     removed = F.when(F.col("_out").isNull(), F.lit(0).cast("long")).otherwise(removed)
     out = placed.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_removed", removed)
     return out.withColumn("text", F.when(F.col("n_removed") > 0, kept).otherwise(text)).select(*docs.columns, "n_lines", "n_removed")
+
+
+def without_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR) -> DataFrame:
+    """`docs` without boilerplate lines and without the rows of which nothing else was left; n_chars, if there, follows the text."""
+    cleaned = remove_boilerplate(docs, sites=sites, clear=clear).filter((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(docs.columns)

@@ -179,3 +179,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = every.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` with one document of each group of near-duplicates: the one of smallest doc_id. Rows that repeat a doc_id are one."""
+    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    known = docs.join(kept.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

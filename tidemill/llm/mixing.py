@@ -18,12 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.session import cut
+
 #: Source weights, repeating over the sources by code point.
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_COPIES = 2
 RANK_BUCKETS = 4096
 SEED = 7
+#: Sources up to which their table is broadcast; beyond, it is joined like any other.
+BROADCAST_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -60,11 +64,15 @@ def mix_sized(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share_per
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("_whole", F.floor(rate)).withColumn("_part", rate - F.floor(rate)).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
 
+    # one row a source: counted, so that rows which carry texts meet it without a shuffle where that is safe
+    targets = cut(targets, "targets")
+    sent = F.broadcast if targets.count() <= BROADCAST_SOURCES else lambda table: table
+
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double")
     u = (draw + 0.5) / float(1 << 48)
     odds = (u / (1 - u)) * ((1 - F.col("_part")) / F.col("_part"))
     q = F.when(F.col("_part") > 0, odds / (1 + odds)).otherwise(1.0)
-    ranked = sized.join(targets, sized["_source"].eqNullSafe(targets["_source"])).drop(targets["_source"])
+    ranked = sized.join(sent(targets), sized["_source"].eqNullSafe(targets["_source"])).drop(targets["_source"])
     ranked = ranked.withColumn("_q", q).withColumn("_bucket", F.least(F.floor(F.col("_q") * buckets), F.lit(buckets - 1)))
 
     sums = ranked.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
@@ -72,7 +80,7 @@ def mix_sized(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share_per
     sums = sums.withColumn("_before", running)
     # the bucket in which the remainder ends: at most one row a source
     edges = sums.filter((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_words"))).select(F.col("_source").alias("_edge_source"), F.col("_bucket").alias("_edge"), "_before")
-    placed = ranked.join(edges, ranked["_source"].eqNullSafe(edges["_edge_source"]), "left").drop("_edge_source")
+    placed = ranked.join(sent(edges), ranked["_source"].eqNullSafe(edges["_edge_source"]), "left").drop("_edge_source")
 
     inside = placed.filter(F.col("_bucket") == F.col("_edge"))
     order = Window.partitionBy("_source").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -83,3 +91,11 @@ def mix_sized(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share_per
     outside = outside.withColumn("_in", (F.col("_part") > 0) & (F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge"))))
     copies = (F.col("_whole") + F.col("_in").cast("long")).cast("long")
     return inside.unionByName(outside).withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *carry)
+
+
+def mixed_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_copies: int = MOST_COPIES) -> DataFrame:
+    """The mix itself: every row of `docs` as often as it is taken, with the columns of `docs`."""
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    sized = docs.select("doc_id", F.col("source").alias("_source"), words(F.col("text")).alias("size"), row)
+    taken = mix_sized(sized, weights=weights, share_percent=share_percent, most_copies=most_copies, carry=("_row",)).filter(F.col("copies") > 0)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemill.llm.text import MIX, WordHashes, mixed, texts_of
 
@@ -111,21 +112,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     return ftrl([(np.frombuffer(s, np.int32), int(bool(y))) for _, s, y in rows])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every row of `docs`, from its whole text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """`docs` with the score of each row's whole text in a last column."""
+    text_at = docs.columns.index("text")
+    names = [*docs.columns, column]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, dense = WordHashes(), model.dense()
         for batch in batches:
-            sums = np.array([dense[features(x, cache)].sum() for x in texts_of(batch.column(1))], np.float64) + model.bias
+            sums = np.array([dense[features(x, cache)].sum() for x in texts_of(batch.column(text_at))], np.float64) + model.bias
             with np.errstate(over="ignore"):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-sums)), pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-sums)), pa.float64())], names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scored, f"doc_id {kind}, score double")
+    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, toxic_at: float = TOXIC_AT) -> DataFrame:
+    """The rows of `docs` that score under `toxic_at`, with the columns of `docs`."""
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+    return with_score(plain, fit(docs, labels, train_rows=train_rows), "_toxicity").filter(F.col("_toxicity") < toxic_at).drop("_toxicity")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, toxic_at: float = TOXIC_AT) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    scored = score(docs, fit(docs, labels, train_rows=train_rows))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    scored = with_score(own, fit(docs, labels, train_rows=train_rows))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxic_at).cast("int").alias("predicted"))
