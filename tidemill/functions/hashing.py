@@ -1,0 +1,16 @@
+"""Content digests as column expressions over binary columns."""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tidemill.functions.constants import PARTIAL_BYTES
+
+
+def partial_hash(content: Column, edge: int = PARTIAL_BYTES) -> Column:
+    """Digest of the first and the last `edge` bytes, or of everything if there is no more. Only equality matters."""
+    ends = F.concat(F.substring(content, 1, edge), F.substring(content, -edge, edge))
+    return F.sha2(F.when(F.octet_length(content) <= 2 * edge, content).otherwise(ends), 256)
+
+
+def full_hash(content: Column) -> Column:
+    return F.sha2(content, 256)

@@ -1,4 +1,452 @@
-"""The registered queries of the reference's own operators."""
+"""The registered queries of the reference's own operators, on the driver's tables, with their SQL.
+
+Each query applies an operator of this library to its whole table; the SQL says the same for DuckDB.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemill.functions import dates, display, hashing, names, pixels
+from tidemill.functions.constants import NAME_PENALTIES, SCREENS
+from tidemill.operators import dedupe, journal, link, report, rules, similar, snapshot
+from tidemill.operators.components import connected_components
+from tidemill.session import read_table as table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+def content(text: Column) -> Column:
+    return F.encode(text, "utf-8")
+
+
+def seconds(ts: str) -> Column:
+    return F.unix_seconds(F.col(ts).cast("timestamp"))
+
+
+def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), content(F.col("text")).alias("content"), F.octet_length("text").cast("long").alias("size"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").cast("string").alias("stem"), F.lit(None).cast("long").alias("ts"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id AS id, sha256(text) AS h, source || '/' || doc_id AS path FROM documents WHERE length(text) > 0),
+    g AS (SELECT h, min(id) AS first, count(*) AS n FROM d GROUP BY h HAVING count(*) > 1),
+    r AS (SELECT h, 'd1-' || row_number() OVER (ORDER BY first) AS group_id FROM g),
+    m AS (SELECT d.*, r.group_id, row_number() OVER (PARTITION BY d.h ORDER BY length(path), id) AS k FROM d JOIN r ON d.h = r.h)
+    SELECT m.id, m.group_id, x.id AS keeper_id, x.path AS keeper_path, m.id = x.id AS is_keeper FROM m JOIN m x ON m.h = x.h AND x.k = 1""")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = documents_as_files(spark, sf_dir)
+    hashed = dedupe.funnel(files).select("id", "full_hash", "stem", "ts", "path")
+    return dedupe.duplicate_groups(hashed)
+
+
+@query("""
+    WITH d AS (SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS h FROM documents WHERE length(text) > 0)
+    SELECT 'size' AS step, count(*) AS n FROM d WHERE size IN (SELECT size FROM d GROUP BY size HAVING count(*) > 1)
+    UNION ALL SELECT 'full', count(*) FROM d WHERE h IN (SELECT h FROM d GROUP BY h HAVING count(*) > 1)""")
+def dedupe_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = documents_as_files(spark, sf_dir)
+    sized = dedupe.repeated(files.filter(F.col("size") > 0).select("id", "size"), "size").select(F.lit("size").alias("step"))
+    full = dedupe.funnel(files).select(F.lit("full").alias("step"))
+    return sized.unionByName(full).groupBy("step").agg(F.count("*").alias("n"))
+
+
+_PENALTY = " + ".join("CASE WHEN regexp_matches(stem, '{}') THEN {} ELSE 0 END".format(p, w) for p, w in NAME_PENALTIES)
+
+
+@query(f"""
+    WITH s AS (SELECT p_partkey, p_name || CASE p_partkey % 8 WHEN 0 THEN ' (1)' WHEN 1 THEN '~2' WHEN 2 THEN ' copy' WHEN 3 THEN '-1' WHEN 4 THEN ' dup' WHEN 5 THEN '(3)x' WHEN 6 THEN '7-12' ELSE '' END AS stem FROM part)
+    SELECT p_partkey, stem, CAST({_PENALTY} AS INTEGER) AS penalty FROM s""")
+def name_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    endings = F.array(*[F.lit(x) for x in (" (1)", "~2", " copy", "-1", " dup", "(3)x", "7-12", "")])
+    stems = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.get(endings, (F.col("p_partkey") % 8).cast("int"))).alias("stem"))
+    return stems.withColumn("penalty", names.name_penalty(F.col("stem")))
+
+
+@query("""
+    WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS t FROM events)
+    SELECT a.event_id AS a_id, b.event_id AS b_id, b.t - a.t AS apart FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type
+    AND b.t - a.t BETWEEN 0 AND 3600 AND (b.t > a.t OR a.event_id < b.event_id)""")
+def similar_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("t", seconds("ts"))
+    pairs = similar.band_pairs(events, 3600, by=("user_id", "event_type"), id="event_id", ts="t")
+    return pairs.select("a_id", "b_id", (F.col("b_ts") - F.col("a_ts")).alias("apart"))
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT event_id AS id, user_id, event_type, epoch_us(ts) // 1000000 AS t FROM events),
+    o AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, id), 1000000000) > 3600 AS starts FROM e),
+    s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY user_id, event_type ORDER BY t, id) AS burst FROM o),
+    g AS (SELECT *, min(id) OVER w AS component, count(*) OVER w AS members FROM s WINDOW w AS (PARTITION BY user_id, event_type, burst))
+    SELECT id, component FROM g WHERE members > 1""")
+def burst_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("t", seconds("ts"))
+    pairs = similar.band_pairs(events, 3600, by=("user_id", "event_type"), id="event_id", ts="t")
+    return connected_components(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+
+
+def embedding_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", pixels.median_bits(F.col("embedding")).alias("phash"))
+
+
+_BITS = """
+    v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE len(embedding) = 64),
+    m AS (SELECT vec_id, e, list_median(e) AS mid FROM v),
+    b AS (SELECT vec_id, list_reduce(list_concat([0::UBIGINT], list_transform(e, lambda x: (x > mid)::UBIGINT)), lambda acc, x: ((acc & 9223372036854775807) << 1) | x) AS u, list_aggregate(list_transform(e, lambda x: (x > mid)::INT), 'sum') AS ones FROM m)"""
+
+
+@query(f"""WITH {_BITS.replace("list_median(e)", "list_aggregate(e, 'median')")}
+    SELECT vec_id, CAST(CASE WHEN u >= 9223372036854775808 THEN CAST(u AS HUGEINT) - 18446744073709551616 ELSE u END AS BIGINT) AS phash, CAST(ones AS BIGINT) AS ones FROM b""")
+def phash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_bits(spark, sf_dir).withColumn("ones", F.bit_count("phash").cast("long"))
+
+
+def bit_pairs(rows: DataFrame, distance: int, *, id: str = "vec_id") -> DataFrame:
+    """a, b, distance of 64-bit hashes at most `distance` apart, exactly.
+
+    Cut into `distance` + 1 parts, two such hashes agree in one whole part at least: an equi-join on parts, then the distance.
+    """
+    parts = distance + 1
+    edges = [64 * k // parts for k in range(parts + 1)]
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("phash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("v")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+    keyed = rows.select(F.col(id).alias("id"), "phash", F.explode(keys).alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    apart = pixels.hamming(F.col("a.phash"), F.col("b.phash"))
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart.cast("long").alias("distance")).filter(F.col("distance") <= distance).distinct()
+
+
+_PAIRS = _BITS.replace("list_median(e)", "list_aggregate(e, 'median')") + """,
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.u, b.u)) AS BIGINT) AS distance FROM b a JOIN b b ON a.vec_id < b.vec_id)"""
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, distance FROM p WHERE distance <= 12")
+def phash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_pairs(embedding_bits(spark, sf_dir), 12)
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT a, b FROM p WHERE distance <= 14), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r(id, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON r.id = s.a)
+    SELECT id, min(root) AS component FROM r GROUP BY id""")
+def phash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(bit_pairs(embedding_bits(spark, sf_dir), 14).select("a", "b"))
+
+
+_LAPLACE = ", ".join(f"e[{k - 8 + 1}] + e[{k + 8 + 1}] + e[{k - 1 + 1}] + e[{k + 1 + 1}] - 4 * e[{k + 1}]" for k in (r * 8 + c for r in range(1, 7) for c in range(1, 7)))
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE len(embedding) = 64),
+    l AS (SELECT vec_id, unnest([{_LAPLACE}]) AS x FROM v) SELECT vec_id, round(var_pop(x), 6) AS sharpness FROM l GROUP BY vec_id""")
+def laplacian_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64)
+    return frames.select("vec_id", F.round(pixels.laplacian_variance(F.col("embedding"), 8), 6).alias("sharpness"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.99), 6) AS p99, round(var_pop(value), 4) AS variance, round(median(value), 6) AS middle FROM events GROUP BY event_type")
+def brightness_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_type = table(spark, sf_dir, "events").groupBy("event_type")
+    return by_type.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.99), 6).alias("p99"), F.round(F.var_pop("value"), 4).alias("variance"), F.round(F.percentile("value", 0.5), 6).alias("middle"))
+
+
+@query("""
+    WITH e AS (SELECT event_id AS id, epoch_us(ts) // 1000000 AS t FROM events),
+    n AS (SELECT id, t - lag(t) OVER w AS p, lead(t) OVER w - t AS q FROM e WINDOW w AS (ORDER BY t, id))
+    SELECT id FROM n WHERE p <= 60 OR q <= 60""")
+def time_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), seconds("ts").alias("ts"))
+    return similar.time_neighbours(events, 60, bucket=86_400)
+
+
+def document_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents classified by ordered rules: duplicate, toxic, low quality, short, long."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", F.sha2("text", 256).alias("h"))
+    shared = d.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("copies"))
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    rows = d.join(shared, "h").join(marks, "doc_id", "left")
+    copied = (F.col("copies") > 1) & (F.col("doc_id") != F.col("keeper"))
+    matches = [
+        F.when(copied, rules.found("duplicates", "duplicate_of", keeper=F.col("keeper"), group_id=F.concat(F.lit("d"), F.col("keeper").cast("string")))),
+        F.when(F.col("toxic") == 1, rules.found("screenshots", "screenshot_comment")),
+        F.when(F.col("quality") == 0, rules.found("junk", "junk_broken", detail=F.lit("low quality"))),
+        F.when(F.col("n_chars") < 200, rules.found("short_videos", "short_video", seconds=F.col("n_chars") / 10, threshold=F.lit(20))),
+        F.when(F.col("n_chars") > 8000, rules.found("no_camera_media", "no_camera")),
+    ]
+    return rules.first_match(rows, matches)
+
+
+_CANDIDATES = """
+    d AS (SELECT doc_id, n_chars, source, sha256(text) AS h FROM documents),
+    k AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS keeper, count(*) OVER (PARTITION BY h) AS copies FROM d),
+    l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+    r AS (SELECT k.*, list_filter([CASE WHEN copies > 1 AND k.doc_id <> keeper THEN 'duplicates' END, CASE WHEN toxic = 1 THEN 'screenshots' END, CASE WHEN quality = 0 THEN 'junk' END,
+        CASE WHEN n_chars < 200 THEN 'short_videos' END, CASE WHEN n_chars > 8000 THEN 'no_camera_media' END], lambda x: x IS NOT NULL) AS m FROM k LEFT JOIN l ON k.doc_id = l.doc_id),
+    c AS (SELECT *, m[1] AS category, m[2:] AS rest FROM r WHERE len(m) > 0)"""
+
+
+@query(f"""WITH {_CANDIDATES} SELECT doc_id, category, CASE category WHEN 'duplicates' THEN 'high' WHEN 'screenshots' THEN 'high' WHEN 'junk' THEN 'high' WHEN 'short_videos' THEN 'medium' ELSE 'low' END AS confidence, array_to_string(rest, ',') AS also FROM c""")
+def classify_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_candidates(spark, sf_dir).select("doc_id", "found.category", "found.confidence", F.concat_ws(",", "also").alias("also"))
+
+
+_DIMENSION = "(VALUES ('duplicates'), ('screenshots'), ('screen_recordings'), ('short_videos'), ('no_camera_media'), ('junk'), ('blurry_dark'), ('similar')) AS t(category)"
+
+
+@query(f"""WITH {_CANDIDATES} SELECT t.category, count(c.doc_id) AS n, CAST(coalesce(sum(c.n_chars), 0) AS BIGINT) AS bytes, count(DISTINCT CASE WHEN c.category = 'duplicates' THEN c.keeper END) AS groups
+    FROM {_DIMENSION} LEFT JOIN c ON c.category = t.category GROUP BY t.category""")
+def category_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_candidates(spark, sf_dir).select("found.category", "found.group_id", "found.is_keeper", F.col("n_chars").alias("bytes"))
+    return report.category_report(report.category_dimension(spark), found).select("category", "n", "bytes", "groups")
+
+
+@query(f"""WITH {_CANDIDATES} SELECT CAST(coalesce(count(*) FILTER (category <> 'junk'), 0) AS BIGINT) AS candidates, CAST(coalesce(sum(n_chars) FILTER (category <> 'junk'), 0) AS BIGINT) AS bytes, count(*) AS all_candidates, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS all_bytes FROM c""")
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_candidates(spark, sf_dir).select("found.category", "found.group_id", "found.is_keeper", F.col("n_chars").alias("bytes"))
+    return report.report_totals(report.category_report(report.category_dimension(spark, {"junk": False}), found))
+
+
+@query(f"""WITH {_CANDIDATES}, x AS (SELECT category, doc_id, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN category = 'duplicates' THEN keeper END NULLS FIRST, doc_id) AS nth FROM c) SELECT * FROM x WHERE nth <= 5""")
+def category_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_candidates(spark, sf_dir).select("found.category", "doc_id", F.when(F.col("found.category") == "duplicates", F.col("keeper")).alias("g"))
+    return report.first_examples(found, 5, order=[F.col("g").asc_nulls_first(), F.col("doc_id")]).select("category", "doc_id", "nth")
+
+
+_SCREENS = ", ".join(f"({w}, {h})" for w, h in SCREENS)
+
+
+@query(f"""WITH s(w, h) AS (VALUES {_SCREENS}), p AS (SELECT p_partkey, 160 * p_size AS width, 90 * p_size + 240 AS height FROM part UNION ALL SELECT p_partkey + 1000000, 1920, 1080 FROM part WHERE p_partkey <= 3)
+    SELECT p_partkey, EXISTS (SELECT 1 FROM s WHERE (s.w = least(width, height) AND s.h = greatest(width, height))) AS is_screen FROM p""")
+def either_orientation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    sized = part.select("p_partkey", (F.col("p_size") * 160).alias("w"), (F.col("p_size") * 90 + 240).alias("h"))
+    sized = sized.unionByName(part.filter("p_partkey <= 3").select(F.col("p_partkey") + 1_000_000, F.lit(1920), F.lit(1080)).toDF("p_partkey", "w", "h"))
+    return sized.select("p_partkey", names.is_phone_screen(F.col("w"), F.col("h")).alias("is_screen"))
+
+
+@query("SELECT conv_id AS item_id, CAST(sum(length(text)) AS BIGINT) AS item_bytes FROM conversations GROUP BY conv_id")
+def item_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.item_sizes(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item_id"), F.length("text").cast("long").alias("size")))
+
+
+@query("SELECT o_orderstatus AS root, count(*) AS n, CAST(coalesce(sum(CAST(o_totalprice AS BIGINT)), 0) AS BIGINT) AS bytes FROM (SELECT o_orderstatus, floor(o_totalprice) AS o_totalprice FROM orders) GROUP BY o_orderstatus")
+def root_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.root_stats(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "root"), size=F.floor("o_totalprice"))
+
+
+_URL_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '[?#].*$', '')"
+
+
+def url_path(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, "^[a-z]+://[^/]*/?", ""), "[?#].*$", "")
+
+
+@query(f"""WITH p AS (SELECT {_URL_PATH} AS path, length(html) AS size FROM pages)
+    SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END AS category, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM p GROUP BY 1""")
+def path_component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.top_folder_stats(table(spark, sf_dir, "pages"), url_path(F.col("url")), F.length("html").cast("long"))
+
+
+@query(f"""WITH p AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), q AS (SELECT regexp_replace(path, '[?#].*$', '') AS path FROM p),
+    s AS (SELECT string_split(CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END, '/') AS parts FROM q),
+    e AS (SELECT parts, unnest(generate_series(1, len(parts))) AS k FROM s)
+    SELECT array_to_string(parts[1:k], '/') AS folder, count(*) AS files FROM e WHERE array_to_string(parts, '/') <> '' GROUP BY 1""")
+def ancestor_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    folders = table(spark, sf_dir, "pages").select(F.explode(names.ancestors(names.dirname(path))).alias("folder"))
+    return folders.groupBy("folder").agg(F.count("*").alias("files"))
+
+
+@query("""
+    WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_extendedprice) AS BIGINT) AS size, CASE WHEN p_size % 2 = 0 THEN 'h264' ELSE 'hevc' END AS codec FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
+    o AS (SELECT *, row_number() OVER (ORDER BY size DESC, id) AS k FROM t)
+    SELECT id, size, codec, CASE WHEN codec = 'h264' THEN CAST(floor(size * 0.45::DOUBLE) AS BIGINT) ELSE 0 END AS saving FROM o WHERE k <= 100""")
+def top_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.floor("l_extendedprice").alias("size"), "l_partkey")
+    # the hundred first, then their parts: the join sees a hundred rows
+    top = sized.orderBy(F.col("size").desc(), "id").limit(100)
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "h264").otherwise("hevc").alias("codec"))
+    named = top.join(parts, top["l_partkey"] == parts["p_partkey"], "left").select("id", "size", F.coalesce("codec", F.lit("hevc")).alias("codec"))
+    return named.withColumn("saving", display.hevc_saving(F.col("size"), F.col("codec")))
+
+
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS nth FROM part WHERE p_size IN (1, 2, 3, 4, 5) AND starts_with(p_brand, 'Brand#1') ORDER BY nth LIMIT 200")
+def list_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").filter(F.col("p_size").isin(1, 2, 3, 4, 5) & F.col("p_brand").startswith("Brand#1"))
+    page = rows.select("p_partkey", "p_name", names.nocase(F.col("p_name")).alias("k")).orderBy("k", "p_partkey").limit(200)
+    return page.select("p_partkey", "p_name", F.row_number().over(Window.orderBy("k", "p_partkey")).alias("nth"))
+
+
+@query("""
+    SELECT o_orderkey, l_linenumber FROM (SELECT o_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_orderkey ORDER BY (l_returnflag <> 'R'), (l_linestatus <> o_orderstatus), l_linenumber) AS k
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE k = 1""")
+def best_match_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), table(spark, sf_dir, "lineitem")
+    pairs = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
+    return link.best_match(pairs, "o_orderkey", "l_linenumber", F.col("l_returnflag") != "R", F.col("l_linestatus") != F.col("o_orderstatus"))
+
+
+@query("""
+    WITH f AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'IMG_E' || (p_partkey // 3) ELSE 'IMG_' || p_partkey END AS stem, 'd' || (p_partkey % 2) AS dir FROM part),
+    e AS (SELECT id, dir, lower(regexp_extract(stem, '^(.*)_E(\\d+)$', 1) || '_' || regexp_extract(stem, '^(.*)_E(\\d+)$', 2)) AS k FROM f WHERE regexp_matches(stem, '^(.*)_E(\\d+)$'))
+    SELECT e.id, min(f.id) AS edited_of FROM e JOIN f ON f.dir = e.dir AND lower(f.stem) = e.k GROUP BY e.id""")
+def edited_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, none = F.col("p_partkey"), F.lit(None)
+    stem = F.when(key % 3 == 0, F.concat(F.lit("IMG_E"), F.expr("p_partkey div 3").cast("string"))).otherwise(F.concat(F.lit("IMG_"), key.cast("string")))
+    files = table(spark, sf_dir, "part").select(key.alias("id"), F.lit("source").alias("root"), F.concat(F.lit("d"), (key % 2).cast("string")).alias("dir_path"), stem.alias("stem"), F.lit("jpg").alias("ext"), F.lit("photo").alias("kind"), none.cast("string").alias("detached_at"), none.cast("string").alias("content_id"), none.cast("long").alias("duration_ms"))
+    return link.link_items(files).filter(F.col("edited_of").isNotNull()).select("id", "edited_of")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, orders = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
+    return customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_anti")
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS live_count FROM orders")
+def live_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return orders.join(returned, orders["o_orderkey"] == returned["l_orderkey"], "left").select("o_orderkey", F.coalesce("n", F.lit(0).cast("long")).alias("live_count"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderstatus FROM orders),
+    a AS (SELECT * FROM o WHERE k % 7 <> 0), b AS (SELECT k, size + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS size FROM o WHERE k % 11 <> 0),
+    j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.size AS asize, b.size AS bsize, a.o_orderstatus = 'F' AS was_missing FROM a FULL JOIN b ON a.k = b.k)
+    SELECT k, CASE WHEN bk IS NULL AND was_missing THEN 'kept' WHEN bk IS NULL THEN 'missing' WHEN ak IS NULL THEN 'new' WHEN asize <> bsize OR was_missing THEN 'changed' ELSE 'unchanged' END AS change FROM j""")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").alias("size"), "o_orderstatus")
+    common = [F.lit("source").alias("root"), F.concat(F.lit("d/"), F.col("k").cast("string")).alias("rel_path"), F.lit(1_700_000_000_000_000_000).alias("mtime_ns")]
+    old = orders.filter("k % 7 <> 0").select(*common, "size", F.when(F.col("o_orderstatus") == "F", "missing").otherwise("present").alias("status"))
+    new = orders.filter("k % 11 <> 0").select(*common, (F.col("size") + F.when(F.col("k") % 5 == 0, 1).otherwise(0)).alias("size"))
+    return snapshot.snapshot_diff(old, new).select(F.substring_index("rel_path", "/", -1).cast("long").alias("k"), "change")
+
+
+@query("SELECT d.doc_id AS id FROM documents d LEFT JOIN (SELECT doc_id, any_value(doc_id % 3) AS v FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR l.v <> 0")
+def stale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), zero.alias("mtime_ns"))
+    marks = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    stored = files.join(marks, files["id"] == marks["doc_id"]).select(F.col("id").alias("file_id"), "size", (F.col("id") % 3).alias("mtime_ns"))
+    return snapshot.needing_features(files, stored).select("id")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", by="event_id")
+
+
+def conversation_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as journal rows: a conversation is an operation, its assistant turns are undone."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("op_id"), (F.col("conv_id") % 5).alias("session_id"), F.when(F.col("turn") == 0, "purge").when(F.col("turn") % 2 == 0, "to_delete").otherwise("keep").alias("action"), F.when(F.col("role") == "assistant", F.lit(1)).alias("undone_by"), F.lit(None).cast("string").alias("category"))
+
+
+@query("""
+    SELECT op_id, last_id FROM (SELECT conv_id AS op_id, max(conv_id * 1000 + turn) AS last_id FROM conversations WHERE role <> 'assistant' AND turn <> 0 GROUP BY conv_id)""")
+def undoable_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal.undoable_ops(conversation_journal(spark, sf_dir))
+
+
+@query("""
+    WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(value) AS BIGINT) AS size, user_id % 4 AS session FROM events),
+    s AS (SELECT * FROM e WHERE session = 1)
+    SELECT count(DISTINCT CASE WHEN event_type = 'view' THEN user_id END) AS kept, count(DISTINCT CASE WHEN event_type = 'click' AND event_id % 3 <> 0 THEN user_id END) AS deleted,
+    count(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS restored, CAST(coalesce(sum(CASE WHEN event_type = 'click' AND event_id % 3 <> 0 THEN size END), 0) AS BIGINT) AS deleted_bytes FROM s""")
+def session_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "view", "keep").when(F.col("event_type") == "click", "to_delete").when(F.col("event_type") == "purchase", "restore").otherwise("other")
+    rel = F.col("event_id").cast("string")
+    rows = e.select(F.col("event_id").alias("id"), F.col("event_id").alias("file_id"), F.col("user_id").alias("op_id"), (F.col("user_id") % 4).alias("session_id"), action.alias("action"), F.floor("value").alias("size"), F.lit("delete").alias("to_root"), rel.alias("to_rel"), F.lit(None).cast("long").alias("undone_by"))
+    files = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "source").otherwise("delete").alias("root"), rel.alias("rel_path"), F.lit("present").alias("status"))
+    return journal.session_counters(rows, files, 1)
+
+
+@query("SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) >= 2")
+def groups_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "documents").select("doc_id", hashing.full_hash(content(F.col("text"))).alias("h"))
+    return hashed.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n >= 2")
+
+
+@query("""
+    WITH f AS (SELECT p_partkey AS id, 'd' || (p_partkey % 10) AS folder, 'IMG_' || (p_partkey % 7) || '.JPG' AS name FROM part),
+    n AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) + CASE WHEN folder = 'd0' THEN 1 ELSE 0 END AS k FROM f)
+    SELECT id, folder, CASE WHEN k < 2 THEN name ELSE replace(name, '.JPG', '') || '~' || k || '.JPG' END AS unique_name FROM n""")
+def conflict_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    moves = table(spark, sf_dir, "part").select(key.alias("id"), F.concat(F.lit("d"), (key % 10).cast("string")).alias("folder"), F.concat(F.lit("IMG_"), (key % 7).cast("string"), F.lit(".JPG")).alias("name"))
+    taken = moves.filter(F.col("folder") == "d0").select("folder", "name").distinct()
+    return journal.unique_names(moves, taken).select("id", "folder", "unique_name")
+
+
+@query("""
+    WITH e AS (SELECT event_id AS key, epoch_us(ts) // 1000000 AS la, CAST(floor(value) AS BIGINT) + 1 AS bytes FROM events),
+    g AS (SELECT sum(bytes) - CAST(floor(CAST(sum(bytes) // 2 AS DOUBLE) * 0.95) AS BIGINT) AS goal FROM e),
+    r AS (SELECT *, sum(bytes) OVER (ORDER BY la, key) - bytes AS reached, row_number() OVER (ORDER BY la, key) AS k FROM e)
+    SELECT key, bytes FROM r, g WHERE reached < goal AND k <= 5000""")
+def lru_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), seconds("ts").alias("last_access"), (F.floor("value") + 1).alias("bytes"))
+    half = entries.agg((F.sum("bytes") / 2).cast("long").alias("h")).first()["h"]
+    return report.lru_evictions(entries, half)
+
+
+@query(f"""WITH {_CANDIDATES} SELECT doc_id, CASE category WHEN 'duplicates' THEN 'Exact copy of ' || keeper WHEN 'screenshots' THEN 'EXIF UserComment says "Screenshot"' WHEN 'junk' THEN 'File cannot be decoded (low quality)'
+    WHEN 'short_videos' THEN 'Video is ' || printf('%.1f', n_chars / 10) || ' s long (threshold 20 s)' ELSE 'No camera make or model in metadata' END AS reason FROM c""")
+def reason_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_candidates(spark, sf_dir).select("doc_id", display.reason_text(F.col("found.reason"), F.col("found.params")).alias("reason"))
+
+
+@query("""
+    WITH n AS (SELECT p_partkey, p_name || CASE p_partkey % 6 WHEN 0 THEN '.HEIC' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.Mov' WHEN 3 THEN '' WHEN 4 THEN '.aae' ELSE '.dng' END AS name FROM part),
+    s AS (SELECT *, CASE WHEN regexp_matches(name, '^.+\\.[^.]*$') THEN lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)) ELSE '' END AS ext, CASE WHEN regexp_matches(name, '^.+\\.[^.]*$') THEN regexp_extract(name, '^(.+)\\.[^.]*$', 1) ELSE name END AS stem FROM n)
+    SELECT p_partkey, stem, ext, CASE ext WHEN 'heic' THEN 'photo' WHEN 'mov' THEN 'video' WHEN 'aae' THEN 'sidecar' WHEN 'dng' THEN 'raw' ELSE 'other' END AS kind FROM s""")
+def split_ext_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    endings = F.array(*[F.lit(x) for x in (".HEIC", ".tar.gz", ".Mov", "", ".aae", ".dng")])
+    name = F.concat("p_name", F.get(endings, (F.col("p_partkey") % 6).cast("int")))
+    named = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    return named.select("p_partkey", names.stem(F.col("name")).alias("stem"), names.ext(F.col("name")).alias("ext")).withColumn("kind", names.kind(F.col("ext")))
+
+
+@query("""
+    WITH t AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '2020:13:01 00:00:00' ELSE strftime(ts, '%Y:%m:%d %H:%M:%S') END AS exif, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, epoch_us(ts) // 1000000 AS s FROM events)
+    SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE iso END AS iso, CASE WHEN event_id % 5 = 0 THEN -1 ELSE s END AS taken, iso AS local FROM t""")
+def exif_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exif = F.when(F.col("event_id") % 5 == 0, "2020:13:01 00:00:00").otherwise(F.date_format("ts", "yyyy:MM:dd HH:mm:ss"))
+    rows = table(spark, sf_dir, "events").select("event_id", exif.alias("exif"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00")).alias("offset"))
+    rows = rows.withColumn("iso", dates.exif_to_iso(F.col("exif")))
+    return rows.select("event_id", "iso", F.coalesce(dates.iso_to_ts(F.col("iso")), F.lit(-1)).alias("taken"), dates.iso_local(F.col("offset")).alias("local"))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS before, (SELECT count(*) FROM documents) AS after, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained")
+def multiset_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content digests before and after a move plan is carried out on paper: nothing is lost or gained."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"))
+    moved = files.withColumn("root", F.when(F.col("id") % 2 == 0, "review").otherwise("source"))
+    a, b = files.groupBy("h").agg(F.count("*").alias("a")), moved.groupBy("h").agg(F.count("*").alias("b"))
+    zero = F.lit(0).cast("long")
+    both = a.join(b, "h", "full_outer").select(F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b"))
+    return both.agg(F.sum("a").alias("before"), F.sum("b").alias("after"), F.sum(F.greatest(F.col("a") - F.col("b"), zero)).alias("lost"), F.sum(F.greatest(F.col("b") - F.col("a"), zero)).alias("gained"))
+
+
+@query("SELECT event_id, CASE WHEN s < 1024 THEN printf('%d B', s) WHEN s < 1048576 THEN printf('%.1f KB', s / 1024) ELSE printf('%.1f MB', s / 1048576) END AS size FROM (SELECT event_id, event_id * 513 AS s FROM events)")
+def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", display.human_bytes(F.col("event_id") * 513).alias("size"))
+
+
+@query("""SELECT conv_id * 1000 + turn AS id, conv_id AS op_id FROM conversations WHERE conv_id % 5 = 2 AND turn % 2 = 1 ORDER BY id DESC LIMIT 50 OFFSET 5""")
+def journal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal.search(conversation_journal(spark, sf_dir), session_id=2, action="keep", limit=50, offset=5).select("id", "op_id")
