@@ -6,10 +6,11 @@ every page costs one sketch a task. A line whose estimate is at least `CLEAR` ti
 `SITES / CLEAR` isn't, and those between get an exact distinct count. Of a boilerplate line one occurrence stays: the first in the
 document of smallest doc_id that has it, so that of copied documents one remains whole.
 
-Line hashes and doc_ids travel, texts only once, in the join that brings each document the lines it loses.
+Line hashes and doc_ids travel, texts only once, in the join that brings each document the places of the lines it loses. All work on a
+text is linear in its length.
 
 Defined cases: a null text stays null and has 0 lines; empty lines are kept as they are; a null source is a site of its own; rows that
-repeat a doc_id lose the same lines, each row keeping its first occurrence if the doc_id is the smallest; null doc_ids count as one
+repeat a doc_id each keep their first occurrence if the doc_id is the smallest; null doc_ids count as one
 document, which keeps a line only if no other has it; an empty table gives an empty result; other columns are carried or ignored, whatever
 their names.
 """
@@ -40,9 +41,12 @@ def line_keys(text: Column) -> Column:
 
 
 def spread_lines(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """_id, gone, first: the boilerplate hashes that each document loses, and those of which it keeps the first occurrence."""
+    """_id, _hash, gone: for each text that loses lines, their places from 0."""
     site = F.coalesce(F.col("source").cast("string"), F.lit("\0null"))
-    lines = docs.select(F.col("doc_id").alias("_id"), site.alias("_site"), F.explode(line_keys(F.col("text").cast("string"))).alias("_line")).filter(F.col("_line").isNotNull())
+    text = F.col("text").cast("string")
+    # what stands beside an explode is worked out for every row it makes, so all but column names comes before
+    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash"), site.alias("_site"), line_keys(text).alias("_keys"))
+    lines = keyed.select("_id", "_hash", "_site", F.posexplode("_keys").alias("_at", "_line")).filter(F.col("_line").isNotNull())
     sketches = lines.groupBy("_line").agg(F.hll_sketch_agg("_site", sketch_bits).alias("_sketch"))
     spread = sketches.select("_line", F.hll_sketch_estimate("_sketch").alias("_estimate")).filter(F.col("_estimate") >= sites / clear)
     # the occurrences of wide-spread lines: read twice, so written once
@@ -51,23 +55,22 @@ def spread_lines(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, s
     exact = hits.groupBy("_line").agg(F.count_distinct(F.when(near, F.col("_site"))).alias("_exact"), F.max(~near).alias("_clear"), F.min("_id").alias("_keeper"))
     flagged = exact.filter(F.col("_clear") | (F.col("_exact") >= sites)).select("_line", "_keeper")
     mine = F.col("_id").eqNullSafe(F.col("_keeper"))
-    own = hits.select("_id", "_line").distinct().join(flagged, "_line").groupBy("_id")
-    return own.agg(F.collect_list(F.when(~mine, F.col("_line"))).alias("gone"), F.collect_list(F.when(mine, F.col("_line"))).alias("first"))
+    own = hits.join(flagged, "_line").groupBy("_id", "_hash", "_line").agg(F.collect_set("_at").alias("_places"), F.first(mine).alias("_mine"))
+    lost = F.when(F.col("_mine"), F.array_remove("_places", F.array_min("_places"))).otherwise(F.col("_places"))
+    return own.groupBy("_id", "_hash").agg(F.flatten(F.collect_list(lost)).alias("gone"))
 
 
 def remove_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR) -> DataFrame:
     """`docs` with boilerplate lines out of text, and columns n_lines, n_removed."""
     lost = spread_lines(docs, sites=sites, clear=clear)
-    placed = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]), "left").drop("_id")
     text = F.col("text").cast("string")
-    lines, keys = F.split(text, "\n"), line_keys(text)
-    first_seen = F.transform(keys, lambda k, i: F.array_contains("gone", k) | (F.array_contains("first", k) & (F.array_position(keys, k) != i + 1)))
-    placed = placed.withColumn("_out", F.when(F.col("gone").isNotNull() & text.isNotNull(), first_seen))
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.coalesce(F.get("_out", i), F.lit(False))), "\n")
-    removed = F.coalesce(F.size(F.filter("_out", lambda x: x)), F.lit(0)).cast("long")
-    removed = F.when(F.col("_out").isNull(), F.lit(0).cast("long")).otherwise(removed)
-    out = placed.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_removed", removed)
-    return out.withColumn("text", F.when(F.col("n_removed") > 0, kept).otherwise(text)).select(*docs.columns, "n_lines", "n_removed")
+    placed = docs.withColumn("_own", F.xxhash64(text)).join(lost, docs["doc_id"].eqNullSafe(lost["_id"]) & (F.col("_own") == lost["_hash"]), "left")
+    # places and lines are columns of their own: inside a lambda they would be worked out again for every line
+    placed = placed.withColumn("_lines", F.split(text, "\n")).withColumn("_gone", F.size(F.coalesce("gone", F.array().cast("array<int>"))))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
+    kept = F.array_join(F.transform(places, lambda k: F.get("_lines", k)), "\n")
+    out = placed.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long")).withColumn("n_removed", F.col("_gone").cast("long"))
+    return out.withColumn("text", F.when(F.col("_gone") > 0, kept).otherwise(text)).select(*docs.columns, "n_lines", "n_removed")
 
 
 def without_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR) -> DataFrame:
