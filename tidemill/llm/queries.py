@@ -64,6 +64,21 @@ ORACLES: dict[str, str] = {
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
         g AS (SELECT doc_id, points, norm, count(*) OVER (PARTITION BY norm) AS group_size, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op7_pareto_mixing": """
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, list_extract([3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)) AS weight FROM s),
+        c AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS cap FROM w),
+        f AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 150 / 100 - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level FROM c
+            WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT arg_min(level, cap / weight) AS level FROM f WHERE level * weight <= cap),
+        t AS (SELECT f.source, source_size, least(coalesce(l.level * weight, cap), cap) AS target FROM f, l),
+        r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+        p AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS part, target - floor(rate) * source_size AS rest FROM r),
+        u AS (SELECT d.*, p.source_size, p.target, p.whole, p.part, p.rest, (CAST(CAST('0x' || substr(md5('7:' || d.doc_id), 1, 12) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+        o AS (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) * ((1 - part) / part) END AS odds FROM u),
+        q AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY coalesce(odds / (1 + odds), 1), doc_id, size ROWS UNBOUNDED PRECEDING) AS reached FROM o)
+        SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN part > 0 AND reached - rest <= size / 2 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM q""",
     "op6_site_spread": """
         WITH l AS (SELECT doc_id, coalesce(source, 'null') AS site, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
         k AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
