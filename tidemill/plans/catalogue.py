@@ -13,6 +13,7 @@ from tidemill.functions.constants import NAME_PENALTIES, SCREENS
 from tidemill.operators import dedupe, journal, link, report, rules, similar, snapshot
 from tidemill.operators.components import connected_components
 from tidemill.session import read_table as table
+from tidemill.sources import headers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -450,3 +451,14 @@ def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id * 1000 + turn AS id, conv_id AS op_id FROM conversations WHERE conv_id % 5 = 2 AND turn % 2 = 1 ORDER BY id DESC LIMIT 50 OFFSET 5""")
 def journal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.search(conversation_journal(spark, sf_dir), session_id=2, action="keep", limit=50, offset=5).select("id", "op_id")
+
+
+# First bytes of files, as hex, with their family.
+_HEADS = {"ffd8ffe0": "jpeg", "89504e470d0a1a0a": "png", "52494646000000005745425056503820": "webp", "474946383961": "gif", "49492a00": "tiff", "0000001866747970686569630000": "heif", "00000018667479706d70343200": "isobmff", "46554a4946494c4d4343442d52415720": "raf", "7465787420": "unknown"}
+
+
+@query(f"""WITH h AS (SELECT doc_id, list_extract([{", ".join(repr(f) for f in _HEADS.values())}], CAST(doc_id % {len(_HEADS)} + 1 AS INTEGER)) AS format FROM documents) SELECT * FROM h""")
+def header_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.array(*[F.unhex(F.lit(h)) for h in _HEADS])
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.get(heads, (F.col("doc_id") % len(_HEADS)).cast("int")).alias("head"))
+    return rows.select("doc_id", headers.sniff_format(F.col("head"), F.lit("bin")).alias("format"))
