@@ -28,7 +28,9 @@ from tidemill.llm.text import MIX, WordHashes, mixed, texts_of
 SLOTS = 1 << 20
 TRAIN_ROWS = 16_000
 EPOCHS = 8
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 40.0, 1.0
+#: Weight of a toxic row's gradient: toxic rows are few, and what marks them is rare.
+TOXIC_WEIGHT = 6.0
 #: A feature enters the model once this many sampled rows have it.
 LEAST_ROWS = 4
 TOXIC_AT = 0.7
@@ -57,7 +59,7 @@ class Model:
         return out
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], *, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, least_rows: int = LEAST_ROWS) -> Model:
+def ftrl(rows: list[tuple[np.ndarray, int]], *, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, least_rows: int = LEAST_ROWS, toxic_weight: float = TOXIC_WEIGHT) -> Model:
     """FTRL-proximal with a bias that L1 leaves alone. With one kind of label only, the bias is its share."""
     labels = [y for _, y in rows]
     share = sum(labels) / len(labels) if labels else 0.0
@@ -79,7 +81,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], *, epochs: int = EPOCHS, alpha: flo
         for slots, label in rows:
             at = np.append(slots, SLOTS)
             w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+            g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (toxic_weight if label else 1.0)
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
