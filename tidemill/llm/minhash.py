@@ -5,8 +5,10 @@ over the set, so that a signature of `VALUES` values takes half as many hash eva
 buckets in which candidates meet.
 
 Documents of equal sets are one class from the start. In every bucket, the member of smallest id is the centre; each class is compared
-first with the centre that it shares most bands with. Afterwards only buckets that still hold several components matter: their pairs
-across components, in blocks, are compared by signature, and those that may be similar enough on their full sets. A link
+first with the centre that it shares most bands with. Afterwards only buckets that still hold several components matter. In a few
+rounds they get other centres by hash, which joins groups whose members are similar to some but not all others. Then their pairs across
+components, in blocks, are compared by signature, each in the first band it shares, and those that may be similar enough on their full
+sets; so no pair across components that shares a band goes unseen. A link
 is confirmed on the full sets of 64-bit shingle hashes, computed from whole texts: 100 * intersection >= 75 * union.
 
 Nothing is limited to the number of partners: a bucket of any size is dealt in blocks of `BLOCK` members, and the members of a centre in
@@ -42,6 +44,11 @@ BLOCK = 1024
 CHUNK = 128
 #: Share of equal signature values from which a pair is compared on its full sets: four standard errors under the limit.
 LIKELY = 0.60
+#: Rounds in which every bucket that still holds several components gets another centre, and the centres a class is compared with in each.
+ROUNDS = 2
+TRIES = 6
+#: Rows of a table of ids up to which it is broadcast to the texts; beyond, texts are shuffled.
+BROADCAST_ROLES = 250_000
 #: Shingles that are permuted at once.
 STRIP = 8192
 
@@ -96,7 +103,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     members = pairs.join(chunks, "b").select(F.col("a").alias("id"), F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"), F.lit(1).alias("member"))
     centres = chunks.select(F.col("b").alias("id"), F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("member"))
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    roles = members.unionByName(centres).join(texts, "id").select("centre", "chunk", "member", "id", "text")
+    named = cut(members.unionByName(centres), "roles")
+    sent = F.broadcast(named) if named.count() <= BROADCAST_ROLES else named
+    roles = texts.join(sent, "id").select("centre", "chunk", "member", "id", "text")
     # a centre comes before its members, so that a task holds one centre's set at a time
     dealt = roles.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "member")
     kind = pairs.schema["a"].dataType.simpleString()
@@ -126,22 +135,23 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def likely_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components of large buckets whose signatures agree enough. `members`: key, id, comp, sig, members."""
+    """Pairs (a, b) across components of large buckets whose signatures agree enough. `members`: key, band, id, comp, sig, members."""
     blocks = F.ceil(F.col("members") / BLOCK)
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sig")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "comp", "sig")
     kind = members.schema["id"].dataType.simpleString()
 
     def compared(rows: pa.Table) -> pa.Table:
         ids, comps, own = (rows.column(c).to_numpy() for c in ("id", "comp", "own"))
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        i, j, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
         values = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         for row in left:
             others = right[(comps[right] != comps[row]) & ((ids[right] > ids[row]) if i == j else True)]
-            near = others[(values[others] == values[row]).mean(axis=1) >= LIKELY] if len(others) else others
+            equal = values[others] == values[row]
+            near = others[(equal.mean(axis=1) >= LIKELY) & (equal.reshape(-1, VALUES // BAND, BAND).all(axis=2).argmax(axis=1) == band)] if len(others) else others
             a += [ids[row]] * len(near)
             b += list(ids[near])
         return pa.table([pa.array(a, rows.schema.field("id").type), pa.array(b, rows.schema.field("id").type)], ["a", "b"])
@@ -150,28 +160,46 @@ def likely_pairs(members: DataFrame) -> DataFrame:
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def banded(classes: DataFrame) -> DataFrame:
+    """The rows of `classes` once for each band of their signatures, with its key, and without the signature."""
+    keys = [F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sig", 1 + 4 * BAND * k, 4 * BAND), F.lit(k)).alias("key")) for k in range(VALUES // BAND)]
+    rest = [c for c in classes.columns if c != "sig"]
+    return classes.select(*rest, F.explode(F.array(*keys)).alias("_k")).select(*rest, "_k.band", "_k.key")
+
+
+def tries(keyed: DataFrame, centres: DataFrame, most: int) -> DataFrame:
+    """a, b: for every class, the `most` centres of other components that it shares most bands with."""
+    met = keyed.join(centres, "key").filter(F.col("comp") != F.col("centre_comp")).groupBy("id", "centre").agg(F.count("*").alias("times"))
+    # a class has no more centres than bands
+    best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("times")).alias("t"), F.xxhash64("id", "centre").alias("h"), "centre"))), 1, most).alias("best"))
+    return best.select(F.col("id").alias("a"), F.explode("best.centre").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text)."""
     every = cut(sketches(docs), "sketches")
-    classes = cut(every.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    bands = [F.xxhash64(F.substring("sig", 1 + 4 * BAND * k, 4 * BAND), F.lit(k)) for k in range(VALUES // BAND)]
-    keyed = classes.select("id", "n", F.explode(F.array(*bands)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).filter(F.col("members") > 1)
-    # of every class, the centre that it shares most bands with
-    met = keyed.join(shared, "key").filter(F.col("id") != F.col("centre")).groupBy("id", "centre").agg(F.count("*").alias("times"))
-    first = met.groupBy("id").agg(F.max(F.struct("times", (-F.col("centre")).alias("c"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.c")).alias("b"))
-    links = cut(verified(first, docs), "links")
-    comps = connected_components(links)
-
-    # buckets that still hold several components
+    classes = cut(every.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+    links, comps = None, None
+    for turn in range(1 + ROUNDS):
+        placed = classes.select("id", "sig", F.col("id").alias("comp")) if comps is None else classes.select("id", "sig").join(comps, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
+        keyed = banded(placed)
+        # the first centre of a bucket is its smallest id, which near buckets share; later ones are drawn by hash
+        order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        buckets = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "comp")).alias("c"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+        centres = buckets.filter(F.col("least") != F.col("most")).select("key", F.col("c.id").alias("centre"), F.col("c.comp").alias("centre_comp"))
+        new = cut(verified(tries(keyed, centres, 1 if turn == 0 else TRIES), docs), "links")
+        links = new if links is None else links.unionByName(new)
+        comps = connected_components(links)
+
+    # buckets that still hold several components: all their pairs across components
     placed = classes.join(comps, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-    keyed = placed.select("id", "comp", F.explode(F.array(*bands)).alias("key"))
+    keyed = banded(placed)
     mixed_up = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("_least"), F.max("comp").alias("_most")).filter(F.col("_least") != F.col("_most")).select("key", "members")
     open_rows = cut(keyed.join(mixed_up, "key"), "open")
     small = open_rows.filter(F.col("members") <= SMALL_BUCKET)
     pairs = small.alias("x").join(small.alias("y"), "key").filter((F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     large = open_rows.filter(F.col("members") > SMALL_BUCKET).join(classes.select("id", "sig"), "id")
-    rest = pairs.unionByName(likely_pairs(large)).distinct().join(links, ["a", "b"], "left_anti")
+    rest = pairs.unionByName(likely_pairs(large)).distinct()
     more = cut(verified(rest, docs), "links")
     comps = connected_components(links.unionByName(more))
 
