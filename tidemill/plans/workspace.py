@@ -265,7 +265,7 @@ def run_purge(ws: Workspace, *, dry_run: bool = True) -> dict[str, int]:
     if not dry_run and gone:
         ids = ws.spark.createDataFrame([(m["file_id"],) for m in gone], "id long").withColumn("_gone", F.lit(True))
         files = ws.catalog.read("files").join(ids, "id", "left")
-        ws.catalog.write("files", files.withColumn("status", F.when("_gone", "purged").otherwise(F.col("status"))))
+        ws.catalog.write("files", files.withColumn("status", F.when(F.col("_gone"), "purged").otherwise(F.col("status"))))
         op = uuid.uuid4().hex
         start = (ws.catalog.read("journal").agg(F.max("id")).first()[0] or 0) + 1
         rows = ws.spark.createDataFrame([(start + k, op, "purge", m["file_id"], "delete", m["rel_path"], m["size"]) for k, m in enumerate(gone)], "id long, op_id string, action string, file_id long, from_root string, from_rel string, size long")
