@@ -11,7 +11,8 @@ Elements whose meaning is known (menus, headers, footers, sidebars, notices, adv
 before the tree is built; where a page has an article or main element, only that counts.
 
 Statistics travel as (host, node, hash) rows that are summed before they are shuffled, so a host with a third of all pages
-costs one row per distinct triple and task; what joins back to the pages is a list of low nodes for each host.
+costs one row per distinct triple and task; what joins back to the pages is a list of low nodes for each host, broadcast
+if its counted size is small.
 
 Defined cases: null or empty html gives an empty text; a null url is the host ''; unclosed tags close with their parents, an unclosed
 tag bracket or script runs to the end of the page; repeated rows give repeated results; other columns are ignored.
@@ -29,12 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.text import texts_of
+from tidemill.session import cut
 
 LOW = 0.2
 MONOTONOUS = 0.5
 LEAST_PAGES = 10
 #: Share of a branch's own presentation importance in its importance.
 PRESENTATION = 0.1
+#: Nodes to remove up to which their table is broadcast; beyond, it is joined like any other.
+BROADCAST_NODES = 100_000
 #: Levels of nesting that the tree tells apart.
 DEPTH = 48
 
@@ -185,7 +189,8 @@ def site_nodes(pages: DataFrame) -> DataFrame:
     counts = seen.groupBy("host", "node", "content", "hash").agg(F.count("*").alias("n"))
     n, total = F.col("n"), F.sum("n")
     entropy = F.when(total > 1, (F.log(total) - F.sum(n * F.log(n)) / total) / F.log(total)).otherwise(1.0)
-    own = counts.groupBy("host", "node", "content").agg(total.alias("seen"), entropy.alias("entropy"))
+    # read three times below: written, so that pages are parsed once for it
+    own = cut(counts.groupBy("host", "node", "content").agg(total.alias("seen"), entropy.alias("entropy")), "nodes")
     # a node's branch: itself and all nodes above it
     labels = F.split("node", ">")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(">", F.slice(labels, F.lit(1), k)))
@@ -205,7 +210,10 @@ def low_nodes(nodes: DataFrame, *, low: float = LOW, least_pages: int = LEAST_PA
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of `pages` (page_id, url, html)."""
-    low = low_nodes(site_nodes(pages))
+    low = cut(low_nodes(site_nodes(pages)), "low")
+    # with few nodes to remove, pages stay where they are, and a host with a third of them is no task's own
+    few = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES
+    low = F.broadcast(low) if few else low
     own = pages.select("page_id", "url", host_of(F.col("url")).alias("_host"), F.col("html").cast("string").alias("html"))
     placed = own.join(low.withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "low")
     kind = {f.name: f.dataType.simpleString() for f in own.schema}
