@@ -98,3 +98,14 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     got = extract(spark, rows + same)
     assert all(got[i].text == f"{own[2 * i]} {own[2 * i + 1]}" for i in range(30))
     assert all(got[100 + i].text == "copied page" for i in range(30))
+
+
+def test_copies_of_a_page_are_no_frame(spark):
+    """The headlines of distinct pages stay beside a large group of copies; each copy stays whole."""
+    body = "<div class=story><h1>{}</h1>{}</div>"
+    rng = random.Random(2)
+    copy = body.format("copied head", "<p>copied text</p>")
+    own = [body.format(f"head {k}", "".join(f"<p>{rng.random()}</p>" for _ in range(20))) for k in range(60)]
+    got = extract(spark, [(i, "http://e.example/p", page(x), "") for i, x in enumerate([copy] * 300 + own)])
+    assert all(got[i].text == "copied head copied text" for i in range(300))
+    assert all(got[300 + k].text.startswith(f"head {k} ") for k in range(60))

@@ -3,15 +3,16 @@
 Pages of a host are merged into one tree whose nodes are block elements, named by tag and class and placed under their
 parents. A node's presentation importance is the entropy of the child sequences its pages give it, a leaf's content
 importance the entropy of the texts found there, both with the number of observations as the base: 0 if all pages agree,
-1 if all differ. A branch's importance is the mean of the content importances below it, weighted by observations, mixed with its
+1 if all differ. A text or child sequence counts once for each distinct page of the host that has it, so that copies of a page are one
+page; pages that agree in their longest blocks, up to `SAME` of their characters, are copies. A branch's importance is the mean of the content importances below it, weighted by observations, mixed with its
 own presentation importance. Branches below `LOW` on at least `LEAST_PAGES` observations leave every page of the host, unless the
 whole host is that monotonous (copies of one page), when the tree tells content and frame apart no longer.
 
 Elements whose meaning is known (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) go
 before the tree is built; where a page has an article or main element, only that counts.
 
-Statistics travel as (host, node, hash) rows that are summed before they are shuffled, so a host with a third of all pages
-costs one row per distinct triple and task; what joins back to the pages is a list of low nodes for each host, broadcast
+Statistics travel as (host, node, hash, page) rows that are made distinct before they are shuffled by all four, so a host with a third of all
+pages is no task's own; what joins back to the pages is a list of low nodes for each host, broadcast
 if its counted size is small.
 
 Defined cases: null or empty html gives an empty text; a null url is the host ''; unclosed tags close with their parents, an unclosed
@@ -35,6 +36,8 @@ from tidemill.session import cut
 LOW = 0.2
 MONOTONOUS = 0.5
 LEAST_PAGES = 10
+#: Share of a page's characters, longest blocks first, that tells it from other pages; what is shorter (a date, a counter) doesn't.
+SAME = 0.9
 #: Share of a branch's own presentation importance in its importance.
 PRESENTATION = 0.1
 #: Nodes to remove up to which their table is broadcast; beyond, it is joined like any other.
@@ -172,6 +175,18 @@ class Page:
             self.children.append((node, inside, " ".join(children)))
 
 
+def page_key(page: Page) -> int:
+    """A hash of the longest blocks of a page, the same for its copies."""
+    texts = sorted((text for _, _, text in page.blocks), key=lambda text: (-len(text), text))
+    wanted, reached, kept = SAME * sum(map(len, texts)), 0, xxhash.xxh64()
+    for text in texts:
+        if reached >= wanted:
+            break
+        kept.update(text + "\n")
+        reached += len(text)
+    return kept.intdigest() - (1 << 63)
+
+
 def site_nodes(pages: DataFrame) -> DataFrame:
     """host, node, importance, seen of every branch of every site's style tree, and `root`, the host's importance as a whole."""
 
@@ -180,13 +195,14 @@ def site_nodes(pages: DataFrame) -> DataFrame:
             rows = []
             for host, source in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 page = Page(source.decode("utf-8", "replace"))
-                rows += [(host, node, True, xxhash.xxh64_intdigest(text) - (1 << 63)) for node, _, text in page.blocks]
-                rows += [(host, node, False, xxhash.xxh64_intdigest(text) - (1 << 63)) for node, _, text in page.children]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.int64()), strict=True)], ["host", "node", "content", "hash"])
-
-    seen = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(observed, "host string, node string, content boolean, hash long")
-    counts = seen.groupBy("host", "node", "content", "hash").agg(F.count("*").alias("n"))
+                key = page_key(page)
+                rows += [(host, node, True, xxhash.xxh64_intdigest(text) - (1 << 63), key) for node, _, text in page.blocks]
+                rows += [(host, node, False, xxhash.xxh64_intdigest(text) - (1 << 63), key) for node, _, text in page.children]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["host", "node", "content", "hash", "page"])
+
+    seen = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(observed, "host string, node string, content boolean, hash long, page long")
+    counts = seen.groupBy("host", "node", "content", "hash").agg(F.count_distinct("page").alias("n"))
     n, total = F.col("n"), F.sum("n")
     entropy = F.when(total > 1, (F.log(total) - F.sum(n * F.log(n)) / total) / F.log(total)).otherwise(1.0)
     # read three times below: written, so that pages are parsed once for it
