@@ -109,3 +109,16 @@ def test_copies_of_a_page_are_no_frame(spark):
     got = extract(spark, [(i, "http://e.example/p", page(x), "") for i, x in enumerate([copy] * 300 + own)])
     assert all(got[i].text == "copied head copied text" for i in range(300))
     assert all(got[300 + k].text.startswith(f"head {k} ") for k in range(60))
+
+
+def test_frame_goes_where_it_prevails(spark):
+    """More frame blocks than own blocks, and a group of copies that differ in a counter, which stay whole."""
+    frame = "".join(f"<div class=part{c}>Frame number {c}</div>" for c in "abcd")
+    rng = random.Random(3)
+    own = [[f"story {rng.random()} {rng.random()}" for _ in range(3)] for _ in range(30)]
+    rows = [(i, "http://f.example/p", page(frame + "<div class=story>" + "".join(f"<p>{x}</p>" for x in own[i]) + "</div>"), "") for i in range(30)]
+    long = " ".join(["copied"] * 100)
+    rows += [(100 + i, "http://g.example/p", page(f"<div class=story><h1>head of it</h1><p>{long}</p></div><div class=count>{i} views</div>"), "") for i in range(30)]
+    got = extract(spark, rows)
+    assert all(got[i].text == " ".join(own[i]) for i in range(30))
+    assert all(got[100 + i].text == f"head of it {long} {i} views" for i in range(30))

@@ -1,19 +1,19 @@
 """HTML main text by a site style tree.
 
-Pages of a host are merged into one tree whose nodes are block elements, named by tag and class and placed under their
-parents. A node's presentation importance is the entropy of the child sequences its pages give it, a leaf's content
-importance the entropy of the texts found there, both with the number of observations as the base: 0 if all pages agree,
-1 if all differ. A text or child sequence counts once for each distinct page of the host that has it, so that copies of a page are one
-page; pages that agree in their longest blocks, up to `SAME` of their characters, are copies. A branch's importance is the mean of the content importances below it, weighted by observations, mixed with its
-own presentation importance. Branches below `LOW` on at least `LEAST_PAGES` observations leave every page of the host, unless the
-whole host is that monotonous (copies of one page), when the tree tells content and frame apart no longer.
+Pages of a host are merged into one tree whose nodes are block elements, named by tag and class and placed under their parents. A
+node's presentation importance is the entropy of the child sequences its pages give it, a leaf's content importance the entropy of
+the texts found there, both with the number of observations as the base: 0 if all pages agree, 1 if all differ. A text or child
+sequence counts once for each distinct page of the host that has it, so that copies of a page are one page; pages that agree in
+their longest blocks, up to `SAME` of their characters, are copies. A branch's importance is the mean of the content importances
+below it, weighted by observations, mixed with its own presentation importance. Branches below `LOW` on at least `LEAST_PAGES`
+observations leave every page of the host.
 
 Elements whose meaning is known (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) go
 before the tree is built; where a page has an article or main element, only that counts.
 
-Statistics travel as (host, node, hash, page) rows that are made distinct before they are shuffled by all four, so a host with a third of all
-pages is no task's own; what joins back to the pages is a list of low nodes for each host, broadcast
-if its counted size is small.
+Statistics travel as (host, node, hash, page) rows that are made distinct before they are shuffled by all four, so a host with a
+third of all pages is no task's own; what joins back to the pages is a list of low nodes for each host, broadcast if its counted
+size is small.
 
 Defined cases: null or empty html gives an empty text; a null url is the host ''; unclosed tags close with their parents, an unclosed
 tag bracket or script runs to the end of the page; repeated rows give repeated results; other columns are ignored.
@@ -34,7 +34,6 @@ from tidemill.llm.text import texts_of
 from tidemill.session import cut
 
 LOW = 0.2
-MONOTONOUS = 0.5
 LEAST_PAGES = 10
 #: Share of a page's characters, longest blocks first, that tells it from other pages; what is shorter (a date, a counter) doesn't.
 SAME = 0.9
@@ -188,7 +187,7 @@ def page_key(page: Page) -> int:
 
 
 def site_nodes(pages: DataFrame) -> DataFrame:
-    """host, node, importance, seen of every branch of every site's style tree, and `root`, the host's importance as a whole."""
+    """host, node, importance, seen of every branch of every site's style tree."""
 
     def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,13 +213,12 @@ def site_nodes(pages: DataFrame) -> DataFrame:
     content = content.groupBy("host", "node").agg((F.sum(F.col("seen") * F.col("entropy")) / F.sum("seen")).alias("content"), F.sum("seen").alias("seen"))
     shown = own.filter(~F.col("content")).select("host", "node", F.col("entropy").alias("shown"))
     importance = F.coalesce((1 - PRESENTATION) * F.col("content") + PRESENTATION * F.col("shown"), F.col("content"))
-    return content.join(shown, ["host", "node"], "left").select("host", "node", importance.alias("importance"), "seen", F.col("content").alias("text_importance"))
+    return content.join(shown, ["host", "node"], "left").select("host", "node", importance.alias("importance"), "seen")
 
 
-def low_nodes(nodes: DataFrame, *, low: float = LOW, least_pages: int = LEAST_PAGES, monotonous: float = MONOTONOUS) -> DataFrame:
+def low_nodes(nodes: DataFrame, *, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host, low: the nodes to remove from each host's pages."""
-    roots = nodes.filter(F.col("node") == "").select("host", F.col("text_importance").alias("root"))
-    found = nodes.filter((F.col("node") != "") & (F.col("importance") < low) & (F.col("seen") >= least_pages)).join(roots, "host").filter(F.col("root") >= monotonous)
+    found = nodes.filter((F.col("node") != "") & (F.col("importance") < low) & (F.col("seen") >= least_pages))
     return found.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low"))
 
 
