@@ -238,3 +238,31 @@ def test_moves_never_overwrite(tmp_path):
         (tmp_path / name).write_text(name)
     assert mover.move_file(str(tmp_path / "a.txt"), str(tmp_path / "b.txt"), dry_run=False)[0].endswith("b~2.txt")
     assert (tmp_path / "b.txt").read_text() == "b.txt" and (tmp_path / "b~2.txt").read_text() == "a.txt"
+
+
+def gray_png(pixels):
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_analysis_takes_every_file(spark, tmp_path, monkeypatch):
+    """More files than a call may move, in several batches; what is stored isn't read again."""
+    monkeypatch.setattr(W, "MOST_MOVES", 1)
+    monkeypatch.setattr(W, "PATHS", 2, raising=False)
+    (tmp_path / "src").mkdir()
+    shots = [gray_png(np.random.default_rng(k).integers(0, 255, (40, 40)).astype(np.uint8)) for k in range(3)]
+    for k in range(6):
+        (tmp_path / "src" / f"p{k}.png").write_bytes(shots[k // 2])
+    ws = W.open_workspace(spark, str(tmp_path / "src"), str(tmp_path / "review"), str(tmp_path / "delete"))
+    W.run_scan(ws)
+    W.run_analysis(ws)
+    first = sorted(ws.catalog.read("file_analysis").collect())
+    assert len(first) == 6 and all(r.full_hash and r.phash is not None for r in first) and len({r.full_hash for r in first}) == 3
+    for k in range(6):
+        (tmp_path / "src" / f"p{k}.png").unlink()
+    W.run_analysis(ws)
+    assert sorted(ws.catalog.read("file_analysis").collect()) == first
+    ws.close()

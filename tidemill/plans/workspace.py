@@ -5,6 +5,7 @@ Plans come from DataFrames; side effects, dry by default, are carried out on the
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 from dataclasses import dataclass
@@ -12,15 +13,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import hashing
 from tidemill.functions.config import ClassifyConfig
 from tidemill.functions.constants import CATEGORIES, MEDIA_KINDS
 from tidemill.operators import dedupe, journal, link, report, rules, snapshot
+from tidemill.session import cut
 from tidemill.sources import headers, images, mover, sinks, tree
 from tidemill.sources.catalog import Catalog, CatalogLock, utcnow
 
 CATALOG_DIR = "_tidemill_catalog"
 #: Moves that one apply or undo brings to the driver, which is where files are moved; a larger plan is applied in several runs.
 MOST_MOVES = 100_000
+#: Photo paths that the driver hands to the image source at once; every batch is worked through.
+PATHS = 20_000
 DECODED = ("jpg", "jpeg", "jpe", "png", "gif")
 
 
@@ -123,24 +128,27 @@ def wide(ws: Workspace) -> DataFrame:
 def run_analysis(ws: Workspace) -> None:
     """Digests along the duplicate funnel and pixel features of decodable photos, for files whose stored features are not valid."""
     files = ws.catalog.read("files").filter((F.col("root") == "source") & (F.col("status") == "present") & (F.col("item_id") == F.col("id")))
-    media = files.filter(F.col("kind").isin(*MEDIA_KINDS)).withColumn("path", full_path(ws))
-    sized = dedupe.repeated(media.filter("size > 0").select("id", "size", "mtime_ns", "path"), "size")
-    paths = [r["path"] for r in sized.select("path").limit(MOST_MOVES).collect()]
-    empty = ws.spark.createDataFrame([], "file_id long, size long, mtime_ns long, partial_hash string, full_hash string")
-    hashed = empty
-    if paths:
-        content = ws.spark.read.format("binaryFile").load([f"file://{p}" for p in paths]).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content")
-        found = dedupe.funnel(sized.join(content, "path"))
-        hashed = found.select(F.col("id").alias("file_id"), "size", "mtime_ns", "partial_hash", "full_hash")
-    photos = media.filter(F.col("ext").isin(*DECODED) & (F.col("size") > 0))
-    shots = [f"file://{r['path']}" for r in photos.select("path").limit(MOST_MOVES).collect()]
-    pixels = ws.spark.createDataFrame([], "file_id long, size long, mtime_ns long, phash long, sharpness double, brightness double, dark_p99 double, decode_error string")
-    if shots:
-        seen = images.image_features(ws.spark, shots)
-        pixels = photos.select(F.col("id").alias("file_id"), "size", "mtime_ns", "path").join(seen, "path").drop("path")
-    both = hashed.join(pixels, ["file_id", "size", "mtime_ns"], "full_outer")
+    media = files.filter(F.col("kind").isin(*MEDIA_KINDS) & (F.col("size") > 0)).withColumn("path", full_path(ws))
     features = ("partial_hash", "full_hash", "phash", "sharpness", "brightness", "dark_p99", "decode_error")
-    ws.catalog.write("file_analysis", snapshot.merge_features(ws.catalog.read("file_analysis"), both, features))
+    stored = ws.catalog.read("file_analysis").select(F.col("file_id").alias("id"), "size", "mtime_ns", *features)
+    known = media.select("id", "size", "mtime_ns", "path", "ext").join(stored, ["id", "size", "mtime_ns"], "left")
+    # executors read the files that the path table names, each in pieces; what is stored for the same version isn't read again
+    tasks = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = dedupe.repeated(known, "size").repartition(tasks, "id")
+    partial = hashing.partial_file_hash(F.when(F.col("partial_hash").isNull(), F.col("path")))
+    partly = cut(sized.withColumn("partial_hash", F.coalesce("partial_hash", partial)).filter(F.col("partial_hash").isNotNull()), "partial")
+    both = dedupe.repeated(partly, "size", "partial_hash").repartition(tasks, "id")
+    full = hashing.full_file_hash(F.when(F.col("full_hash").isNull(), F.col("path")))
+    wholly = cut(both.select("id", F.coalesce("full_hash", full).alias("_full")), "full")
+    hashed = partly.join(wholly, "id", "left").select(F.col("id").alias("file_id"), "size", "mtime_ns", "partial_hash", F.coalesce("_full", "full_hash").alias("full_hash"))
+    photos = known.filter(F.col("ext").isin(*DECODED) & F.col("phash").isNull() & F.col("decode_error").isNull()).select("id", "size", "mtime_ns", "path")
+    seen = ws.spark.createDataFrame([], "path string, phash long, sharpness double, brightness double, dark_p99 double, decode_error string")
+    # Spark's image source takes paths from the driver, so they come in batches until none is left
+    for batch in itertools.batched((f"file://{r['path']}" for r in photos.select("path").toLocalIterator()), PATHS):
+        seen = seen.unionByName(cut(images.image_features(ws.spark, list(batch)), "pixels"))
+    pixels = photos.select(F.col("id").alias("file_id"), "size", "mtime_ns", "path").join(seen, "path").drop("path")
+    found = hashed.join(pixels, ["file_id", "size", "mtime_ns"], "full_outer")
+    ws.catalog.write("file_analysis", snapshot.merge_features(ws.catalog.read("file_analysis"), found, features))
 
 
 def run_classify(ws: Workspace, cfg: ClassifyConfig | None = None, *, compute: bool = True) -> dict[str, int]:
