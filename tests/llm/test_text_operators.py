@@ -248,3 +248,13 @@ def test_language(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got.values())
     words = language.code(9)
     assert words.shape == (9, 36) and all((words[i] != words[j]).sum() >= 8 for i in range(9) for j in range(i))
+
+
+def test_short_lines_leave_the_pipeline(spark):
+    thai = "สงวนลิขสิทธิ์ตามกฎหมาย"
+    rows = [(i, f"Read more\nown line number {i}\n\n {thai}\nfew", f"site{i % 4 if i > 11 else i}") for i in range(14)]
+    rows = [(i, t if i < 3 else t.replace("\nfew", ""), s) for i, t, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in lines.without_boilerplate(docs).collect()}
+    assert got[0] == rows[0][1] and got[1] == "own line number 1\n\nfew" and got[5] == "own line number 5\n"
+    assert all(r.n_removed == 0 for r in lines.remove_boilerplate(docs).collect())

@@ -1,6 +1,7 @@
 """Cross-site boilerplate removal by distinct-site spread, in DataFrame functions only.
 
-A line is what stands between newlines, trimmed of `[\\x20\\x09-\\x0D]`; lines under `LEAST_WORDS` words are never boilerplate. One HyperLogLog
+A line is what stands between newlines, trimmed of `[\\x20\\x09-\\x0D]`; lines under `least_words` words are never boilerplate: `LEAST_WORDS` where
+the SQL of op6 says so, 1 in the pipeline, where spread alone decides on every line that isn't empty. One HyperLogLog
 sketch for each line hash collects the sites (sources) it was seen on; sketches merge in partial aggregation, so that a line on
 every page costs one sketch a task. A line whose estimate is at least `CLEAR` times `SITES` is boilerplate, one under
 `SITES / CLEAR` isn't, and those between get an exact distinct count. Of a boilerplate line one occurrence stays: the first in the
@@ -29,9 +30,9 @@ SKETCH_BITS = 10
 EDGES = " \t\n\x0b\x0c\r"
 
 
-def line_keys(text: Column) -> Column:
+def line_keys(text: Column, least_words: int = LEAST_WORDS) -> Column:
     """A hash for each line of a text, null for lines too short to be boilerplate."""
-    short = f"^(?:[^\\x20\\x09-\\x0D]+(?:[\\x20\\x09-\\x0D]+|$)){{0,{LEAST_WORDS - 1}}}$"
+    short = f"^(?:[^\\x20\\x09-\\x0D]+(?:[\\x20\\x09-\\x0D]+|$)){{0,{least_words - 1}}}$"
 
     def key(line: Column) -> Column:
         trimmed = F.trim(line, F.lit(EDGES))
@@ -40,12 +41,12 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), key)
 
 
-def spread_lines(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def spread_lines(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, sketch_bits: int = SKETCH_BITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """_id, _hash, gone: for each text that loses lines, their places from 0."""
     site = F.coalesce(F.col("source").cast("string"), F.lit("\0null"))
     text = F.col("text").cast("string")
     # what stands beside an explode is worked out for every row it makes, so all but column names comes before
-    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash"), site.alias("_site"), line_keys(text).alias("_keys"))
+    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash"), site.alias("_site"), line_keys(text, least_words).alias("_keys"))
     lines = keyed.select("_id", "_hash", "_site", F.posexplode("_keys").alias("_at", "_line")).filter(F.col("_line").isNotNull())
     sketches = lines.groupBy("_line").agg(F.hll_sketch_agg("_site", sketch_bits).alias("_sketch"))
     spread = sketches.select("_line", F.hll_sketch_estimate("_sketch").alias("_estimate")).filter(F.col("_estimate") >= sites / clear)
@@ -60,9 +61,9 @@ def spread_lines(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, s
     return own.groupBy("_id", "_hash").agg(F.flatten(F.collect_list(lost)).alias("gone"))
 
 
-def remove_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` with boilerplate lines out of text, and columns n_lines, n_removed."""
-    lost = spread_lines(docs, sites=sites, clear=clear)
+    lost = spread_lines(docs, sites=sites, clear=clear, least_words=least_words)
     text = F.col("text").cast("string")
     placed = docs.withColumn("_own", F.xxhash64(text)).join(lost, docs["doc_id"].eqNullSafe(lost["_id"]) & (F.col("_own") == lost["_hash"]), "left")
     # places and lines are columns of their own: inside a lambda they would be worked out again for every line
@@ -73,9 +74,9 @@ def remove_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CL
     return out.withColumn("text", F.when(F.col("_gone") > 0, kept).otherwise(text)).select(*docs.columns, "n_lines", "n_removed")
 
 
-def without_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR) -> DataFrame:
+def without_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, least_words: int = 1) -> DataFrame:
     """`docs` without boilerplate lines and without the rows of which nothing else was left; n_chars, if there, follows the text."""
-    cleaned = remove_boilerplate(docs, sites=sites, clear=clear).filter((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    cleaned = remove_boilerplate(docs, sites=sites, clear=clear, least_words=least_words).filter((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(docs.columns)
