@@ -258,3 +258,13 @@ def test_short_lines_leave_the_pipeline(spark):
     got = {r.doc_id: r.text for r in lines.without_boilerplate(docs).collect()}
     assert got[0] == rows[0][1] and got[1] == "own line number 1\n\nfew" and got[5] == "own line number 5\n"
     assert all(r.n_removed == 0 for r in lines.remove_boilerplate(docs).collect())
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_texts_of_one_id_are_documents(spark, kind):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 120) for _ in range(4))
+    rows = [(2, a), (7, a), (7, b), (7, b), (8, c), (8, d), (8, ""), (9, c + " end"), (5, b + " end"), (None, a)]
+    own = spark.createDataFrame([(i if kind == "long" or i is None else str(i), t) for i, t in rows], f"doc_id {kind}, text string")
+    got = sorted((int(r.doc_id or -1), r.text) for r in minhash.one_of_each(own).collect())
+    assert got == sorted([(2, a), (5, b + " end"), (8, c), (8, d), (8, ""), (-1, a)])

@@ -210,7 +210,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each group of near-duplicates: the one of smallest doc_id. Rows that repeat a doc_id are one."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    known = docs.join(kept.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """`docs` with one document of each group of near-duplicates: the one of smallest doc_id. Rows of equal doc_id and text are one.
+
+    A doc_id with several texts is several documents here: all but the text of smallest hash go under ids drawn from doc_id and text.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("_own", F.xxhash64(F.col("text").cast("string")))
+    sizes = named.groupBy("doc_id").agg(F.min("_own").alias("_least"), F.max("_own").alias("_most"))
+    several = cut(sizes.filter(F.col("_least") != F.col("_most")).select("doc_id", "_least"), "several")
+    count = several.count()
+    if not count:
+        kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+        known = docs.join(kept.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return known.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    placed = named.select("doc_id", "text", "_own").join(F.broadcast(several) if count <= BROADCAST_ROLES else several, "doc_id", "left")
+    kind = "string" if docs.schema["doc_id"].dataType.simpleString() == "string" else "long"
+    drawn = F.concat_ws("\0", "doc_id", F.hex("_own")) if kind == "string" else F.xxhash64("doc_id", "_own")
+    id = F.when(F.col("_own") != F.col("_least"), drawn).otherwise(F.col("doc_id").cast(kind))
+    placed = cut(placed.select(id.alias("_node"), "doc_id", "_own", "text"), "nodes")
+    groups = near_duplicates(placed.select(F.col("_node").alias("doc_id"), "text")).select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    members = placed.select("_node", "doc_id", "_own").distinct().join(groups, "_node")
+    kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_own")).alias("k")).select("k.doc_id", "k._own")
+    known = named.join(kept, ["doc_id", "_own"], "left_semi").dropDuplicates(["doc_id", "_own"])
     return known.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
