@@ -268,3 +268,10 @@ def test_texts_of_one_id_are_documents(spark, kind):
     own = spark.createDataFrame([(i if kind == "long" or i is None else str(i), t) for i, t in rows], f"doc_id {kind}, text string")
     got = sorted((int(r.doc_id or -1), r.text) for r in minhash.one_of_each(own).collect())
     assert got == sorted([(2, a), (5, b + " end"), (8, c), (8, d), (8, ""), (-1, a)])
+
+
+def test_rare_language_is_learned(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 20), "aa") for i in range(3000)] + [(5000 + i, " ".join(rng.choice(["zqx", "qzz", "xqy"]) for _ in range(20)), "zz") for i in range(12)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=60)
+    assert model.languages == ["aa", "zz"]

@@ -7,7 +7,9 @@ codeword wins. The score is the winner's share of exp(-distance); `ambiguous` ma
 than `AMBIGUOUS_GAP`.
 
 Up to `EXHAUSTIVE` languages use the exhaustive code of 2^(k-1) - 1 bits, more use seeded random columns. Learning uses a
-sample of about `TRAIN_ROWS` rows, chosen by hash; statistics and predictions cover every row.
+sample of about `TRAIN_ROWS` rows, chosen by hash, in which a language of less than its share for that has about `LEAST_ROWS` rows, or
+all if it has no more; so every language of the rows that may be learned from is learned, at any size of table. Statistics and
+predictions cover every row.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no rows to learn from every text is `und`, with one
 language every lettered text is that one with score 1; rows with null lang teach nothing; a null doc_id is never held out; ties
@@ -30,6 +32,8 @@ from tidemill.llm.toxicity import held_out
 
 SLOTS = 4096
 TRAIN_ROWS = 6000
+#: Rows that a language rare in the table has in the sample.
+LEAST_ROWS = 50
 EXHAUSTIVE = 6
 RANDOM_BITS_PER_LANGUAGE = 4
 AMBIGUOUS_GAP = 0.5
@@ -115,7 +119,9 @@ def learn(profiles: np.ndarray, marks: list[str], *, steps: int = STEPS) -> Mode
 def fit(docs: DataFrame, *, train_rows: int = TRAIN_ROWS) -> Model:
     """Learns from lang and text of rows that are not held out."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = min(1.0, train_rows / max(1, own.count()))
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    share = min(1.0, train_rows / max(1, sum(sizes.values())))
+    limits = own.sparkSession.createDataFrame([(x, int(min(1.0, max(share, LEAST_ROWS / n)) * (1 << 30))) for x, n in sizes.items()], "lang string, _limit long")
     order = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +129,7 @@ def fit(docs: DataFrame, *, train_rows: int = TRAIN_ROWS) -> Model:
             rows = [profile(x).tobytes() for x in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["_order", "lang", "profile"])
 
-    sample = own.withColumn("_order", order).filter(F.col("_order") < int(share * (1 << 30))).select("_order", "lang", "text")
+    sample = own.join(F.broadcast(limits), "lang").withColumn("_order", order).filter(F.col("_order") < F.col("_limit")).select("_order", "lang", "text")
     found = sample.mapInArrow(profiled, "_order long, lang string, profile binary").toArrow().sort_by([("_order", "ascending"), ("lang", "ascending")])
     rows = found.column("profile").to_pylist()
     profiles = np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), SLOTS)
