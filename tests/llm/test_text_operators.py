@@ -270,6 +270,14 @@ def test_texts_of_one_id_are_documents(spark, kind):
     assert got == sorted([(2, a), (5, b + " end"), (8, c), (8, d), (8, ""), (-1, a)])
 
 
+def test_repeats_of_rows_without_id(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 250)
+    texts = [(i, f"{prose(rng, 80)} {passage} {prose(rng, 80)}") for i in (None, 1, 2)]
+    got = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(got[i].n_spans == 1 and got[i].n_removed >= len(passage) for i, _ in texts)
+
+
 def test_rare_language_is_learned(spark):
     rng = random.Random(14)
     rows = [(i, prose(rng, 20), "aa") for i in range(3000)] + [(5000 + i, " ".join(rng.choice(["zqx", "qzz", "xqy"]) for _ in range(20)), "zz") for i in range(12)]

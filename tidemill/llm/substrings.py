@@ -206,9 +206,12 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every row of `docs` (doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").alias("id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
-    found = repeated_windows(own, length=length).withColumnsRenamed({"id": "_id", "hash": "_hash"})
-    placed = own.join(found, own["id"].eqNullSafe(found["_id"]) & (own["hash"] == found["_hash"]), "left").select("id", "text", "windows")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # id and hash only tell texts apart, so a null doc_id may go under any id: one that meets it with the same hash has the same text
+    id = F.coalesce("doc_id", F.lit(0).cast(kind))
+    own = docs.select("doc_id", id.alias("id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
+    found = repeated_windows(own.select("id", "hash", "text"), length=length).withColumnsRenamed({"id": "_id", "hash": "_hash"})
+    placed = own.join(found, (own["id"] == found["_id"]) & (own["hash"] == found["_hash"]), "left").select("doc_id", "text", "windows")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text]
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,5 +236,4 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = F
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     return placed.mapInArrow(removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
