@@ -122,3 +122,15 @@ def test_frame_goes_where_it_prevails(spark):
     got = extract(spark, rows)
     assert all(got[i].text == " ".join(own[i]) for i in range(30))
     assert all(got[100 + i].text == f"head of it {long} {i} views" for i in range(30))
+
+
+def test_repeated_rows_take_one_place(spark):
+    """Ids with several rows, equal ones and others, fill one of the k places each."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 0.0, 0.0])]
+    for i in range(1, 60):
+        x = [1.0 - i / 100, *rng.normal(size=2).tolist()]
+        rows += [(i, x)] * 3 + ([(i, [v - 1e-4 * n for v in x]) for n in range(1, 30)] if i < 5 else [])
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest.neighbours(frame, F.col("id") == 0, k=20, tables=4, probes=16, index_block=10_000).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(1, 21))

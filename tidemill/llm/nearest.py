@@ -6,11 +6,11 @@ signed axis. Every vector is in one bucket of each table; a query probes the axe
 ranked by the exact inner product of the original vectors.
 
 Buckets of any size are dealt in blocks: an index block has about `INDEX_BLOCK` rows and a query block about `QUERY_BLOCK`, by
-hash, so a bucket with a third of all rows is many blocks, none of them larger. A block keeps each query's `k` best, and the
+hash, so a bucket with a third of all rows is many blocks, none of them larger. A block keeps each query's `k` best ids, and the
 best of the blocks meet by query. Bucket sizes come from a partial aggregation; that table has at most
 `TABLES` x 2 x padded dimension rows, which is why it may be broadcast.
 
-Queries that found fewer than `k` although there are more rows go through the same blocks once more with every axis of one table.
+Queries that found fewer than `k` although there are more ids go through the same blocks once more with every axis of one table.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null vec_ids and vectors
 whose length isn't the most common one (of equally common ones, the longest); a query's own vec_id isn't its neighbour, also where
@@ -121,19 +121,26 @@ def placed(rows: DataFrame, turn: Rotations, probes: int, tables: int, query: bo
 
 
 def best_of(queries: tuple[np.ndarray, np.ndarray], index: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, index row, exact score) of each query's `k` best in a block, own ids left out. Index rows are in the order of ids."""
+    """(query row, index row, exact score) of each query's `k` best ids in a block, own ids left out. Index rows are in the order of ids."""
     (q_ids, q), (i_ids, x) = queries, index
     scores = q @ x.T
     scores[q_ids[:, None] == i_ids[None, :]] = -np.inf
-    if len(i_ids) > k:
-        least = np.partition(scores, len(i_ids) - k, axis=1)[:, len(i_ids) - k][:, None]
-        above = scores > least + TIE
-        # of the rows that tie for the last places, the smallest ids
-        tied = ~above & (scores >= least - TIE)
+    first = np.flatnonzero(np.concatenate([[True], i_ids[1:] != i_ids[:-1]]))
+    # an id has one place, that of its best row
+    best = scores if len(first) == len(i_ids) else np.maximum.reduceat(scores, first, axis=1)
+    if len(first) > k:
+        least = np.partition(best, len(first) - k, axis=1)[:, len(first) - k][:, None]
+        above = best > least + TIE
+        # of the ids that tie for the last places, the smallest
+        tied = ~above & (best >= least - TIE)
         chosen = above | (tied & (np.cumsum(tied, axis=1) <= k))
     else:
-        chosen = np.ones(scores.shape, bool)
-    a, b = np.nonzero(chosen & (scores > -np.inf))
+        chosen = np.ones(best.shape, bool)
+    chosen &= best > -np.inf
+    if len(first) < len(i_ids):
+        owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(i_ids))))
+        chosen = chosen[:, owner] & (scores >= best[:, owner] - TIE)
+    a, b = np.nonzero(chosen)
     return a, b, np.sum(q[a] * x[b], axis=1)
 
 
@@ -179,14 +186,16 @@ def top(found: DataFrame, k: int) -> DataFrame:
 def neighbours(vectors: DataFrame, query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` rows of largest inner product found for every row that `query` (a condition on `id`) names."""
     every = usable(vectors, id_col, vector_col)
-    lengths = every.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("square"))
+    lengths = every.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("square"))
     facts = lengths.orderBy(F.col("n").desc(), F.col("dims").desc()).limit(1).collect()
-    dims, count, square = (facts[0]["dims"], facts[0]["n"], facts[0]["square"]) if facts else (1, 0, 1.0)
+    dims, rows, ids, square = (facts[0]["dims"], facts[0]["n"], facts[0]["ids"], facts[0]["square"]) if facts else (1, 0, 0, 1.0)
     every = every.filter(F.size("v") == dims)
+    if ids < rows:  # a row that says the same again finds nothing new
+        every = cut(every.distinct(), "vectors")
     turn = Rotations(dims, float(np.sqrt(square)) or 1.0, tables=tables)
     asking = every.filter(query)
     found = cut(top(search(asking, every, turn, probes=probes, tables=tables, k=k, index_block=index_block, query_block=query_block), k), "nearest")
-    wanted = min(k, count - 1)
+    wanted = min(k, ids - 1)
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= wanted)
     short = cut(asking.join(full, asking["id"] == full["query_id"], "left_anti"), "short")
     if short.limit(1).count():
