@@ -18,12 +18,12 @@ between codewords go to the language first by code point; other columns are igno
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ AMBIGUOUS_GAP = 0.5
 STEPS = 150
 UNDETERMINED = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of a text that are turned into slots at once.
 BLOCK = 1 << 18

@@ -61,22 +61,33 @@ def spread_lines(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, s
     return own.groupBy("_id", "_hash").agg(F.flatten(F.collect_list(lost)).alias("gone"))
 
 
-def remove_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, least_words: int = LEAST_WORDS) -> DataFrame:
-    """`docs` with boilerplate lines out of text, and columns n_lines, n_removed."""
+def cleaned(docs: DataFrame, *, sites: int, clear: float, least_words: int) -> DataFrame:
+    """_row (the columns of `docs` as they are), _text, _n_lines, _n_removed of every row; no column of `docs` stands beside them."""
     lost = spread_lines(docs, sites=sites, clear=clear, least_words=least_words)
-    text = F.col("text").cast("string")
-    placed = docs.withColumn("_own", F.xxhash64(text)).join(lost, docs["doc_id"].eqNullSafe(lost["_id"]) & (F.col("_own") == lost["_hash"]), "left")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    text = F.col("_row.text").cast("string")
+    rows = rows.withColumn("_own", F.xxhash64(text))
+    placed = rows.join(lost, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     # places and lines are columns of their own: inside a lambda they would be worked out again for every line
-    placed = placed.withColumn("_lines", F.split(text, "\n")).withColumn("_gone", F.size(F.coalesce("gone", F.array().cast("array<int>"))))
+    placed = placed.withColumn("_lines", F.split(text, "\n")).withColumn("_n_removed", F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long"))
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
     kept = F.array_join(F.transform(places, lambda k: F.get("_lines", k)), "\n")
-    out = placed.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long")).withColumn("n_removed", F.col("_gone").cast("long"))
-    return out.withColumn("text", F.when(F.col("_gone") > 0, kept).otherwise(text)).select(*docs.columns, "n_lines", "n_removed")
+    lines = F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    return placed.select("_row", F.when(F.col("_n_removed") > 0, kept).otherwise(text).alias("_text"), lines.alias("_n_lines"), "_n_removed")
+
+
+def remove_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, least_words: int = LEAST_WORDS) -> DataFrame:
+    """`docs` with boilerplate lines out of text, and columns n_lines, n_removed, which replace columns of these names."""
+    out = cleaned(docs, sites=sites, clear=clear, least_words=least_words)
+    own = [F.col("_text" if c == "text" else f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return out.select(*own, F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
 def without_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, least_words: int = 1) -> DataFrame:
     """`docs` without boilerplate lines and without the rows of which nothing else was left; n_chars, if there, follows the text."""
-    cleaned = remove_boilerplate(docs, sites=sites, clear=clear, least_words=least_words).filter((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    out = cleaned(docs, sites=sites, clear=clear, least_words=least_words).filter((F.col("_n_removed") == 0) | F.col("_text").rlike("[^\\x20\\x09-\\x0D]"))
+    changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(docs.columns)
+        # a row that lost nothing keeps what it had
+        changed["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return out.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemill.llm.text import MIX, WordHashes, mixed, texts_of
+from tidemill.llm.text import MIX, WordHashes, free_name, mixed, texts_of
 
 SLOTS = 1 << 20
 TRAIN_ROWS = 16_000
@@ -110,8 +110,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.binary())], ["_order", "_toxic", "slots"])
 
     found = sample.select("_order", "_toxic", "text").mapInArrow(featured, "_order long, _toxic int, slots binary").toArrow()
-    rows = sorted(zip(found.column(0).to_pylist(), found.column(2).to_pylist(), found.column(1).to_pylist(), strict=True))
-    return ftrl([(np.frombuffer(s, np.int32), int(bool(y))) for _, s, y in rows])
+    found = found.sort_by([("_order", "ascending"), ("slots", "ascending"), ("_toxic", "ascending")])
+    labels_of = [int(bool(y)) for y in found.column("_toxic").to_pylist()]
+    slots_of = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")]
+    model = ftrl(list(zip(slots_of, labels_of, strict=True)))
+    # the driver goes on to other work: what the sample took goes back
+    del found, slots_of
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -131,8 +137,8 @@ def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFram
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, toxic_at: float = TOXIC_AT) -> DataFrame:
     """The rows of `docs` that score under `toxic_at`, with the columns of `docs`."""
-    plain = docs.withColumn("text", F.col("text").cast("string"))
-    return with_score(plain, fit(docs, labels, train_rows=train_rows), "_toxicity").filter(F.col("_toxicity") < toxic_at).drop("_toxicity")
+    plain, column = docs.withColumn("text", F.col("text").cast("string")), free_name(docs.columns, "_toxicity")
+    return with_score(plain, fit(docs, labels, train_rows=train_rows), column).filter(F.col(column) < toxic_at).drop(column)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, toxic_at: float = TOXIC_AT) -> DataFrame:
