@@ -106,7 +106,6 @@ def test_near_duplicates(docs, texts):
 
 def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     """Chains whose ends are unlike each other, with every bucket dealt in small blocks."""
-    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
     monkeypatch.setattr(minhash, "BLOCK", 5)
     monkeypatch.setattr(minhash, "CHUNK", 3)
     rng = random.Random(8)
@@ -283,3 +282,29 @@ def test_rare_language_is_learned(spark):
     rows = [(i, prose(rng, 20), "aa") for i in range(3000)] + [(5000 + i, " ".join(rng.choice(["zqx", "qzz", "xqy"]) for _ in range(20)), "zz") for i in range(12)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=60)
     assert model.languages == ["aa", "zz"]
+
+
+def test_a_large_group_of_half_alike_texts(spark, monkeypatch):
+    """Variants of one text, most of which are alike to the text and to few other variants: components as by brute force."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(21)
+    words = prose(rng, 220).split()
+    texts = []
+    for k in range(150):
+        own = list(words)
+        for _ in range(rng.randrange(3, 14)):
+            own[rng.randrange(220)] = f"new{k}x{rng.randrange(3)}"
+        texts.append(" ".join(own))
+    rng.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
+    want = components({i: shingles(t) for i, t in enumerate(texts)})
+    assert got == want and 3 < len(set(want.values())) < 140
+
+
+def test_intersections_and_joined():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(20)]
+    left, right = np.arange(8), np.arange(5, 20)
+    same = minhash.intersections(sets, left, right)
+    assert all(same[i, j] == len(np.intersect1d(sets[x], sets[y])) for i, x in enumerate(left) for j, y in enumerate(right))
+    assert minhash.joined(np.array([0, 0, 1, 2, 3, 4]), np.array([1, 3, 2]), np.array([2, 4, 4])).tolist() == [0, 0, 0, 0, 4]

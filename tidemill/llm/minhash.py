@@ -2,17 +2,18 @@
 
 A document's set holds the distinct shingles of five words; a permutation gives two values of its signature, the minimum and the maximum
 over the set, so that a signature of `VALUES` values takes half as many hash evaluations. Bands of `BAND` values key the
-buckets in which candidates meet.
+buckets in which candidates meet. Documents of equal sets are one class, a node with a number of its own.
 
-Documents of equal sets are one class from the start. In every bucket, the member of smallest id is the centre; each class is compared
-first with the centre that it shares most bands with. Afterwards only buckets that still hold several components matter. In a few
-rounds they get other centres by hash, which joins groups whose members are similar to some but not all others. Then their pairs across
-components, in blocks, are compared by signature, each in the first band it shares, and those that may be similar enough on their full
-sets; so no pair across components that shares a band goes unseen. A link
-is confirmed on the full sets of 64-bit shingle hashes, computed from whole texts: 100 * intersection >= 75 * union.
+A bucket is open while its members belong to several components. First come `ROUNDS` star rounds: every open bucket names a centre, and
+each class is compared with the centres that it shares most bands with. That joins nearly all that belongs together, at a few
+comparisons a class, however large a bucket is. Then every pair of classes that still meets in an open bucket without being in one component is
+compared, by one rule for buckets of any size. A class has a home, the largest open bucket that it is in, whose classes are dealt in blocks of
+`BLOCK`; two blocks meet in one task if they share an open bucket, each class coming at most once to it, and the task
+counts the intersections of all pairs at once as a product of incidence matrices. What leaves it is one link for each component that it joins,
+never a row for a pair. So no pair across components that shares a band goes unseen, and nothing is limited to a number of partners.
 
-Nothing is limited to the number of partners: a bucket of any size is dealt in blocks of `BLOCK` members, and the members of a centre in
-chunks of `CHUNK` texts. Links and components stay distributed.
+All decisions are made on the full sets of 64-bit shingle hashes, computed from whole texts: 100 * intersection >= 75 * union.
+Links and components stay distributed; intermediate tables are deleted as soon as the next one is written.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; with fewer than five words, the whole sequence is
 one shingle; rows that repeat a doc_id are one node with the links of each of its texts; a null doc_id is its own component
@@ -31,26 +32,27 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.text import MIX, WordHashes, mixed, texts_of
 from tidemill.operators.components import connected_components
-from tidemill.session import cut
+from tidemill.session import cut, release
 
 SHINGLE = 5
 VALUES = 128
 BAND = 4
 SIMILAR = 75
 SEED = 5
-#: Members of a bucket up to which pairs across components are listed by a join; larger buckets are compared in blocks.
-SMALL_BUCKET = 16
-BLOCK = 1024
+#: Classes of one home that come to a task together, and the shingles they may have in sum unless one alone has more.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
+#: Members of a centre whose texts come to a task one after the other.
 CHUNK = 128
-#: Share of equal signature values from which a pair is compared on its full sets: four standard errors under the limit.
-LIKELY = 0.60
-#: Rounds in which every bucket that still holds several components gets another centre, and the centres a class is compared with in each.
+#: Star rounds, and the centres that a class is compared with in each after the first.
 ROUNDS = 2
-TRIES = 6
+TRIES = 3
 #: Rows of a table of ids up to which it is broadcast to the texts; beyond, texts are shuffled.
 BROADCAST_ROLES = 250_000
 #: Shingles that are permuted at once.
 STRIP = 8192
+#: Shared shingles that are multiplied at once.
+COLUMNS = 4096
 
 _RNG = np.random.default_rng(SEED)
 FACTORS = (_RNG.integers(0, 1 << 31, VALUES // 2) * 2 + 1).astype(np.uint32)[:, None]
@@ -79,156 +81,247 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.stack([low, high], axis=1).reshape(-1)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of a signature; bands have keys of their own."""
+    values = sig.reshape(-1, BAND).astype(np.uint64)
+    out = np.arange(1, len(values) + 1, dtype=np.uint64)
+    for k in range(BAND):
+        out = mixed(out * MIX + values[:, k])
+    return out.view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and signature of every row; the last two are null for empty sets."""
+    """doc_id, hash of the text, n_shingles, digest of the set and band keys of every row; for empty sets no digest and no keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            sizes, digests, signatures = [], [], []
-            for text in texts_of(batch.column(1)):
+            sizes, digests, keys = [], [], []
+            for text in texts_of(batch.column(2)):
                 own = shingle_set(text, words)
                 sizes.append(len(own))
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                signatures.append(signature(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+                keys.append(band_keys(signature(own)) if len(own) else np.zeros(0, np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "hash", "n_shingles", "digest", "keys"])
+
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(sketched, f"doc_id {kind}, hash long, n_shingles long, digest binary, keys array<long>")
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(sketched, f"doc_id {kind}, n_shingles long, digest binary, sig binary")
 
+def classes_of(every: DataFrame) -> DataFrame:
+    """digest, node, doc_id and hash of one row, n_shingles, keys of every class of equal sets."""
+    known = every.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    one = known.groupBy("digest").agg(F.min(F.struct("doc_id", "hash")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    # written at once: a number given by partition and place stays what it was
+    return cut(one.select("digest", F.monotonically_increasing_id().alias("node"), "r.doc_id", "r.hash", "n_shingles", "keys"), "classes")
+
+
+def with_texts(roles: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """`roles` (node and other columns) with the text of each node; the rows are counted, and broadcast where they are few."""
+    named = cut(roles.join(classes.select("node", F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")), "node"), "roles")
+    sent = F.broadcast(named) if named.count() <= BROADCAST_ROLES else named
+    text = F.col("text").cast("string")
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_own"))
+    return texts.join(sent, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_hash"))).select(*roles.columns, "text")
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose full sets are similar enough. b is the centre whose text serves all its members."""
     chunks = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    members = pairs.join(chunks, "b").select(F.col("a").alias("id"), F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"), F.lit(1).alias("member"))
-    centres = chunks.select(F.col("b").alias("id"), F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("member"))
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    named = cut(members.unionByName(centres), "roles")
-    sent = F.broadcast(named) if named.count() <= BROADCAST_ROLES else named
-    roles = texts.join(sent, "id").select("centre", "chunk", "member", "id", "text")
+    members = pairs.join(chunks, "b").select(F.col("a").alias("node"), F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"), F.lit(1).alias("member"))
+    centres = chunks.select(F.col("b").alias("node"), F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("member"))
+    roles = with_texts(members.unionByName(centres), classes, docs).select("centre", "chunk", "member", "node", "text")
     # a centre comes before its members, so that a task holds one centre's set at a time
     dealt = roles.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "member")
-    kind = pairs.schema["a"].dataType.simpleString()
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, key, sets = WordHashes(), None, []
+        words, key, middle = WordHashes(), None, None
         for batch in batches:
             out = []
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), texts_of(batch.column(4)), strict=True)
-            for centre, chunk, member, id, text in rows:
-                own = shingle_set(text, words)
+            rows = zip(*[batch.column(k).to_pylist() for k in range(4)], texts_of(batch.column(4)), strict=True)
+            for centre, chunk, member, node, text in rows:
                 if (centre, chunk) != key:
-                    key, sets = (centre, chunk), []
+                    key, middle = (centre, chunk), None
                 if not member:
-                    sets.append(own)
+                    middle = shingle_set(text, words)
                     continue
-                for other in sets:
-                    if 100 * min(len(own), len(other)) >= SIMILAR * max(len(own), len(other)):
-                        same = len(np.intersect1d(own, other, assume_unique=True))
-                        if same and 100 * same >= SIMILAR * (len(own) + len(other) - same):
-                            out.append((id, centre))
-                            break
-            ids, centres = zip(*out, strict=True) if out else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(3).type), pa.array(centres, batch.column(0).type)], ["a", "b"])
-
-    return dealt.mapInArrow(compared, f"a {kind}, b {kind}")
-
-
-def likely_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components of large buckets whose signatures agree enough. `members`: key, band, id, comp, sig, members."""
-    blocks = F.ceil(F.col("members") / BLOCK)
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "comp", "sig")
-    kind = members.schema["id"].dataType.simpleString()
+                own = shingle_set(text, words)
+                if 100 * min(len(own), len(middle)) >= SIMILAR * max(len(own), len(middle)):
+                    same = len(np.intersect1d(own, middle, assume_unique=True))
+                    if 100 * same >= SIMILAR * (len(own) + len(middle) - same):
+                        out.append((node, centre))
+            nodes, middles = zip(*out, strict=True) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(middles, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(compared, "a long, b long")
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets of `left` with all of `right`, as a product of incidence matrices over what sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    met = shared[column]
+    owner, column = owner[met], (np.cumsum(shared) - 1)[column[met]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        strip = np.zeros((len(sets), COLUMNS), np.float32)
+        strip[owner[a:b], column[a:b] - at] = 1
+        out += strip[left] @ strip[right].T
+    return out
+
+
+def joined(comps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of `comps`, numbered from 0, the least that the links between rows `a` and `b` join it with."""
+    label, x, y = np.arange(comps.max() + 1), comps[a], comps[b]
+    while True:
+        least, new = np.minimum(label[x], label[y]), label.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def across(open_rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links a, b that join all components with similar classes in one open bucket. `open_rows`: key, node, comp."""
+    sizes = open_rows.groupBy("key").agg(F.count("*").alias("n"))
+    home = open_rows.join(sizes, "key").groupBy("node", "comp").agg(F.max(F.struct("n", "key")).alias("home")).select("node", "comp", F.col("home.key").alias("home"))
+    home = home.join(classes.select("node", "n_shingles"), "node")
+    blocks = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = home.join(blocks, "home").select("node", "comp", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    here = cut(open_rows.select("key", "node").join(placed, "node"), "placed")
+    met = here.groupBy("key").agg(F.collect_set("block").alias("blocks"))
+    others = here.join(met, "key").groupBy("node", "comp", "block").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("others"))
+    roles = others.select("node", "comp", "block", F.explode("others").alias("other"))
+    roles = roles.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
 
     def compared(rows: pa.Table) -> pa.Table:
-        ids, comps, own = (rows.column(c).to_numpy() for c in ("id", "comp", "own"))
-        i, j, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
-        values = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for row in left:
-            others = right[(comps[right] != comps[row]) & ((ids[right] > ids[row]) if i == j else True)]
-            equal = values[others] == values[row]
-            near = others[(equal.mean(axis=1) >= LIKELY) & (equal.reshape(-1, VALUES // BAND, BAND).all(axis=2).argmax(axis=1) == band)] if len(others) else others
-            a += [ids[row]] * len(near)
-            b += list(ids[near])
-        return pa.table([pa.array(a, rows.schema.field("id").type), pa.array(b, rows.schema.field("id").type)], ["a", "b"])
-
-    found = dealt.groupBy("key", "i", "j").applyInArrow(compared, f"a {kind}, b {kind}")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def banded(classes: DataFrame) -> DataFrame:
-    """The rows of `classes` once for each band of their signatures, with its key, and without the signature."""
-    keys = [F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sig", 1 + 4 * BAND * k, 4 * BAND), F.lit(k)).alias("key")) for k in range(VALUES // BAND)]
-    rest = [c for c in classes.columns if c != "sig"]
-    return classes.select(*rest, F.explode(F.array(*keys)).alias("_k")).select(*rest, "_k.band", "_k.key")
-
-
-def tries(keyed: DataFrame, centres: DataFrame, most: int) -> DataFrame:
+        nodes, first = np.unique(rows.column("node").to_numpy(), return_index=True)
+        comps, names = rows.column("comp").to_numpy()[first], ["a", "b"]
+        number = np.unique(comps, return_inverse=True)[1]
+        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], names)
+        if number.max() == 0:
+            return none
+        blocks, words = rows.column("block").to_numpy()[first], WordHashes()
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+        texts = rows.column("text").take(pa.array(first)).combine_chunks()
+        sets = [shingle_set(text, words) for text in texts_of(texts)]
+        size = np.array([len(s) for s in sets], np.float64)
+        same = intersections(sets, left, right).astype(np.float64)
+        near = 100 * same >= SIMILAR * (size[left][:, None] + size[right][None, :] - same)
+        a, b = np.nonzero(near & (number[left][:, None] != number[right][None, :]))
+        label = joined(number, left[a], right[b])
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        some = np.zeros(len(label), np.int64)
+        some[number] = nodes  # any node of a component stands for it
+        return pa.table([pa.array(some[moved]), pa.array(some[label[moved]])], names)
+
+    dealt = with_texts(roles, classes, docs)
+    links = cut(dealt.groupBy("i", "j").applyInArrow(compared, "a long, b long"), "links")
+    release(here)
+    return links
+
+
+def centres_of(rows: DataFrame, turn: int) -> DataFrame:
+    """key, centre, centre_comp of every open bucket of `rows` (key, node, comp)."""
+    least, most = F.min("comp").alias("least"), F.max("comp").alias("most")
+    if turn == 0:  # every node is its own component
+        found = rows.groupBy("key").agg(least, most).withColumn("c", F.struct(F.col("least").alias("node"), F.col("least").alias("comp")))
+    else:
+        found = rows.groupBy("key").agg(least, most, F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "comp")).alias("c"))
+    return found.filter(F.col("least") != F.col("most")).select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
+
+
+def tries(rows: DataFrame, most: int) -> DataFrame:
     """a, b: for every class, the `most` centres of other components that it shares most bands with."""
-    met = keyed.join(centres, "key").filter(F.col("comp") != F.col("centre_comp")).groupBy("id", "centre").agg(F.count("*").alias("times"))
+    met = rows.filter(F.col("comp") != F.col("centre_comp")).groupBy("node", "centre").agg(F.count("*").alias("times"))
     # a class has no more centres than bands
-    best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("times")).alias("t"), F.xxhash64("id", "centre").alias("h"), "centre"))), 1, most).alias("best"))
-    return best.select(F.col("id").alias("a"), F.explode("best.centre").alias("b"))
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("times")).alias("t"), F.xxhash64("node", "centre").alias("h"), "centre"))), 1, most).alias("best"))
+    return best.select(F.col("node").alias("a"), F.explode("best.centre").alias("b"))
+
+
+def class_components(classes: DataFrame, docs: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """node, component of every class that is linked with another, `links` (a, b) that are known included."""
+    written = []
+    known = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if links is None else links
+    rows, comps = classes.select("node", F.explode("keys").alias("key"), F.col("node").alias("comp")), None
+    for turn in range(ROUNDS + 1):
+        before, rows = rows, cut(rows.join(centres_of(rows, turn), "key").select("key", "node", "comp", "centre", "centre_comp"), "open")
+        release(before)
+        if not rows.limit(1).count():
+            break
+        if turn < ROUNDS:
+            pairs = cut(tries(rows, 1 if turn == 0 else TRIES), "pairs")
+            written.append(cut(verified(pairs, classes, docs), "links"))
+            release(pairs)
+        else:
+            written.append(across(rows.select("key", "node", "comp"), classes, docs))
+        known = known.unionByName(written[-1])
+        comps = cut(connected_components(known).select(F.col("id").alias("node"), "component"), "comps")
+        if turn < ROUNDS:
+            placed = rows.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+            before, rows = rows, cut(placed, "placed")
+            release(before)
+    release(rows)
+    if comps is None:
+        comps = cut(connected_components(known).select(F.col("id").alias("node"), "component"), "comps")
+    for table in written:
+        release(table)
+    return comps
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text)."""
     every = cut(sketches(docs), "sketches")
-    classes = cut(every.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    links, comps = None, None
-    for turn in range(1 + ROUNDS):
-        placed = classes.select("id", "sig", F.col("id").alias("comp")) if comps is None else classes.select("id", "sig").join(comps, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-        keyed = banded(placed)
-        # the first centre of a bucket is its smallest id, which near buckets share; later ones are drawn by hash
-        order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        buckets = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "comp")).alias("c"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-        centres = buckets.filter(F.col("least") != F.col("most")).select("key", F.col("c.id").alias("centre"), F.col("c.comp").alias("centre_comp"))
-        new = cut(verified(tries(keyed, centres, 1 if turn == 0 else TRIES), docs), "links")
-        links = new if links is None else links.unionByName(new)
-        comps = connected_components(links)
-
-    # buckets that still hold several components: all their pairs across components
-    placed = classes.join(comps, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-    keyed = banded(placed)
-    mixed_up = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("_least"), F.max("comp").alias("_most")).filter(F.col("_least") != F.col("_most")).select("key", "members")
-    open_rows = cut(keyed.join(mixed_up, "key"), "open")
-    small = open_rows.filter(F.col("members") <= SMALL_BUCKET)
-    pairs = small.alias("x").join(small.alias("y"), "key").filter((F.col("x.id") > F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    large = open_rows.filter(F.col("members") > SMALL_BUCKET).join(classes.select("id", "sig"), "id")
-    rest = pairs.unionByName(likely_pairs(large)).distinct()
-    more = cut(verified(rest, docs), "links")
-    comps = connected_components(links.unionByName(more))
-
-    named = classes.select("digest", "id").join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    found = every.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = classes_of(every)
+    named = every.select("doc_id", "digest").filter(F.col("doc_id").isNotNull()).join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    # a doc_id with several texts links their classes
+    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter(F.col("a") != F.col("most")).select("doc_id", "a")
+    same = cut(named.join(several, "doc_id").select("a", F.col("node").alias("b")), "links")
+    comps = class_components(classes, docs, same)
+    placed = classes.join(comps, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = cut(placed.join(least, "component").select("digest", "component_id"), "components")
+    release(classes)
+    release(comps)
+    out = every.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each group of near-duplicates: the one of smallest doc_id. Rows of equal doc_id and text are one.
+    """`docs` with one document of each group of near-duplicates: the one of smallest doc_id, then of smallest text hash.
 
-    A doc_id with several texts is several documents here: all but the text of smallest hash go under ids drawn from doc_id and text.
+    A doc_id with several texts is several documents here. Rows of equal doc_id and text are one; rows without doc_id stay.
     """
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("_own", F.xxhash64(F.col("text").cast("string")))
-    sizes = named.groupBy("doc_id").agg(F.min("_own").alias("_least"), F.max("_own").alias("_most"))
-    several = cut(sizes.filter(F.col("_least") != F.col("_most")).select("doc_id", "_least"), "several")
-    count = several.count()
-    if not count:
-        kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-        known = docs.join(kept.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return known.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
-    placed = named.select("doc_id", "text", "_own").join(F.broadcast(several) if count <= BROADCAST_ROLES else several, "doc_id", "left")
-    kind = "string" if docs.schema["doc_id"].dataType.simpleString() == "string" else "long"
-    drawn = F.concat_ws("\0", "doc_id", F.hex("_own")) if kind == "string" else F.xxhash64("doc_id", "_own")
-    id = F.when(F.col("_own") != F.col("_least"), drawn).otherwise(F.col("doc_id").cast(kind))
-    placed = cut(placed.select(id.alias("_node"), "doc_id", "_own", "text"), "nodes")
-    groups = near_duplicates(placed.select(F.col("_node").alias("doc_id"), "text")).select(F.col("doc_id").alias("_node"), "component_id").distinct()
-    members = placed.select("_node", "doc_id", "_own").distinct().join(groups, "_node")
-    kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_own")).alias("k")).select("k.doc_id", "k._own")
-    known = named.join(kept, ["doc_id", "_own"], "left_semi").dropDuplicates(["doc_id", "_own"])
-    return known.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    every = cut(sketches(docs), "sketches")
+    classes = classes_of(every)
+    comps = class_components(classes, docs)
+    placed = classes.join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    named = every.select("doc_id", "hash", "digest").filter(F.col("doc_id").isNotNull()).join(placed, "digest").select("doc_id", "hash", "component").distinct()
+    kept = named.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "hash")).alias("k")).filter("n > 1").select("component", "k")
+    dropped = cut(named.join(kept, "component").filter(F.struct("doc_id", "hash") != F.col("k")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")), "dropped")
+    again = every.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_hash")
+    again = cut(again.join(dropped, ["_id", "_hash"], "left_anti"), "again")
+    for table in (every, classes, comps):
+        release(table)
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+
+    def known(table: DataFrame, how: str, rows: DataFrame = own) -> DataFrame:
+        sent = F.broadcast(table) if table.count() <= BROADCAST_ROLES else table
+        return rows.join(sent, (F.col("_row.doc_id") == F.col("_id")) & (F.xxhash64(F.col("_row.text").cast("string")) == F.col("_hash")), how)
+
+    rest = known(dropped, "left_anti")
+    if again.limit(1).count():
+        twice = known(again, "left_semi").withColumn("_hash", F.xxhash64(F.col("_row.text").cast("string"))).withColumn("_id", F.col("_row.doc_id"))
+        rest = known(again, "left_anti", rest).unionByName(twice.dropDuplicates(["_id", "_hash"]).select("_row"))
+    return rest.select("_row.*")
