@@ -308,3 +308,25 @@ def test_intersections_and_joined():
     same = minhash.intersections(sets, left, right)
     assert all(same[i, j] == len(np.intersect1d(sets[x], sets[y])) for i, x in enumerate(left) for j, y in enumerate(right))
     assert minhash.joined(np.array([0, 0, 1, 2, 3, 4]), np.array([1, 3, 2]), np.array([2, 4, 4])).tolist() == [0, 0, 0, 0, 4]
+
+
+def test_inclusion_follows_size(spark):
+    """Long documents are certain, the others are taken about as often as their size says; columns of any name are carried."""
+    rng = random.Random(31)
+    rows = [(i, prose(rng, n), "a", "row", 1.0, "w") for i, n in enumerate([400] * 3 + [rng.randrange(1, 60) for _ in range(2000)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _row string, _p double, _words string")
+    got = {r.doc_id: r for r in mixing.mix(docs, share_percent=15).collect()}
+    size, total = {i: len(r[1].split()) for i, r in enumerate(rows)}, sum(len(r[1].split()) for r in rows)
+    left, c = 0.15 * total, None
+    for n in sorted(set(size.values()), reverse=True):
+        c = (left - sum(s for s in size.values() if s > n)) / sum(s * s for s in size.values() if s <= n)
+        if c * n < 1:
+            break
+    assert all(got[i].taken == 400 for i in range(3)) == (c * 400 >= 1)
+    for low, high in ((1, 20), (20, 40), (40, 60)):
+        own = [i for i, s in size.items() if low <= s < high]
+        share, want = sum(got[i].copies for i in own) / len(own), sum(min(1, c * size[i]) for i in own) / len(own)
+        assert abs(share - want) < 4 * (want * (1 - want) / len(own)) ** 0.5 + 0.01
+    assert abs(sum(r.taken for r in got.values()) - 0.15 * total) <= 30
+    mixed = mixing.mixed_documents(docs, share_percent=15)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got.values())

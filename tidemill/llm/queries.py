@@ -74,11 +74,16 @@ ORACLES: dict[str, str] = {
         l AS (SELECT arg_min(level, cap / weight) AS level FROM f WHERE level * weight <= cap),
         t AS (SELECT f.source, source_size, least(coalesce(l.level * weight, cap), cap) AS target FROM f, l),
         r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-        p AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS part, target - floor(rate) * source_size AS rest FROM r),
-        u AS (SELECT d.*, p.source_size, p.target, p.whole, p.part, p.rest, (CAST(CAST('0x' || substr(md5('7:' || d.doc_id), 1, 12) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-        o AS (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) * ((1 - part) / part) END AS odds FROM u),
-        q AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY coalesce(odds / (1 + odds), 1), doc_id, size ROWS UNBOUNDED PRECEDING) AS reached FROM o)
-        SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN part > 0 AND reached - rest <= size / 2 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM q""",
+        p AS (SELECT *, floor(rate) AS whole, target - floor(rate) * source_size AS remain FROM r),
+        z AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+        y AS (SELECT z.source, z.size, p.remain, CAST(coalesce(sum(n * size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS before,
+            CAST(sum(n * size * size) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS squares FROM z JOIN p ON z.source IS NOT DISTINCT FROM p.source WINDOW w AS (PARTITION BY z.source ORDER BY z.size DESC)),
+        e AS (SELECT source, arg_max((remain - before) / squares, size) AS c, arg_max(before, size) AS sure FROM y WHERE (remain - before) / squares * size < 1 GROUP BY source),
+        i AS (SELECT p.*, greatest(coalesce(e.c, CASE WHEN remain > 0 THEN 1 ELSE 0 END), 0) AS c, greatest(remain - coalesce(e.sure, 0), 0) AS rest FROM p LEFT JOIN e ON p.source IS NOT DISTINCT FROM e.source),
+        u AS (SELECT d.*, i.source_size, i.target, i.whole, i.rest, least(i.c * d.size, 1) AS part, (CAST(CAST('0x' || substr(md5('7:' || d.doc_id), 1, 12) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source),
+        o AS (SELECT *, part > 0 AND part < 1 AS ranked, CASE WHEN part > 0 AND part < 1 THEN (u / (1 - u)) * ((1 - part) / part) END AS odds FROM u),
+        q AS (SELECT *, sum(size) OVER (PARTITION BY source, ranked ORDER BY coalesce(odds / (1 + odds), 1), doc_id, size ROWS UNBOUNDED PRECEDING) AS reached FROM o)
+        SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN part >= 1 OR (ranked AND reached - rest <= size / 2) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM q""",
     "op6_site_spread": """
         WITH l AS (SELECT doc_id, coalesce(source, 'null') AS site, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
         k AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
