@@ -134,3 +134,42 @@ def test_repeated_rows_take_one_place(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = nearest.neighbours(frame, F.col("id") == 0, k=20, tables=4, probes=16, index_block=10_000).orderBy("rank").collect()
     assert [r.vec_id for r in found] == list(range(1, 21))
+
+
+def test_importance_is_the_entropy_of_the_site(spark):
+    """Importances against a brute-force tree; a pool of frame texts on a large host goes although no list names its elements."""
+    rng = random.Random(7)
+    pool = [f"offer {k}" for k in range(4)]
+    rows, texts = [], {}
+    for i in range(120):
+        own = [f"story {rng.random()}" for _ in range(rng.randrange(1, 4))]
+        strip = rng.choice(pool)
+        rows.append((i, "http://h.example/p", page(f"<div class=strip>{strip}</div><div class=story>" + "".join(f"<p>{x}</p>" for x in own) + "</div>"), ""))
+        texts[i] = (strip, own)
+    rows += [(500 + i, *rows[0][1:]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {r.node: r for r in html.site_nodes(frame).collect()}
+
+    def entropy(values):
+        n = len(values)
+        counts = [values.count(x) for x in set(values)]
+        return (math.log(n) - sum(c * math.log(c) for c in counts) / n) / math.log(n)
+
+    strips = entropy([s for s, _ in texts.values()])
+    assert abs(got[">html>body>div.strip"].importance - strips) < 1e-9 and got[">html>body>div.strip"].seen == 120
+    shapes = [len(own) for _, own in texts.values()]
+    assert abs(got[">html>body>div.story"].importance - (0.9 * 1 + 0.1 * entropy(shapes))) < 1e-9
+    assert {r.host: r.low for r in html.low_nodes(html.site_nodes(frame)).collect()} == {"h.example": [">html>body>div.strip"]}
+    found = extract(spark, rows)
+    assert all(found[i].text == " ".join(own) for i, (_, own) in texts.items()) and found[530].text == found[0].text
+
+
+def test_odd_pages(spark):
+    """Deep nesting, a very long page, unmatched quotes, repeated rows and listed inline elements."""
+    deep = "<div>" * 3000 + "inner" + "</div>" * 3000
+    rows = [(1, "http://k.example", deep, ""), (2, "http://k.example", "<p>" + "word " * 200_000, ""), (3, "http://k.example", "<p class=\"x>lost</p><p>kept</p>", ""), (4, "http://k.example", "<p>a <span class=ad>buy</span> b</p>", "")]
+    frame = spark.createDataFrame(rows + rows, "page_id long, url string, html string, text string")
+    got = [(r.page_id, r.text, r.n_chars) for r in html.extract(frame).collect()]
+    assert len(got) == 8 and len(set(got)) == 4
+    text = {i: t for i, t, _ in got}
+    assert text[1] == "inner" and text[2] == " ".join(["word"] * 200_000) and "kept" in text[3] and text[4] == "a b"

@@ -1,22 +1,25 @@
 """HTML main text by a site style tree.
 
-Pages of a host are merged into one tree whose nodes are block elements, named by tag and class and placed under their parents. A
-node's presentation importance is the entropy of the child sequences its pages give it, a leaf's content importance the entropy of
-the texts found there, both with the number of observations as the base: 0 if all pages agree, 1 if all differ. A text or child
-sequence counts once for each distinct page of the host that has it, so that copies of a page are one page; pages that agree in
-their longest blocks, up to `SAME` of their characters, are copies. A branch's importance is the mean of the content importances
-below it, weighted by observations, mixed with its own presentation importance. Branches below `LOW` on at least `LEAST_PAGES`
-observations leave every page of the host.
-
-Elements whose meaning is known (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) go
-before the tree is built; where a page has an article or main element, only that counts.
+Pages of a host are merged into one tree whose nodes are elements, named by tag and class and placed under their parents: all that
+is shown takes part, menus and footers too. A node's presentation importance is the entropy of the child sequences its pages give it, a
+leaf's content importance the entropy of the texts found there, both with the number of observations as the base: 0 if all pages
+agree, 1 if all differ. A text or child sequence counts once for each distinct page of the host that has it, so that copies of a
+page are one page; pages that agree in their longest own blocks, up to `SAME` of their characters, are copies. A branch's importance
+is the mean of the content importances below it, weighted by observations, mixed with its own presentation importance. Branches
+below `LOW`, with every leaf of theirs, on at least `LEAST_PAGES` observations leave every page of the host; inside an article or main
+element the limit is `LOW_INSIDE`. What a frame shows comes from few texts however many pages a host has, so the tree decides the more, the larger a host is.
+
+What statistics don't know (hosts of a few pages, adverts and reader comments that differ from page to page) is left to the meaning of
+elements: menus, headers, footers, sidebars, notices, adverts, forms and comments by tag, role and class are listed and go from each
+page; where a page has an article or main element, only that counts. Scripts, styles and what isn't shown never take part.
 
 Statistics travel as (host, node, hash, page) rows that are made distinct before they are shuffled by all four, so a host with a
 third of all pages is no task's own; what joins back to the pages is a list of low nodes for each host, broadcast if its counted
 size is small.
 
 Defined cases: null or empty html gives an empty text; a null url is the host ''; unclosed tags close with their parents, an unclosed
-tag bracket or script runs to the end of the page; repeated rows give repeated results; other columns are ignored.
+tag bracket or script runs to the end of the page; an unmatched quote ends at its bracket; repeated rows give repeated results; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.text import texts_of
 from tidemill.session import cut
 
-LOW = 0.2
+LOW = 0.5
+LOW_INSIDE = 0.2
 LEAST_PAGES = 10
 #: Share of a page's characters, longest blocks first, that tells it from other pages; what is shorter (a date, a counter) doesn't.
 SAME = 0.9
@@ -53,11 +57,12 @@ RAW = set("script style textarea title xmp iframe noembed noframes noscript".spl
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SCOPE = set("address article aside blockquote body center details dialog dd div dl dt fieldset figure footer form header html li main nav ol section table tbody td tfoot th thead tr ul".split())
 LISTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-DROPPED = set("script style textarea title iframe noscript template svg math object canvas audio video form button select input nav footer aside menu dialog".split())
+UNSEEN = set("script style textarea title iframe noscript template svg math object canvas audio video select".split())
+LISTED = set("form button input nav footer aside menu dialog".split())
 MAIN = {"article", "main"}
-DROPPED_WORDS = set("nav navbar navigation menu footer sidebar aside widget notice notices cookie cookies consent banner popup modal ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond share sharing social related breadcrumb breadcrumbs newsletter subscribe subscription login signup search pagination pager toolbar".split())
+LISTED_WORDS = set("nav navbar navigation menu footer sidebar aside widget notice notices cookie cookies consent banner popup modal ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond share sharing social related breadcrumb breadcrumbs newsletter subscribe subscription login signup search pagination pager toolbar".split())
 HEADER_WORDS = {"header", "masthead", "topbar"}
-DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
+LISTED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
 
 def host_of(url: Column) -> Column:
@@ -65,21 +70,29 @@ def host_of(url: Column) -> Column:
 
 
 class Page:
-    """The blocks of a page outside dropped elements: (node, inside main, text), and the child sequence of every node."""
+    """The blocks of a page, (node, inside main, listed, text), and (node, inside main, child sequence) of every node; unseen elements are left out."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, str]] = []
+        self.blocks: list[tuple[str, bool, bool, str]] = []
         self.children: list[tuple[str, bool, str]] = []
-        # name, node, dropped, inside main, names of block children
-        self.stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
+        # name, node, unseen, listed, inside main, names of block children
+        self.stack: list[tuple[str, str, bool, bool, bool, list[str]]] = [("", "", False, False, False, [])]
         self.parts: list[str] = []
         self.read(source)
         self.flush()
         while self.stack:
             self.leave()
-        if any(inside for _, inside, _ in self.blocks):
-            self.blocks = [x for x in self.blocks if x[1]]
-            self.children = [x for x in self.children if x[1]]
+
+    def own(self) -> list[tuple[str, str]]:
+        """node, text of the blocks that aren't listed; where a page has an article or main element, of those inside."""
+        plain = [x for x in self.blocks if not x[2]]
+        inside = [x for x in plain if x[1]]
+        return [(node, text) for node, _, _, text in inside or plain]
+
+    def cut(self, low: set[str]) -> None:
+        """Takes the branches `low` out."""
+        under = tuple(f"{x}>" for x in low)
+        self.blocks = [b for b in self.blocks if b[0] not in low and not b[0].startswith(under)]
 
     def read(self, source: str) -> None:
         at, end = 0, len(source)
@@ -110,8 +123,8 @@ class Page:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                block = next(x for x in reversed(self.stack) if x[0] not in INLINE)
-                self.blocks.append((block[1], block[3], text))
+                _, node, _, listed, inside, _ = self.stack[-1]
+                self.blocks.append((node, inside, listed, text))
 
     def open(self, name: str, attributes: str) -> None:
         if name == "br" or name == "hr":
@@ -134,18 +147,21 @@ class Page:
             if name in LISTS:
                 self.imply(name, LISTS[name])
         above = self.stack[-1]
-        inside = above[3] or name in MAIN or role == "main"
-        own = DROPPED_WORDS.intersection(words)
-        dropped = above[2] or hidden or name in DROPPED or role in DROPPED_ROLES or (bool(own) and name not in MAIN and name not in ("body", "html")) or (not above[3] and (name == "header" or (bool(HEADER_WORDS.intersection(words)) and name not in ("body", "html", *MAIN))))
-        if dropped and not above[2]:
+        inside = above[4] or name in MAIN or role == "main"
+        unseen = above[2] or hidden or name in UNSEEN
+        named = bool(LISTED_WORDS.intersection(words)) and name not in MAIN and name not in ("body", "html")
+        top = not above[4] and (name == "header" or (bool(HEADER_WORDS.intersection(words)) and name not in ("body", "html", *MAIN)))
+        listed = above[3] or name in LISTED or role in LISTED_ROLES or named or top
+        apart = (unseen, listed) != above[2:4]
+        if apart:
             self.flush()
         node = above[1]
-        if name not in INLINE:
+        if name not in INLINE or apart:
             label = ".".join([name, *sorted({w for w in words if w and not w.isdigit()})])
-            above[4].append(label)
+            above[5].append(label)
             if len(self.stack) <= DEPTH:
                 node = f"{node}>{label}"
-        self.stack.append((name, node, dropped, inside, []))
+        self.stack.append((name, node, unseen, listed, inside, []))
 
     def imply(self, name: str, until: set[str]) -> None:
         """Closes an open `name` that the next element ends, unless `until` stands between."""
@@ -160,7 +176,7 @@ class Page:
 
     def close(self, name: str) -> None:
         if any(x[0] == name for x in self.stack[1:]):
-            if name not in INLINE or self.stack[-1][2]:
+            if name not in INLINE or self.stack[-1][2:4] != self.stack[-2][2:4]:
                 self.flush()
             while self.stack[-1][0] != name:
                 if self.stack[-1][0] not in INLINE:
@@ -169,14 +185,14 @@ class Page:
             self.leave()
 
     def leave(self) -> None:
-        _, node, dropped, inside, children = self.stack.pop()
-        if children and not dropped and node:
+        _, node, unseen, _, inside, children = self.stack.pop()
+        if children and not unseen and node:
             self.children.append((node, inside, " ".join(children)))
 
 
 def page_key(page: Page) -> int:
     """A hash of the longest blocks of a page, the same for its copies."""
-    texts = sorted((text for _, _, text in page.blocks), key=lambda text: (-len(text), text))
+    texts = sorted((text for _, text in page.own()), key=lambda text: (-len(text), text))
     wanted, reached, kept = SAME * sum(map(len, texts)), 0, xxhash.xxh64()
     for text in texts:
         if reached >= wanted:
@@ -187,7 +203,8 @@ def page_key(page: Page) -> int:
 
 
 def site_nodes(pages: DataFrame) -> DataFrame:
-    """host, node, importance, seen of every branch of every site's style tree."""
+    """host, node, inside, importance, most, seen of every branch of every site's style tree; `inside` an article or main element, `most` of any leaf."""
+    names, kinds = ["host", "node", "inside", "content", "hash", "page"], (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
 
     def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,30 +212,31 @@ def site_nodes(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 page = Page(source.decode("utf-8", "replace"))
                 key = page_key(page)
-                rows += [(host, node, True, xxhash.xxh64_intdigest(text) - (1 << 63), key) for node, _, text in page.blocks]
-                rows += [(host, node, False, xxhash.xxh64_intdigest(text) - (1 << 63), key) for node, _, text in page.children]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["host", "node", "content", "hash", "page"])
+                rows += [(host, node, inside, True, xxhash.xxh64_intdigest(text) - (1 << 63), key) for node, inside, _, text in page.blocks]
+                rows += [(host, node, inside, False, xxhash.xxh64_intdigest(text) - (1 << 63), key) for node, inside, text in page.children]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    seen = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(observed, "host string, node string, content boolean, hash long, page long")
-    counts = seen.groupBy("host", "node", "content", "hash").agg(F.count_distinct("page").alias("n"))
+    seen = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(observed, "host string, node string, inside boolean, content boolean, hash long, page long")
+    counts = seen.groupBy("host", "node", "inside", "content", "hash").agg(F.count_distinct("page").alias("n"))
     n, total = F.col("n"), F.sum("n")
     entropy = F.when(total > 1, (F.log(total) - F.sum(n * F.log(n)) / total) / F.log(total)).otherwise(1.0)
     # read three times below: written, so that pages are parsed once for it
-    own = cut(counts.groupBy("host", "node", "content").agg(total.alias("seen"), entropy.alias("entropy")), "nodes")
+    own = cut(counts.groupBy("host", "node", "inside", "content").agg(total.alias("seen"), entropy.alias("entropy")), "nodes")
     # a node's branch: itself and all nodes above it
     labels = F.split("node", ">")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(">", F.slice(labels, F.lit(1), k)))
-    content = own.filter("content").select("host", F.explode(above).alias("node"), "seen", "entropy")
-    content = content.groupBy("host", "node").agg((F.sum(F.col("seen") * F.col("entropy")) / F.sum("seen")).alias("content"), F.sum("seen").alias("seen"))
-    shown = own.filter(~F.col("content")).select("host", "node", F.col("entropy").alias("shown"))
+    content = own.filter("content").select("host", F.explode(above).alias("node"), "inside", "seen", "entropy")
+    content = content.groupBy("host", "node").agg((F.sum(F.col("seen") * F.col("entropy")) / F.sum("seen")).alias("content"), F.sum("seen").alias("seen"), F.max("inside").alias("inside"), F.max("entropy").alias("most"))
+    shown = own.filter(~F.col("content")).groupBy("host", "node").agg((F.sum(F.col("seen") * F.col("entropy")) / F.sum("seen")).alias("shown"))
     importance = F.coalesce((1 - PRESENTATION) * F.col("content") + PRESENTATION * F.col("shown"), F.col("content"))
-    return content.join(shown, ["host", "node"], "left").select("host", "node", importance.alias("importance"), "seen")
+    return content.join(shown, ["host", "node"], "left").select("host", "node", "inside", importance.alias("importance"), "most", "seen")
 
 
-def low_nodes(nodes: DataFrame, *, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, low: the nodes to remove from each host's pages."""
-    found = nodes.filter((F.col("node") != "") & (F.col("importance") < low) & (F.col("seen") >= least_pages))
+def low_nodes(nodes: DataFrame, *, low: float = LOW, low_inside: float = LOW_INSIDE, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, low: the nodes to remove from each host's pages. A branch that holds any of an article or main element has the lower limit."""
+    limit = F.when(F.col("inside"), low_inside).otherwise(low)
+    found = nodes.filter((F.col("node") != "") & (F.col("importance") < limit) & (F.col("most") < limit) & (F.col("seen") >= least_pages))
     return found.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low"))
 
 
@@ -236,12 +254,10 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for source, gone in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                blocks = Page(source.decode("utf-8", "replace")).blocks
+                page = Page(source.decode("utf-8", "replace"))
                 if gone:
-                    gone = tuple(gone)
-                    under = tuple(f"{x}>" for x in gone)
-                    blocks = [b for b in blocks if b[0] not in gone and not b[0].startswith(under)]
-                out.append(" ".join([text for _, _, text in blocks]))
+                    page.cut(set(gone))
+                out.append(" ".join([text for _, text in page.own()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     found = placed.mapInArrow(texts, f"page_id {kind['page_id']}, url {kind['url']}, text string")
