@@ -330,3 +330,40 @@ def test_inclusion_follows_size(spark):
     assert abs(sum(r.taken for r in got.values()) - 0.15 * total) <= 30
     mixed = mixing.mixed_documents(docs, share_percent=15)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got.values())
+
+
+def repeats_by_brute_force(raw, length=400):
+    seen = collections.Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, np.int8)
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone[p : p + length] = 1
+        out.append((len(b), int(gone.sum()), int((np.diff(np.append(0, gone)) == 1).sum())))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 8192])
+def test_repeats_of_periodic_and_hot_passages(spark, monkeypatch, hot):
+    """A passage in other surroundings each time, runs of one byte and of short periods, with and without counting by window."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = random.Random(17)
+    passage = prose(rng, 130)
+    texts = [f"{prose(rng, rng.randrange(60))} {passage[k % 7 :]} {prose(rng, rng.randrange(60))}" for k in range(25)]
+    texts += ["z" * n for n in (399, 400, 401, 1500)] + ["ab" * 700, "spam eggs " * 90, prose(rng, 40) + " spam eggs" * 60 + prose(rng, 40), "abc " * 99 + "abc"]
+    got = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
+    for i, want in enumerate(repeats_by_brute_force([t.encode() for t in texts])):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == want, i
+
+
+def test_suffix_ranks_are_alphabetical():
+    rng = np.random.default_rng(6)
+    raw = rng.choice(np.frombuffer(b"ab", np.uint8), 600)
+    raw[200:330] = raw[20:150]
+    text = bytes(raw) + bytes(100)
+    for length in (32, 100):
+        ranks = substrings.suffix_ranks(raw, length)
+        keys = [text[k : k + length] for k in range(len(raw) - length + 1)]
+        order = {x: n for n, x in enumerate(sorted(set(keys)))}
+        assert (np.unique(ranks[: len(keys)], return_inverse=True)[1] == [order[x] for x in keys]).all()
