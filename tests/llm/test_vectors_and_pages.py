@@ -36,7 +36,7 @@ def test_blocks_norms_ties_and_odd_rows(spark):
     rows = [(i, [float(v) for v in x], "clash") for i, x in own.items()]
     rows += [(5, rows[5][1], "again"), (300, None, ""), (320, [0.0] * 7, ""), (340, [1.0] * 6 + [None], ""), (360, [1.0] * 6 + [math.nan], ""), (380, [math.inf] * 7, ""), (400, [1.0, 2.0], ""), (None, [1.0] * 7, "")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    found = nearest.neighbours(frame, F.col("id") % 20 == 0, k=9, tables=12, probes=10, index_block=11, query_block=3).collect()
+    found = nearest.neighbours(frame, F.col("id") % 20 == 0, k=9, tables=12, probes=0.7, index_block=11, query_block=3).collect()
     want = brute(own, 9)
     got = {}
     for r in sorted(found, key=lambda r: r["rank"]):
@@ -132,7 +132,7 @@ def test_repeated_rows_take_one_place(spark):
         x = [1.0 - i / 100, *rng.normal(size=2).tolist()]
         rows += [(i, x)] * 3 + ([(i, [v - 1e-4 * n for v in x]) for n in range(1, 30)] if i < 5 else [])
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = nearest.neighbours(frame, F.col("id") == 0, k=20, tables=4, probes=16, index_block=10_000).orderBy("rank").collect()
+    found = nearest.neighbours(frame, F.col("id") == 0, k=20, tables=4, probes=10.0, index_block=10_000).orderBy("rank").collect()
     assert [r.vec_id for r in found] == list(range(1, 21))
 
 
@@ -173,3 +173,17 @@ def test_odd_pages(spark):
     assert len(got) == 8 and len(set(got)) == 4
     text = {i: t for i, t, _ in got}
     assert text[1] == "inner" and text[2] == " ".join(["word"] * 200_000) and "kept" in text[3] and text[4] == "a b"
+
+
+def test_buckets_grow_and_lengths_are_spaces(spark):
+    assert [nearest.Rotations(64, 1.0, n).widths for n in (100, 5_000, 50_000, 10**7)] == [[256], [256, 2], [256, 16], [256, 256, 16]]
+    rng = np.random.default_rng(5)
+    own = {i: rng.normal(size=6) for i in range(300)}
+    other = {i: rng.normal(size=4) for i in range(1000, 1040)}
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in (own | other).items()], "vec_id long, embedding array<double>")
+    got = {}
+    found = nearest.neighbours(frame, F.col("id") % 20 == 0, k=5, bucket_rows=2, probes=4.0, index_block=40, query_block=4).collect()
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(own, 5) | brute(other, 5)
+    assert got.keys() == want.keys() and np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
