@@ -6,11 +6,12 @@ a size shared by a third of all files is one aggregate row rather than one windo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import constants as C
 from tidemill.functions import hashing, names
+from tidemill.operators.numbering import numbered
 
 
 def repeated(df: DataFrame, *keys: str) -> DataFrame:
@@ -20,11 +21,19 @@ def repeated(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def funnel(files: DataFrame, content: Column | None = None) -> DataFrame:
-    """`files` (id, size and content) that have an exact copy, with partial_hash and full_hash. Empty files take no part."""
+    """The rows of `files` (id, size and content) that have an exact copy, with partial_hash and full_hash. Empty files take no part.
+
+    Digests are taken where the rows are and content goes no further: only ids, sizes and digests are shuffled.
+    """
     content = F.col("content") if content is None else content
-    sized = repeated(files.filter(F.col("size") > 0), "size")
-    partial = repeated(sized.withColumn("partial_hash", hashing.partial_hash(content)), "size", "partial_hash")
-    return repeated(partial.withColumn("full_hash", hashing.full_hash(content)), "full_hash")
+    rest = [c for c in files.columns if c != "content"]
+    hashed = files.filter(F.col("size") > 0).select(*rest, hashing.partial_hash(content).alias("partial_hash"), hashing.full_hash(content).alias("full_hash"))
+    return repeated(partially_equal(hashed), "full_hash")
+
+
+def partially_equal(hashed: DataFrame) -> DataFrame:
+    """The rows (size, partial_hash) whose size and digest of both ends occur at least twice."""
+    return repeated(hashed, "size", "partial_hash")
 
 
 def keeper_order(stem: Column, ts: Column, path: Column, id: Column) -> list[Column]:
@@ -43,6 +52,6 @@ def duplicate_groups(rows: DataFrame, run_id: int = 1) -> DataFrame:
     best = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(keeper_order(F.col("stem"), F.col("ts"), F.col("path"), F.col("id")))], F.col("path").alias("path"))
     groups = shared.groupBy("full_hash").agg(F.min(best).alias("_best"), F.min("id").alias("_first"))
     # one row a group: numbering orders groups, never their members
-    numbered = groups.withColumn("group_id", F.concat(F.lit(f"d{run_id}-"), F.row_number().over(Window.orderBy("_first")).cast("string")))
-    placed = shared.select("id", "full_hash").join(numbered, "full_hash")
+    named = numbered(groups, "_first").withColumn("group_id", F.concat(F.lit(f"d{run_id}-"), F.col("nth").cast("string")))
+    placed = shared.select("id", "full_hash").join(named, "full_hash")
     return placed.select("id", "group_id", F.col("_best.k4").alias("keeper_id"), F.col("_best.path").alias("keeper_path"), (F.col("id") == F.col("_best.k4")).alias("is_keeper"))

@@ -11,13 +11,14 @@ NOT_UNDOABLE = ("undo", "purge")
 
 
 def search(journal: DataFrame, *, session_id: int | None = None, category: str | None = None, action: str | None = None, text: str | None = None, limit: int = 500, offset: int = 0) -> DataFrame:
-    """Newest first; `text` is sought in both paths."""
+    """Newest first; `text` is sought in both paths, without regard to the case of ASCII letters."""
     rows = journal
     for column, value in (("session_id", session_id), ("category", category), ("action", action)):
         if value is not None:
             rows = rows.filter(F.col(column) == value)
     if text:
-        rows = rows.filter(F.coalesce(F.col("from_rel").contains(text), F.lit(False)) | F.coalesce(F.col("to_rel").contains(text), F.lit(False)))
+        sought = names.nocase(F.lit(text))
+        rows = rows.filter(F.coalesce(names.nocase(F.col("from_rel")).contains(sought), F.lit(False)) | F.coalesce(names.nocase(F.col("to_rel")).contains(sought), F.lit(False)))
     return rows.orderBy(F.col("id").desc()).offset(offset).limit(limit)
 
 

@@ -64,6 +64,36 @@ def candidate_rows(candidates: DataFrame, files: DataFrame) -> DataFrame:
     return placed.withColumn("bytes", size).drop("_item", "item_bytes")
 
 
+def quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float], *, buckets: int = 1024) -> DataFrame:
+    """key and a column for each share: exact quantiles with linear interpolation, as `percentile` gives them.
+
+    A histogram of each key's range finds the buckets in which the wanted ranks lie; only their rows are ordered, so no task holds a
+    key's values. Nulls don't count.
+    """
+    known = rows.filter(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+    spread = known.groupBy("_k").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    width = (F.col("_hi") - F.col("_lo")) / buckets
+    bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    placed = known.withColumnRenamed("_k", "_own").join(spread, F.col("_own").eqNullSafe(F.col("_k"))).drop("_own")
+    placed = placed.withColumn("_bucket", bucket)
+    counts = placed.groupBy("_k", "_bucket").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    order = Window.partitionBy("_k").orderBy("_bucket")
+    counts = counts.withColumn("_before", F.sum("_c").over(order) - F.col("_c"))
+    ranks = F.array(*[F.lit(float(s)) * (F.col("_n") - 1) for s in shares.values()])
+    wanted = F.exists(ranks, lambda r: (F.floor(r) < F.col("_before") + F.col("_c")) & (F.ceil(r) >= F.col("_before")))
+    some = counts.filter(wanted).select(F.col("_k").alias("_key"), F.col("_bucket").alias("_b"), "_before")
+    ordered = placed.join(some, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
+    ordered = ordered.withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_k", "_bucket").orderBy("_v")) - 1)
+    out = []
+    for name, share in shares.items():
+        rank = F.lit(float(share)) * (F.col("_n") - 1)
+        low = F.max(F.when(F.col("_r") == F.floor(rank), F.col("_v")))
+        high = F.max(F.when(F.col("_r") == F.ceil(rank), F.col("_v")))
+        part = F.first(rank - F.floor(rank))
+        out.append((low + (high - low) * part).alias(name))
+    return ordered.groupBy(F.col("_k").alias(key)).agg(*out)
+
+
 def lru_evictions(entries: DataFrame, limit: int, *, hysteresis: float = 0.05, most: int = 5000) -> DataFrame:
     """key, bytes of the least recently used entries to drop so that bytes fall to the limit less the hysteresis.
 

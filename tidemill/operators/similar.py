@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.pixels import hamming
 from tidemill.operators.components import connected_components
+from tidemill.operators.numbering import numbered
 
 
 def band_pairs(rows: DataFrame, window: float, *, by: tuple[str, ...] = (), id: str = "id", ts: str = "ts", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -26,6 +30,36 @@ def band_pairs(rows: DataFrame, window: float, *, by: tuple[str, ...] = (), id:
     return left.join(right, on).drop("_bucket")
 
 
+def hash_pairs(rows: DataFrame, distance: int, *, id: str = "id", value: str = "phash") -> DataFrame:
+    """a, b, distance of 64-bit hashes at most `distance` bits apart, exactly, by multi-index probing.
+
+    The hash is cut into parts of about log2 of the number of rows bits. Two such hashes agree in one part at least up to `distance` over the number of
+    parts, rounded down: every row is listed under its parts, and looks up its parts with that many bits flipped. A part's buckets
+    stay near one row each however many rows there are.
+    """
+    known = rows.filter(F.col(value).isNotNull()).select(F.col(id).alias("id"), F.col(value).alias("v"))
+    bits = max(8, math.ceil(math.log2(max(2, known.count()))))
+    parts = max(1, 64 // bits)
+    edges, flips = [64 * k // parts for k in range(parts + 1)], distance // parts
+    listed, asked = [], []
+
+    def part(k: int, value: Column) -> Column:
+        return F.struct(F.lit(k).alias("k"), value.alias("p"))
+
+    def flipped(k: int, own: Column, masks: list[int]) -> Column:
+        return F.transform(F.lit(masks).cast("array<long>"), lambda mask: part(k, own.bitwiseXOR(mask)))
+
+    for k, (lo, hi) in enumerate(itertools.pairwise(edges)):
+        own = F.shiftrightunsigned("v", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        masks = [sum(1 << b for b in bits_of) for n in range(flips + 1) for bits_of in itertools.combinations(range(hi - lo), n)]
+        listed.append(part(k, own))
+        asked.append(flipped(k, own, masks))
+    index = known.select(F.col("id").alias("b"), F.col("v").alias("w"), F.explode(F.array(*listed)).alias("key")).select("b", "w", "key.k", "key.p")
+    probes = known.select(F.col("id").alias("a"), "v", F.explode(F.flatten(F.array(*asked))).alias("key")).select("a", "v", "key.k", "key.p")
+    near = probes.join(index, ["k", "p"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("v"), F.col("w")) <= distance))
+    return near.select("a", "b", hamming(F.col("v"), F.col("w")).cast("long").alias("distance")).distinct()
+
+
 def similar_links(items: DataFrame, window: float, distance: int) -> DataFrame:
     """a, b of items (id, ts, phash, edited_of) close in time and looks, edited pairs left out as links."""
     pairs = band_pairs(items, window, carry=("phash", "edited_of"))
@@ -44,8 +78,8 @@ def similar_groups(items: DataFrame, *, window: float = 60.0, distance: int = 6,
     pixels = F.coalesce(F.col("width"), F.lit(0)) * F.coalesce(F.col("height"), F.lit(0))
     best = F.struct((-F.coalesce("sharpness", F.lit(-1.0))).alias("s"), (-pixels).alias("p"), F.col("id").alias("id"), F.col("ts").alias("ts"), F.col("path").alias("path"))
     groups = members.groupBy("component").agg(F.min(best).alias("_best"))
-    numbered = groups.withColumn("group_id", F.concat(F.lit(f"s{run_id}-"), F.row_number().over(Window.orderBy("component")).cast("string")))
-    placed = members.select("id", "ts", "component").join(numbered, "component")
+    named = numbered(groups, "component").withColumn("group_id", F.concat(F.lit(f"s{run_id}-"), F.col("nth").cast("string")))
+    placed = members.select("id", "ts", "component").join(named, "component")
     return placed.select("id", "group_id", F.col("_best.id").alias("keeper_id"), F.col("_best.path").alias("keeper_path"), (F.col("id") == F.col("_best.id")).alias("is_keeper"), F.abs(F.col("ts") - F.col("_best.ts")).alias("delta"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import dates, display, hashing, names, pixels
 from tidemill.functions.constants import NAME_PENALTIES, SCREENS
-from tidemill.operators import dedupe, journal, link, report, rules, similar, snapshot
+from tidemill.operators import dedupe, journal, link, listing, report, rules, similar, snapshot
 from tidemill.operators.components import connected_components
 from tidemill.session import read_table as table
 from tidemill.sources import headers
@@ -57,14 +57,17 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH d AS (SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS h FROM documents WHERE length(text) > 0)
+    WITH d AS (SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS h, hex(encode(text)) AS x FROM documents WHERE length(text) > 0),
+    p AS (SELECT size, CASE WHEN size <= 131072 THEN x ELSE left(x, 131072) || right(x, 131072) END AS e FROM d)
     SELECT 'size' AS step, count(*) AS n FROM d WHERE size IN (SELECT size FROM d GROUP BY size HAVING count(*) > 1)
+    UNION ALL SELECT 'partial', count(*) FROM p WHERE (size, e) IN (SELECT (size, e) FROM p GROUP BY size, e HAVING count(*) > 1)
     UNION ALL SELECT 'full', count(*) FROM d WHERE h IN (SELECT h FROM d GROUP BY h HAVING count(*) > 1)""")
 def dedupe_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = documents_as_files(spark, sf_dir)
     sized = dedupe.repeated(files.filter(F.col("size") > 0).select("id", "size"), "size").select(F.lit("size").alias("step"))
+    ends = dedupe.partially_equal(files.filter(F.col("size") > 0).select("size", hashing.partial_hash(F.col("content")).alias("partial_hash"))).select(F.lit("partial").alias("step"))
     full = dedupe.funnel(files).select(F.lit("full").alias("step"))
-    return sized.unionByName(full).groupBy("step").agg(F.count("*").alias("n"))
+    return sized.unionByName(ends).unionByName(full).groupBy("step").agg(F.count("*").alias("n"))
 
 
 _PENALTY = " + ".join("CASE WHEN regexp_matches(stem, '{}') THEN {} ELSE 0 END".format(p, w) for p, w in NAME_PENALTIES)
@@ -117,35 +120,20 @@ def phash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_bits(spark, sf_dir).withColumn("ones", F.bit_count("phash").cast("long"))
 
 
-def bit_pairs(rows: DataFrame, distance: int, *, id: str = "vec_id") -> DataFrame:
-    """a, b, distance of 64-bit hashes at most `distance` apart, exactly.
-
-    Cut into `distance` + 1 parts, two such hashes agree in one whole part at least: an equi-join on parts, then the distance.
-    """
-    parts = distance + 1
-    edges = [64 * k // parts for k in range(parts + 1)]
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("phash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("v")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    keyed = rows.select(F.col(id).alias("id"), "phash", F.explode(keys).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
-    apart = pixels.hamming(F.col("a.phash"), F.col("b.phash"))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart.cast("long").alias("distance")).filter(F.col("distance") <= distance).distinct()
-
-
 _PAIRS = _BITS.replace("list_median(e)", "list_aggregate(e, 'median')") + """,
     p AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.u, b.u)) AS BIGINT) AS distance FROM b a JOIN b b ON a.vec_id < b.vec_id)"""
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, distance FROM p WHERE distance <= 12")
+@query(f"WITH {_PAIRS} SELECT a, b, distance FROM p WHERE distance <= 18")
 def phash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bit_pairs(embedding_bits(spark, sf_dir), 12)
+    return similar.hash_pairs(embedding_bits(spark, sf_dir), 18, id="vec_id")
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT a, b FROM p WHERE distance <= 14), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+@query(f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT a, b FROM p WHERE distance <= 18), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
     r(id, root) AS (SELECT a, a FROM s UNION SELECT s.b, r.root FROM r JOIN s ON r.id = s.a)
     SELECT id, min(root) AS component FROM r GROUP BY id""")
 def phash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(bit_pairs(embedding_bits(spark, sf_dir), 14).select("a", "b"))
+    return connected_components(similar.hash_pairs(embedding_bits(spark, sf_dir), 18, id="vec_id").select("a", "b"))
 
 
 _LAPLACE = ", ".join(f"e[{k - 8 + 1}] + e[{k + 8 + 1}] + e[{k - 1 + 1}] + e[{k + 1 + 1}] - 4 * e[{k + 1}]" for k in (r * 8 + c for r in range(1, 7) for c in range(1, 7)))
@@ -160,8 +148,10 @@ def laplacian_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.99), 6) AS p99, round(var_pop(value), 4) AS variance, round(median(value), 6) AS middle FROM events GROUP BY event_type")
 def brightness_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_type = table(spark, sf_dir, "events").groupBy("event_type")
-    return by_type.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.99), 6).alias("p99"), F.round(F.var_pop("value"), 4).alias("variance"), F.round(F.percentile("value", 0.5), 6).alias("middle"))
+    events = table(spark, sf_dir, "events")
+    moments = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_pop("value"), 4).alias("variance"))
+    ranked = report.quantiles(events, "event_type", "value", {"p99": 0.99, "middle": 0.5})
+    return moments.join(ranked, "event_type").select("event_type", "mean", F.round("p99", 6).alias("p99"), "variance", F.round("middle", 6).alias("middle"))
 
 
 @query("""
@@ -311,17 +301,11 @@ def edited_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.link_items(files).filter(F.col("edited_of").isNotNull()).select("id", "edited_of")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers, orders = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
-    return customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_anti")
-
-
 @query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS live_count FROM orders")
 def live_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return orders.join(returned, orders["o_orderkey"] == returned["l_orderkey"], "left").select("o_orderkey", F.coalesce("n", F.lit(0).cast("long")).alias("live_count"))
+    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item_id"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"))
+    return listing.live_counts(orders, returned).select(F.col("item_id").alias("o_orderkey"), "live_count")
 
 
 @query("""
@@ -380,7 +364,7 @@ def session_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) >= 2")
 def groups_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = table(spark, sf_dir, "documents").select("doc_id", hashing.full_hash(content(F.col("text"))).alias("h"))
-    return hashed.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n >= 2")
+    return listing.groups_of(hashed, "h", "doc_id")
 
 
 @query("""
@@ -432,17 +416,6 @@ def exif_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "iso", F.coalesce(dates.iso_to_ts(F.col("iso")), F.lit(-1)).alias("taken"), dates.iso_local(F.col("offset")).alias("local"))
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS before, (SELECT count(*) FROM documents) AS after, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained")
-def multiset_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content digests before and after a move plan is carried out on paper: nothing is lost or gained."""
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"))
-    moved = files.withColumn("root", F.when(F.col("id") % 2 == 0, "review").otherwise("source"))
-    a, b = files.groupBy("h").agg(F.count("*").alias("a")), moved.groupBy("h").agg(F.count("*").alias("b"))
-    zero = F.lit(0).cast("long")
-    both = a.join(b, "h", "full_outer").select(F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b"))
-    return both.agg(F.sum("a").alias("before"), F.sum("b").alias("after"), F.sum(F.greatest(F.col("a") - F.col("b"), zero)).alias("lost"), F.sum(F.greatest(F.col("b") - F.col("a"), zero)).alias("gained"))
-
-
 @query("SELECT event_id, CASE WHEN s < 1024 THEN printf('%d B', s) WHEN s < 1048576 THEN printf('%.1f KB', s / 1024) ELSE printf('%.1f MB', s / 1048576) END AS size FROM (SELECT event_id, event_id * 513 AS s FROM events)")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", display.human_bytes(F.col("event_id") * 513).alias("size"))
