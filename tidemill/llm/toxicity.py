@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -59,16 +60,35 @@ class Model:
         return out
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], *, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, least_rows: int = LEAST_ROWS, toxic_weight: float = TOXIC_WEIGHT) -> Model:
+@dataclass
+class Sample:
+    """Rows of slots end to end, where each begins, and their labels, in the order of learning."""
+
+    slots: np.ndarray
+    ends: np.ndarray
+    labels: np.ndarray
+    order: np.ndarray
+
+    def common(self, least_rows: int, step: int = 512) -> Sample:
+        """Only slots that `least_rows` rows have; `step` rows at a time."""
+        blocks = [self.ends[at : at + step + 1] for at in range(0, len(self.labels), step)]
+        seen = np.zeros(SLOTS, np.int64)
+        for own in blocks:
+            seen += np.bincount(self.slots[own[0] : own[-1]], minlength=SLOTS)
+        frequent, parts, ends = seen >= least_rows, [], [np.zeros(1, np.int64)]
+        for own in blocks:
+            kept = frequent[self.slots[own[0] : own[-1]]]
+            parts.append(self.slots[own[0] : own[-1]][kept])
+            ends.append(ends[-1][-1] + np.concatenate([[0], np.cumsum(kept)])[own[1:] - own[0]])
+        return Sample(np.concatenate(parts), np.concatenate(ends), self.labels, self.order)
+
+
+def ftrl(sample: Sample, *, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, least_rows: int = LEAST_ROWS, toxic_weight: float = TOXIC_WEIGHT) -> Model:
     """FTRL-proximal with a bias that L1 leaves alone. With one kind of label only, the bias is its share."""
-    labels = [y for _, y in rows]
-    share = sum(labels) / len(labels) if labels else 0.0
+    share = float(sample.labels.mean()) if len(sample.labels) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(0, np.int32), np.zeros(0), np.inf if share else -np.inf)
-    seen = np.zeros(SLOTS, np.int32)
-    for slots, _ in rows:
-        seen[slots] += 1
-    rows = [(slots[seen[slots] >= least_rows], label) for slots, label in rows]
+    sample = sample.common(least_rows)
     z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
     rate = np.full(SLOTS + 1, l1)
     rate[SLOTS] = 0.0
@@ -78,8 +98,9 @@ def ftrl(rows: list[tuple[np.ndarray, int]], *, epochs: int = EPOCHS, alpha: flo
         return np.where(np.abs(own) <= rate[at], 0.0, (np.sign(own) * rate[at] - own) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
     for _ in range(epochs):
-        for slots, label in rows:
-            at = np.append(slots, SLOTS)
+        for row in sample.order:
+            label = sample.labels[row]
+            at = np.append(sample.slots[sample.ends[row] : sample.ends[row + 1]], SLOTS)
             w = weights(at)
             g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (toxic_weight if label else 1.0)
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
@@ -107,17 +128,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
         cache = WordHashes()
         for batch in batches:
             slots = [features(x, cache).tobytes() for x in texts_of(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.binary())], ["_order", "_toxic", "slots"])
-
-    found = sample.select("_order", "_toxic", "text").mapInArrow(featured, "_order long, _toxic int, slots binary").toArrow()
-    found = found.sort_by([("_order", "ascending"), ("slots", "ascending"), ("_toxic", "ascending")])
-    labels_of = [int(bool(y)) for y in found.column("_toxic").to_pylist()]
-    slots_of = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")]
-    model = ftrl(list(zip(slots_of, labels_of, strict=True)))
-    # the driver goes on to other work: what the sample took goes back
-    del found, slots_of
-    pa.default_memory_pool().release_unused()
-    return model
+            tie = np.array([xxhash.xxh3_64_intdigest(x) for x in slots], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tie), pa.array(slots, pa.binary())], ["_order", "_toxic", "tie", "slots"])
+
+    found = sample.select("_order", "_toxic", "text").mapInArrow(featured, "_order long, _toxic int, tie long, slots binary").toArrow()
+    learnt = sample_of(found)
+    del found
+    return ftrl(learnt)
+
+
+def sample_of(found: pa.Table) -> Sample:
+    """The sample as a few large arrays, which go back to the system as a whole once the driver is done with them."""
+    labels = (found.column("_toxic").to_numpy() != 0).astype(np.int8)
+    order = np.lexsort((labels, found.column("tie").to_numpy(), found.column("_order").to_numpy()))
+    sizes, parts = [], []
+    for chunk in found.column("slots").chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32 if pa.types.is_binary(chunk.type) else np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        sizes.append(np.diff(ends) // 4)
+        parts.append(np.frombuffer(chunk.buffers()[2] or b"", np.int32)[ends[0] // 4 : ends[-1] // 4])
+    slots = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return Sample(slots, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64), labels, order)
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
