@@ -22,6 +22,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads straight to a root: no node has two neighbours below it, or one below and one above."""
+    below = edges.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    above = edges.select(F.col("b").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    nodes = below.unionByName(above).groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not nodes.filter((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).limit(1).count()
+
+
 def connected_components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
     """id, component of every node of `edges` (a, b): component is the smallest id reachable.
 
@@ -29,15 +37,12 @@ def connected_components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
     shared folder, so a lost executor never costs more than the current round. Self-loops, nulls and repeated edges don't matter.
     """
     edges = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, mark = cut(edges, "edges"), None
+    edges = cut(edges, "edges")
     for _ in range(rounds):
-        after = cut(_small_star(_large_star(edges)).distinct(), "edges")
-        release(edges)
-        edges = after
-        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).collect()[0]
-        if state == mark:
+        if _settled(edges):
             break
-        mark = state
+        before, edges = edges, cut(_small_star(_large_star(edges)).distinct(), "edges")
+        release(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
