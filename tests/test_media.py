@@ -266,3 +266,83 @@ def test_analysis_takes_every_file(spark, tmp_path, monkeypatch):
     W.run_analysis(ws)
     assert sorted(ws.catalog.read("file_analysis").collect()) == first
     ws.close()
+
+
+def test_manual_actions(spark, archive):
+    """One operation an item, kept items are reviewed and journaled, undo clears the mark; a lost journal is found again."""
+    ws = W.open_workspace(spark, str(archive / "src"), str(archive / "review"), str(archive / "delete"))
+    W.run_scan(ws)
+    before = contents(archive / "src")
+    ids = [ws.catalog.file_by_path("source", x)["id"] for x in ("clip.mp4", "2020/shot.png", "empty.jpg")]
+    assert W.run_item_action(ws, ids[:2], "keep", dry_run=False) == {"moved": 0, "errors": 0, "kept": 2}
+    assert all(ws.catalog.file(i)["reviewed_at"] for i in ids[:2]) and not ws.catalog.file(ids[2])["reviewed_at"]
+    assert contents(archive / "src") == before and ws.catalog.read("journal").select("op_id").distinct().count() == 2
+    assert W.run_undo(ws, "last", dry_run=False)["moved"] == 1
+    assert sum(bool(ws.catalog.file(i)["reviewed_at"]) for i in ids) == 1
+    W.run_item_action(ws, [ids[2]], "to_delete", dry_run=False)
+    assert W.run_item_action(ws, [ids[2]], "to_delete", dry_run=False) == {"moved": 0, "errors": 0}
+    assert W.run_group_decision(ws, [ids[2]], [ids[0]], dry_run=False)[1]["moved"] == 1
+    assert ws.catalog.file(ids[2])["root"] == "source" and ws.catalog.file(ids[0])["root"] == "delete"
+
+    # the process dies after a move, before its journal is written
+    moves = W.with_ops([{"file_id": ids[1], "item_id": ids[1], "src_root": "source", "src_rel": "2020/shot.png", "dst_root": "review", "dst_rel": "junk/shot.png", "size": 1}], action="to_review")
+    mover.carry_out(moves, ws.roots, dry_run=False, log=ws.move_log)
+    rows = ws.catalog.read("journal").count()
+    ws.close()
+    ws = W.open_workspace(spark, str(archive / "src"), str(archive / "review"), str(archive / "delete"))
+    assert ws.catalog.read("journal").count() == rows + 1 and ws.catalog.file(ids[1])["root"] == "review" and not os.path.exists(ws.move_log)
+    assert W.run_undo(ws, "all", dry_run=False)["errors"] == 0
+    assert contents(archive / "src") == before
+    ws.close()
+
+
+def test_pointers_survive(spark, archive):
+    ws = W.open_workspace(spark, str(archive / "src"), str(archive / "review"), str(archive / "delete"))
+    for k in range(3):
+        ws.catalog.set_setting("k", k)
+    assert ws.catalog.setting("k") == 2 and ws.catalog.vacuum("settings") == 2 and ws.catalog.setting("k") == 2
+    (archive / "review" / W.CATALOG_DIR / "settings" / "next-v-dead").write_text("v-dead")  # a writer that died before its rename
+    assert ws.catalog.setting("k") == 2
+    ws.close()
+
+
+def test_numbers_follow_the_order(spark):
+    from tidemill.operators.numbering import numbered
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v")).repartition(5)
+    got = numbered(rows, "v", start=10).collect()
+    assert {(r.v, r.nth) for r in got} == {(v, v + 11) for v in range(5000)}
+
+
+def test_quantiles_and_hash_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k % 3 if k % 50 else None, float(v)) for k, v in enumerate(rng.normal(size=2000))] + [(7, 1.5), (8, 2.0), (8, 2.0), (9, None)]
+    got = {r.k: r for r in report.quantiles(spark.createDataFrame(rows, "k int, v double"), "k", "v", {"p99": 0.99, "mid": 0.5}, buckets=16).collect()}
+    for k in (0, 1, 2, None, 7, 8):
+        own = [v for a, v in rows if a == k and v is not None]
+        assert np.allclose([got[k].p99, got[k].mid], np.percentile(own, [99, 50]))
+    hashes = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 60)]
+    hashes += [h ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False)) - (0) if n else h for h, n in zip(hashes[:20], range(20), strict=True)]
+    hashes = [h - (1 << 64) if h >= 1 << 63 else h for h in hashes]
+    frame = spark.createDataFrame(list(enumerate(hashes)), "id long, phash long")
+    apart = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    for limit in (3, 11):
+        want = {(a, b) for a in range(80) for b in range(a + 1, 80) if apart(hashes[a], hashes[b]) <= limit}
+        assert {(r.a, r.b) for r in similar.hash_pairs(frame, limit).collect()} == want
+
+
+def test_streams(spark, tmp_path):
+    """Listings that arrive one after the other give diffs; windows close behind the watermark."""
+    from tidemill.streaming import follow
+
+    for k, sizes in enumerate([{"a": 1, "b": 2}, {"a": 1, "b": 3, "c": 4}, {"b": 3}]):
+        rows = spark.createDataFrame([("source", p, n, 10**9) for p, n in sizes.items()], "root string, rel_path string, size long, mtime_ns long").withColumn("scan_ts", F.current_timestamp())
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        follow.follow_listings(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+        got = {r.rel_path: r.change for r in spark.read.parquet(str(tmp_path / "out" / f"diff={k}")).collect()}
+        assert got == [{"a": "new", "b": "new"}, {"a": "unchanged", "b": "changed", "c": "new"}, {"a": "missing", "b": "unchanged", "c": "missing"}][k]
+    events = spark.createDataFrame([("2024-01-01 00:10:00", "x", 1.0), ("2024-01-01 00:50:00", "x", 2.0), ("2024-01-01 03:00:00", "y", 4.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = follow.windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")))
+    stream.writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [(r.event_type, r.n, r.value) for r in spark.table("closed").collect()] == [("x", 2, 3.0)]

@@ -48,13 +48,26 @@ def session_counters(journal: DataFrame, files: DataFrame, session_id: int) -> D
 
 
 def undo_plan(journal: DataFrame, files: DataFrame, ops: DataFrame) -> DataFrame:
-    """The rows of `ops`, newest first, with where each file goes back to and whether it can: it must be present where the row left it."""
-    at = files.select(F.col("id").alias("file_id"), F.col("root").alias("_root"), F.col("rel_path").alias("_rel"), F.col("status").alias("_status"))
-    rows = journal.join(ops.select("op_id"), "op_id", "left_semi").filter(F.col("undone_by").isNull() & ~F.col("action").isin(*NOT_UNDOABLE)).join(at, "file_id", "left")
-    here = (F.col("_root") == F.col("to_root")) & (F.col("_rel") == F.col("to_rel")) & (F.col("_status") == "present")
-    valid = F.when(F.col("action") == "keep", F.lit(True)).otherwise(F.coalesce(here, F.lit(False)))
+    """The rows of `ops`, newest first, with where each file goes back to and whether it can.
+
+    A file must be present where the row left it, once the newer rows of the plan are undone: the rows of one file are gone
+    through from the newest, each valid one taking it to where it came from. A keep without a move is always valid.
+    """
+    at = files.select(F.col("id").alias("file_id"), F.struct(F.col("root").alias("root"), F.col("rel_path").alias("rel")).alias("_at"), (F.col("status") == "present").alias("_present"))
+    rows = journal.join(ops.select("op_id"), "op_id", "left_semi").filter(F.col("undone_by").isNull() & ~F.col("action").isin(*NOT_UNDOABLE))
+    row = F.struct("id", "op_id", "action", "from_root", "from_rel", "to_root", "to_rel")
+    chains = rows.groupBy("file_id").agg(F.sort_array(F.collect_list(row), asc=False).alias("_rows")).join(at, "file_id", "left")
+    flags = F.array().cast("array<boolean>")
+
+    def step(state: Column, r: Column) -> Column:
+        here = F.coalesce((state["at"]["root"] == r["to_root"]) & (state["at"]["rel"] == r["to_rel"]) & F.col("_present"), F.lit(False))
+        back = F.struct(r["from_root"].alias("root"), r["from_rel"].alias("rel"))
+        return F.struct(F.when(here, back).otherwise(state["at"]).alias("at"), F.concat(state["flags"], F.array(here | (r["action"] == "keep"))).alias("flags"))
+
+    walked = chains.withColumn("_flags", F.aggregate("_rows", F.struct(F.col("_at").alias("at"), flags.alias("flags")), step, lambda state: state["flags"]))
+    each = walked.select("file_id", F.explode(F.arrays_zip("_rows", "_flags")).alias("_r")).select("file_id", "_r._rows.*", F.col("_r._flags").alias("valid"))
     clears = F.col("action").isin("keep", "restore")
-    return rows.select(F.col("id").alias("undoes"), "op_id", "file_id", F.col("to_root").alias("src_root"), F.col("to_rel").alias("src_rel"), F.col("from_root").alias("dst_root"), F.col("from_rel").alias("dst_rel"), valid.alias("valid"), clears.alias("clears_reviewed"), (F.col("action") == "detach_live").alias("relinks")).orderBy(F.col("undoes").desc())
+    return each.select(F.col("id").alias("undoes"), "op_id", "file_id", F.col("to_root").alias("src_root"), F.col("to_rel").alias("src_rel"), F.col("from_root").alias("dst_root"), F.col("from_rel").alias("dst_rel"), "valid", clears.alias("clears_reviewed"), (F.col("action") == "detach_live").alias("relinks")).orderBy(F.col("undoes").desc())
 
 
 def net_state(journal: DataFrame) -> DataFrame:
@@ -96,10 +109,17 @@ def apply_plan(candidates: DataFrame, files: DataFrame, categories: list[str]) -
 
 
 def item_action(files: DataFrame, item_ids: DataFrame, action: str) -> DataFrame:
-    """keep returns staged items to the source and marks them reviewed; to_delete and restore move them to delete and source."""
+    """keep and restore return staged items to the source, both as restore; to_delete moves items to delete. `kept_in_place` has the kept ones that stay."""
     items = item_ids.select("item_id").withColumn("dst_dir", F.lit(None).cast("string"))
     root = {"keep": "source", "to_delete": "delete", "restore": "source"}[action]
-    return move_specs(files.filter(F.col("root") != root), items, root).withColumn("action", F.lit(action))
+    return move_specs(files.filter(F.col("root") != root), items, root).withColumn("action", F.lit("restore" if root == "source" else action))
+
+
+def kept_in_place(files: DataFrame, item_ids: DataFrame) -> DataFrame:
+    """Journal rows of items of the source that are kept where they are: from and to are the same."""
+    own = files.filter((F.col("root") == "source") & (F.col("status") == "present")).join(item_ids.select("item_id"), "item_id", "left_semi")
+    at = F.col("rel_path")
+    return own.select(F.col("id").alias("file_id"), "item_id", F.col("root").alias("src_root"), at.alias("src_rel"), F.col("root").alias("dst_root"), at.alias("dst_rel"), at.alias("to_rel"), "size", F.lit("keep").alias("action"), F.lit("none").alias("method"), F.lit(False).alias("conflict"), F.lit(None).cast("string").alias("error"))
 
 
 def live_videos(files: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ _STAGED = """
 
 
 @query(f"""WITH {_STAGED} SELECT id AS file_id, 'to_delete' AS action, 'delete' AS dst_root, origin AS dst_rel, origin AS origin_after FROM f WHERE root <> 'delete' AND item_id % 8 = 0
-    UNION ALL SELECT id, 'keep', 'source', origin, NULL FROM f WHERE root <> 'source' AND item_id % 8 = 2""")
+    UNION ALL SELECT id, 'restore', 'source', origin, NULL FROM f WHERE root <> 'source' AND item_id % 8 = 2""")
 def group_decision_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = staged_files(spark, sf_dir)
     items = files.select("item_id").distinct()

@@ -10,13 +10,14 @@ import os
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import hashing
 from tidemill.functions.config import ClassifyConfig
 from tidemill.functions.constants import CATEGORIES, MEDIA_KINDS
 from tidemill.operators import dedupe, journal, link, report, rules, snapshot
+from tidemill.operators.numbering import numbered
 from tidemill.session import cut
 from tidemill.sources import headers, images, mover, sinks, tree
 from tidemill.sources.catalog import Catalog, CatalogLock, utcnow
@@ -38,6 +39,15 @@ class Workspace:
     session_id: int | None
     recursive: bool = True
 
+    @property
+    def move_log(self) -> str:
+        return os.path.join(self.roots["review"], CATALOG_DIR, "moves.log")
+
+    def touch(self) -> None:
+        """Tells others that the lock's owner is alive."""
+        if self.lock:
+            self.lock.touch()
+
     def close(self) -> None:
         if self.session_id is not None:
             self.catalog.end_session(self.session_id)
@@ -67,7 +77,28 @@ def open_workspace(spark: SparkSession, source: str, review: str | None = None,
             catalog.write("jobs", running.withColumn("state", F.when(F.col("state") == "running", "interrupted").otherwise(F.col("state"))))
         catalog.record_roots(source, review, delete)
         session = catalog.start_session(session_kind)
-    return Workspace(spark, {"source": os.path.abspath(source), "review": os.path.abspath(review), "delete": os.path.abspath(delete)}, catalog, lock, session, recursive)
+    ws = Workspace(spark, {"source": os.path.abspath(source), "review": os.path.abspath(review), "delete": os.path.abspath(delete)}, catalog, lock, session, recursive)
+    if not read_only:
+        for root in ("review", "delete"):
+            mover.sweep_parts(ws.roots[root])
+        recover(ws)
+    return ws
+
+
+def recover(ws: Workspace) -> int:
+    """Records the moves of a process that died between moving files and writing its journal."""
+    known = {(r["op_id"], r["file_id"]) for r in ws.catalog.read("journal").select("op_id", "file_id").join(_logged(ws), ["op_id", "file_id"], "left_semi").collect()}
+    lost = [m for m in mover.unrecorded(ws.move_log, ws.roots) if (m["op_id"], m["file_id"]) not in known]
+    record_moves(ws, lost)
+    if os.path.exists(ws.move_log):
+        os.unlink(ws.move_log)
+    return len(lost)
+
+
+def _logged(ws: Workspace) -> DataFrame:
+    """op_id, file_id of the logged moves, at most `MOST_MOVES` of one call."""
+    rows = [(m["op_id"], m["file_id"]) for m in mover.unrecorded(ws.move_log, ws.roots)]
+    return ws.spark.createDataFrame(rows, "op_id string, file_id long")
 
 
 def run_scan(ws: Workspace) -> dict[str, int]:
@@ -75,6 +106,8 @@ def run_scan(ws: Workspace) -> dict[str, int]:
     listed = tree.scan_roots(ws.spark, *ws.roots.values(), recursive=ws.recursive)
     failed = [r["rel_path"] for r in listed.filter(F.col("error").isNotNull()).select("rel_path").collect()]
     seen = listed.filter(F.col("error").isNull())
+    ws.catalog.add_issues([(f, "list_error", "the folder could not be listed") for f in failed])
+    ws.touch()
     old, now = ws.catalog.read("files"), utcnow()
     gen = int(ws.catalog.setting("scan_gen", 0)) + 1
     diff = snapshot.snapshot_diff(old, seen, failed_dirs=tuple(failed))
@@ -83,7 +116,7 @@ def run_scan(ws: Workspace) -> dict[str, int]:
     fresh = seen.select("root", "rel_path", F.col("rel_path_os").alias("_os"))
     rows = diff.join(known, ["root", "rel_path"], "left").join(fresh, ["root", "rel_path"], "left").join(old.select("root", "rel_path", F.col("rel_path_os").alias("_old_os")), ["root", "rel_path"], "left")
     # new ids are dealt in the order of paths, among new rows only
-    numbers = diff.filter("change = 'new'").select("root", "rel_path", (F.row_number().over(Window.orderBy("root", "rel_path")) + start).alias("_new"))
+    numbers = numbered(diff.filter("change = 'new'").select("root", "rel_path"), "root", "rel_path", column="_new", start=start)
     rows = rows.join(numbers, ["root", "rel_path"], "left").withColumn("id", F.coalesce("id", "_new"))
     met = F.col("change").isin("new", "changed", "unchanged")
     rows = rows.withColumn("first_seen", F.coalesce("first_seen", F.lit(now))).withColumn("last_seen", F.when(met, now).otherwise(F.col("last_seen"))).withColumn("seen_gen", F.when(met, gen).otherwise(F.col("seen_gen")))
@@ -204,9 +237,32 @@ def record_moves(ws: Workspace, moves: list[dict], *, undoes: bool = False) -> d
         both = both.withColumn("root", F.coalesce("_root", "root")).withColumn("rel_path", F.coalesce("_rel", "rel_path")).withColumn("name", F.substring_index("rel_path", "/", -1))
         both = both.withColumn("dir_path", tree.names.dirname(F.col("rel_path"))).withColumn("stem", tree.names.stem(F.col("name"))).withColumn("rel_path_os", F.when(here, F.lit(None)).otherwise(F.col("rel_path_os")))
         ws.catalog.write("files", both)
+    wrong = [(m["src_rel"], "move_error", m["error"]) for m in moves if m["error"]]
+    ws.catalog.add_issues(wrong + [(m["dst_rel"], "name_conflict", f"stored as {m['to_rel']}") for m in fine if m["conflict"]])
     return {"moved": len(fine), "errors": len(moves) - len(fine)}
 
 
+def move(ws: Workspace, moves: list[dict], *, dry_run: bool) -> list[dict]:
+    """Carries out and journals moves; the log of intents goes once the journal has them."""
+    done = mover.carry_out(moves, ws.roots, dry_run=dry_run, log=ws.move_log)
+    if not dry_run:
+        ws.touch()
+        record_moves(ws, done)
+        if os.path.exists(ws.move_log):
+            os.unlink(ws.move_log)
+    return done
+
+
+def tally(done: list[dict]) -> dict[str, int]:
+    return {"moved": sum(m["error"] is None for m in done), "errors": sum(m["error"] is not None for m in done)}
+
+
+def with_ops(moves: list[dict], **more: object) -> list[dict]:
+    """One operation an item, so that undoing the last one puts whole items back."""
+    ops: dict[int, str] = {}
+    return [m | {"op_id": ops.setdefault(m["item_id"], uuid.uuid4().hex)} | more for m in moves]
+
+
 def run_apply(ws: Workspace, categories: list[str] | None = None, *, dry_run: bool = True) -> dict[str, int]:
     """Moves unapplied candidates to the review folder, one operation an item."""
     cfg = ws.catalog.config()
@@ -216,32 +272,42 @@ def run_apply(ws: Workspace, categories: list[str] | None = None, *, dry_run: bo
         raise ValueError(f"unknown categories: {sorted(unknown)}")
     found = ws.catalog.candidates(int(ws.catalog.setting("last_run", 0)))
     moves = [r.asDict() for r in journal.apply_plan(found, ws.catalog.read("files"), wanted).orderBy("item_id", "file_id").limit(MOST_MOVES).collect()]
-    ops: dict[int, str] = {}
-    for m in moves:
-        m |= {"op_id": ops.setdefault(m["item_id"], uuid.uuid4().hex), "action": "to_review"}
-    done = mover.carry_out(moves, ws.roots, dry_run=dry_run)
+    done = move(ws, with_ops(moves, action="to_review"), dry_run=dry_run)
     if dry_run:
         return {"moved": 0, "planned": len(done), "bytes": sum(m["size"] for m in done)}
-    out = record_moves(ws, done)
     applied = ws.spark.createDataFrame([(m["file_id"], m["op_id"]) for m in done if not m["error"]], "file_id long, _op string")
     marked = ws.catalog.read("candidates").join(applied, "file_id", "left").withColumn("applied_op", F.coalesce("applied_op", "_op"))
     ws.catalog.write("candidates", marked)
-    return out
+    return tally(done)
 
 
 def run_live_photos(ws: Workspace, *, dry_run: bool = True) -> dict[str, int]:
     """Detaches live videos from their photos."""
-    moves = [r.asDict() | {"src_root": "source", "op_id": uuid.uuid4().hex, "action": "detach_live"} for r in journal.live_videos(ws.catalog.read("files")).limit(MOST_MOVES).collect()]
-    done = mover.carry_out(moves, ws.roots, dry_run=dry_run)
-    return {"planned": len(done)} if dry_run else record_moves(ws, done)
+    moves = [r.asDict() | {"src_root": "source"} for r in journal.live_videos(ws.catalog.read("files")).limit(MOST_MOVES).collect()]
+    done = move(ws, with_ops(moves, action="detach_live"), dry_run=dry_run)
+    return {"planned": len(done)} if dry_run else tally(done)
 
 
 def run_item_action(ws: Workspace, item_ids: list[int], action: str, *, dry_run: bool = True) -> dict[str, int]:
-    """keep, to_delete or restore of whole items."""
+    """keep, to_delete or restore of whole items, one operation each. keep marks items of source and review as reviewed."""
     items = ws.spark.createDataFrame([(i,) for i in item_ids], "item_id long")
-    moves = [r.asDict() | {"op_id": uuid.uuid4().hex} for r in journal.item_action(ws.catalog.read("files"), items, action).collect()]
-    done = mover.carry_out(moves, ws.roots, dry_run=dry_run)
-    return {"planned": len(done)} if dry_run else record_moves(ws, done)
+    files = ws.catalog.read("files")
+    moves = with_ops([r.asDict() for r in journal.item_action(files, items, action).collect()])
+    stay = journal.kept_in_place(files, items) if action == "keep" else None
+    kept = with_ops([r.asDict() for r in stay.collect()]) if stay is not None else []
+    if dry_run:
+        return {"planned": len(mover.carry_out(moves, ws.roots)) + len(kept)}
+    seen = cut(files.filter(F.col("root").isin("source", "review")).join(items, "item_id", "left_semi").select("item_id").distinct(), "seen") if action == "keep" else None
+    done = move(ws, moves, dry_run=False)
+    record_moves(ws, kept)
+    if seen is not None:
+        ws.catalog.set_reviewed(seen)
+    return tally(done) | ({"kept": len({m["item_id"] for m in kept})} if action == "keep" else {})
+
+
+def run_group_decision(ws: Workspace, keep: list[int], delete: list[int], *, dry_run: bool = True) -> list[dict[str, int]]:
+    """A group's kept items go back or stay, the others go to delete."""
+    return [run_item_action(ws, keep, "keep", dry_run=dry_run), run_item_action(ws, delete, "to_delete", dry_run=dry_run)]
 
 
 def run_undo(ws: Workspace, scope: str = "last", *, session_id: int | None = None, category: str | None = None, dry_run: bool = True) -> dict[str, int]:
@@ -254,15 +320,20 @@ def run_undo(ws: Workspace, scope: str = "last", *, session_id: int | None = Non
     plan = journal.undo_plan(rows, ws.catalog.read("files"), ops)
     own = [r.asDict() for r in plan.limit(MOST_MOVES).collect()]
     items = {r["id"]: r["item_id"] for r in ws.catalog.read("files").select("id", "item_id").join(plan.select(F.col("file_id").alias("id")), "id", "left_semi").collect()}
-    moves = [m | {"action": "undo", "op_id": uuid.uuid4().hex, "item_id": items.get(m["file_id"])} for m in own if m["valid"]]
-    done = mover.carry_out(moves, ws.roots, dry_run=dry_run)
+    ops_of: dict[str, str] = {}
+    moves = [m | {"action": "undo", "op_id": ops_of.setdefault(m["op_id"], uuid.uuid4().hex), "item_id": items.get(m["file_id"])} for m in own if m["valid"]]
     skipped = len(own) - len(moves)
+    still = [m | {"to_rel": m["dst_rel"], "method": "none", "conflict": False, "error": None} for m in moves if (m["src_root"], m["src_rel"]) == (m["dst_root"], m["dst_rel"])]
     if dry_run:
-        return {"planned": len(done), "skipped": skipped}
-    out = record_moves(ws, done) | {"skipped": skipped}
+        return {"planned": len(mover.carry_out(moves, ws.roots)) + len(still), "skipped": skipped}
+    done = move(ws, moves, dry_run=False)
+    record_moves(ws, still)
+    cleared = {m["item_id"] for m in [*done, *still] if m["clears_reviewed"] and m["error"] is None}
+    if cleared:
+        ws.catalog.set_reviewed(ws.spark.createDataFrame([(i,) for i in cleared], "item_id long"), False)
     if any(m["relinks"] for m in done):
         relink(ws)
-    return out
+    return tally([*done, *still]) | {"skipped": skipped}
 
 
 def run_purge(ws: Workspace, *, dry_run: bool = True) -> dict[str, int]:

@@ -1,7 +1,8 @@
-"""The catalog: versioned parquet snapshots of every table behind a pointer that is replaced last.
+"""The catalog: versioned parquet snapshots of every table behind numbered pointers.
 
-A table's versions are folders; readers follow the pointer, writers add a folder and then move the pointer, so a failed write is
-never seen and no path is overwritten while it is read. Small tables (settings, sessions, jobs, issues) use the same way.
+A table's versions are folders, and a pointer is a small file `at-<number>` that names one; the greatest number counts. Writers add a
+folder, then a pointer by one rename, and take nothing away, so a failed write is never seen, a crash leaves the version before, and no path
+is overwritten while it is read. Small tables (settings, sessions, jobs, issues) use the same way.
 """
 
 from __future__ import annotations
@@ -56,14 +57,18 @@ class Catalog:
 
     # pointer files
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.base}/{name}/CURRENT"
+    def _pointers(self, name: str) -> list[str]:
+        """Names of the pointers, the newest last."""
+        folder = self._path(f"{self.base}/{name}")
+        if not self._fs.exists(folder):
+            return []
+        return sorted(n for n in (f.getPath().getName() for f in self._fs.listStatus(folder)) if n.startswith("at-"))
 
     def _current(self, name: str) -> str | None:
-        at = self._path(self._pointer(name))
-        if not self._fs.exists(at):
+        pointers = self._pointers(name)
+        if not pointers:
             return None
-        stream = self._fs.open(at)
+        stream = self._fs.open(self._path(f"{self.base}/{name}/{pointers[-1]}"))
         try:
             return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
         finally:
@@ -81,18 +86,21 @@ class Catalog:
         own = table.select(*[(F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema])
         version = f"v-{uuid.uuid4().hex}"
         own.write.parquet(f"{self.base}/{name}/{version}")
-        beside = self._path(self._pointer(name) + ".next")
+        pointers = self._pointers(name)
+        number = int(pointers[-1].removeprefix("at-")) + 1 if pointers else 1
+        beside, target = self._path(f"{self.base}/{name}/next-{version}"), self._path(f"{self.base}/{name}/at-{number:012d}")
         stream = self._fs.create(beside, True)
         stream.write(bytearray(version.encode()))
         stream.close()
-        target = self._path(self._pointer(name))
-        self._fs.delete(target, False)
-        self._fs.rename(beside, target)
+        if not self._fs.rename(beside, target):
+            raise Locked(f"another process wrote {name}")
         return self.read(name)
 
     def vacuum(self, name: str) -> int:
-        """Deletes all versions but the current one."""
+        """Deletes all versions but the current one, and their pointers."""
         current, gone = self._current(name), 0
+        for pointer in self._pointers(name)[:-1]:
+            self._fs.delete(self._path(f"{self.base}/{name}/{pointer}"), False)
         for status in self._fs.listStatus(self._path(f"{self.base}/{name}")):
             own = status.getPath().getName()
             if own.startswith("v-") and own != current:
@@ -156,8 +164,17 @@ class Catalog:
         rows = rows.filter(F.col("state").isin(*states)) if states else rows
         return rows.orderBy(F.col("id").desc()).limit(limit)
 
-    def add_issue(self, job_id: int | None, path: str | None, kind: str, message: str) -> None:
-        self.put("issues", [(self._next("issues"), job_id, utcnow(), path, kind, message[:2000])], "id")
+    def add_issues(self, rows: list[tuple[str | None, str, str]], job_id: int | None = None) -> None:
+        """Appends (path, kind, message); messages are cut at 2,000 characters."""
+        if rows:
+            first, now = self._next("issues"), utcnow()
+            self.put("issues", [(first + k, job_id, now, path, kind, message[:2000]) for k, (path, kind, message) in enumerate(rows)], "id")
+
+    def set_reviewed(self, items: DataFrame, reviewed: bool = True) -> None:
+        """Marks all files of `items` (item_id), or clears the mark."""
+        mine = items.select("item_id").distinct().withColumn("_mine", F.lit(True))
+        files = self.read("files").join(mine, "item_id", "left")
+        self.write("files", files.withColumn("reviewed_at", F.when(F.col("_mine"), F.lit(utcnow() if reviewed else None)).otherwise(F.col("reviewed_at"))))
 
     def issues(self, job_id: int | None = None, limit: int = 200) -> DataFrame:
         rows = self.read("issues")

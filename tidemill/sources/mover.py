@@ -1,8 +1,13 @@
-"""Carries out a move plan, on the driver's side and outside of Spark: plans are data, this is the one place that touches files."""
+"""Carries out a move plan, on the driver's side and outside of Spark: plans are data, this is the one place that touches files.
+
+Every move is written to a log before it is made, so that moves whose journal rows were never written, as the process died, are
+found again and recorded.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import shutil
 from collections.abc import Callable, Iterable
@@ -31,11 +36,15 @@ def digest(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def move_file(source: str, target: str, *, dry_run: bool = True) -> tuple[str, str]:
-    """The path that the file gets and how: rename, or copy, compare and delete between volumes. Nothing is ever overwritten."""
+def move_file(source: str, target: str, *, dry_run: bool = True, intent: Callable[[str], None] = lambda target: None) -> tuple[str, str]:
+    """The path that the file gets and how: rename, or copy, compare and delete between volumes. Nothing is ever overwritten.
+
+    `intent` is told the path before anything is touched.
+    """
     target = free_path(target)
     if dry_run:
         return target, "dry_run"
+    intent(target)
     os.makedirs(os.path.dirname(target), exist_ok=True)
     if os.stat(source).st_dev == os.stat(os.path.dirname(target)).st_dev:
         os.rename(source, target)
@@ -50,22 +59,52 @@ def move_file(source: str, target: str, *, dry_run: bool = True) -> tuple[str, s
     return target, "copy"
 
 
-def carry_out(moves: Iterable[dict], roots: dict[str, str], *, dry_run: bool = True, cancelled: Callable[[], bool] = lambda: False) -> list[dict]:
-    """Each move (src_root, src_rel, dst_root, dst_rel) with to_rel, method, conflict or error; a failed file doesn't stop the others."""
+def carry_out(moves: Iterable[dict], roots: dict[str, str], *, dry_run: bool = True, log: str | None = None, cancelled: Callable[[], bool] = lambda: False) -> list[dict]:
+    """Each move (src_root, src_rel, dst_root, dst_rel) with to_rel, method, conflict or error; a failed file doesn't stop the others.
+
+    A file that is where it should be already is left out. With `log`, intents go there, one line each, written through to the disk.
+    """
     done = []
     for move in moves:
         if cancelled():
             break
+        if (move["src_root"], move["src_rel"]) == (move["dst_root"], move["dst_rel"]):
+            continue
         source = os.path.join(roots[move["src_root"]], move["src_rel"])
         wanted = os.path.join(roots[move["dst_root"]], move["dst_rel"])
+
+        def intent(target: str, move: dict = move) -> None:
+            if log:
+                with open(log, "a", encoding="utf-8") as f:
+                    f.write(json.dumps(move | {"to_rel": os.path.relpath(target, roots[move["dst_root"]])}) + "\n")
+                    f.flush()
+                    os.fsync(f.fileno())
+
         try:
-            got, method = move_file(source, wanted, dry_run=dry_run)
+            got, method = move_file(source, wanted, dry_run=dry_run, intent=intent)
             done.append(move | {"to_rel": os.path.relpath(got, roots[move["dst_root"]]), "method": method, "conflict": got != wanted, "error": None})
         except OSError as error:
             done.append(move | {"to_rel": None, "method": None, "conflict": False, "error": str(error)[:2000]})
     return done
 
 
+def unrecorded(log: str, roots: dict[str, str]) -> list[dict]:
+    """The logged moves that were made: their file has left its place and is where it was meant to go."""
+    if not os.path.exists(log):
+        return []
+    found = []
+    with open(log, encoding="utf-8") as f:
+        for line in f:
+            try:
+                move = json.loads(line)
+            except ValueError:  # the last line, cut off
+                continue
+            left = not os.path.lexists(os.path.join(roots[move["src_root"]], move["src_rel"]))
+            if left and os.path.lexists(os.path.join(roots[move["dst_root"]], move["to_rel"])):
+                found.append(move | {"method": "recovered", "conflict": move["to_rel"] != move["dst_rel"], "error": None})
+    return found
+
+
 def delete_files(paths: Iterable[str], *, dry_run: bool = True) -> list[tuple[str, str | None]]:
     """Each path with the error it met."""
     out = []
