@@ -42,7 +42,7 @@ ROUNDS = 3
 SEED = 11
 K = 20
 GROUP_ROWS = 16_384
-INDEX_BLOCK = 4096
+INDEX_BLOCK = 16_384
 QUERY_BLOCK = 2048
 #: Scores closer than this share of the largest possible score count as ties while a block chooses; what it chose is ranked exactly.
 TIE = 1e-13
@@ -137,21 +137,19 @@ def _strips(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.A
             yield part.column(0), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
-def index_rows(rows: DataFrame, turn: Rotations, tables: int, with_vectors: bool) -> DataFrame:
-    """tab, grp and, if asked for, bucket, id and the vector's bytes, for every table."""
+def hashed_index(rows: DataFrame, turn: Rotations) -> DataFrame:
+    """id, vec (the vector's bytes) and, for every table, the bucket and its group, as an array `places`; written, as it is read twice."""
     kind, dims = rows.schema["id"].dataType.simpleString(), turn.dims
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, vectors in _strips(batches, dims):
-            raw = pa.array([x.tobytes() for x in vectors], pa.binary()) if with_vectors else None
-            for table in range(tables):
-                codes = turn.buckets(vectors.astype(np.float64), table)
-                columns = [pa.array(np.full(len(codes), table, np.int32)), pa.array(turn.group(codes))]
-                if with_vectors:
-                    columns += [pa.array(codes), ids, raw]
-                yield pa.RecordBatch.from_arrays(columns, ["tab", "grp", "bucket", "id", "vec"][: len(columns)])
+            codes = np.stack([turn.buckets(vectors.astype(np.float64), table) for table in range(turn.tables)], axis=1).reshape(-1)
+            ends = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * turn.tables)
+            both = pa.StructArray.from_arrays([pa.array(codes), pa.array(turn.group(codes))], ["bucket", "grp"])
+            raw = pa.array([x.tobytes() for x in vectors], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, raw, pa.ListArray.from_arrays(ends, both)], ["id", "vec", "places"])
 
-    return rows.mapInArrow(hashed, "tab int, grp int" + f", bucket long, id {kind}, vec binary" * with_vectors)
+    return cut(rows.mapInArrow(hashed, f"id {kind}, vec binary, places array<struct<bucket:long,grp:int>>"), "hashed")
 
 
 def query_rows(rows: DataFrame, turn: Rotations, tables: int, with_vectors: bool, every: bool) -> DataFrame:
@@ -218,9 +216,10 @@ def best_pairs(q: np.ndarray, i: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(own)) - start < k]
 
 
-def search(queries: DataFrame, index: DataFrame, turn: Rotations, *, tables: int, k: int, index_block: int, query_block: int, every: bool = False) -> DataFrame:
-    """query_id, id, score: each query's best of every table, `k` at most of every task."""
-    sizes = index_rows(index, turn, tables, False).groupBy("tab", "grp").agg(F.count("*").alias("n"))
+def search(queries: DataFrame, index: DataFrame, turn: Rotations, kind: type, *, tables: int, k: int, index_block: int, query_block: int, every: bool = False) -> DataFrame:
+    """query_id, id, score: each query's best of every table, `k` at most of every task. `index` as `hashed_index` gives it; `kind` of numbers."""
+    own = F.posexplode(F.slice("places", 1, tables)).alias("tab", "place")
+    sizes = index.select(own).groupBy("tab", F.col("place.grp").alias("grp")).agg(F.count("*").alias("n"))
     asked = query_rows(queries, turn, tables, False, every).groupBy("tab", "grp").agg(F.count("*").alias("m"))
     blocks = sizes.join(asked, ["tab", "grp"]).select("tab", "grp", F.ceil(F.col("n") / index_block).alias("ib"), F.ceil(F.col("m") / query_block).alias("qb"))
     blocks = F.broadcast(blocks) if tables * turn.groups <= BROADCAST_GROUPS else blocks
@@ -231,16 +230,18 @@ def search(queries: DataFrame, index: DataFrame, turn: Rotations, *, tables: int
     def each(count: Column) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
 
-    rows = index_rows(index, turn, tables, True).join(blocks, ["tab", "grp"]).select("tab", "grp", block(F.col("id"), F.col("ib")).alias("i"), each(F.col("qb")).alias("q"), "bucket", "id", "vec")
+    rows = index.select("id", "vec", own).select("tab", "place.grp", "place.bucket", "id", "vec").join(blocks, ["tab", "grp"]).select("tab", "grp", block(F.col("id"), F.col("ib")).alias("i"), each(F.col("qb")).alias("q"), "bucket", "id", "vec")
     asks = query_rows(queries, turn, tables, True, every).join(blocks, ["tab", "grp"]).select("tab", "grp", block(F.col("id"), F.col("qb")).alias("q"), each(F.col("ib")).alias("i"), "buckets", "id", "vec")
     dims, key, names = turn.dims, ["tab", "grp", "i", "q"], ["query_id", "id", "score"]
-    kind = np.float32 if isinstance(index.schema["v"].dataType.elementType, FloatType) else np.float64
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dims).astype(np.float64)
 
     def table_of(q: np.ndarray, i: np.ndarray, score: np.ndarray) -> pa.Table:
-        return pa.table([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(score, pa.float64())], names)
+        """A row for each query, with its ids and scores. `q` is in order."""
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(first, len(q)).astype(np.int32))
+        return pa.table([pa.array(q[first], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(i, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(score, pa.float64()))], ["query_id", "ids", "scores"])
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
@@ -275,8 +276,10 @@ def search(queries: DataFrame, index: DataFrame, turn: Rotations, *, tables: int
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            count += batch.num_rows
+            queries, ids, scores = batch.columns
+            owner = np.repeat(queries.to_numpy(), ids.value_lengths().to_numpy())
+            held.append([owner, ids.flatten().to_numpy(), scores.flatten().to_numpy()])
+            count += len(owner)
             if count > HELD:
                 held = reduced(held)
                 count = len(held[0][0])
@@ -291,8 +294,8 @@ def search(queries: DataFrame, index: DataFrame, turn: Rotations, *, tables: int
         kept = best_pairs(q, i, score, k)
         return [[q[kept], i[kept], score[kept]]]
 
-    out = "query_id long, id long, score double"
-    return asks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(ranked, out).mapInArrow(of_task, out)
+    found = asks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(ranked, "query_id long, ids array<long>, scores array<double>")
+    return found.mapInArrow(of_task, "query_id long, id long, score double")
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
@@ -315,12 +318,13 @@ def neighbours(vectors: DataFrame, query: Column, *, id_col: str = "vec_id", vec
         if ids < rows:  # a row that says the same again finds nothing new
             own = cut(own.distinct(), "vectors")
         turn = Rotations(dims, math.sqrt(largest), rows, tables=tables, probes=probes, bucket_rows=bucket_rows)
-        asking = own.filter(query)
-        found = cut(top(search(asking, own, turn, tables=tables, k=k, index_block=index_block, query_block=query_block), k), "nearest")
+        asking, index = own.filter(query), hashed_index(own, turn)
+        kind = np.float32 if isinstance(own.schema["v"].dataType.elementType, FloatType) else np.float64
+        found = cut(top(search(asking, index, turn, kind, tables=tables, k=k, index_block=index_block, query_block=query_block), k), "nearest")
         full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, ids - 1))
         short = cut(asking.join(full, asking["id"] == full["query_id"], "left_anti"), "short")
         if short.limit(1).count():
-            more = search(short, own, turn, tables=1, k=k, index_block=index_block, query_block=query_block, every=True)
+            more = search(short, index, turn, kind, tables=1, k=k, index_block=index_block, query_block=query_block, every=True)
             found = top(found.select("query_id", "id", "score").unionByName(more), k)
         out = out.unionByName(found.select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
     return out
