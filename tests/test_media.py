@@ -346,3 +346,17 @@ def test_streams(spark, tmp_path):
     stream = follow.windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")))
     stream.writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start().awaitTermination(120)
     assert [(r.event_type, r.n, r.value) for r in spark.table("closed").collect()] == [("x", 2, 3.0)]
+
+
+def test_turned_photos(spark, tmp_path):
+    """A photo and its copy stored turned, with the orientation that turns it back, have the same features; names with pattern signs are read."""
+    from tidemill.sources import images
+
+    upright = np.random.default_rng(3).integers(0, 255, (40, 60)).astype(np.uint8)
+    (tmp_path / "a [1].png").write_bytes(gray_png(upright))
+    (tmp_path / "b.png").write_bytes(gray_png(np.ascontiguousarray(np.rot90(upright))))  # orientation 6 shows it turned clockwise
+    turns = spark.createDataFrame([(str(tmp_path / "b.png"), 6)], "path string, orientation int")
+    got = {os.path.basename(r.path): r for r in images.image_features(spark, [f"file://{tmp_path}/a [1].png", f"file://{tmp_path}/b.png"], turns).collect()}
+    a, b = got["a [1].png"], got["b.png"]
+    assert a.phash == b.phash and a.sharpness == b.sharpness and a.brightness == b.brightness
+    assert images.image_features(spark, [f"file://{tmp_path}/b.png"]).first().phash != a.phash

@@ -18,7 +18,7 @@ from tidemill.functions.config import ClassifyConfig
 from tidemill.functions.constants import CATEGORIES, MEDIA_KINDS
 from tidemill.operators import dedupe, journal, link, report, rules, snapshot
 from tidemill.operators.numbering import numbered
-from tidemill.session import cut
+from tidemill.session import cut, settings
 from tidemill.sources import headers, images, mover, sinks, tree
 from tidemill.sources.catalog import Catalog, CatalogLock, utcnow
 
@@ -174,11 +174,17 @@ def run_analysis(ws: Workspace) -> None:
     full = hashing.full_file_hash(F.when(F.col("full_hash").isNull(), F.col("path")))
     wholly = cut(both.select("id", F.coalesce("full_hash", full).alias("_full")), "full")
     hashed = partly.join(wholly, "id", "left").select(F.col("id").alias("file_id"), "size", "mtime_ns", "partial_hash", F.coalesce("_full", "full_hash").alias("full_hash"))
-    photos = known.filter(F.col("ext").isin(*DECODED) & F.col("phash").isNull() & F.col("decode_error").isNull()).select("id", "size", "mtime_ns", "path")
+    turns = ws.catalog.read("file_meta").select(F.col("file_id").alias("id"), "size", "mtime_ns", "orientation")
+    photos = known.filter(F.col("ext").isin(*DECODED) & F.col("phash").isNull() & F.col("decode_error").isNull()).join(turns, ["id", "size", "mtime_ns"], "left").select("id", "size", "mtime_ns", "path", "orientation")
+    photos = cut(photos, "photos")
     seen = ws.spark.createDataFrame([], "path string, phash long, sharpness double, brightness double, dark_p99 double, decode_error string")
-    # Spark's image source takes paths from the driver, so they come in batches until none is left
-    for batch in itertools.batched((f"file://{r['path']}" for r in photos.select("path").toLocalIterator()), PATHS):
-        seen = seen.unionByName(cut(images.image_features(ws.spark, list(batch)), "pixels"))
+    # Spark's image source takes paths from the driver, so they come in batches until none is left; small files share listing and reading tasks
+    shared = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * tasks), "spark.sql.files.openCostInBytes": str(1 << 18)}
+    with settings(ws.spark, shared):
+        for batch in itertools.batched(((r["path"], r["orientation"]) for r in photos.select("path", "orientation").toLocalIterator()), PATHS):
+            turned = ws.spark.createDataFrame([x for x in batch if x[1] not in (None, 1)], "path string, orientation int")
+            seen = seen.unionByName(cut(images.image_features(ws.spark, [f"file://{path}" for path, _ in batch], turned), "pixels"))
+            ws.touch()
     pixels = photos.select(F.col("id").alias("file_id"), "size", "mtime_ns", "path").join(seen, "path").drop("path")
     found = hashed.join(pixels, ["file_id", "size", "mtime_ns"], "full_outer")
     ws.catalog.write("file_analysis", snapshot.merge_features(ws.catalog.read("file_analysis"), found, features))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +41,10 @@ def oriented(gray: np.ndarray, orientation: int | None) -> np.ndarray:
 
 
 @F.pandas_udf(FEATURES)
-def pixel_features(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.DataFrame:
+def pixel_features(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, orientation: pd.Series) -> pd.DataFrame:
+    """Features of frames as their EXIF orientation shows them."""
     rows = []
-    for raw, h, w, c in zip(data, height, width, channels, strict=True):
+    for raw, h, w, c, turn in zip(data, height, width, channels, orientation, strict=True):
         if raw is None or h <= 0 or w <= 0:
             rows.append((None, None, None, None, "cannot decode image"))
             continue
@@ -49,13 +52,18 @@ def pixel_features(data: pd.Series, height: pd.Series, width: pd.Series, channel
         if max(h, w) > LONG_SIDE:
             scale = LONG_SIDE / max(h, w)
             gray = resized(gray, max(1, round(h * scale)), max(1, round(w * scale)))
+        gray = oriented(gray, None if pd.isna(turn) else int(turn))
         mean, p99 = brightness_of(gray)
         rows.append((phash_of(resized(gray, 32, 32)), round(sharpness_of(gray), 3), round(mean, 4), round(p99, 4), None))
     return pd.DataFrame(rows, columns=FEATURES.names).astype({"phash": "Int64"})
 
 
-def image_features(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, phash, sharpness, brightness, dark_p99, decode_error of the images under `paths`."""
-    images = spark.read.format("image").option("recursiveFileLookup", True).load(paths)
-    own = images.select("image.*").withColumn("f", pixel_features("data", "height", "width", "nChannels"))
-    return own.select(F.regexp_replace("origin", "^file:(//)?", "").alias("path"), "f.*")
+def image_features(spark: SparkSession, paths: list[str], orientations: DataFrame | None = None) -> DataFrame:
+    """path, phash, sharpness, brightness, dark_p99, decode_error of the images under `paths`, turned as `orientations` (path, orientation) say."""
+    # paths are taken as patterns, so what means something in one is escaped
+    images = spark.read.format("image").option("recursiveFileLookup", True).load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
+    # origins are encoded as in a URL, where a plus is a plus
+    origin = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
+    own = images.select("image.*", F.regexp_replace(origin, "^file:(//)?", "").alias("path"))
+    turned = own.withColumn("orientation", F.lit(None).cast("int")) if orientations is None else own.join(F.broadcast(orientations), "path", "left")
+    return turned.withColumn("f", pixel_features("data", "height", "width", "nChannels", "orientation")).select("path", "f.*")
