@@ -35,3 +35,17 @@ def test_empty_documents(spark, sf_dir, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_odd_documents(spark, sf_dir):
+    """Null texts, repeated ids, rows without id and clashing columns go through every stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    wanted = docs.schema.add("_row", "string").add("gone", "string").add("_toxicity", "double").add("_id", "long")
+    rows = [tuple(r) + ("a", "b", 1.0, 2) for r in docs.collect()]
+    first = rows[0]
+    rows += [first, (first[0], None, *first[2:]), (None, *first[1:]), (10**9, "", *first[2:]), (10**9 + 1, None, *first[2:])]
+    docs = spark.createDataFrame(rows, wanted)
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        assert name == "packing" or docs.columns == before.columns
+    assert docs.count() > 0

@@ -367,3 +367,77 @@ def test_suffix_ranks_are_alphabetical():
         keys = [text[k : k + length] for k in range(len(raw) - length + 1)]
         order = {x: n for n, x in enumerate(sorted(set(keys)))}
         assert (np.unique(ranks[: len(keys)], return_inverse=True)[1] == [order[x] for x in keys]).all()
+
+
+def test_columns_of_any_name_and_odd_rows(spark):
+    """Line dedup and toxicity carry columns that are named like their own; nulls, empty texts, repeated rows and a very long text have results."""
+    notice = "accept all the cookies now"
+    kind = "doc_id long, text string, source string, gone string, _id long, _hash long, n_lines string, _toxicity double, _row string, _text string, n_chars long"
+    more = ("g", 1, 2, "r", 3.0, "row", "own", 5)
+    long = "word " * 300_000
+    rows = [(i, f"{notice}\nown line {i}", f"s{i}", *more) for i in range(12)] + [(20, None, "s1", *more), (21, "", None, *more), (None, "no id here", "s2", *more), (22, long, "s3", *more), (0, f"{notice}\nown line 0", "s0", *more)]
+    docs = spark.createDataFrame(rows, kind)
+    cleaned = lines.remove_boilerplate(docs)
+    assert cleaned.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed"] and cleaned.count() == len(rows)
+    assert {r.doc_id: r.n_removed for r in cleaned.collect()}[5] == 1 and all(r.gone == "g" and r._id == 1 for r in cleaned.collect())
+    left = lines.without_boilerplate(docs)
+    assert left.columns == docs.columns and all(r.n_lines == "r" for r in left.collect())
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(12)], "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, labels).columns == docs.columns
+    scored = toxicity.classify(docs, labels).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored) and len({r.score for r in scored if r.doc_id == 0}) == 1
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.filter("doc_id = 0").count() == 1
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert substrings.remove_repeats(docs).count() == len(rows) and packing.pack_documents(docs, queries.tokenizer_json()).filter("piece = 0").count() == len(rows)
+
+
+def test_language_of_odd_rows(spark):
+    """One language, ties, repeated rows, clashing columns, a very long text, and signs that are no letters."""
+    rows = [(i, "ab cd " * 9, "aa", "x") for i in range(9)] + [(20, "½ ² ① 12", None, "x"), (20, "½ ² ① 12", None, "x"), (21, "ⅻ", "aa", "x"), (22, "x" * 400_000, "aa", "x"), (23, "日本", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    got = [(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language.identify(docs).collect()]
+    assert len(got) == len(rows) and sorted(x for x in got if x[0] == 20) == [(20, "und", 0.0)] * 2
+    assert {x[1:] for x in got if x[0] in (0, 22, 23)} == {("aa", 1.0)} and {x[1] for x in got if x[0] == 21} == {"und"}
+    words = language.code(4)
+    even = language.Model(["a", "b", "c", "d"], words, np.zeros((language.SLOTS, words.shape[1])), np.zeros(words.shape[1]), np.ones(words.shape[1]))
+    best, score, close = even.decode(np.ones((1, language.SLOTS)))
+    assert best[0] == 0 and score[0] == 0.25 and close[0]
+
+
+def test_decoding_by_brute_force():
+    rng = np.random.default_rng(4)
+    words = language.code(5)
+    model = language.Model(list("abcde"), words, rng.normal(size=(language.SLOTS, words.shape[1])), rng.normal(size=words.shape[1]), rng.uniform(0.5, 1, words.shape[1]))
+    x = rng.normal(size=(7, language.SLOTS)) / 40
+    best, score, _ = model.decode(x)
+    for i in range(7):
+        margins = [sum(x[i] * model.weights[:, b]) + model.bias[b] for b in range(words.shape[1])]
+        loss = [sum(model.bit_weights[b] * np.log1p(np.exp(-margins[b] * w[b])) for b in range(words.shape[1])) for w in words]
+        assert best[i] == int(np.argmin(loss)) and abs(score[i] - np.exp(-min(loss)) / sum(np.exp(-v) for v in loss)) < 1e-9
+
+
+def test_ftrl_by_brute_force():
+    """The learner against a plain loop over coordinates."""
+    rng = np.random.default_rng(9)
+    rows = [(np.unique(rng.integers(0, 12, 5)).astype(np.int32), int(rng.random() < 0.4)) for _ in range(60)]
+    sizes = [len(r) for r, _ in rows]
+    sample = toxicity.Sample(np.concatenate([r for r, _ in rows]), np.concatenate([[0], np.cumsum(sizes)]), np.array([y for _, y in rows]), np.arange(60))
+    model = toxicity.ftrl(sample, epochs=2, l1=0.5, least_rows=1)
+    z, n, bias = collections.defaultdict(float), collections.defaultdict(float), -1
+
+    def weight(i):
+        l1 = 0.0 if i == bias else 0.5
+        return 0.0 if abs(z[i]) <= l1 else ((1 if z[i] > 0 else -1) * l1 - z[i]) / ((1 + n[i] ** 0.5) / 1.0 + 1.0)
+
+    for _ in range(2):
+        for own, y in rows:
+            at = [*own.tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - y) * (toxicity.TOXIC_WEIGHT if y else 1.0)
+            for i in at:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 1.0
+                z[i], n[i] = z[i] + g - sigma * w[i], n[i] + g * g
+    want = {i: weight(i) for i in range(12) if weight(i)}
+    assert dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want) and model.bias == pytest.approx(weight(bias))
