@@ -79,13 +79,18 @@ def inclusion(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_copies: int = MOST_COPIES, buckets: int = RANK_BUCKETS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every row of `docs` (doc_id, text, source)."""
-    kept = docs.select("doc_id", F.col("source").alias("_source"), words(F.col("text")).alias("size"))
-    return mix_sized(kept, weights=weights, share_percent=share_percent, most_copies=most_copies, buckets=buckets, seed=seed)
+    return mix_sized(counted(docs), weights=weights, share_percent=share_percent, most_copies=most_copies, buckets=buckets, seed=seed)
 
 
-def mix_sized(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_copies: int = MOST_COPIES, buckets: int = RANK_BUCKETS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """`mix` over rows doc_id, _source, size and the columns to `carry` along."""
-    sizes = cut(sized.groupBy("_source", "size").agg(F.count("*").alias("_n")), "sizes")
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, _source, size of every row, written: words are counted once and read for each of the statistics."""
+    return cut(docs.select("doc_id", F.col("source").alias("_source"), words(F.col("text")).alias("size")), "sized")
+
+
+def mix_sized(sized: DataFrame, *, plain: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_copies: int = MOST_COPIES, buckets: int = RANK_BUCKETS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """`mix` over rows doc_id, _source, size and the columns to `carry` along. `plain` has the same rows without these, for the statistics."""
+    plain = sized if plain is None else plain
+    sizes = cut(plain.groupBy("_source", "size").agg(F.count("*").alias("_n")), "sizes")
     targets = source_targets(sizes.select("_source", (F.col("size") * F.col("_n")).alias("size")), weights=weights, share_percent=share_percent, most_copies=most_copies)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("_whole", F.floor(rate)).withColumn("_left", F.col("target") - F.floor(rate) * F.col("source_size"))
@@ -96,19 +101,23 @@ def mix_sized(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share_per
 
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double")
     u = (draw + 0.5) / float(1 << 48)
-    ranked = sized.join(sent(targets), sized["_source"].eqNullSafe(targets["_source"])).drop(targets["_source"])
-    ranked = ranked.withColumn("_p", F.least(F.col("_c") * F.col("size"), F.lit(1.0)))
     odds = (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))
     # those taken for certain don't stand in the ranking, nor those that can't be taken
-    q = F.when((F.col("_p") > 0) & (F.col("_p") < 1), odds / (1 + odds)).otherwise(1.0)
-    ranked = ranked.withColumn("_q", q).withColumn("_bucket", F.when((F.col("_p") > 0) & (F.col("_p") < 1), F.least(F.floor(F.col("_q") * buckets), F.lit(buckets - 1))).otherwise(F.lit(buckets).cast("long")))
+    chance = (F.col("_p") > 0) & (F.col("_p") < 1)
+    bucket = F.when(chance, F.least(F.floor(F.col("_q") * buckets), F.lit(buckets - 1))).otherwise(F.lit(buckets).cast("long"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        both = rows.join(sent(targets), rows["_source"].eqNullSafe(targets["_source"])).drop(targets["_source"])
+        both = both.withColumn("_p", F.least(F.col("_c") * F.col("size"), F.lit(1.0)))
+        return both.withColumn("_q", F.when(chance, odds / (1 + odds)).otherwise(1.0)).withColumn("_bucket", bucket)
 
-    sums = ranked.filter(F.col("_bucket") < buckets).groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
+    sums = ranked(plain).filter(F.col("_bucket") < buckets).groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
     running = F.coalesce(F.sum("_words").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("_before", running)
     # the bucket in which the remainder ends: at most one row a source
     edges = sums.filter((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_words"))).select(F.col("_source").alias("_edge_source"), F.col("_bucket").alias("_edge"), "_before")
-    placed = ranked.join(sent(edges), ranked["_source"].eqNullSafe(edges["_edge_source"]), "left").drop("_edge_source")
+    edges = cut(edges, "edges")
+    placed = ranked(sized).join(sent(edges), F.col("_source").eqNullSafe(F.col("_edge_source")), "left").drop("_edge_source")
 
     inside = placed.filter(F.col("_bucket") == F.col("_edge"))
     order = Window.partitionBy("_source").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -125,5 +134,5 @@ def mixed_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
     """The mix itself: every row of `docs` as often as it is taken, with the columns of `docs`."""
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
     sized = docs.select("doc_id", F.col("source").alias("_source"), words(F.col("text")).alias("size"), row)
-    taken = mix_sized(sized, weights=weights, share_percent=share_percent, most_copies=most_copies, carry=("_row",)).filter(F.col("copies") > 0)
+    taken = mix_sized(sized, plain=counted(docs), weights=weights, share_percent=share_percent, most_copies=most_copies, carry=("_row",)).filter(F.col("copies") > 0)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
