@@ -360,3 +360,22 @@ def test_turned_photos(spark, tmp_path):
     a, b = got["a [1].png"], got["b.png"]
     assert a.phash == b.phash and a.sharpness == b.sharpness and a.brightness == b.brightness
     assert images.image_features(spark, [f"file://{tmp_path}/b.png"]).first().phash != a.phash
+
+
+def test_similar_links_are_all_near_pairs(spark):
+    rng = np.random.default_rng(12)
+    base = int(rng.integers(-(1 << 62), 1 << 62))
+    hashes = [base]
+    for n in range(70):
+        flipped = base & (1 << 64) - 1
+        for b in rng.choice(64, n % 9, replace=False):
+            flipped ^= 1 << int(b)
+        hashes.append(flipped - (1 << 64) if flipped >= 1 << 63 else flipped)
+    ts = [int(x) for x in rng.integers(0, 90, len(hashes))]
+    rows = [(i, ts[i], h, i - 1 if i % 10 == 9 else None) for i, h in enumerate(hashes)]
+    frame = spark.createDataFrame(rows, "id long, ts long, phash long, edited_of long")
+    apart = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    for distance in (0, 6):
+        want = {frozenset((i, j)) for i in range(71) for j in range(i) if abs(ts[i] - ts[j]) <= 30 and apart(hashes[i], hashes[j]) <= distance and not (i % 10 == 9 and j == i - 1)}
+        got = [frozenset((r.a, r.b)) for r in similar.similar_links(frame, 30, distance).collect()]
+        assert set(got) == want and len(got) == len(want)

@@ -13,6 +13,10 @@ from tidemill.operators.components import connected_components
 from tidemill.operators.numbering import numbered
 
 
+#: Values that a row looks up in one part of its hash; where more would be needed, parts become smaller.
+MOST_FLIPS = 4096
+
+
 def band_pairs(rows: DataFrame, window: float, *, by: tuple[str, ...] = (), id: str = "id", ts: str = "ts", carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows at most `window` apart in `ts`, inclusive, within equal `by`: a_id, a_ts, b_id, b_ts and carried columns.
 
@@ -40,6 +44,8 @@ def hash_pairs(rows: DataFrame, distance: int, *, id: str = "id", value: str = "
     known = rows.filter(F.col(value).isNotNull()).select(F.col(id).alias("id"), F.col(value).alias("v"))
     bits = max(8, math.ceil(math.log2(max(2, known.count()))))
     parts = max(1, 64 // bits)
+    while parts <= distance and sum(math.comb(-(-64 // parts), n) for n in range(distance // parts + 1)) > MOST_FLIPS:
+        parts += 1
     edges, flips = [64 * k // parts for k in range(parts + 1)], distance // parts
     listed, asked = [], []
 
@@ -61,10 +67,21 @@ def hash_pairs(rows: DataFrame, distance: int, *, id: str = "id", value: str = "
 
 
 def similar_links(items: DataFrame, window: float, distance: int) -> DataFrame:
-    """a, b of items (id, ts, phash, edited_of) close in time and looks, edited pairs left out as links."""
-    pairs = band_pairs(items, window, carry=("phash", "edited_of"))
+    """a, b of items (id, ts, phash, edited_of) close in time and looks, edited pairs left out as links.
+
+    Of distance + 1 parts of a hash, two that are near agree in one whole part: the band join meets by part, so that very many photos of one
+    moment aren't compared with each other. A pair counts in the first part that it agrees in.
+    """
+    parts = min(distance + 1, 64)
+    edges = [64 * k // parts for k in range(parts + 1)]
+    masks = [((1 << hi) - (1 << lo)) - (1 << 64 if hi == 64 else 0) for lo, hi in itertools.pairwise(edges)]
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("phash").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(masks)])
+    keyed = items.select("id", "ts", "phash", "edited_of", F.explode(keys).alias("_key")).select("id", "ts", "phash", "edited_of", F.col("_key.k").alias("_part"), F.col("_key.v").alias("_value"))
+    pairs = band_pairs(keyed, window, by=("_part", "_value"), carry=("phash", "edited_of"))
+    apart = F.col("a_phash").bitwiseXOR(F.col("b_phash"))
+    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(k)) for k, m in enumerate(masks)])
     edited = F.coalesce(F.col("a_edited_of") == F.col("b_id"), F.lit(False)) | F.coalesce(F.col("b_edited_of") == F.col("a_id"), F.lit(False))
-    return pairs.filter(~edited & (hamming(F.col("a_phash"), F.col("b_phash")) <= distance)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return pairs.filter((F.col("a__part") == first) & ~edited & (F.bit_count(apart) <= distance)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def similar_groups(items: DataFrame, *, window: float = 60.0, distance: int = 6, run_id: int = 1) -> DataFrame:
