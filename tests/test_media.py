@@ -379,3 +379,13 @@ def test_similar_links_are_all_near_pairs(spark):
         want = {frozenset((i, j)) for i in range(71) for j in range(i) if abs(ts[i] - ts[j]) <= 30 and apart(hashes[i], hashes[j]) <= distance and not (i % 10 == 9 and j == i - 1)}
         got = [frozenset((r.a, r.b)) for r in similar.similar_links(frame, 30, distance).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_a_file_that_moves_twice_stays_one_row(spark):
+    from tidemill.operators import snapshot
+
+    files = spark.createDataFrame([(1, "delete", "d/a.jpg", "x/a.jpg", "a.jpg", "d", "a", "jpg", None), (2, "source", "b.jpg", None, "b.jpg", "", "b", "jpg", None)], "id long, root string, rel_path string, origin_rel_path string, name string, dir_path string, stem string, ext string, rel_path_os string")
+    moves = spark.createDataFrame([(9, 1, "r/a.jpg", "source", "x/a.jpg"), (8, 1, "d/a.jpg", "review", "r/a.jpg")], "id long, file_id long, from_rel string, to_root string, to_rel string")
+    rows = {r.id: r for r in snapshot.relocated(files, moves).collect()}
+    assert len(rows) == 2 and rows[2].rel_path == "b.jpg" and rows[2].root == "source"
+    assert (rows[1].root, rows[1].rel_path, rows[1].dir_path, rows[1].origin_rel_path) == ("source", "x/a.jpg", "x", None)

@@ -33,6 +33,12 @@ def undoable_ops(journal: DataFrame, *, session_id: int | None = None, category:
     return ops.limit(limit) if limit is not None else ops
 
 
+def last_undoable_session(journal: DataFrame) -> DataFrame:
+    """session_id of the newest operation that isn't undone; no row without one."""
+    rows = journal.filter(F.col("undone_by").isNull() & ~F.col("action").isin(*NOT_UNDOABLE) & F.col("session_id").isNotNull())
+    return rows.agg(F.max_by("session_id", "id").alias("session_id")).filter(F.col("session_id").isNotNull())
+
+
 def session_counters(journal: DataFrame, files: DataFrame, session_id: int) -> DataFrame:
     """Kept, deleted, restored operations and deleted bytes of a session; a deletion counts while the file is still where it went."""
     own = journal.filter((F.col("session_id") == session_id) & F.col("undone_by").isNull())

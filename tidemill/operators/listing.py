@@ -27,6 +27,24 @@ def list_items(files: DataFrame, *, by: str = "date", descending: bool = False,
     return rows.limit(limit) if limit is not None else rows
 
 
+def page_around(rows: DataFrame, index: int, span: int = 120) -> DataFrame:
+    """The `span` rows of an ordered list around the one at `index`, which counts from 0; at the list's start the first `span`."""
+    return rows.offset(max(0, index - span // 2)).limit(span)
+
+
+def newest(rows: DataFrame, *, limit: int, offset: int = 0, states: tuple[str, ...] = (), **equal: object) -> DataFrame:
+    """Rows of greatest id first, of the wanted states and of equal values; None asks for nothing."""
+    for column, value in equal.items():
+        rows = rows.filter(F.col(column) == value) if value is not None else rows
+    rows = rows.filter(F.col("state").isin(*states)) if states else rows
+    return rows.orderBy(F.col("id").desc()).offset(offset).limit(limit)
+
+
+def item_files(files: DataFrame, item_id: int) -> DataFrame:
+    """An item's files, the primary first, then by path."""
+    return files.filter(F.col("item_id") == item_id).orderBy((F.col("id") == F.col("item_id")).desc(), "rel_path")
+
+
 def live_counts(items: DataFrame, companions: DataFrame, item: str = "item_id") -> DataFrame:
     """`items` with live_count, the number of their `companions`; 0 without any."""
     counted = companions.groupBy(F.col(item).alias("_item")).agg(F.count("*").alias("_n"))

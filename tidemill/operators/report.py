@@ -18,6 +18,21 @@ def root_stats(files: DataFrame, root: str = "root", size: Column | None = None)
     return files.groupBy(root).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
 
 
+def live_and_edited(files: DataFrame) -> DataFrame:
+    """One row: count and bytes of live videos and of edited versions among `files`."""
+
+    def both(condition: Column, name: str) -> list[Column]:
+        return [F.count_if(condition).alias(f"{name}_count"), F.coalesce(F.sum(F.when(condition, F.col("size"))), F.lit(0)).alias(f"{name}_bytes")]
+
+    live = F.coalesce(F.col("companion_role") == "live_video", F.lit(False))
+    return files.agg(*both(live, "live"), *both(F.col("edited_of").isNotNull(), "edited"))
+
+
+def category_counts(candidates: DataFrame) -> DataFrame:
+    """category, n of those that aren't keepers."""
+    return candidates.filter(~F.col("is_keeper")).groupBy("category").agg(F.count("*").alias("n"))
+
+
 def top_folder_stats(files: DataFrame, path: Column, size: Column) -> DataFrame:
     """Files and bytes by the first component of a path, '' for files in none."""
     return files.groupBy(names.top_folder(path).alias("category")).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))

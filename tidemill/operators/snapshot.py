@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import names
 from tidemill.functions.dates import same_mtime
 
 
@@ -84,6 +85,30 @@ def replace_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.filter(F.col("applied_op").isNotNull()).unionByName(new, allowMissingColumns=True)
 
 
+def relocated(files: DataFrame, moves: DataFrame) -> DataFrame:
+    """`files` after `moves` (id in the order of moving, file_id, from_rel, to_root, to_rel): names and folders follow the new path.
+
+    A file that moves several times is where the last move put it. One that leaves the source remembers where it was; one that comes back forgets it.
+    """
+    last = F.max_by(F.struct("to_root", "to_rel"), "id").alias("_to")
+    moved = moves.groupBy("file_id").agg(last, F.min_by("from_rel", "id").alias("_from"))
+    moved = moved.select(F.col("file_id").alias("id"), F.col("_to.to_root").alias("_root"), F.col("_to.to_rel").alias("_rel"), "_from")
+    both, here = files.join(moved, "id", "left"), F.col("_root").isNotNull()
+    origin = F.when(here & (F.col("_root") == "source"), F.lit(None)).when(here & (F.col("root") == "source"), F.col("_from")).otherwise(F.col("origin_rel_path"))
+    both = both.withColumn("origin_rel_path", origin).withColumn("root", F.coalesce("_root", "root")).withColumn("rel_path", F.coalesce("_rel", "rel_path"))
+    name = names.basename(F.col("rel_path"))
+    both = both.withColumn("name", F.when(here, name).otherwise(F.col("name"))).withColumn("dir_path", F.when(here, names.dirname(F.col("rel_path"))).otherwise(F.col("dir_path")))
+    both = both.withColumn("stem", F.when(here, names.stem(name)).otherwise(F.col("stem"))).withColumn("ext", F.when(here, names.ext(name)).otherwise(F.col("ext")))
+    return both.withColumn("rel_path_os", F.when(here, F.lit(None)).otherwise(F.col("rel_path_os"))).drop("_root", "_rel", "_from")
+
+
+def reviewed(files: DataFrame, items: DataFrame, at: str | None) -> DataFrame:
+    """`files` with reviewed_at set to `at`, or cleared, for all files of `items` (item_id)."""
+    mine = items.select("item_id").distinct().withColumn("_mine", F.lit(True))
+    both = files.join(mine, "item_id", "left")
+    return both.withColumn("reviewed_at", F.when(F.col("_mine"), F.lit(at).cast("string")).otherwise(F.col("reviewed_at"))).drop("_mine")
+
+
 def append_with_ids(table: DataFrame, rows: DataFrame, order: list[Column], id: str = "id") -> DataFrame:
     """`rows` with ids that follow the table's greatest one, in the given order. The rows are one action's, not the table."""
     start = table.agg(F.coalesce(F.max(id), F.lit(0)).alias("m")).scalar()

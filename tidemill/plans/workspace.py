@@ -201,8 +201,7 @@ def run_classify(ws: Workspace, cfg: ClassifyConfig | None = None, *, compute: b
     table = ws.catalog.write("candidates", snapshot.replace_candidates(ws.catalog.read("candidates"), found))
     ws.catalog.set_setting("last_run", run_id)
     ws.catalog.update_job(run_id, "done")
-    counts = table.filter((F.col("run_id") == run_id) & ~F.col("is_keeper")).groupBy("category").count().collect()
-    return {r["category"]: r["count"] for r in counts}
+    return {r["category"]: r["n"] for r in report.category_counts(table.filter(F.col("run_id") == run_id)).collect()}
 
 
 def get_plan(ws: Workspace, cfg: ClassifyConfig | None = None, *, examples: int = 12) -> dict:
@@ -214,12 +213,12 @@ def get_plan(ws: Workspace, cfg: ClassifyConfig | None = None, *, examples: int
     table = report.category_report(report.category_dimension(ws.spark, cfg.enabled), rows)
     shown = report.first_examples(rows.filter(~F.col("is_keeper")), examples, order=[F.col("group_id").asc_nulls_first(), F.col("file_id")]).select("category", "nth", "file_id", "path", "size", "group_id", "reason").collect()
     own = files.filter((F.col("root") == "source") & (F.col("status") == "present"))
-    sizes = own.agg(F.count_if(F.col("companion_role") == "live_video").alias("ln"), F.coalesce(F.sum(F.when(F.col("companion_role") == "live_video", F.col("size"))), F.lit(0)).alias("lb"), F.count("edited_of").alias("en"), F.coalesce(F.sum(F.when(F.col("edited_of").isNotNull(), F.col("size"))), F.lit(0)).alias("eb")).first()
+    pairs = report.live_and_edited(own).first()
     codec = ws.catalog.read("file_meta").select(F.col("file_id").alias("id"), "codec", "width", "height", "bitrate", "duration_ms")
     large = report.large_videos(own.filter("kind = 'video'").select("id", "rel_path", "size").join(codec, "id", "left"), cfg.large_video_top)
     categories = [r.asDict() | {"examples": [s.asDict() for s in sorted(shown, key=lambda s: s["nth"]) if s["category"] == r["category"]]} for r in table.orderBy("nth").collect()]
     totals = report.report_totals(table).first().asDict()
-    return {"run_id": ws.catalog.setting("last_run"), "categories": categories, "live_photos": {"count": sizes["ln"], "bytes": sizes["lb"]}, "edited_pairs": {"count": sizes["en"], "bytes": sizes["eb"]}, "large_videos": [r.asDict() for r in large.collect()], "totals": totals}
+    return {"run_id": ws.catalog.setting("last_run"), "categories": categories, "live_photos": {"count": pairs["live_count"], "bytes": pairs["live_bytes"]}, "edited_pairs": {"count": pairs["edited_count"], "bytes": pairs["edited_bytes"]}, "large_videos": [r.asDict() for r in large.collect()], "totals": totals}
 
 
 def record_moves(ws: Workspace, moves: list[dict], *, undoes: bool = False) -> dict[str, int]:
@@ -235,14 +234,7 @@ def record_moves(ws: Workspace, moves: list[dict], *, undoes: bool = False) -> d
         by = new.filter(F.col("undoes").isNotNull()).select(F.col("undoes").alias("_u"), F.col("id").alias("_by"))
         marked = old.join(by, old["id"] == by["_u"], "left").withColumn("undone_by", F.coalesce("undone_by", "_by")).drop("_u", "_by")
         ws.catalog.write("journal", marked.unionByName(new, allowMissingColumns=True))
-        files = ws.catalog.read("files")
-        moved = new.select(F.col("file_id").alias("id"), F.col("to_root").alias("_root"), F.col("to_rel").alias("_rel"), F.col("from_rel").alias("_from"))
-        both = files.join(moved, "id", "left")
-        here = F.col("_root").isNotNull()
-        both = both.withColumn("origin_rel_path", F.when(here & (F.col("_root") == "source"), F.lit(None)).when(here & (F.col("root") == "source"), F.col("_from")).otherwise(F.col("origin_rel_path")))
-        both = both.withColumn("root", F.coalesce("_root", "root")).withColumn("rel_path", F.coalesce("_rel", "rel_path")).withColumn("name", F.substring_index("rel_path", "/", -1))
-        both = both.withColumn("dir_path", tree.names.dirname(F.col("rel_path"))).withColumn("stem", tree.names.stem(F.col("name"))).withColumn("rel_path_os", F.when(here, F.lit(None)).otherwise(F.col("rel_path_os")))
-        ws.catalog.write("files", both)
+        ws.catalog.write("files", snapshot.relocated(ws.catalog.read("files"), new))
     wrong = [(m["src_rel"], "move_error", m["error"]) for m in moves if m["error"]]
     ws.catalog.add_issues(wrong + [(m["dst_rel"], "name_conflict", f"stored as {m['to_rel']}") for m in fine if m["conflict"]])
     return {"moved": len(fine), "errors": len(moves) - len(fine)}
@@ -320,7 +312,7 @@ def run_undo(ws: Workspace, scope: str = "last", *, session_id: int | None = Non
     """Undoes the last operation, a session's, a category's or all, newest first, where files are still where they were put."""
     rows = ws.catalog.read("journal")
     if scope == "session" and session_id is None:
-        last = journal.undoable_ops(rows, limit=1).join(rows.select("op_id", "session_id"), "op_id").first()
+        last = journal.last_undoable_session(rows).first()
         session_id = last["session_id"] if last else -1
     ops = journal.undoable_ops(rows, session_id=session_id if scope == "session" else None, category=category if scope == "category" else None, limit=1 if scope == "last" else None)
     plan = journal.undo_plan(rows, ws.catalog.read("files"), ops)

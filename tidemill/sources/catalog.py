@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.config import ClassifyConfig
 from tidemill.operators import journal as J
+from tidemill.operators import listing as L
 from tidemill.operators import snapshot as S
 
 # Table columns in DDL; text, 64-bit and double columns of the catalog.
@@ -159,10 +160,7 @@ class Catalog:
         self.write("jobs", jobs.withColumn("progress", F.when(mine & F.lit(progress is not None), json.dumps(progress)).otherwise(F.col("progress"))))
 
     def jobs(self, kind: str | None = None, states: tuple[str, ...] = (), limit: int = 50) -> DataFrame:
-        rows = self.read("jobs")
-        rows = rows.filter(F.col("kind") == kind) if kind else rows
-        rows = rows.filter(F.col("state").isin(*states)) if states else rows
-        return rows.orderBy(F.col("id").desc()).limit(limit)
+        return L.newest(self.read("jobs"), limit=limit, states=states, kind=kind)
 
     def add_issues(self, rows: list[tuple[str | None, str, str]], job_id: int | None = None) -> None:
         """Appends (path, kind, message); messages are cut at 2,000 characters."""
@@ -172,13 +170,10 @@ class Catalog:
 
     def set_reviewed(self, items: DataFrame, reviewed: bool = True) -> None:
         """Marks all files of `items` (item_id), or clears the mark."""
-        mine = items.select("item_id").distinct().withColumn("_mine", F.lit(True))
-        files = self.read("files").join(mine, "item_id", "left")
-        self.write("files", files.withColumn("reviewed_at", F.when(F.col("_mine"), F.lit(utcnow() if reviewed else None)).otherwise(F.col("reviewed_at"))))
+        self.write("files", S.reviewed(self.read("files"), items, utcnow() if reviewed else None))
 
-    def issues(self, job_id: int | None = None, limit: int = 200) -> DataFrame:
-        rows = self.read("issues")
-        return (rows.filter(F.col("job_id") == job_id) if job_id is not None else rows).orderBy(F.col("id").desc()).limit(limit)
+    def issues(self, job_id: int | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
+        return L.newest(self.read("issues"), limit=limit, offset=offset, job_id=job_id)
 
     # files
 
@@ -193,16 +188,28 @@ class Catalog:
         rows = rows.filter(F.col("item_id") == F.col("id")) if primaries_only else rows
         return rows.orderBy("rel_path")
 
-    def file(self, id: int) -> dict | None:
-        found = self.read("files").filter(F.col("id") == id).first()
+    def _row(self, name: str, key: str, value: int) -> dict | None:
+        found = self.read(name).filter(F.col(key) == value).first()
         return found.asDict() if found else None
 
+    def file(self, id: int) -> dict | None:
+        return self._row("files", "id", id)
+
     def file_by_path(self, root: str, rel_path: str) -> dict | None:
         found = self.read("files").filter((F.col("root") == root) & (F.col("rel_path") == rel_path)).first()
         return found.asDict() if found else None
 
     def item_files(self, item_id: int) -> DataFrame:
-        return self.read("files").filter(F.col("item_id") == item_id).orderBy((F.col("id") == F.col("item_id")).desc(), "rel_path")
+        return L.item_files(self.read("files"), item_id)
+
+    def meta(self, file_id: int) -> dict | None:
+        return self._row("file_meta", "file_id", file_id)
+
+    def analysis(self, file_id: int) -> dict | None:
+        return self._row("file_analysis", "file_id", file_id)
+
+    def job(self, id: int) -> dict | None:
+        return self._row("jobs", "id", id)
 
     def candidates(self, run_id: int | None = None, category: str | None = None, *, unapplied_only: bool = False, include_keepers: bool = True) -> DataFrame:
         rows = self.read("candidates")
