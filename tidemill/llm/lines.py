@@ -1,8 +1,8 @@
 """Cross-site boilerplate removal by distinct-site spread, in DataFrame functions only.
 
 A line is what stands between newlines, trimmed of `[\\x20\\x09-\\x0D]`; lines under `least_words` words are never boilerplate: `LEAST_WORDS` where
-the SQL of op6 says so, 1 in the pipeline, where spread alone decides on every line that isn't empty. One HyperLogLog
-sketch for each line hash collects the sites (sources) it was seen on; sketches merge in partial aggregation, so that a line on
+the SQL of op6 says so, 1 in the pipeline, where spread alone decides on every line that isn't empty. A line is known by
+96 bits of two hashes. One HyperLogLog sketch for each line collects the sites (sources) it was seen on; sketches merge in partial aggregation, so that a line on
 every page costs one sketch a task. A line whose estimate is at least `CLEAR` times `SITES` is boilerplate, one under
 `SITES / CLEAR` isn't, and those between get an exact distinct count. Of a boilerplate line one occurrence stays: the first in the
 document of smallest doc_id that has it, so that of copied documents one remains whole.
@@ -31,12 +31,12 @@ EDGES = " \t\n\x0b\x0c\r"
 
 
 def line_keys(text: Column, least_words: int = LEAST_WORDS) -> Column:
-    """A hash for each line of a text, null for lines too short to be boilerplate."""
+    """The 96 bits of two hashes for each line of a text, null for lines too short to be boilerplate."""
     short = f"^(?:[^\\x20\\x09-\\x0D]+(?:[\\x20\\x09-\\x0D]+|$)){{0,{least_words - 1}}}$"
 
     def key(line: Column) -> Column:
         trimmed = F.trim(line, F.lit(EDGES))
-        return F.when(~trimmed.rlike(short), F.xxhash64(trimmed))
+        return F.when(~trimmed.rlike(short), F.struct(F.xxhash64(trimmed).alias("a"), F.hash(trimmed).alias("b")))
 
     return F.transform(F.split(text, "\n"), key)
 
