@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exact, html, language, lines, minhash, mixing, nearest, packing, substrings, toxicity
+from tidemill.llm import exact, html, language, lines, minhash, mixing, nearest, packing, periods, substrings, toxicity
 from tidemill.session import read_table
 
 
@@ -58,7 +58,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_json())
 
 
-QUERIES = {"op1_cross_polytope": op1_cross_polytope, "op2_min_max_hash": op2_min_max_hash, "op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op6_site_spread": op6_site_spread, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op9_prefix_free_parsing": op9_prefix_free_parsing, "op10_best_fit_packing": op10_best_fit_packing}
+def op12_harmonic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(read_table(spark, sf_dir, "documents"), edit=True)
+
+
+QUERIES = {"op1_cross_polytope": op1_cross_polytope, "op2_min_max_hash": op2_min_max_hash, "op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op6_site_spread": op6_site_spread, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op9_prefix_free_parsing": op9_prefix_free_parsing, "op10_best_fit_packing": op10_best_fit_packing, "op12_harmonic_grid": op12_harmonic_grid}
 ORACLES: dict[str, str] = {
     "op5_chunk_recipes": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
