@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exact, html, language, lines, minhash, mixing, nearest, packing, periods, substrings, toxicity
+from tidemill.llm import exact, html, language, lines, merkle, minhash, mixing, nearest, packing, periods, substrings, toxicity
 from tidemill.session import read_table
 
 
@@ -62,7 +62,11 @@ def op12_harmonic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(read_table(spark, sf_dir, "documents"), edit=True)
 
 
-QUERIES = {"op1_cross_polytope": op1_cross_polytope, "op2_min_max_hash": op2_min_max_hash, "op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op6_site_spread": op6_site_spread, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op9_prefix_free_parsing": op9_prefix_free_parsing, "op10_best_fit_packing": op10_best_fit_packing, "op12_harmonic_grid": op12_harmonic_grid}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), tamper=True)
+
+
+QUERIES = {"op1_cross_polytope": op1_cross_polytope, "op2_min_max_hash": op2_min_max_hash, "op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op6_site_spread": op6_site_spread, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op9_prefix_free_parsing": op9_prefix_free_parsing, "op10_best_fit_packing": op10_best_fit_packing, "op12_harmonic_grid": op12_harmonic_grid, "op13_merkle_manifest": op13_merkle_manifest}
 ORACLES: dict[str, str] = {
     "op5_chunk_recipes": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
@@ -96,4 +100,27 @@ ORACLES: dict[str, str] = {
         m AS (SELECT w.doc_id, w.i, w.line, b.key IS NOT NULL AND (w.doc_id <> b.keeper OR row_number() OVER (PARTITION BY w.doc_id, w.key ORDER BY w.i) > 1) AS gone FROM w LEFT JOIN b ON w.key = b.key),
         t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
         SELECT doc_id, n_lines, n_removed, length(kept) AS n_chars_kept, sha256(kept) AS kept_sha256 FROM t""",
+    "op13_merkle_manifest": """
+        WITH RECURSIVE c AS (SELECT *, xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                lambda r, x: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda s, i: CASE WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END, xor(r, x)), 4294967295)) AS crc FROM documents),
+        e AS (SELECT doc_id, source, text, crc, list_aggregate(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(CAST(strlen(v) AS VARCHAR) || ':' || v, '-')), 'string_agg', '') AS head FROM c),
+        f AS (SELECT *, sha256(head || coalesce(CAST(strlen(text) AS VARCHAR) || ':' || text, '-')) AS leaf, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS after FROM e),
+        l AS (SELECT doc_id, source, leaf, sha256(head || coalesce(CAST(strlen(after) AS VARCHAR) || ':' || after, '-')) AS other,
+            row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM f),
+        u(level, source, i, hash, n) AS (SELECT 0, source, i, leaf, n FROM l
+            UNION ALL SELECT level + 1, source, i // 3, sha256(string_agg(hash, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, source, i // 3, n),
+        s AS (SELECT source, hash AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM u WHERE n = 1),
+        r(level, i, hash, n) AS (SELECT 0, i, subroot, n FROM s
+            UNION ALL SELECT level + 1, i // 3, sha256(string_agg(hash, '' ORDER BY i)), (n + 2) // 3 FROM r WHERE n > 1 GROUP BY level, i // 3, n),
+        a AS (SELECT 0 AS part, level, source, i, hash FROM u WHERE n > 1 UNION ALL SELECT 1, level, NULL, i, hash FROM r WHERE n > 1),
+        b AS (SELECT x.part, x.level, x.source, x.i, coalesce(string_agg(y.hash, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS before, coalesce(string_agg(y.hash, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS after
+            FROM a x LEFT JOIN a y ON x.part = y.part AND x.level = y.level AND x.source IS NOT DISTINCT FROM y.source AND x.i // 3 = y.i // 3 AND x.i <> y.i GROUP BY x.part, x.level, x.source, x.i),
+        p(source, i, part, level, spot, acc, proof) AS (SELECT source, i, 0, 0, i, other, '' FROM l
+            UNION ALL (WITH q AS (SELECT p.*, b.before, b.after, s.i AS place FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source
+                LEFT JOIN b ON b.part = p.part AND b.level = p.level AND b.i = p.spot AND (p.part = 1 OR b.source IS NOT DISTINCT FROM p.source))
+            SELECT source, i, CASE WHEN before IS NULL THEN part + 1 ELSE part END, CASE WHEN before IS NULL THEN 0 ELSE level + 1 END, CASE WHEN before IS NULL THEN place ELSE spot // 3 END,
+                CASE WHEN before IS NULL THEN acc ELSE sha256(before || acc || after) END, proof || coalesce(before || after, '') FROM q WHERE part < 2)),
+        t AS (SELECT hash AS root FROM r WHERE n = 1)
+        SELECT l.doc_id, l.leaf, s.subroot, t.root, sha256(p.proof) AS proof_sha256, p.acc AS folded_root, p.acc = t.root AS verified
+        FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN p ON p.part = 2 AND p.source IS NOT DISTINCT FROM l.source AND p.i = l.i, t""",
 }
