@@ -55,14 +55,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
-def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends in files that outlive any executor."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the process ends."""
     path = f"{shared_dir(spark)}/tidemill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(_sweep)
     _written.append((spark, path))
+    return path
+
+
+def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends in files that outlive any executor."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemill_path = path
     return out
