@@ -7,8 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import exact, html, language, lines, merkle, minhash, mixing, nearest, packing, periods, substrings, toxicity
-from tidemill.session import read_table
+from tidemill.llm import exact, html, language, lines, merkle, minhash, mixing, nearest, packing, periods, substrings, toxicity, warc
+from tidemill.session import read_table, scratch_path
 
 
 def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
@@ -58,6 +58,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op11_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), folder)
+    records = warc.read_archives(spark, folder)
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op12_harmonic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(read_table(spark, sf_dir, "documents"), edit=True)
 
@@ -66,7 +73,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read_table(spark, sf_dir, "documents"), tamper=True)
 
 
-QUERIES = {"op1_cross_polytope": op1_cross_polytope, "op2_min_max_hash": op2_min_max_hash, "op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op6_site_spread": op6_site_spread, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op9_prefix_free_parsing": op9_prefix_free_parsing, "op10_best_fit_packing": op10_best_fit_packing, "op12_harmonic_grid": op12_harmonic_grid, "op13_merkle_manifest": op13_merkle_manifest}
+QUERIES = {"op1_cross_polytope": op1_cross_polytope, "op2_min_max_hash": op2_min_max_hash, "op3_ecoc_language": op3_ecoc_language, "op4_ftrl_toxicity": op4_ftrl_toxicity, "op5_chunk_recipes": op5_chunk_recipes, "op6_site_spread": op6_site_spread, "op7_pareto_mixing": op7_pareto_mixing, "op8_site_style_tree": op8_site_style_tree, "op9_prefix_free_parsing": op9_prefix_free_parsing, "op10_best_fit_packing": op10_best_fit_packing, "op11_warc_shards": op11_warc_shards, "op12_harmonic_grid": op12_harmonic_grid, "op13_merkle_manifest": op13_merkle_manifest}
 ORACLES: dict[str, str] = {
     "op5_chunk_recipes": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
@@ -100,6 +107,11 @@ ORACLES: dict[str, str] = {
         m AS (SELECT w.doc_id, w.i, w.line, b.key IS NOT NULL AND (w.doc_id <> b.keeper OR row_number() OVER (PARTITION BY w.doc_id, w.key ORDER BY w.i) > 1) AS gone FROM w LEFT JOIN b ON w.key = b.key),
         t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
         SELECT doc_id, n_lines, n_removed, length(kept) AS n_chars_kept, sha256(kept) AS kept_sha256 FROM t""",
+    "op11_warc_shards": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+        FROM (SELECT *, payload_bytes >= 100 AND page_id <> first AS again FROM f)""",
     "op13_merkle_manifest": """
         WITH RECURSIVE c AS (SELECT *, xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
                 lambda r, x: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda s, i: CASE WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END, xor(r, x)), 4294967295)) AS crc FROM documents),
