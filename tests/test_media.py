@@ -182,6 +182,40 @@ def test_headers():
     assert headers.user_comment(b"UNICODE\0" + "hé".encode("utf-16-le"), "<") == "hé" and headers.user_comment(b"ASCII\0\0\0abc\0x", ">") == "abc"
 
 
+def test_codec_names_and_long_values():
+    mp4 = samples()["mp4"]
+    for name, codec in headers.CODECS.items():
+        data = mp4.replace(b"avc1", name)
+        assert headers.media_info(lambda at, n, d=data: d[at : at + n] if at >= 0 else b"", len(data), "mov", 0)["codec"] == codec
+    assert headers.CODECS[b"mjpa"] == "mjpeg"
+    # a value of 3 MB is read, one of 5 MB is left out, and a directory may have over 512 entries
+    for size, kept in ((3 << 20, True), (5 << 20, False)):
+        text = b"m" * (size - 1) + b"\0"
+        rows = b"".join(struct.pack("<HHII", 0x9000, 4, 1, 0) for _ in range(600)) + struct.pack("<HHII", 0x10F, 2, size, 2 + 601 * 12 + 4)
+        data = struct.pack("<H", 601) + rows + struct.pack("<I", 0) + text
+        found, _ = headers.directory(lambda at, n: data[at : at + n], 0, 0, "<")
+        assert (0x10F in found) == kept and len(found) == 1 + kept
+
+
+def test_heif():
+    """A HEIF file: its item's size from the properties, its EXIF from the item location box."""
+    exif = struct.pack(">I", 6) + b"Exif\0\0" + exif_block()
+    ftyp = box(b"ftyp", b"heic\0\0\0\0mif1heic")
+    infe = box(b"infe", b"\2\0\0\0" + struct.pack(">HH", 1, 0) + b"hvc1\0"), box(b"infe", b"\2\0\0\0" + struct.pack(">HH", 2, 0) + b"Exif\0")
+    iinf = box(b"iinf", b"\0\0\0\0" + struct.pack(">H", 2) + b"".join(infe))
+    pitm = box(b"pitm", b"\0\0\0\0" + struct.pack(">H", 1))
+    ispe = box(b"ispe", b"\0\0\0\0" + struct.pack(">II", 4032, 3024))
+    iprp = box(b"iprp", box(b"ipco", ispe), box(b"ipma", b"\0\0\0\0" + struct.pack(">IHBB", 1, 1, 1, 1)))
+
+    def whole(at):
+        iloc = box(b"iloc", b"\0\0\0\0" + bytes([0x44, 0x00]) + struct.pack(">H", 1) + struct.pack(">HHHII", 2, 0, 1, at, len(exif)))
+        return ftyp + box(b"meta", b"\0\0\0\0", box(b"hdlr", b"\0" * 8 + b"pict" + b"\0" * 13), pitm, iinf, iprp, iloc)
+
+    data = whole(len(whole(0)) + 8) + box(b"mdat", exif)
+    info = headers.media_info(lambda at, n: data[at : at + n] if at >= 0 else b"", len(data), "heic", 0)
+    assert (info["format"], info["width"], info["height"], info["make"]) == ("heic", 4032, 3024, "Canon")
+
+
 def test_sniffing(spark):
     rows = [(bytearray(d), e) for e, d in samples().items()]
     got = spark.createDataFrame(rows, "head binary, ext string").select(headers.sniff_format(F.col("head"), F.col("ext"))).collect()

@@ -28,7 +28,26 @@ TAG = {"width": 0x100, "height": 0x101, "make": 0x10F, "model": 0x110, "strip":
 APPLE_CONTENT_ID = 0x11
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
 CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I"}
-CODECS = {b"avc1": "h264", b"avc3": "h264", b"hvc1": "hevc", b"hev1": "hevc", b"dvh1": "hevc", b"dvhe": "hevc", b"mp4v": "mpeg4", b"av01": "av1", b"vp09": "vp9", b"apch": "prores", b"apcn": "prores", b"apcs": "prores", b"apco": "prores", b"ap4h": "prores", b"jpeg": "mjpeg", b"s263": "h263"}
+# Sample entry names of video tracks and the codecs that they stand for.
+CODECS = {
+    b"hvc1": "hevc",
+    b"hev1": "hevc",
+    b"avc1": "h264",
+    b"avc3": "h264",
+    b"mp4v": "mpeg4",
+    b"av01": "av1",
+    b"vp09": "vp9",
+    b"jpeg": "mjpeg",
+    b"mjpa": "mjpeg",
+    b"apch": "prores",
+    b"apcn": "prores",
+    b"apcs": "prores",
+    b"apco": "prores",
+    b"ap4h": "prores",
+    b"s263": "h263",
+    b"dvhe": "hevc",
+    b"dvh1": "hevc",
+}
 RAW_TIFF = {"cr2", "nef", "arw", "pef", "srw", "dng", "orf", "rw2"}
 MAC_EPOCH = datetime(1904, 1, 1, tzinfo=UTC)
 EXIF_DATE = re.compile(r"\s*(\d{4})[:\-/](\d\d)[:\-/](\d\d)[ T](\d\d):(\d\d):(\d\d)")
@@ -88,17 +107,21 @@ def exif_iso(text: str | None) -> str | None:
     return f"{y:04d}-{mo:02d}-{d:02d}T{h:02d}:{mi:02d}:{s:02d}" if fine else None
 
 
-def directory(read: Read, base: int, at: int, order: str, most: int = 512) -> tuple[dict[int, object], int]:
+#: Bytes of a directory's value that are read; a longer one is left out.
+MOST_VALUE = 4 << 20
+
+
+def directory(read: Read, base: int, at: int, order: str) -> tuple[dict[int, object], int]:
     """tag -> value of a TIFF directory, and where the next one is. Offsets count from `base`; anything out of bounds is left out."""
     raw = read(base + at, 2)
     if len(raw) < 2:
         return {}, 0
-    count = min(struct.unpack(order + "H", raw)[0], most)
+    count = struct.unpack(order + "H", raw)[0]
     rows, out = read(base + at + 2, 12 * count + 4), {}
     for k in range(min(count, len(rows) // 12)):
         tag, kind, n = struct.unpack_from(order + "HHI", rows, 12 * k)
         length = SIZES.get(kind, 0) * n
-        if not 0 < length <= 1 << 20:
+        if not 0 < length <= MOST_VALUE:
             continue
         own = rows[12 * k + 8 : 12 * k + 12] if length <= 4 else read(base + struct.unpack_from(order + "I", rows, 12 * k + 8)[0], length)
         own = own[:length]
