@@ -423,3 +423,33 @@ def test_a_file_that_moves_twice_stays_one_row(spark):
     rows = {r.id: r for r in snapshot.relocated(files, moves).collect()}
     assert len(rows) == 2 and rows[2].rel_path == "b.jpg" and rows[2].root == "source"
     assert (rows[1].root, rows[1].rel_path, rows[1].dir_path, rows[1].origin_rel_path) == ("source", "x/a.jpg", "x", None)
+
+
+def test_first_free_names(spark):
+    """Names among the moves, gaps, dotfiles and names without extension, as if the moves were made one by one."""
+    import random
+
+    from tidemill.functions import names
+    from tidemill.operators import journal
+
+    rng, moves, taken = random.Random(7), [], set()
+    for k in range(400):
+        moves.append((k, f"d{k % 3}", rng.choice(["a.jpg", "a.jpg", "a~2.jpg", "a~2~2.jpg", "b.tar.gz", ".rc", ".rc~2", "plain", "plain~3", "x~12.png", "~2.jpg"]), k))
+    moves += [(1000 + k, "one", "c.mov", k) for k in range(30)]
+    moves += [(2000, "gap", "a.jpg", 1), (2001, "two", "a.jpg", 1), (2002, "two", "a.jpg", 1), (2003, "two", "a~2.jpg", 1)]
+    taken = {(f"d{k % 3}", n) for k in range(9) for n in rng.sample(["a.jpg", "a~2.jpg", "a~5.jpg", "b.tar~2.gz", ".rc", "plain~2", "x~12~2.png"], 3)}
+    taken |= {("one", n) for n in ("c.mov", "c~2.mov", "c~3.mov", "c~7.mov", "c~9.mov", "c~07.mov", "c~8.MOV", "c~1.mov", "c~99999999999.mov")} | {("gap", "a~7.jpg")}
+    held, want = set(taken), {}
+    for k, folder, name, _ in moves:
+        n = 1
+        while (folder, names.suffixed_name(name, n)) in held:
+            n += 1
+        want[k] = names.suffixed_name(name, n)
+        held.add((folder, want[k]))
+    table = spark.createDataFrame(moves, "id long, folder string, name string, n int")
+    got = journal.unique_names(table, spark.createDataFrame(sorted(taken), "folder string, name string"))
+    assert got.columns == ["id", "folder", "name", "n", "unique_name"]
+    assert {r.id: r.unique_name for r in got.collect()} == want
+    assert (want[2000], want[2001], want[2002], want[2003]) == ("a.jpg", "a.jpg", "a~2.jpg", "a~2~2.jpg")
+    assert len({(f, want[k]) for k, f, *_ in moves}) == len(moves)
+    assert names.suffixed_name("a.", 2) == column(spark, ["a."], lambda c: names.suffixed(c, F.lit(2)))[0]

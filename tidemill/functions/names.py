@@ -84,6 +84,14 @@ def suffixed(name: Column, n: Column) -> Column:
     return F.when(n < 2, name).when(plain, F.concat(name, F.lit("~"), n.cast("string"))).otherwise(dotted)
 
 
+def suffixed_name(name: str, n: int) -> str:
+    """`suffixed` for one name."""
+    head, dot, tail = name.rpartition(".")
+    if n < 2:
+        return name
+    return f"{head}~{n}.{tail}" if dot and head and tail else f"{name}~{n}"
+
+
 def ancestors(folder: Column) -> Column:
     """All folders from the top down to `folder` itself; none for ''."""
     parts = F.split(folder, "/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,14 +149,52 @@ def purge_preview(files: DataFrame) -> DataFrame:
     return purge_plan(files).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
+def name_family(name: Column) -> Column:
+    """The name without the numbers ~n behind its stem: only names of one family can stand in each other's way."""
+    plain = names.ext(name) == ""
+    stem = F.when(plain, name).otherwise(names.stem(name))
+    return F.concat(F.regexp_replace(stem, r"(~\d+)+$", ""), F.when(plain, "").otherwise(F.concat(F.lit("."), F.substring_index(name, ".", -1))))
+
+
 def unique_names(moves: DataFrame, taken: DataFrame, *, folder: str = "folder", name: str = "name", order: str = "id") -> DataFrame:
-    """`moves` with `unique_name`: name, name~2, name~3 … past the highest number that `taken` (folder, name) has for it.
+    """`moves` with `unique_name`: the first of name, name~2, name~3 … that is free when the moves are made one by one in their `order`.
 
-    Groups of equal destinations are numbered; a name is taken literally, as in a case-sensitive folder.
+    Taken are the names of `taken` (folder, name) and those that earlier moves got. A name is taken literally, as in a case-sensitive folder.
+    Where all moves of a family ask for one name, the k-th gets the k-th free number: the numbers taken are islands, and
+    before the i-th of them lie its value less i free ones, so one running count over both finds every number. Families whose moves
+    ask for several names (`a.jpg` and `a~2.jpg`) depend on the order between them and are gone through one by one, family by family.
     """
-    numbered = r"^(.+?)~(\d+)(\.[^.]*)?$"
-    held = taken.select(F.col(folder), F.when(F.col(name).rlike(numbered), F.concat(F.regexp_extract(name, numbered, 1), F.regexp_extract(name, numbered, 3))).otherwise(F.col(name)).alias(name), F.when(F.col(name).rlike(numbered), F.regexp_extract(name, numbered, 2).cast("int")).otherwise(1).alias("_k"))
-    last = held.groupBy(folder, name).agg(F.max("_k").alias("_last"))
-    nth = F.row_number().over(Window.partitionBy(folder, name).orderBy(order))
-    placed = moves.join(last, [folder, name], "left").withColumn("_n", nth + F.coalesce("_last", F.lit(0)))
-    return placed.withColumn("unique_name", names.suffixed(F.col(name), F.col("_n"))).drop("_n", "_last")
+    own = moves.select(F.col(order).alias("_order"), F.col(folder).alias("_folder"), F.col(name).alias("_name")).withColumn("_family", name_family(F.col("_name")))
+    families = own.groupBy("_folder", "_family").agg(F.min("_name").alias("_asked"), (F.min("_name") != F.max("_name")).alias("_mixed"))
+    held = taken.select(F.col(folder).alias("_folder"), F.col(name).alias("_name")).distinct().withColumn("_family", name_family(F.col("_name"))).join(families, ["_folder", "_family"])
+    own = own.join(families, ["_folder", "_family"])
+
+    plain = own.filter(~F.col("_mixed"))
+    number = F.when(F.col("_name") == F.col("_asked"), 1).otherwise(F.regexp_extract("_name", r"~(\d{1,9})(\.[^.]*)?$", 1).try_cast("int"))
+    islands = held.filter(~F.col("_mixed")).withColumn("_number", number).filter((F.col("_name") == F.col("_asked")) | ((F.col("_number") > 1) & (names.suffixed(F.col("_asked"), F.col("_number")) == F.col("_name"))))
+    group = Window.partitionBy("_folder", "_asked")
+    before = islands.select("_folder", "_asked", (F.col("_number") - F.row_number().over(group.orderBy("_number"))).alias("_place"), F.lit(1).alias("_kind"), F.lit(None).cast(moves.schema[order].dataType).alias("_order"))
+    asked = plain.select("_folder", "_asked", F.row_number().over(group.orderBy("_order")).alias("_place"), F.lit(0).alias("_kind"), "_order")
+    passed = F.sum("_kind").over(group.orderBy("_place", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = asked.unionByName(before).withColumn("_n", F.col("_place") + passed).filter("_kind = 0").select("_order", names.suffixed(F.col("_asked"), F.col("_n")).alias("unique_name"))
+
+    rows = own.filter("_mixed").select("_folder", "_family", "_order", "_name").unionByName(held.filter("_mixed").select("_folder", "_family", "_name"), allowMissingColumns=True)
+    kind = moves.schema[order].dataType.simpleString()
+
+    def in_turn(table: pa.Table) -> pa.Table:
+        asks = sorted((o, n) for o, n in zip(table["_order"].to_pylist(), table["_name"].to_pylist(), strict=True) if o is not None)
+        used = {n for o, n in zip(table["_order"].to_pylist(), table["_name"].to_pylist(), strict=True) if o is None}
+        least: dict[str, int] = {}
+        out = []
+        for _, wanted in asks:
+            n = least.get(wanted, 1)
+            while (got := names.suffixed_name(wanted, n)) in used:
+                n += 1
+            least[wanted] = n + 1
+            used.add(got)
+            out.append(got)
+        return pa.table({"_order": pa.array([o for o, _ in asks], table["_order"].type), "unique_name": pa.array(out, pa.string())})
+
+    mixed = rows.groupBy("_folder", "_family").applyInArrow(in_turn, f"_order {kind}, unique_name string")
+    both = found.unionByName(mixed)
+    return moves.join(both, moves[order] == both["_order"]).drop("_order")

@@ -368,13 +368,23 @@ def groups_having(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH f AS (SELECT p_partkey AS id, 'd' || (p_partkey % 10) AS folder, 'IMG_' || (p_partkey % 7) || '.JPG' AS name FROM part),
-    n AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) + CASE WHEN folder = 'd0' THEN 1 ELSE 0 END AS k FROM f)
-    SELECT id, folder, CASE WHEN k < 2 THEN name ELSE replace(name, '.JPG', '') || '~' || k || '.JPG' END AS unique_name FROM n""")
+    WITH RECURSIVE m AS (SELECT p_partkey AS id, p_brand || '/' || (p_size % 3) AS folder, p_type || CASE WHEN p_partkey % 11 = 3 AND p_size % 3 = 1 THEN '~2' WHEN p_partkey % 17 = 5 AND p_size % 3 = 1 THEN '~2~2' ELSE '' END || CASE p_partkey % 2 WHEN 0 THEN '.jpg' ELSE '' END AS name FROM part),
+    h AS (SELECT DISTINCT folder, CASE n WHEN 1 THEN name ELSE regexp_replace(name, '(\\.jpg)?$', '~' || n || '\\1') END AS name FROM m, (VALUES (1), (2), (4), (7), (8)) v(n) WHERE (id + n) % 5 = 0),
+    f AS (SELECT *, regexp_replace(name, '(~\\d+)+(\\.jpg)?$', '\\2') AS family FROM m),
+    o AS (SELECT *, row_number() OVER (PARTITION BY folder, family ORDER BY id) AS k FROM f),
+    t AS (SELECT folder, regexp_replace(name, '(~\\d+)+(\\.jpg)?$', '\\2') AS family, list(name) AS used FROM h GROUP BY ALL),
+    c AS (SELECT o.*, t.used, list_prepend(o.name, list_transform(range(2, 2000), lambda n: regexp_replace(o.name, '(\\.jpg)?$', '~' || n || '\\1'))) AS choices FROM o LEFT JOIN t USING (folder, family)),
+    r(id, folder, family, k, used, got) AS (SELECT id, folder, family, k, coalesce(used, []), list_filter(choices, lambda x: NOT list_contains(coalesce(used, []), x))[1] FROM c WHERE k = 1
+        UNION ALL SELECT c.id, c.folder, c.family, c.k, list_append(r.used, r.got), list_filter(c.choices, lambda x: x <> r.got AND NOT list_contains(r.used, x))[1] FROM r JOIN c ON c.folder = r.folder AND c.family = r.family AND c.k = r.k + 1)
+    SELECT id, folder, got AS unique_name FROM r""")
 def conflict_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    moves = table(spark, sf_dir, "part").select(key.alias("id"), F.concat(F.lit("d"), (key % 10).cast("string")).alias("folder"), F.concat(F.lit("IMG_"), (key % 7).cast("string"), F.lit(".JPG")).alias("name"))
-    taken = moves.filter(F.col("folder") == "d0").select("folder", "name").distinct()
+    """Moves into folders by maker, with gaps among the numbers taken, and some that bring numbered names along."""
+    key, third = F.col("p_partkey"), F.col("p_size") % 3
+    number = F.when((key % 11 == 3) & (third == 1), "~2").when((key % 17 == 5) & (third == 1), "~2~2").otherwise("")
+    name = F.concat("p_type", number, F.when(key % 2 == 0, ".jpg").otherwise(""))
+    moves = table(spark, sf_dir, "part").select(key.alias("id"), F.concat_ws("/", "p_brand", third.cast("string")).alias("folder"), name.alias("name"))
+    numbers = moves.withColumn("n", F.explode(F.array(*[F.lit(n) for n in (1, 2, 4, 7, 8)]))).filter((F.col("id") + F.col("n")) % 5 == 0)
+    taken = numbers.select("folder", names.suffixed(F.col("name"), F.col("n")).alias("name")).distinct()
     return journal.unique_names(moves, taken).select("id", "folder", "unique_name")
 
 
