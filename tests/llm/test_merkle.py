@@ -94,7 +94,7 @@ def test_many_tiers_and_ranges(spark, monkeypatch):
         leaves = merkle.sorted_leaves(docs.select(docs.source.alias("grp"), docs.doc_id.alias("id"), merkle.leaf(docs.doc_id).alias("leaf"), docs.text.alias("other")))
         assert len(merkle.range_offsets(leaves)) > 5
         blocks = merkle.subtrees(leaves, merkle.range_offsets(leaves), 1)
-        top = merkle.finished(blocks.select("g", "level", "at", "hash"), 2, 1)
+        top = merkle.finished(merkle.leaf_counts(blocks.select("g", "level", "at", "hash")), 2, 1)
         tops = {r.g: r.top_hash for r in top.select("g", "top_hash").distinct().collect()}
         want = {}
         for k, s in enumerate(["a", "b", "c"]):

@@ -184,18 +184,23 @@ def climbing(top: int) -> Callable[[pa.Table], pa.Table]:
     return worked
 
 
+def leaf_counts(nodes: DataFrame) -> DataFrame:
+    """`nodes` (g, level, at) with n, the number of leaves of their group."""
+    ends = (F.col("at") + 1) * F.pow(F.lit(float(FAN)), F.col("level")).cast("long")
+    return nodes.join(nodes.groupBy("g").agg(F.max(ends).alias("n")), "g")
+
+
 def finished(nodes: DataFrame, top: int, height: int = HEIGHT) -> DataFrame:
-    """g, level, at, lefts, rights, top_hash of every node (g, level, at, hash): its siblings on the way to its group's last digest, and that.
+    """g, level, at, lefts, rights, top_hash of every node (g, level, at, hash, n): its siblings on the way to its group's last digest, and that.
 
-    `nodes` are subtrees that cover each group's leaves without gaps. `top` is the first level that is built up to.
+    `nodes` are subtrees that cover each group's n leaves without gaps. `top` is the first level that is built up to.
     """
     ddl = "g long, level long, at long, lefts array<string>, rights array<string>, up_level long, up_at long, up_hash string, n long"
-    fan = F.lit(float(FAN))
-    ends = nodes.groupBy("g").agg(F.max((F.col("at") + 1) * F.pow(fan, F.col("level")).cast("long")).alias("n"))
-    rows, tiers = nodes.join(ends, "g"), []
+    rows, tiers = nodes, []
     while True:
-        up = F.floor(F.col("at") / F.pow(fan, top - F.col("level"))).cast("long")
-        found = cut(rows.withColumn("up", up).groupBy("g", "up").applyInArrow(climbing(top), ddl), "tier")
+        up = F.floor(F.col("at") / F.pow(F.lit(float(FAN)), top - F.col("level"))).cast("long")
+        # dealt by both: rows that come dealt by g would stay so
+        found = cut(rows.withColumn("up", up).repartition("g", "up").groupBy("g", "up").applyInArrow(climbing(top), ddl), "tier")
         tiers.append(found)
         most = found.agg(F.max("n")).first()[0]
         if most is None or width(most, top) == 1:
@@ -266,10 +271,11 @@ def manifest(docs: DataFrame, *, tamper: bool = False, with_siblings: bool = Fal
     other = F.when(touched, leaf(*fields, without_newlines(F.col("text"))))
     leaves = sorted_leaves(docs.select(F.col("source").cast("string").alias("grp"), F.col("doc_id").alias("id"), own.alias("leaf"), other.alias("other")))
     blocks = cut(subtrees(leaves, range_offsets(leaves)), "subtrees")
-    upper = cut(finished(blocks.select("g", "level", "at", "hash"), 2 * HEIGHT), "upper")
+    upper = cut(finished(leaf_counts(blocks.select("g", "level", "at", "hash")), 2 * HEIGHT), "upper")
     release(leaves)
-    subroots = upper.select("g", F.col("top_hash").alias("hash")).distinct()
-    root = finished(subroots.select(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("level"), F.col("g").alias("at"), "hash"), HEIGHT)
+    subroots = cut(upper.select("g", F.col("top_hash").alias("hash")).distinct(), "subroots")
+    zero = F.lit(0).cast("long")
+    root = finished(subroots.select(zero.alias("g"), zero.alias("level"), F.col("g").alias("at"), "hash", F.lit(subroots.count()).alias("n")), HEIGHT)
     root = root.select(F.col("at").alias("g"), F.col("lefts").alias("_l"), F.col("rights").alias("_r"), F.col("top_hash").alias("root"))
     placed = blocks.join(upper, ["g", "level", "at"]).join(root, "g")
     placed = placed.select("ids", "level", "leaves", "others", F.concat("lefts", "_l").alias("lefts"), F.concat("rights", "_r").alias("rights"), F.col("top_hash").alias("subroot"), "root")
