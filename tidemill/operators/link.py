@@ -46,3 +46,20 @@ def link_items(files: DataFrame) -> DataFrame:
     owned = live.unionByName(sidecars)
     placed = files.select("id").join(owned, "id", "left").join(edited, "id", "left")
     return placed.select("id", F.coalesce("owner", "id").alias("item_id"), F.col("role").alias("companion_role"), "edited_of")
+
+
+def relinked(files: DataFrame, touched: DataFrame, lost_ids: DataFrame | None = None) -> DataFrame:
+    """`link_items` for what a change in the folders `touched` (root, dir_path) can have an effect on; no other folder is joined.
+
+    Links reach over folders by content_id only: videos elsewhere that share one with a touched folder, or with a file that went from it
+    (`lost_ids`: root, content_id), look for their photo anew. For these, `live_only` is true, and edited_of isn't worked out.
+    """
+    touched = touched.select("root", "dir_path").distinct()
+    here = files.join(touched, ["root", "dir_path"], "left_semi")
+    ids = here.filter(F.col("content_id") != "").select("root", "content_id")
+    ids = (ids if lost_ids is None else ids.unionByName(lost_ids.select("root", "content_id"))).distinct()
+    far = files.join(ids, ["root", "content_id"], "left_semi").join(touched, ["root", "dir_path"], "left_anti")
+    links = link_items(here.unionByName(far))
+    asked = here.select("id", F.lit(False).alias("live_only"))
+    looking = far.filter((F.col("kind") == "video") & F.col("detached_at").isNull()).select("id", F.lit(True).alias("live_only"))
+    return links.join(asked.unionByName(looking), "id")

@@ -14,6 +14,14 @@ def changed(size: Column, new_size: Column, mtime: Column, new_mtime: Column, st
     return (size != new_size) | ~same_mtime(mtime, new_mtime) | (status != "present")
 
 
+def spared(folder: Column, failed_dirs: tuple[str, ...]) -> Column:
+    """Whether a folder is, or lies in, one that could not be listed."""
+    out = F.lit(False)
+    for failed in failed_dirs:
+        out = out | (folder == failed) | folder.startswith(failed + "/")
+    return out
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, *, keys: tuple[str, ...] = ("root", "rel_path"), failed_dirs: tuple[str, ...] = ()) -> DataFrame:
     """keys, change (new, changed, unchanged, missing, kept), size, mtime_ns, status after the scan.
 
@@ -23,12 +31,9 @@ def snapshot_diff(old: DataFrame, new: DataFrame, *, keys: tuple[str, ...] = ("r
     b = new.select(*keys, "size", "mtime_ns", F.lit(True).alias("_seen"))
     both = a.join(b, list(keys), "full_outer")
     folder = F.when(F.instr(keys[-1], "/") > 0, F.regexp_replace(keys[-1], "/[^/]*$", "")).otherwise("")
-    spared = F.lit(False)
-    for failed in failed_dirs:
-        spared = spared | (folder == failed) | folder.startswith(failed + "/")
     gone = F.col("_seen").isNull()
     change = (
-        F.when(gone & ((F.col("_status") != "present") | spared), "kept")
+        F.when(gone & ((F.col("_status") != "present") | spared(folder, failed_dirs)), "kept")
         .when(gone, "missing")
         .when(F.col("_status").isNull(), "new")
         .when(changed(F.col("_size"), F.col("size"), F.col("_mtime"), F.col("mtime_ns"), F.col("_status")), "changed")

@@ -10,7 +10,7 @@ import os
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import hashing
@@ -18,15 +18,17 @@ from tidemill.functions.config import ClassifyConfig
 from tidemill.functions.constants import CATEGORIES, MEDIA_KINDS
 from tidemill.operators import dedupe, journal, link, report, rules, snapshot
 from tidemill.operators.numbering import numbered
+from tidemill.plans.running import Running
 from tidemill.session import cut, settings
 from tidemill.sources import headers, images, mover, sinks, tree
-from tidemill.sources.catalog import Catalog, CatalogLock, utcnow
+from tidemill.sources.catalog import KEEP_SECONDS, Catalog, CatalogLock, utcnow
 
 CATALOG_DIR = "_tidemill_catalog"
 #: Moves that one apply or undo brings to the driver, which is where files are moved; a larger plan is applied in several runs.
 MOST_MOVES = 100_000
 #: Photo paths that the driver hands to the image source at once; every batch is worked through.
 PATHS = 20_000
+CHANGES = ("new", "changed", "unchanged", "missing")
 DECODED = ("jpg", "jpeg", "jpe", "png", "gif")
 
 
@@ -43,6 +45,14 @@ class Workspace:
     def move_log(self) -> str:
         return os.path.join(self.roots["review"], CATALOG_DIR, "moves.log")
 
+    @property
+    def tasks(self) -> int:
+        """Tasks that work on files is dealt out to."""
+        return max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def running(self, kind: str) -> Running:
+        return Running(self.spark, self.catalog, os.path.join(self.roots["review"], CATALOG_DIR), kind, self.session_id, self.touch)
+
     def touch(self) -> None:
         """Tells others that the lock's owner is alive."""
         if self.lock:
@@ -51,6 +61,7 @@ class Workspace:
     def close(self) -> None:
         if self.session_id is not None:
             self.catalog.end_session(self.session_id)
+            self.catalog.vacuum(keep_seconds=KEEP_SECONDS)
         if self.lock:
             self.lock.release()
 
@@ -72,9 +83,7 @@ def open_workspace(spark: SparkSession, source: str, review: str | None = None,
     catalog = Catalog(spark, f"file://{os.path.abspath(base)}")
     session = None
     if not read_only:
-        running = catalog.read("jobs")
-        if running.filter("state = 'running'").limit(1).count():  # jobs of a process that is gone
-            catalog.write("jobs", running.withColumn("state", F.when(F.col("state") == "running", "interrupted").otherwise(F.col("state"))))
+        catalog.interrupt_jobs()
         catalog.record_roots(source, review, delete)
         session = catalog.start_session(session_kind)
     ws = Workspace(spark, {"source": os.path.abspath(source), "review": os.path.abspath(review), "delete": os.path.abspath(delete)}, catalog, lock, session, recursive)
@@ -102,36 +111,79 @@ def _logged(ws: Workspace) -> DataFrame:
 
 
 def run_scan(ws: Workspace) -> dict[str, int]:
-    """Lists the three roots, diffs against the catalog, reads headers of new and changed media, links items."""
+    """Lists the three roots, diffs against the catalog, reads headers of new and changed media, links what a change can have an effect on.
+
+    Only rows that change are written: a scan that meets nothing new leaves every table as it is, and only notes its generation.
+    """
+    with ws.running("scan") as job:
+        return _scan(ws, job)
+
+
+def _scan(ws: Workspace, job: Running) -> dict[str, int]:
+    job.at("list")
     listed = tree.scan_roots(ws.spark, *ws.roots.values(), recursive=ws.recursive)
-    failed = [r["rel_path"] for r in listed.filter(F.col("error").isNotNull()).select("rel_path").collect()]
+    failed = [(r["root"], r["rel_path"], r["error"]) for r in listed.filter(F.col("error").isNotNull()).select("root", "rel_path", "error").collect()]
+    ws.catalog.add_issues([(rel, "list_error", error) for _, rel, error in failed], job.id)
     seen = listed.filter(F.col("error").isNull())
-    ws.catalog.add_issues([(f, "list_error", "the folder could not be listed") for f in failed])
-    ws.touch()
-    old, now = ws.catalog.read("files"), utcnow()
-    gen = int(ws.catalog.setting("scan_gen", 0)) + 1
-    diff = snapshot.snapshot_diff(old, seen, failed_dirs=tuple(failed))
+    spared = tuple(rel for _, rel, _ in failed)
+
+    job.at("diff")
+    last = ws.catalog.setting("scan") or {"gen": 0, "at": None, "failed": [], "clean": True}
+    now, gen = utcnow(), last["gen"] + 1
+    old = ws.catalog.read("files")
+    tally = Observation()
+    diff = snapshot.snapshot_diff(old, seen, failed_dirs=spared)
+    diff = diff.observe(tally, *[F.count_if(F.col("change") == c).alias(c) for c in CHANGES], F.coalesce(F.max(F.when(F.col("change") == "new", 1)), F.lit(0)).alias("any"))
+    changes = cut(diff.filter(F.col("change").isin("new", "changed", "missing")), "changes")
+    counts = {c: tally.get[c] for c in CHANGES}
+    if spared:  # what can't be seen now keeps the time at which it was seen last
+        kept = old.filter((F.col("status") == "present") & snapshot.spared(F.col("dir_path"), spared) & ~snapshot.spared(F.col("dir_path"), tuple(last["failed"])))
+        ws.catalog.merge("files", kept)
+    mark = {"gen": gen, "at": now, "failed": list(spared)}
+    touched = any(counts[c] for c in ("new", "changed", "missing"))
+    whole = not last["clean"]  # an earlier scan ended before its features and links
+    if touched or whole:
+        ws.catalog.set_setting("scan", last | {"clean": False})
+        folders, lost = None, None
+        if touched:
+            files = changed_rows(ws, old, changes, seen, now, gen)
+            folders = cut(files.select("root", "dir_path").distinct(), "touched")
+            ids = ws.catalog.read("file_meta").filter(F.col("content_id") != "").select(F.col("file_id").alias("id"), "content_id")
+            lost = cut(files.select("id", "root").join(ids, "id").select("root", "content_id"), "lost-ids")
+            ws.catalog.merge("files", files)
+        job.at("features")
+        read_headers(ws, now)
+        job.at("links")
+        relink(ws, None if whole or last["gen"] == 0 else folders, lost)
+    ws.catalog.set_setting("scan", mark | {"clean": True})
+    return {c: counts[c] for c in CHANGES} | {"failed_dirs": len(failed)}
+
+
+def changed_rows(ws: Workspace, old: DataFrame, changes: DataFrame, seen: DataFrame, now: str, gen: int) -> DataFrame:
+    """The rows of files that a scan puts: new ones with ids that follow the greatest, in the order of paths, changed and missing ones."""
     start = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    known = old.select("root", "rel_path", *[c for c in old.columns if c not in ("root", "rel_path", "size", "mtime_ns", "status", "name", "stem", "ext", "kind", "dir_path", "rel_path_os")])
-    fresh = seen.select("root", "rel_path", F.col("rel_path_os").alias("_os"))
-    rows = diff.join(known, ["root", "rel_path"], "left").join(fresh, ["root", "rel_path"], "left").join(old.select("root", "rel_path", F.col("rel_path_os").alias("_old_os")), ["root", "rel_path"], "left")
-    # new ids are dealt in the order of paths, among new rows only
-    numbers = numbered(diff.filter("change = 'new'").select("root", "rel_path"), "root", "rel_path", column="_new", start=start)
+    kept = [c for c in ws.catalog.columns("files") if c not in ("root", "rel_path", "size", "mtime_ns", "status", "name", "stem", "ext", "kind", "dir_path", "rel_path_os")]
+    known = old.select("root", "rel_path", F.col("rel_path_os").alias("_old_os"), *kept)
+    rows = changes.join(known, ["root", "rel_path"], "left").join(seen.select("root", "rel_path", F.col("rel_path_os").alias("_os")), ["root", "rel_path"], "left")
+    numbers = numbered(changes.filter("change = 'new'").select("root", "rel_path"), "root", "rel_path", column="_new", start=start)
     rows = rows.join(numbers, ["root", "rel_path"], "left").withColumn("id", F.coalesce("id", "_new"))
-    met = F.col("change").isin("new", "changed", "unchanged")
+    met = F.col("change") != "missing"
     rows = rows.withColumn("first_seen", F.coalesce("first_seen", F.lit(now))).withColumn("last_seen", F.when(met, now).otherwise(F.col("last_seen"))).withColumn("seen_gen", F.when(met, gen).otherwise(F.col("seen_gen")))
     rows = rows.withColumn("rel_path_os", F.when(met, F.col("_os")).otherwise(F.col("_old_os"))).withColumn("name", F.substring_index("rel_path", "/", -1))
-    rows = rows.withColumn("dir_path", tree.names.dirname(F.col("rel_path"))).withColumn("stem", tree.names.stem(F.col("name"))).withColumn("ext", tree.names.ext(F.col("name"))).withColumn("kind", tree.names.kind(F.col("ext"))).withColumn("item_id", F.coalesce("item_id", "id"))
-    files = ws.catalog.write("files", rows)
-    counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
-    ws.catalog.set_setting("scan_gen", gen)
+    rows = rows.withColumn("dir_path", tree.names.dirname(F.col("rel_path"))).withColumn("stem", tree.names.stem(F.col("name"))).withColumn("ext", tree.names.ext(F.col("name"))).withColumn("kind", tree.names.kind(F.col("ext")))
+    alone = [F.when(met, F.col(c)).alias(c) for c in ("companion_role", "edited_of")]
+    rest = [c for c in ws.catalog.columns("files") if c not in ("item_id", "companion_role", "edited_of", "error")]
+    return cut(rows.select(*rest, F.coalesce("item_id", "id").alias("item_id"), *alone, F.when(~met, F.col("error")).alias("error")), "changed-files")
+
 
-    media = files.filter((F.col("status") == "present") & F.col("kind").isin(*MEDIA_KINDS))
+def read_headers(ws: Workspace, now: str) -> int:
+    """Media info of present media whose stored features are absent or of another version."""
+    media = ws.catalog.read("files").filter((F.col("status") == "present") & F.col("kind").isin(*MEDIA_KINDS))
     wanted = snapshot.needing_features(media, ws.catalog.read("file_meta")).withColumn("path", full_path(ws))
+    # small files: dealt out by count
+    wanted = wanted.select("id", "size", "mtime_ns", "ext", "path").repartition(ws.tasks)
     described = headers.with_media_info(wanted).select(F.col("id").alias("file_id"), "size", "mtime_ns", "media.*").withColumn("extracted_at", F.lit(now))
-    ws.catalog.write("file_meta", snapshot.upsert(ws.catalog.read("file_meta"), described, "file_id"))
-    relink(ws)
-    return {c: counts.get(c, 0) for c in ("new", "changed", "unchanged", "missing")} | {"failed_dirs": len(failed)}
+    return ws.catalog.merge("file_meta", described)
 
 
 def full_path(ws: Workspace):
@@ -139,15 +191,17 @@ def full_path(ws: Workspace):
     return F.concat(base[F.col("root")], F.lit("/"), F.coalesce("rel_path_os", "rel_path"))
 
 
-def relink(ws: Workspace) -> None:
-    """Live pairs, sidecars and edited versions of all present files, from scratch."""
-    files = ws.catalog.read("files")
+def relink(ws: Workspace, folders: DataFrame | None = None, lost_ids: DataFrame | None = None) -> int:
+    """Live pairs, sidecars and edited versions of present files, of all or of what changes in `folders` can have an effect on; writes the rows that differ."""
+    files = ws.catalog.read("files").filter("status = 'present'")
     meta = ws.catalog.read("file_meta").select(F.col("file_id").alias("id"), "content_id", "duration_ms")
-    links = link.link_items(files.filter("status = 'present'").join(meta, "id", "left"))
+    placed = files.join(meta, "id", "left")
+    links = link.link_items(placed).withColumn("live_only", F.lit(False)) if folders is None else link.relinked(placed, folders, lost_ids)
+    new = links.select("id", F.col("item_id").alias("_item"), F.col("companion_role").alias("_role"), F.col("edited_of").alias("_edited"), "live_only")
+    both = files.join(new, "id").withColumn("_edited", F.when(F.col("live_only"), F.col("edited_of")).otherwise(F.col("_edited")))
+    other = ~(F.col("item_id").eqNullSafe(F.col("_item")) & F.col("companion_role").eqNullSafe(F.col("_role")) & F.col("edited_of").eqNullSafe(F.col("_edited")))
     rest = [c for c in files.columns if c not in ("item_id", "companion_role", "edited_of")]
-    gone = files.select("id", F.col("item_id").alias("_item"))
-    placed = files.select(*rest).join(links, "id", "left").join(gone, "id").withColumn("item_id", F.coalesce("item_id", "_item"))
-    ws.catalog.write("files", placed)
+    return ws.catalog.merge("files", both.filter(other).select(*rest, F.col("_item").alias("item_id"), F.col("_role").alias("companion_role"), F.col("_edited").alias("edited_of")))
 
 
 def wide(ws: Workspace) -> DataFrame:
@@ -186,22 +240,24 @@ def run_analysis(ws: Workspace) -> None:
             seen = seen.unionByName(cut(images.image_features(ws.spark, [f"file://{path}" for path, _ in batch], turned), "pixels"))
             ws.touch()
     pixels = photos.select(F.col("id").alias("file_id"), "size", "mtime_ns", "path").join(seen, "path").drop("path")
-    found = hashed.join(pixels, ["file_id", "size", "mtime_ns"], "full_outer")
-    ws.catalog.write("file_analysis", snapshot.merge_features(ws.catalog.read("file_analysis"), found, features))
+    found = cut(hashed.join(pixels, ["file_id", "size", "mtime_ns"], "full_outer"), "analysis")
+    known = ws.catalog.read("file_analysis").join(found.select("file_id"), "file_id", "left_semi")
+    ws.catalog.merge("file_analysis", snapshot.merge_features(known, found, features))
 
 
 def run_classify(ws: Workspace, cfg: ClassifyConfig | None = None, *, compute: bool = True) -> dict[str, int]:
     """A new run of all rules; unapplied candidates of earlier runs are replaced. Non-keepers by category."""
     cfg = cfg or ws.catalog.config()
     ws.catalog.save_config(cfg)
-    run_id = ws.catalog.create_job("classify", ws.session_id)
-    if compute:
-        run_analysis(ws)
-    found = rules.classify(wide(ws), cfg, run_id=run_id).withColumn("run_id", F.lit(run_id)).withColumn("applied_op", F.lit(None).cast("string"))
-    table = ws.catalog.write("candidates", snapshot.replace_candidates(ws.catalog.read("candidates"), found))
-    ws.catalog.set_setting("last_run", run_id)
-    ws.catalog.update_job(run_id, "done")
-    return {r["category"]: r["n"] for r in report.category_counts(table.filter(F.col("run_id") == run_id)).collect()}
+    with ws.running("classify") as job:
+        job.at("analyse")
+        if compute:
+            run_analysis(ws)
+        job.at("rules")
+        found = rules.classify(wide(ws), cfg, run_id=job.id).withColumn("run_id", F.lit(job.id)).withColumn("applied_op", F.lit(None).cast("string"))
+        table = ws.catalog.write("candidates", snapshot.replace_candidates(ws.catalog.read("candidates"), found))
+        ws.catalog.set_setting("last_run", job.id)
+    return {r["category"]: r["n"] for r in report.category_counts(table.filter(F.col("run_id") == job.id)).collect()}
 
 
 def get_plan(ws: Workspace, cfg: ClassifyConfig | None = None, *, examples: int = 12) -> dict:

@@ -1,8 +1,7 @@
-"""The catalog: versioned parquet snapshots of every table behind numbered pointers.
+"""The catalog: the tables behind a workspace, merged on read.
 
-A table's versions are folders, and a pointer is a small file `at-<number>` that names one; the greatest number counts. Writers add a
-folder, then a pointer by one rename, and take nothing away, so a failed write is never seen, a crash leaves the version before, and no path
-is overwritten while it is read. Small tables (settings, sessions, jobs, issues) use the same way.
+Large tables (files, features, candidates, journal, issues) are bases with deltas in a `Store`: scans, moves and marks write the rows that they
+change. Settings, hosts, sessions and jobs are a few rows in a pointer file each, read and written without a Spark job.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ import json
 import os
 import socket
 import time
-import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +19,7 @@ from tidemill.functions.config import ClassifyConfig
 from tidemill.operators import journal as J
 from tidemill.operators import listing as L
 from tidemill.operators import snapshot as S
+from tidemill.sources.store import Conflict, Store
 
 # Table columns in DDL; text, 64-bit and double columns of the catalog.
 TABLES = {
@@ -36,7 +35,24 @@ TABLES = {
     "journal": "id long, op_id string, session_id long, ts string, action string, file_id long, item_id long, from_root string, from_rel string, to_root string, to_rel string, method string, conflict boolean, category string, reason string, params map<string,string>, size long, undoes long, undone_by long",
     "issues": "id long, job_id long, ts string, path string, kind string, message string",
 }
+# What tells the rows of a table apart.
+KEYS = {
+    "meta": ("key",),
+    "hosts": ("hostname",),
+    "settings": ("key",),
+    "files": ("id",),
+    "file_meta": ("file_id",),
+    "file_analysis": ("file_id",),
+    "sessions": ("id",),
+    "jobs": ("id",),
+    "candidates": ("run_id", "file_id", "category"),
+    "journal": ("id",),
+    "issues": ("id",),
+}
+SMALL = ("meta", "hosts", "settings", "sessions", "jobs")
 STALE_SECONDS = 600
+#: Seconds for which superseded files stay, for readers that began before.
+KEEP_SECONDS = 3600
 
 
 def utcnow() -> str:
@@ -51,76 +67,72 @@ class Catalog:
     """Tables of one catalog folder. The folder is local to the driver or in any store that Spark reads."""
 
     def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # pointer files
-
-    def _pointers(self, name: str) -> list[str]:
-        """Names of the pointers, the newest last."""
-        folder = self._path(f"{self.base}/{name}")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(n for n in (f.getPath().getName() for f in self._fs.listStatus(folder)) if n.startswith("at-"))
-
-    def _current(self, name: str) -> str | None:
-        pointers = self._pointers(name)
-        if not pointers:
-            return None
-        stream = self._fs.open(self._path(f"{self.base}/{name}/{pointers[-1]}"))
-        try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
+        self.spark, self.base, self.store = spark, base.rstrip("/"), Store(spark, base)
 
     def read(self, name: str) -> DataFrame:
-        version = self._current(name)
-        if version is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.parquet(f"{self.base}/{name}/{version}")
+        """The table as it is now; what is written later doesn't change it."""
+        if name in SMALL:
+            return self.spark.createDataFrame([tuple(r) for r in self.store.rows(name)], TABLES[name])
+        rows = self.store.read(name, TABLES[name], KEYS[name])
+        return self.seen(rows) if name == "files" else rows
+
+    def seen(self, files: DataFrame) -> DataFrame:
+        """Present files are seen by every scan: unless their folder couldn't be listed, generation and time are those of the newest one.
+
+        So a file that doesn't change needs no new row for each scan.
+        """
+        scan = self.setting("scan") or {}
+        if not scan or not scan["gen"]:
+            return files
+        met = (F.col("status") == "present") & (F.col("seen_gen") < scan["gen"]) & ~S.spared(F.col("dir_path"), tuple(scan["failed"]))
+        return files.withColumn("last_seen", F.when(met, scan["at"]).otherwise(F.col("last_seen"))).withColumn("seen_gen", F.when(met, scan["gen"]).otherwise(F.col("seen_gen")))
 
     def write(self, name: str, table: DataFrame) -> DataFrame:
-        """A new version of a table, cast to its schema; the old one stays until `vacuum`."""
-        empty = self.spark.createDataFrame([], TABLES[name])
-        own = table.select(*[(F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema])
-        version = f"v-{uuid.uuid4().hex}"
-        own.write.parquet(f"{self.base}/{name}/{version}")
-        pointers = self._pointers(name)
-        number = int(pointers[-1].removeprefix("at-")) + 1 if pointers else 1
-        beside, target = self._path(f"{self.base}/{name}/next-{version}"), self._path(f"{self.base}/{name}/at-{number:012d}")
-        stream = self._fs.create(beside, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        if not self._fs.rename(beside, target):
-            raise Locked(f"another process wrote {name}")
+        """All of a table anew, cast to its schema."""
+        try:
+            if name in SMALL:
+                self.store.put_rows(name, [list(r) for r in table.select(*self.columns(name)).collect()])
+            else:
+                self.store.write(name, table, TABLES[name], KEYS[name])
+        except Conflict as error:
+            raise Locked(str(error)) from error
         return self.read(name)
 
-    def vacuum(self, name: str) -> int:
-        """Deletes all versions but the current one, and their pointers."""
-        current, gone = self._current(name), 0
-        for pointer in self._pointers(name)[:-1]:
-            self._fs.delete(self._path(f"{self.base}/{name}/{pointer}"), False)
-        for status in self._fs.listStatus(self._path(f"{self.base}/{name}")):
-            own = status.getPath().getName()
-            if own.startswith("v-") and own != current:
-                self._fs.delete(status.getPath(), True)
-                gone += 1
-        return gone
+    def merge(self, name: str, rows: DataFrame | None, *, gone: DataFrame | None = None) -> int:
+        """Puts rows by their keys, drops the keys of `gone`, and returns the number of both; nothing is written for none."""
+        try:
+            return self.store.merge(name, rows, TABLES[name], KEYS[name], gone=gone)
+        except Conflict as error:
+            raise Locked(str(error)) from error
+
+    def columns(self, name: str) -> list[str]:
+        return [part.split(" ")[0] for part in TABLES[name].split(", ")]
+
+    def vacuum(self, name: str | None = None, *, keep_seconds: float = 0) -> int:
+        """Deletes what the newest pointer of a table, or of every table, doesn't name."""
+        return sum(self.store.vacuum(n, keep_seconds=keep_seconds) for n in ([name] if name else TABLES))
 
     # small tables
 
-    def put(self, name: str, rows: list[tuple], *keys: str) -> None:
-        new = self.spark.createDataFrame(rows, TABLES[name])
-        self.write(name, S.upsert(self.read(name), new, *keys))
+    def records(self, name: str) -> list[dict]:
+        columns = self.columns(name)
+        return [dict(zip(columns, r, strict=True)) for r in self.store.rows(name)]
+
+    def put(self, name: str, *records: dict) -> None:
+        """Inserts or replaces rows of a small table."""
+        columns, keys = self.columns(name), KEYS[name]
+        kept = {tuple(r[k] for k in keys): r for r in self.records(name)}
+        kept |= {tuple(r[k] for k in keys): kept.get(tuple(r[k] for k in keys), {}) | r for r in records}
+        try:
+            self.store.put_rows(name, [[r.get(c) for c in columns] for r in kept.values()])
+        except Conflict as error:
+            raise Locked(str(error)) from error
 
     def setting(self, key: str, default: object = None) -> object:
-        found = self.read("settings").filter(F.col("key") == key).first()
-        return json.loads(found["value"]) if found else default
+        return next((json.loads(r["value"]) for r in self.records("settings") if r["key"] == key), default)
 
     def set_setting(self, key: str, value: object) -> None:
-        self.put("settings", [(key, json.dumps(value))], "key")
+        self.put("settings", {"key": key, "value": json.dumps(value)})
 
     def config(self) -> ClassifyConfig:
         return ClassifyConfig.from_json(json.dumps(self.setting("classify", {})))
@@ -129,35 +141,42 @@ class Catalog:
         self.set_setting("classify", json.loads(cfg.to_json()))
 
     def record_roots(self, source: str, review: str, delete: str) -> None:
-        self.put("hosts", [(socket.gethostname(), os.name, source, review, delete, utcnow())], "hostname")
+        self.put("hosts", {"hostname": socket.gethostname(), "platform": os.name, "source_path": source, "review_path": review, "delete_path": delete, "last_seen": utcnow()})
 
     def resolve_roots(self) -> tuple[str, str, str] | None:
-        found = self.read("hosts").filter(F.col("hostname") == socket.gethostname()).first()
+        """The roots that this host used last."""
+        found = next((r for r in self.records("hosts") if r["hostname"] == socket.gethostname()), None)
         return (found["source_path"], found["review_path"], found["delete_path"]) if found else None
 
     def _next(self, name: str) -> int:
+        if name in SMALL:
+            return max((r["id"] for r in self.records(name)), default=0) + 1
         return (self.read(name).agg(F.max("id")).first()[0] or 0) + 1
 
     def start_session(self, kind: str, app: str = "tidemill", params: dict | None = None) -> int:
         id = self._next("sessions")
-        self.put("sessions", [(id, kind, socket.gethostname(), app, utcnow(), None, json.dumps(params or {}))], "id")
+        self.put("sessions", {"id": id, "kind": kind, "host": socket.gethostname(), "app": app, "started_at": utcnow(), "params": json.dumps(params or {})})
         return id
 
     def end_session(self, id: int) -> None:
-        own = self.read("sessions")
-        self.write("sessions", own.withColumn("ended_at", F.when(F.col("id") == id, utcnow()).otherwise(F.col("ended_at"))))
+        self.put("sessions", {"id": id, "ended_at": utcnow()})
 
     def create_job(self, kind: str, session_id: int | None = None, params: dict | None = None) -> int:
         id, now = self._next("jobs"), utcnow()
-        self.put("jobs", [(id, session_id, kind, "running", json.dumps(params or {}), None, None, now, now, None, None)], "id")
+        self.put("jobs", {"id": id, "session_id": session_id, "kind": kind, "state": "running", "params": json.dumps(params or {}), "started_at": now, "updated_at": now})
         return id
 
     def update_job(self, id: int, state: str, *, progress: dict | None = None, error: str | None = None) -> None:
-        mine, now = F.col("id") == id, utcnow()
-        done = now if state in ("done", "cancelled", "failed") else None
-        jobs = self.read("jobs").withColumn("state", F.when(mine, state).otherwise(F.col("state"))).withColumn("updated_at", F.when(mine, now).otherwise(F.col("updated_at")))
-        jobs = jobs.withColumn("finished_at", F.when(mine & F.lit(done is not None), done).otherwise(F.col("finished_at"))).withColumn("error", F.when(mine, error).otherwise(F.col("error")))
-        self.write("jobs", jobs.withColumn("progress", F.when(mine & F.lit(progress is not None), json.dumps(progress)).otherwise(F.col("progress"))))
+        now = utcnow()
+        done = {"finished_at": now} if state in ("done", "cancelled", "failed") else {}
+        more = {"progress": json.dumps(progress)} if progress is not None else {}
+        self.put("jobs", {"id": id, "state": state, "updated_at": now, "error": error} | done | more)
+
+    def interrupt_jobs(self) -> None:
+        """Jobs that a process which is gone left running."""
+        left = [r["id"] for r in self.records("jobs") if r["state"] == "running"]
+        if left:
+            self.put("jobs", *[{"id": i, "state": "interrupted"} for i in left])
 
     def jobs(self, kind: str | None = None, states: tuple[str, ...] = (), limit: int = 50) -> DataFrame:
         return L.newest(self.read("jobs"), limit=limit, states=states, kind=kind)
@@ -166,11 +185,13 @@ class Catalog:
         """Appends (path, kind, message); messages are cut at 2,000 characters."""
         if rows:
             first, now = self._next("issues"), utcnow()
-            self.put("issues", [(first + k, job_id, now, path, kind, message[:2000]) for k, (path, kind, message) in enumerate(rows)], "id")
+            own = [(first + k, job_id, now, path, kind, message[:2000]) for k, (path, kind, message) in enumerate(rows)]
+            self.merge("issues", self.spark.createDataFrame(own, TABLES["issues"]))
 
     def set_reviewed(self, items: DataFrame, reviewed: bool = True) -> None:
         """Marks all files of `items` (item_id), or clears the mark."""
-        self.write("files", S.reviewed(self.read("files"), items, utcnow() if reviewed else None))
+        own = self.read("files").join(items.select("item_id").distinct(), "item_id", "left_semi")
+        self.merge("files", S.reviewed(own, items, utcnow() if reviewed else None))
 
     def issues(self, job_id: int | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
         return L.newest(self.read("issues"), limit=limit, offset=offset, job_id=job_id)
@@ -209,7 +230,7 @@ class Catalog:
         return self._row("file_analysis", "file_id", file_id)
 
     def job(self, id: int) -> dict | None:
-        return self._row("jobs", "id", id)
+        return next((r for r in self.records("jobs") if r["id"] == id), None)
 
     def candidates(self, run_id: int | None = None, category: str | None = None, *, unapplied_only: bool = False, include_keepers: bool = True) -> DataFrame:
         rows = self.read("candidates")
