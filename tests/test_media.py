@@ -283,8 +283,7 @@ def gray_png(pixels):
 
 
 def test_analysis_takes_every_file(spark, tmp_path, monkeypatch):
-    """More files than a call may move, in several batches; what is stored isn't read again."""
-    monkeypatch.setattr(W, "MOST_MOVES", 1)
+    """Several batches of photos; what is stored isn't read again."""
     monkeypatch.setattr(W, "PATHS", 2, raising=False)
     (tmp_path / "src").mkdir()
     shots = [gray_png(np.random.default_rng(k).integers(0, 255, (40, 40)).astype(np.uint8)) for k in range(3)]
@@ -319,8 +318,8 @@ def test_manual_actions(spark, archive):
     assert ws.catalog.file(ids[2])["root"] == "source" and ws.catalog.file(ids[0])["root"] == "delete"
 
     # the process dies after a move, before its journal is written
-    moves = W.with_ops([{"file_id": ids[1], "item_id": ids[1], "src_root": "source", "src_rel": "2020/shot.png", "dst_root": "review", "dst_rel": "junk/shot.png", "size": 1}], action="to_review")
-    mover.carry_out(moves, ws.roots, dry_run=False, log=ws.move_log)
+    moves = [{"op_id": "lost", "action": "to_review", "file_id": ids[1], "item_id": ids[1], "src_root": "source", "src_rel": "2020/shot.png", "dst_root": "review", "dst_rel": "junk/shot.png", "size": 1}]
+    assert [m["method"] for m in mover.carry_out(moves, ws.roots, dry_run=False, log=ws.move_log)] == ["rename"]
     rows = ws.catalog.read("journal").count()
     ws.close()
     ws = W.open_workspace(spark, str(archive / "src"), str(archive / "review"), str(archive / "delete"))

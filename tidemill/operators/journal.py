@@ -99,6 +99,39 @@ def move_specs(files: DataFrame, items: DataFrame, dst_root: str) -> DataFrame:
     return own.select(F.col("id").alias("file_id"), "item_id", F.col("root").alias("src_root"), F.col("rel_path").alias("src_rel"), F.lit(dst_root).alias("dst_root"), target.alias("dst_rel"), "size", after.alias("origin_after"))
 
 
+def with_disk_names(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """`plan` with src_os, the name on the disk of files whose name isn't the catalog's."""
+    other = files.filter(F.col("rel_path_os").isNotNull()).select(F.col("id").alias("file_id"), F.col("rel_path_os").alias("src_os"))
+    return plan.join(other, "file_id", "left")
+
+
+def net_moves(plan: DataFrame) -> DataFrame:
+    """One row a file of an undo plan's valid rows: from where the newest left it to where the oldest took it from, with all rows in `steps`.
+
+    `nth` orders them as the plan does, newest first.
+    """
+    step = F.struct((-F.col("undoes")).alias("k"), "undoes", "op_id", "src_root", "src_rel", "dst_root", "dst_rel", "clears_reviewed", "relinks")
+    rows = plan.filter("valid").groupBy("file_id").agg(F.sort_array(F.collect_list(step)).alias("steps"))
+    first, last = F.col("steps")[0], F.element_at("steps", -1)
+    return rows.select("file_id", first["src_root"].alias("src_root"), first["src_rel"].alias("src_rel"), last["dst_root"].alias("dst_root"), last["dst_rel"].alias("dst_rel"), first["undoes"].alias("undoes"), first["k"].alias("nth"), "steps")
+
+
+def next_wave(pending: DataFrame) -> DataFrame:
+    """The moves whose place isn't held by a file that is still to move."""
+    held = pending.select(F.col("src_root").alias("dst_root"), F.col("src_rel").alias("dst_rel"), F.col("file_id").alias("_holder"))
+    return pending.join(held, ["dst_root", "dst_rel"], "left").filter(F.col("_holder").isNull() | (F.col("_holder") == F.col("file_id"))).drop("_holder").select(*pending.columns)
+
+
+def first_free(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """`plan` (nth, dst_root, dst_rel) with dst_rel numbered as if the moves were made one by one, beside present files and each other."""
+    own = plan.withColumn("_folder", F.concat_ws("/", "dst_root", F.nullif(names.dirname(F.col("dst_rel")), F.lit("")))).withColumn("_base", names.basename(F.col("dst_rel")))
+    here = files.filter("status = 'present'").join(plan.select(F.col("file_id").alias("id")), "id", "left_anti")
+    taken = here.select(F.concat_ws("/", "root", F.nullif(F.col("dir_path"), F.lit(""))).alias("_folder"), F.col("name").alias("_base")).join(own.select("_folder").distinct(), "_folder", "left_semi")
+    named = unique_names(own, taken, folder="_folder", name="_base", order="nth")
+    folder = names.dirname(F.col("dst_rel"))
+    return named.withColumn("dst_rel", F.concat_ws("/", F.nullif(folder, F.lit("")), "unique_name")).select(*plan.columns)
+
+
 def apply_plan(candidates: DataFrame, files: DataFrame, categories: list[str]) -> DataFrame:
     """Moves of unapplied, non-keeper candidates of `categories`, in their order: an item moves once, with its first candidate; a companion alone."""
     nth = F.array_position(F.lit(categories), F.col("category"))

@@ -1,12 +1,13 @@
 """The public API: open a workspace, scan, classify, report, apply, undo, purge, status.
 
-Plans come from DataFrames; side effects, dry by default, are carried out on the driver by `sources.mover`.
+Plans are DataFrames; side effects, dry by default, are carried out on executors by `sources.mover`, whose logs become the journal.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
+import shutil
 import uuid
 from dataclasses import dataclass
 
@@ -24,8 +25,6 @@ from tidemill.sources import headers, images, mover, sinks, tree
 from tidemill.sources.catalog import KEEP_SECONDS, Catalog, CatalogLock, utcnow
 
 CATALOG_DIR = "_tidemill_catalog"
-#: Moves that one apply or undo brings to the driver, which is where files are moved; a larger plan is applied in several runs.
-MOST_MOVES = 100_000
 #: Photo paths that the driver hands to the image source at once; every batch is worked through.
 PATHS = 20_000
 CHANGES = ("new", "changed", "unchanged", "missing")
@@ -88,26 +87,17 @@ def open_workspace(spark: SparkSession, source: str, review: str | None = None,
         session = catalog.start_session(session_kind)
     ws = Workspace(spark, {"source": os.path.abspath(source), "review": os.path.abspath(review), "delete": os.path.abspath(delete)}, catalog, lock, session, recursive)
     if not read_only:
-        for root in ("review", "delete"):
-            mover.sweep_parts(ws.roots[root])
         recover(ws)
     return ws
 
 
 def recover(ws: Workspace) -> int:
-    """Records the moves of a process that died between moving files and writing its journal."""
-    known = {(r["op_id"], r["file_id"]) for r in ws.catalog.read("journal").select("op_id", "file_id").join(_logged(ws), ["op_id", "file_id"], "left_semi").collect()}
-    lost = [m for m in mover.unrecorded(ws.move_log, ws.roots) if (m["op_id"], m["file_id"]) not in known]
-    record_moves(ws, lost)
-    if os.path.exists(ws.move_log):
-        os.unlink(ws.move_log)
-    return len(lost)
-
-
-def _logged(ws: Workspace) -> DataFrame:
-    """op_id, file_id of the logged moves, at most `MOST_MOVES` of one call."""
-    rows = [(m["op_id"], m["file_id"]) for m in mover.unrecorded(ws.move_log, ws.roots)]
-    return ws.spark.createDataFrame(rows, "op_id string, file_id long")
+    """Records what a process that died left in its logs of moves, and finishes or takes back what it left half done."""
+    if not os.path.isdir(ws.move_log):
+        return 0
+    n = record(ws, mover.outcomes(ws.spark, ws.move_log, ws.roots))["moved"]
+    shutil.rmtree(ws.move_log)
+    return n
 
 
 def run_scan(ws: Workspace) -> dict[str, int]:
@@ -277,44 +267,99 @@ def get_plan(ws: Workspace, cfg: ClassifyConfig | None = None, *, examples: int
     return {"run_id": ws.catalog.setting("last_run"), "categories": categories, "live_photos": {"count": pairs["live_count"], "bytes": pairs["live_bytes"]}, "edited_pairs": {"count": pairs["edited_count"], "bytes": pairs["edited_bytes"]}, "large_videos": [r.asDict() for r in large.collect()], "totals": totals}
 
 
-def record_moves(ws: Workspace, moves: list[dict], *, undoes: bool = False) -> dict[str, int]:
-    """Journal rows and new file locations of moves that were carried out."""
-    fine = [m for m in moves if m["error"] is None]
-    if fine:
-        old = ws.catalog.read("journal")
-        start = (old.agg(F.max("id")).first()[0] or 0) + 1
-        fields = ("op_id", "action", "file_id", "item_id", "src_root", "src_rel", "dst_root", "to_rel", "method", "conflict", "category", "size", "undoes")
-        rows = [(start + k, *[m.get(f) for f in fields]) for k, m in enumerate(fine)]
-        kind = "id long, op_id string, action string, file_id long, item_id long, from_root string, from_rel string, to_root string, to_rel string, method string, conflict boolean, category string, size long, undoes long"
-        new = ws.spark.createDataFrame(rows, kind).withColumn("ts", F.lit(utcnow())).withColumn("session_id", F.lit(ws.session_id).cast("long"))
-        by = new.filter(F.col("undoes").isNotNull()).select(F.col("undoes").alias("_u"), F.col("id").alias("_by"))
-        marked = old.join(by, old["id"] == by["_u"], "left").withColumn("undone_by", F.coalesce("undone_by", "_by")).drop("_u", "_by")
-        ws.catalog.write("journal", marked.unionByName(new, allowMissingColumns=True))
-        ws.catalog.write("files", snapshot.relocated(ws.catalog.read("files"), new))
-    wrong = [(m["src_rel"], "move_error", m["error"]) for m in moves if m["error"]]
-    ws.catalog.add_issues(wrong + [(m["dst_rel"], "name_conflict", f"stored as {m['to_rel']}") for m in fine if m["conflict"]])
-    return {"moved": len(fine), "errors": len(moves) - len(fine)}
-
-
-def move(ws: Workspace, moves: list[dict], *, dry_run: bool) -> list[dict]:
-    """Carries out and journals moves; the log of intents goes once the journal has them."""
-    done = mover.carry_out(moves, ws.roots, dry_run=dry_run, log=ws.move_log)
-    if not dry_run:
-        ws.touch()
-        record_moves(ws, done)
-        if os.path.exists(ws.move_log):
-            os.unlink(ws.move_log)
-    return done
-
+def record(ws: Workspace, done: DataFrame, steps: DataFrame | None = None) -> dict[str, int]:
+    """Journal rows, new file locations, marks and issues of what was carried out; said again of the same moves, it changes nothing.
 
-def tally(done: list[dict]) -> dict[str, int]:
-    return {"moved": sum(m["error"] is None for m in done), "errors": sum(m["error"] is not None for m in done)}
+    `steps` (file_id, steps) has the journal rows that an undo takes back at once; each of them gets a row of its own.
+    """
+    done = cut(done.withColumn("nth", F.coalesce("nth", "file_id")), "moves")
+    counts = tally(done)
+    if not counts["moved"] + counts["errors"]:
+        return counts
+    fine = done.filter(F.col("error").isNull())
+    rows = fine.withColumn("_step", F.lit(0).cast("long"))
+    if steps is not None:
+        each = steps.select("file_id", F.posexplode("steps").alias("_step", "_s"))
+        last = F.col("_step") == F.col("_last")
+        sizes = steps.select("file_id", (F.size("steps") - 1).alias("_last"))
+        rows = fine.join(each, "file_id").join(sizes, "file_id").withColumns({"src_root": F.col("_s.src_root"), "src_rel": F.col("_s.src_rel"), "dst_root": F.col("_s.dst_root"), "to_rel": F.when(last, F.col("to_rel")).otherwise(F.col("_s.dst_rel")), "undoes": F.col("_s.undoes"), "op_id": F.md5(F.concat_ws("/", "op_id", "_s.op_id")), "conflict": last & F.col("conflict"), "nth": -F.col("_s.undoes")})
+    old = ws.catalog.read("journal")
+    known = old.select("op_id", "file_id", F.coalesce("undoes", F.lit(-1)).alias("_undoes"))
+    rows = rows.withColumn("_undoes", F.coalesce("undoes", F.lit(-1))).join(known, ["op_id", "file_id", "_undoes"], "left_anti")
+    new = rows.select("nth", "_step", "op_id", "action", "file_id", "item_id", F.col("src_root").alias("from_root"), F.col("src_rel").alias("from_rel"), F.col("dst_root").alias("to_root"), "to_rel", "method", "conflict", "category", "size", "undoes")
+    start = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = cut(numbered(new, "nth", "file_id", "_step", column="id", start=start).withColumn("ts", F.lit(utcnow())).withColumn("session_id", F.lit(ws.session_id).cast("long")), "journal-rows")
+    by = new.filter(F.col("undoes").isNotNull()).select(F.col("undoes").alias("id"), F.col("id").alias("_by"))
+    marked = old.join(by, "id").withColumn("undone_by", F.coalesce("undone_by", "_by")).drop("_by")
+    ws.catalog.merge("journal", new.unionByName(marked, allowMissingColumns=True).select(*ws.catalog.columns("journal")))
+    files = ws.catalog.read("files")
+    if counts["purged"]:
+        gone = files.join(fine.filter("purge").select(F.col("file_id").alias("id")), "id", "left_semi")
+        ws.catalog.merge("files", gone.withColumn("status", F.lit("purged")))
+    if counts["moved"] > counts["purged"]:
+        at = fine.filter(~F.coalesce("purge", F.lit(False))).select(F.col("nth").alias("id"), "file_id", F.col("src_rel").alias("from_rel"), F.col("dst_root").alias("to_root"), "to_rel")
+        moved = files.join(at.select(F.col("file_id").alias("id")), "id", "left_semi")
+        ws.catalog.merge("files", snapshot.relocated(moved, at))
+    if counts["staged"]:
+        ops = fine.filter("action = 'to_review'").select("file_id", F.col("op_id").alias("_op"))
+        open_rows = F.col("applied_op").isNull() & (F.col("run_id") == F.lit(ws.catalog.setting("last_run", 0)))
+        ws.catalog.merge("candidates", ws.catalog.read("candidates").filter(open_rows).join(ops, "file_id").withColumn("applied_op", F.col("_op")).drop("_op"))
+    if counts["errors"] + counts["conflicts"]:
+        trouble = done.filter(F.col("error").isNotNull()).select("src_rel", F.lit("move_error").alias("kind"), F.col("error").alias("message"))
+        trouble = trouble.unionByName(fine.filter("conflict").select(F.col("dst_rel").alias("src_rel"), F.lit("name_conflict").alias("kind"), F.concat(F.lit("stored as "), "to_rel").alias("message")))
+        issues = numbered(trouble, "src_rel", "message", column="id", start=ws.catalog.last_id("issues"))
+        ws.catalog.merge("issues", issues.select("id", F.lit(utcnow()).alias("ts"), F.col("src_rel").alias("path"), "kind", "message"))
+    return counts
+
+
+def tally(done: DataFrame) -> dict[str, int]:
+    """What a call did, in numbers."""
+    fine = F.col("error").isNull()
+    marks = {"moved": fine, "errors": ~fine, "conflicts": fine & F.col("conflict"), "purged": fine & F.col("purge"), "staged": fine & (F.col("action") == "to_review")}
+    row = done.agg(*[F.count_if(c).alias(n) for n, c in marks.items()], F.coalesce(F.sum(F.when(fine, F.col("size"))), F.lit(0)).alias("bytes")).first()
+    return row.asDict()
+
+
+def planned(ws: Workspace, plan: DataFrame, **more: object) -> DataFrame:
+    """A plan's rows as the mover takes them: one operation an item, named by this call, in the order of items and files."""
+    call = uuid.uuid4().hex
+    own = plan.filter(~(F.col("src_root").eqNullSafe(F.col("dst_root")) & F.col("src_rel").eqNullSafe(F.col("dst_rel"))))
+    for name, value in more.items():
+        own = own.withColumn(name, F.lit(value))
+    own = own.withColumn("op_id", F.md5(F.concat_ws("/", F.lit(call), F.col("item_id").cast("string"))))
+    if "nth" not in own.columns:
+        own = own.withColumn("nth", F.col("file_id"))
+    own = journal.with_disk_names(own, ws.catalog.read("files"))
+    kinds = ws.spark.createDataFrame([], mover.PLAN).schema
+    return cut(own.select(*[(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]), "plan")
+
+
+def move(ws: Workspace, plan: DataFrame, steps: DataFrame | None = None) -> dict[str, int]:
+    """Carries a plan of `planned` out, of any size, and records it. Moves wait for others that are to leave their place."""
+    with ws.running("move") as job:
+        job.at("move")
+        pending, left, wave = journal.first_free(plan, ws.catalog.read("files")), plan.count(), 0
+        pending = cut(pending, "pending") if left else pending
+        while left:
+            ready = cut(journal.next_wave(pending), "wave")
+            n = ready.count()
+            if not n:  # a circle: its first free names break it
+                ready, n = pending, left
+            mover.perform(ready.repartition(min(ws.tasks, n)), ws.roots, os.path.join(ws.move_log, f"wave-{wave:04d}"))
+            left, wave = left - n, wave + 1
+            if left:
+                pending = cut(pending.join(ready.select("file_id"), "file_id", "left_anti").select(*pending.columns), "pending")
+        if not wave:
+            return {"moved": 0, "errors": 0}
+        job.at("record")
+        done = record(ws, mover.outcomes(ws.spark, ws.move_log, ws.roots), steps)
+        shutil.rmtree(ws.move_log)
+    return done
 
 
-def with_ops(moves: list[dict], **more: object) -> list[dict]:
-    """One operation an item, so that undoing the last one puts whole items back."""
-    ops: dict[int, str] = {}
-    return [m | {"op_id": ops.setdefault(m["item_id"], uuid.uuid4().hex)} | more for m in moves]
+def counted(plan: DataFrame) -> dict[str, int]:
+    row = plan.agg(F.count("*").alias("planned"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    return row.asDict()
 
 
 def run_apply(ws: Workspace, categories: list[str] | None = None, *, dry_run: bool = True) -> dict[str, int]:
@@ -325,38 +370,45 @@ def run_apply(ws: Workspace, categories: list[str] | None = None, *, dry_run: bo
     if unknown:
         raise ValueError(f"unknown categories: {sorted(unknown)}")
     found = ws.catalog.candidates(int(ws.catalog.setting("last_run", 0)))
-    moves = [r.asDict() for r in journal.apply_plan(found, ws.catalog.read("files"), wanted).orderBy("item_id", "file_id").limit(MOST_MOVES).collect()]
-    done = move(ws, with_ops(moves, action="to_review"), dry_run=dry_run)
+    plan = planned(ws, journal.apply_plan(found, ws.catalog.read("files"), wanted), action="to_review")
     if dry_run:
-        return {"moved": 0, "planned": len(done), "bytes": sum(m["size"] for m in done)}
-    applied = ws.spark.createDataFrame([(m["file_id"], m["op_id"]) for m in done if not m["error"]], "file_id long, _op string")
-    marked = ws.catalog.read("candidates").join(applied, "file_id", "left").withColumn("applied_op", F.coalesce("applied_op", "_op"))
-    ws.catalog.write("candidates", marked)
-    return tally(done)
+        return {"moved": 0} | counted(plan)
+    return short(move(ws, plan))
+
+
+def short(done: dict[str, int]) -> dict[str, int]:
+    return {"moved": done["moved"], "errors": done["errors"]}
 
 
 def run_live_photos(ws: Workspace, *, dry_run: bool = True) -> dict[str, int]:
     """Detaches live videos from their photos."""
-    moves = [r.asDict() | {"src_root": "source"} for r in journal.live_videos(ws.catalog.read("files")).limit(MOST_MOVES).collect()]
-    done = move(ws, with_ops(moves, action="detach_live"), dry_run=dry_run)
-    return {"planned": len(done)} if dry_run else tally(done)
+    plan = planned(ws, journal.live_videos(ws.catalog.read("files")), action="detach_live", src_root="source")
+    return {"planned": plan.count()} if dry_run else short(move(ws, plan))
 
 
 def run_item_action(ws: Workspace, item_ids: list[int], action: str, *, dry_run: bool = True) -> dict[str, int]:
     """keep, to_delete or restore of whole items, one operation each. keep marks items of source and review as reviewed."""
     items = ws.spark.createDataFrame([(i,) for i in item_ids], "item_id long")
     files = ws.catalog.read("files")
-    moves = with_ops([r.asDict() for r in journal.item_action(files, items, action).collect()])
-    stay = journal.kept_in_place(files, items) if action == "keep" else None
-    kept = with_ops([r.asDict() for r in stay.collect()]) if stay is not None else []
+    plan = planned(ws, journal.item_action(files, items, action))
+    stay = cut(stay_in_place(ws, journal.kept_in_place(files, items)), "kept") if action == "keep" else None
     if dry_run:
-        return {"planned": len(mover.carry_out(moves, ws.roots)) + len(kept)}
+        return {"planned": plan.count() + (stay.count() if stay is not None else 0)}
     seen = cut(files.filter(F.col("root").isin("source", "review")).join(items, "item_id", "left_semi").select("item_id").distinct(), "seen") if action == "keep" else None
-    done = move(ws, moves, dry_run=False)
-    record_moves(ws, kept)
-    if seen is not None:
-        ws.catalog.set_reviewed(seen)
-    return tally(done) | ({"kept": len({m["item_id"] for m in kept})} if action == "keep" else {})
+    done = short(move(ws, plan))
+    if stay is None:
+        return done
+    record(ws, stay)
+    ws.catalog.set_reviewed(seen)
+    return done | {"kept": stay.select("item_id").distinct().count()}
+
+
+def stay_in_place(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """What is journaled without a move, as the mover would have told it."""
+    call = uuid.uuid4().hex
+    own = rows.withColumn("op_id", F.md5(F.concat_ws("/", F.lit(call), F.col("item_id").cast("string")))).withColumn("nth", F.col("file_id"))
+    kinds = ws.spark.createDataFrame([], mover.DONE).schema
+    return own.select(*[(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
 
 
 def run_group_decision(ws: Workspace, keep: list[int], delete: list[int], *, dry_run: bool = True) -> list[dict[str, int]]:
@@ -365,46 +417,49 @@ def run_group_decision(ws: Workspace, keep: list[int], delete: list[int], *, dry
 
 
 def run_undo(ws: Workspace, scope: str = "last", *, session_id: int | None = None, category: str | None = None, dry_run: bool = True) -> dict[str, int]:
-    """Undoes the last operation, a session's, a category's or all, newest first, where files are still where they were put."""
-    rows = ws.catalog.read("journal")
+    """Undoes the last operation, a session's, a category's or all, newest first, where files are still where they were put.
+
+    A file goes back through all its rows by one move; every row is journaled.
+    """
+    rows, files = ws.catalog.read("journal"), ws.catalog.read("files")
     if scope == "session" and session_id is None:
         last = journal.last_undoable_session(rows).first()
         session_id = last["session_id"] if last else -1
     ops = journal.undoable_ops(rows, session_id=session_id if scope == "session" else None, category=category if scope == "category" else None, limit=1 if scope == "last" else None)
-    plan = journal.undo_plan(rows, ws.catalog.read("files"), ops)
-    own = [r.asDict() for r in plan.limit(MOST_MOVES).collect()]
-    items = {r["id"]: r["item_id"] for r in ws.catalog.read("files").select("id", "item_id").join(plan.select(F.col("file_id").alias("id")), "id", "left_semi").collect()}
-    ops_of: dict[str, str] = {}
-    moves = [m | {"action": "undo", "op_id": ops_of.setdefault(m["op_id"], uuid.uuid4().hex), "item_id": items.get(m["file_id"])} for m in own if m["valid"]]
-    skipped = len(own) - len(moves)
-    still = [m | {"to_rel": m["dst_rel"], "method": "none", "conflict": False, "error": None} for m in moves if (m["src_root"], m["src_rel"]) == (m["dst_root"], m["dst_rel"])]
+    plan = cut(journal.undo_plan(rows, files, ops), "undo")
+    counts = plan.agg(F.count_if(F.col("valid")).alias("valid"), F.count_if(~F.col("valid")).alias("skipped")).first()
     if dry_run:
-        return {"planned": len(mover.carry_out(moves, ws.roots)) + len(still), "skipped": skipped}
-    done = move(ws, moves, dry_run=False)
-    record_moves(ws, still)
-    cleared = {m["item_id"] for m in [*done, *still] if m["clears_reviewed"] and m["error"] is None}
-    if cleared:
-        ws.catalog.set_reviewed(ws.spark.createDataFrame([(i,) for i in cleared], "item_id long"), False)
-    if any(m["relinks"] for m in done):
+        return {"planned": counts["valid"], "skipped": counts["skipped"]}
+    item = files.select(F.col("id").alias("file_id"), "item_id")
+    net = cut(journal.net_moves(plan).join(item, "file_id", "left").withColumn("action", F.lit("undo")), "net")
+    here = (F.col("src_root") == F.col("dst_root")) & (F.col("src_rel") == F.col("dst_rel"))
+    done = move(ws, planned(ws, net.filter(~here)), net.select("file_id", "steps"))
+    still = net.filter(here).withColumns({"to_rel": F.col("dst_rel"), "method": F.lit("none"), "conflict": F.lit(False)})
+    record(ws, stay_in_place(ws, still), net.select("file_id", "steps"))
+    own = ws.catalog.read("journal").filter(F.col("undoes").isNotNull()).select("undoes")
+    undone = cut(plan.join(own, "undoes", "left_semi").join(item, "file_id"), "undone")
+    ws.catalog.set_reviewed(undone.filter("clears_reviewed").select("item_id"), False)
+    apart = undone.filter("relinks").join(ws.catalog.read("files").select(F.col("id").alias("file_id"), "root", "dir_path"), "file_id").select("root", "dir_path")
+    if apart.limit(1).count():
         relink(ws)
-    return tally([*done, *still]) | {"skipped": skipped}
+    return {"moved": undone.filter("valid").count(), "errors": done["errors"], "skipped": counts["skipped"]}
 
 
 def run_purge(ws: Workspace, *, dry_run: bool = True) -> dict[str, int]:
     """Deletes what lies in the delete folder."""
-    plan = [r.asDict() for r in journal.purge_plan(ws.catalog.read("files")).limit(MOST_MOVES).collect()]
-    done = mover.delete_files([os.path.join(ws.roots["delete"], m["rel_path"]) for m in plan], dry_run=dry_run)
-    gone = [m for m, (_, error) in zip(plan, done, strict=True) if error is None]
-    if not dry_run and gone:
-        ids = ws.spark.createDataFrame([(m["file_id"],) for m in gone], "id long").withColumn("_gone", F.lit(True))
-        files = ws.catalog.read("files").join(ids, "id", "left")
-        ws.catalog.write("files", files.withColumn("status", F.when(F.col("_gone"), "purged").otherwise(F.col("status"))))
-        op = uuid.uuid4().hex
-        start = (ws.catalog.read("journal").agg(F.max("id")).first()[0] or 0) + 1
-        rows = ws.spark.createDataFrame([(start + k, op, "purge", m["file_id"], "delete", m["rel_path"], m["size"]) for k, m in enumerate(gone)], "id long, op_id string, action string, file_id long, from_root string, from_rel string, size long")
-        ws.catalog.write("journal", ws.catalog.read("journal").unionByName(rows.withColumn("ts", F.lit(utcnow())).withColumn("session_id", F.lit(ws.session_id).cast("long")), allowMissingColumns=True))
-        mover.remove_empty_dirs(ws.roots["delete"])
-    return {"files": len(gone), "bytes": sum(m["size"] for m in gone), "errors": len(plan) - len(gone)}
+    plan = planned(ws, journal.purge_plan(ws.catalog.read("files")).withColumns({"src_root": F.lit("delete"), "src_rel": F.col("rel_path"), "item_id": F.lit(0)}).withColumn("dst_root", F.lit(None).cast("string")).withColumn("dst_rel", F.lit(None).cast("string")), action="purge", purge=True)
+    if dry_run:
+        return {"files": plan.count(), "bytes": counted(plan)["bytes"], "errors": 0}
+    if not plan.limit(1).count():
+        return {"files": 0, "bytes": 0, "errors": 0}
+    with ws.running("purge") as job:
+        job.at("delete")
+        mover.perform(plan.repartition(ws.tasks), ws.roots, os.path.join(ws.move_log, "purge"))
+        job.at("record")
+        done = record(ws, mover.outcomes(ws.spark, ws.move_log, ws.roots))
+        shutil.rmtree(ws.move_log)
+        mover.remove_empty_dirs(plan.select(tree.names.dirname(F.col("src_rel")).alias("dir_path")), ws.roots["delete"])
+    return {"files": done["moved"], "bytes": done["bytes"], "errors": done["errors"]}
 
 
 def status(ws: Workspace) -> dict:

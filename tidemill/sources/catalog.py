@@ -148,10 +148,13 @@ class Catalog:
         found = next((r for r in self.records("hosts") if r["hostname"] == socket.gethostname()), None)
         return (found["source_path"], found["review_path"], found["delete_path"]) if found else None
 
-    def _next(self, name: str) -> int:
+    def last_id(self, name: str) -> int:
         if name in SMALL:
-            return max((r["id"] for r in self.records(name)), default=0) + 1
-        return (self.read(name).agg(F.max("id")).first()[0] or 0) + 1
+            return max((r["id"] for r in self.records(name)), default=0)
+        return self.read(name).agg(F.max("id")).first()[0] or 0
+
+    def _next(self, name: str) -> int:
+        return self.last_id(name) + 1
 
     def start_session(self, kind: str, app: str = "tidemill", params: dict | None = None) -> int:
         id = self._next("sessions")

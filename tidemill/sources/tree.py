@@ -89,7 +89,7 @@ def walk(spark: SparkSession, roots: dict[str, Walk], *, tasks: int | None = Non
                     yield pa.RecordBatch.from_arrays([*parts, pa.array([task] * len(rows), pa.int32())], columns)
 
         seen = Observation()
-        round = frontier.repartition(min(tasks, waiting)).mapInArrow(listed, LISTING).observe(seen, F.count_if("folder").alias("n"))
+        round = frontier.repartition(min(tasks, waiting)).mapInArrow(listed, LISTING).observe(seen, F.count_if(F.col("folder")).alias("n"))
         round = cut(round, "listing")
         waiting, limit = seen.get["n"], budget
         frontier = round.filter("folder").select("root", "path")
