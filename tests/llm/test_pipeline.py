@@ -49,3 +49,18 @@ def test_odd_documents(spark, sf_dir):
         before, docs = docs, cut(stage(spark, docs, sf_dir), name)
         assert name == "packing" or docs.columns == before.columns
     assert docs.count() > 0
+
+
+def test_names_with_dots(spark, sf_dir):
+    """Columns whose names hold dots, back-ticks and spaces go through every stage as they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80)
+    names = ["a.b", "doc_id.x", "b`c", "d e", "*", "_row.text"]
+    docs = docs.toDF(*docs.columns)
+    for k, name in enumerate(names):
+        docs = docs.withColumns({name: docs.doc_id + k})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        assert docs.columns == before.columns
+    rows = docs.collect()
+    assert rows and all(tuple(r)[-len(names) :] == tuple(r.doc_id + k for k in range(len(names))) for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= len(rows)

@@ -441,3 +441,18 @@ def test_ftrl_by_brute_force():
                 z[i], n[i] = z[i] + g - sigma * w[i], n[i] + g * g
     want = {i: weight(i) for i in range(12) if weight(i)}
     assert dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want) and model.bias == pytest.approx(weight(bias))
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """Thousands of rows without doc_id, or with one, don't all come to the driver."""
+    rng = random.Random(4)
+    rows = [(None, prose(rng, 6), "en") for _ in range(3000)] + [(7, prose(rng, 6), "en") for _ in range(3000)] + [(7, "the same", "fr")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "learn", lambda profiles, marks: seen.append(len(marks)))
+    language.fit(docs, train_rows=600)
+    assert 300 < seen[0] < 1200
+    labels = spark.createDataFrame([(7, 1, 1), (8, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "ftrl", lambda sample: seen.append(len(sample.labels)))
+    toxicity.fit(spark.createDataFrame([(7, prose(rng, 5)) for _ in range(2000)] + [(8, None), (9, "x")], "doc_id long, text string"), labels)
+    assert seen[1] <= 3

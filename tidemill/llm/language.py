@@ -122,14 +122,15 @@ def fit(docs: DataFrame, *, train_rows: int = TRAIN_ROWS) -> Model:
     sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     share = min(1.0, train_rows / max(1, sum(sizes.values())))
     limits = own.sparkSession.createDataFrame([(x, int(min(1.0, max(share, LEAST_ROWS / n)) * (1 << 30))) for x, n in sizes.items()], "lang string, _limit long")
-    order = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
+    # rows without doc_id, or with the same, have places of their own by their text
+    place = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(3))
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [profile(x).tobytes() for x in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["_order", "lang", "profile"])
 
-    sample = own.join(F.broadcast(limits), "lang").withColumn("_order", order).filter(F.col("_order") < F.col("_limit")).select("_order", "lang", "text")
+    sample = own.join(F.broadcast(limits), "lang").withColumn("_order", place).filter(F.pmod("_order", F.lit(1 << 30)) < F.col("_limit")).select("_order", "lang", "text").dropDuplicates(["_order", "lang"])
     found = sample.mapInArrow(profiled, "_order long, lang string, profile binary").toArrow().sort_by([("_order", "ascending"), ("lang", "ascending")])
     rows = found.column("profile").to_pylist()
     profiles = np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), SLOTS)

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.rows import columns_of, quoted, row_of
 from tidemill.session import cut
 
 SITES = 10
@@ -64,7 +65,7 @@ def spread_lines(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, s
 def cleaned(docs: DataFrame, *, sites: int, clear: float, least_words: int) -> DataFrame:
     """_row (the columns of `docs` as they are), _text, _n_lines, _n_removed of every row; no column of `docs` stands beside them."""
     lost = spread_lines(docs, sites=sites, clear=clear, least_words=least_words)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    rows = docs.select(row_of(docs))
     text = F.col("_row.text").cast("string")
     rows = rows.withColumn("_own", F.xxhash64(text))
     placed = rows.join(lost, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
@@ -79,8 +80,8 @@ def cleaned(docs: DataFrame, *, sites: int, clear: float, least_words: int) -> D
 def remove_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` with boilerplate lines out of text, and columns n_lines, n_removed, which replace columns of these names."""
     out = cleaned(docs, sites=sites, clear=clear, least_words=least_words)
-    own = [F.col("_text" if c == "text" else f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    return out.select(*own, F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+    kept = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
+    return out.select(*columns_of(kept, {"text": F.col("_text")}), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
 def without_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, least_words: int = 1) -> DataFrame:
@@ -90,4 +91,4 @@ def without_boilerplate(docs: DataFrame, *, sites: int = SITES, clear: float = C
     if "n_chars" in docs.columns:
         # a row that lost nothing keeps what it had
         changed["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
-    return out.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*columns_of(docs, changed))

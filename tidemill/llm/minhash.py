@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.rows import columns_of, row_of
 from tidemill.llm.text import MIX, WordHashes, mixed, texts_of
 from tidemill.operators.components import connected_components
 from tidemill.session import cut, release
@@ -314,7 +315,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     again = cut(again.join(dropped, ["_id", "_hash"], "left_anti"), "again")
     for table in (every, classes, comps):
         release(table)
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    own = docs.select(row_of(docs))
 
     def known(table: DataFrame, how: str, rows: DataFrame = own) -> DataFrame:
         sent = F.broadcast(table) if table.count() <= BROADCAST_ROLES else table
@@ -324,4 +325,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if again.limit(1).count():
         twice = known(again, "left_semi").withColumn("_hash", F.xxhash64(F.col("_row.text").cast("string"))).withColumn("_id", F.col("_row.doc_id"))
         rest = known(again, "left_anti", rest).unionByName(twice.dropDuplicates(["_id", "_hash"]).select("_row"))
-    return rest.select("_row.*")
+    return rest.select(*columns_of(docs))

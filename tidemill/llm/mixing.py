@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.rows import columns_of, row_of
 from tidemill.session import cut
 
 #: Source weights, repeating over the sources by code point.
@@ -132,7 +133,6 @@ def mix_sized(sized: DataFrame, *, plain: DataFrame | None = None, weights: tupl
 
 def mixed_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_copies: int = MOST_COPIES) -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken, with the columns of `docs`."""
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    sized = docs.select("doc_id", F.col("source").alias("_source"), words(F.col("text")).alias("size"), row)
+    sized = docs.select("doc_id", F.col("source").alias("_source"), words(F.col("text")).alias("size"), row_of(docs))
     taken = mix_sized(sized, plain=counted(docs), weights=weights, share_percent=share_percent, most_copies=most_copies, carry=("_row",)).filter(F.col("copies") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns_of(docs))

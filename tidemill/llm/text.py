@@ -40,11 +40,3 @@ def mixed(values: np.ndarray) -> np.ndarray:
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
-
-
-def free_name(taken: list[str], wanted: str) -> str:
-    """`wanted`, with underscores after it until no name in `taken` is the same but for case."""
-    lower = {x.lower() for x in taken}
-    while wanted.lower() in lower:
-        wanted += "_"
-    return wanted

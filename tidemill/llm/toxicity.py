@@ -4,7 +4,7 @@ A document's features are the distinct hashes of its words, word pairs and pairs
 with ASCII punctuation as white space. FTRL-proximal keeps a rate for each coordinate; its L1 term leaves most weights at
 exactly zero, so that the model shipped to executors is a short list whose size is bounded by `SLOTS`.
 
-Learning uses a sample of at most about `TRAIN_ROWS` labelled rows, chosen by hash; scoring covers every row and whole texts.
+Learning uses a sample of at most about `TRAIN_ROWS` labelled rows, chosen by hash, one text a doc_id; scoring covers every row and whole texts.
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone; rows whose label is null teach nothing;
 without labelled rows of both kinds the score is the share of toxic labels, 0 with none; a doc_id with several labels counts as
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemill.llm.text import MIX, WordHashes, free_name, mixed, texts_of
+from tidemill.llm.rows import columns_of, row_of
+from tidemill.llm.text import MIX, WordHashes, mixed, texts_of
 
 SLOTS = 1 << 20
 TRAIN_ROWS = 16_000
@@ -122,7 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     share = min(1.0, train_rows / max(1, marks.count()))
     order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(1 << 30))
     chosen = marks.filter(order < int(share * (1 << 30)))
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select(order.alias("_order"), "doc_id", "_toxic", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    # one text a doc_id, so that the bound on doc_ids is one on rows: the text of least hash
+    sample = rows.groupBy("doc_id", "_toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("_order", order)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -150,29 +153,28 @@ def sample_of(found: pa.Table) -> Sample:
     return Sample(slots, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64), labels, order)
 
 
-def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """`docs` with the score of each row's whole text in a last column."""
-    text_at = docs.columns.index("text")
-    names = [*docs.columns, column]
+def with_score(docs: DataFrame, model: Model) -> DataFrame:
+    """_row (the columns of `docs` as they are) and the score of each row's whole text."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, dense = WordHashes(), model.dense()
         for batch in batches:
-            sums = np.array([dense[features(x, cache)].sum() for x in texts_of(batch.column(text_at))], np.float64) + model.bias
+            sums = np.array([dense[features(x, cache)].sum() for x in texts_of(batch.column(1))], np.float64) + model.bias
             with np.errstate(over="ignore"):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-sums)), pa.float64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-sums)), pa.float64())], ["_row", "score"])
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    rows = docs.select(row_of(docs), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(scored, StructType([rows.schema["_row"], StructField("score", DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, toxic_at: float = TOXIC_AT) -> DataFrame:
     """The rows of `docs` that score under `toxic_at`, with the columns of `docs`."""
-    plain, column = docs.withColumn("text", F.col("text").cast("string")), free_name(docs.columns, "_toxicity")
-    return with_score(plain, fit(docs, labels, train_rows=train_rows), column).filter(F.col(column) < toxic_at).drop(column)
+    scored = with_score(docs, fit(docs, labels, train_rows=train_rows)).filter(F.col("score") < toxic_at)
+    return scored.select(*columns_of(docs, {"text": F.col("_row.text").cast("string")}))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, toxic_at: float = TOXIC_AT) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    scored = with_score(own, fit(docs, labels, train_rows=train_rows))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxic_at).cast("int").alias("predicted"))
+    scored = with_score(docs.select("doc_id", "text"), fit(docs, labels, train_rows=train_rows))
+    doc_id = F.col("_row.doc_id")
+    return scored.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", (F.col("score") >= toxic_at).cast("int").alias("predicted"))
