@@ -28,6 +28,8 @@ SITES = 10
 CLEAR = 1.25
 LEAST_WORDS = 3
 SKETCH_BITS = 10
+#: Lines that may be boilerplate up to which their table, of 20 bytes a line, is broadcast.
+BROADCAST_LINES = 200_000
 EDGES = " \t\n\x0b\x0c\r"
 
 
@@ -51,13 +53,16 @@ def spread_lines(docs: DataFrame, *, sites: int = SITES, clear: float = CLEAR, s
     lines = keyed.select("_id", "_hash", "_site", F.posexplode("_keys").alias("_at", "_line")).filter(F.col("_line").isNotNull())
     sketches = lines.groupBy("_line").agg(F.hll_sketch_agg("_site", sketch_bits).alias("_sketch"))
     spread = sketches.select("_line", F.hll_sketch_estimate("_sketch").alias("_estimate")).filter(F.col("_estimate") >= sites / clear)
+    # wide-spread lines are few: up to a counted bound they go to where lines are, so that a very common one is no task's own
+    spread = cut(spread, "spread")
+    sent = F.broadcast if spread.count() <= BROADCAST_LINES else lambda table: table
     # the occurrences of wide-spread lines: read twice, so written once
-    hits = cut(lines.join(spread, "_line"), "line-hits")
+    hits = cut(lines.join(sent(spread), "_line"), "line-hits")
     near = F.col("_estimate") < sites * clear
     exact = hits.groupBy("_line").agg(F.count_distinct(F.when(near, F.col("_site"))).alias("_exact"), F.max(~near).alias("_clear"), F.min("_id").alias("_keeper"))
     flagged = exact.filter(F.col("_clear") | (F.col("_exact") >= sites)).select("_line", "_keeper")
     mine = F.col("_id").eqNullSafe(F.col("_keeper"))
-    own = hits.join(flagged, "_line").groupBy("_id", "_hash", "_line").agg(F.collect_set("_at").alias("_places"), F.first(mine).alias("_mine"))
+    own = hits.join(sent(flagged), "_line").groupBy("_id", "_hash", "_line").agg(F.collect_set("_at").alias("_places"), F.first(mine).alias("_mine"))
     lost = F.when(F.col("_mine"), F.array_remove("_places", F.array_min("_places"))).otherwise(F.col("_places"))
     return own.groupBy("_id", "_hash").agg(F.flatten(F.collect_list(lost)).alias("gone"))
 
