@@ -452,3 +452,47 @@ def test_first_free_names(spark):
     assert (want[2000], want[2001], want[2002], want[2003]) == ("a.jpg", "a.jpg", "a~2.jpg", "a~2~2.jpg")
     assert len({(f, want[k]) for k, f, *_ in moves}) == len(moves)
     assert names.suffixed_name("a.", 2) == column(spark, ["a."], lambda c: names.suffixed(c, F.lit(2)))[0]
+
+
+def test_components_follow_changes(spark):
+    """Inserted and deleted edges: contraction and splitting give what all edges give."""
+    import random
+
+    from tidemill.operators.components import updated_components
+
+    rng, ddl = random.Random(3), "a long, b long"
+    edges = {tuple(sorted(rng.sample(range(120), 2))) for _ in range(70)}
+    comps = connected_components(spark.createDataFrame(sorted(edges), ddl))
+    for _ in range(2):
+        gone = set(rng.sample(sorted(edges), 8))
+        new = {tuple(sorted(rng.sample(range(140), 2))) for _ in range(8)} - edges
+        edges = (edges - gone) | new
+        after = spark.createDataFrame(sorted(edges), ddl)
+        comps = updated_components(comps, after, spark.createDataFrame(sorted(new), ddl), spark.createDataFrame(sorted(gone), ddl))
+        assert sorted(comps.collect()) == sorted(connected_components(after).collect())
+    same = updated_components(comps, after, after.limit(0), after.limit(0))
+    assert sorted(same.collect()) == sorted(comps.collect())
+
+
+def test_dct_on_the_jvm(spark):
+    rng = np.random.default_rng(6)
+    for width in (8, 32):
+        frames = [rng.integers(0, 255, (width, width)).astype(float) for _ in range(6)]
+        table = spark.createDataFrame([(f.reshape(-1).tolist(),) for f in frames], "v array<double>")
+        assert [r[0] for r in table.select(pixels.dct_bits(F.col("v"), width)).collect()] == [pixels.phash_of(f) for f in frames]
+
+
+def test_pages_by_rank(spark):
+    """A page reads its ranges only, at the list's start, middle and end, and beyond."""
+    from tidemill.operators.listing import RankedList
+
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS k")
+    ranked = RankedList(rows, F.col("k").desc(), F.col("id").asc(), ranges=9)
+    want = sorted(range(1000), key=lambda i: (-(i % 7), i))
+    assert ranked.size == 1000 and len(ranked.starts) == 9
+    for start, limit in ((0, 10), (95, 30), (500, 1), (990, 50), (2000, 5)):
+        assert [r.id for r in ranked.page(start, limit).collect()] == want[start : start + limit]
+    plan = ranked.page(500, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_range" in plan and "Exchange rangepartitioning" not in plan
+    assert [r.id for r in ranked.around(3, 10).collect()] == want[:10]
+    assert RankedList(rows.limit(0), F.col("id")).page(0, 10).count() == 0

@@ -47,3 +47,27 @@ def connected_components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+
+
+def updated_components(comps: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """id, component after a change, from those before (`comps`), the edges after it and the edges (a, b) that came and went.
+
+    Components that lost an edge are split: worked out anew from what is left of their edges. Then what came is contracted: components are the
+    nodes of a graph that has the added edges only, and take the least id of those that they join. Other components are passed on as they are;
+    their edges aren't read.
+    """
+    came = cut(added.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "came")
+    went = removed.select(F.col("a").alias("id")).unionByName(removed.select(F.col("b").alias("id"))).distinct()
+    hurt = comps.join(went, "id", "left_semi").select("component").distinct()
+    inside = cut(comps.join(hurt, "component", "left_semi").select("id"), "inside")
+    new = came.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+    left = edges.join(inside, edges["a"] == inside["id"], "left_semi").join(inside, edges["b"] == inside["id"], "left_semi").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = left.join(new, (left["a"] == new["_a"]) & (left["b"] == new["_b"]), "left_anti")
+    base = cut(comps.join(hurt, "component", "left_anti").select("id", "component").unionByName(connected_components(left)), "base")
+    ends = came.select(F.col("a").alias("id")).unionByName(came.select(F.col("b").alias("id"))).distinct()
+    known = cut(ends.join(base, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "ends")
+    one, two = known.withColumnsRenamed({"id": "a", "component": "ca"}), known.withColumnsRenamed({"id": "b", "component": "cb"})
+    joined = connected_components(came.join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    moved = joined.select(F.col("id").alias("component"), F.col("component").alias("_least"))
+    every = base.unionByName(known.join(base, "id", "left_anti"))
+    return every.join(moved, "component", "left").select("id", F.coalesce("_least", "component").alias("component"))

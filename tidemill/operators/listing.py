@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import names
+from tidemill.session import scratch_path
 
 # What a kind filter lets through.
 KIND_FILTERS = {"all": ("photo", "raw", "video"), "photo": ("photo", "raw"), "video": ("video",)}
@@ -32,6 +33,40 @@ def page_around(rows: DataFrame, index: int, span: int = 120) -> DataFrame:
     return rows.offset(max(0, index - span // 2)).limit(span)
 
 
+class RankedList:
+    """An ordered list, stored by ranges with their numbers of rows: any page is read from its ranges alone.
+
+    Rows are dealt by ranges of the order and written with their range as partition; the table of ranges, one row each, tells at which place of the
+    list a range begins.
+    """
+
+    def __init__(self, rows: DataFrame, *order: Column, ranges: int | None = None):
+        dealt = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+        path = scratch_path(rows.sparkSession, "ranked")
+        dealt.sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(path)
+        self.order, self.columns = order, rows.columns
+        self.rows = rows.sparkSession.read.schema(f"{rows.schema.toDDL()}, _range int").parquet(path)
+        self.starts, place = [], 0
+        for row in self.rows.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
+            self.starts.append((place, row["_range"]))
+            place += row["n"]
+        self.size = place
+
+    def page(self, start: int, limit: int) -> DataFrame:
+        """The rows at the places from `start`, which counts from 0, in order; `limit` of them at most."""
+        start = max(0, start)
+        before = [k for k, (place, _) in enumerate(self.starts) if place <= start]
+        first = before[-1] if before else 0
+        wanted = [r for place, r in self.starts[first:] if place < start + limit]
+        skipped = start - self.starts[first][0] if self.starts else 0
+        own = self.rows.filter(F.col("_range").isin(wanted)).orderBy(*self.order).select(*self.columns)
+        return own.offset(skipped).limit(limit)
+
+    def around(self, index: int, span: int = 120) -> DataFrame:
+        """`page_around` from the stored ranges."""
+        return self.page(max(0, index - span // 2), span)
+
+
 def newest(rows: DataFrame, *, limit: int, offset: int = 0, states: tuple[str, ...] = (), **equal: object) -> DataFrame:
     """Rows of greatest id first, of the wanted states and of equal values; None asks for nothing."""
     for column, value in equal.items():

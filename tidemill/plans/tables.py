@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import constants as C
-from tidemill.functions import dates, hashing, names
+from tidemill.functions import dates, hashing, names, pixels
 from tidemill.operators import dedupe, journal, listing, report, similar, snapshot
+from tidemill.operators.components import connected_components, updated_components
 from tidemill.plans.catalogue import _CANDIDATES, content, document_candidates, query
 from tidemill.plans.media import _STAGED, _TURNS, document_files, null, pick, staged_files, turn_journal
+from tidemill.session import cut, scratch_path, settings
 from tidemill.session import read_table as table
+from tidemill.sources.store import Store
+from tidemill.streaming.bursts import GROUPS, STATE_STORE, similar_stream
 
 SECOND = 1_000_000_000
 
@@ -236,3 +242,92 @@ def edge_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of both ends, here of 64 bytes, and of everything; single-byte texts, which SQL can cut like bytes."""
     d = table(spark, sf_dir, "documents").filter(F.length("text") == F.octet_length("text"))
     return d.select(F.col("doc_id").alias("id"), hashing.partial_hash(content(F.col("text")), 64).alias("partial_hash"), hashing.full_hash(content(F.col("text"))).alias("full_hash"))
+
+
+# -- what is kept up to date instead of made anew -------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 23 = 4 THEN 'late' WHEN o_orderkey % 17 = 3 THEN 'first' ELSE o_orderstatus END AS name, CAST(CASE WHEN o_orderkey % 23 = 4 THEN 2 WHEN o_orderkey % 17 = 3 THEN 1 ELSE 0 END AS BIGINT) AS n FROM orders WHERE o_orderkey % 29 <> 5
+    UNION ALL SELECT o_orderkey + 1000000000000, 'new', 3 FROM orders WHERE o_orderkey % 31 = 6""")
+def merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base with three deltas: rows put twice, rows dropped, rows added."""
+    id = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(id.cast("long").alias("id"), F.col("o_orderstatus").alias("name"), F.lit(0).cast("long").alias("n"))
+    ddl, keys, own = "id long, name string, n long", ("id",), Store(spark, scratch_path(spark, "store"))
+    own.write("orders", orders, ddl, keys)
+
+    def put(rows: DataFrame, name: str, n: int) -> DataFrame:
+        return rows.withColumns({"name": F.lit(name), "n": F.lit(n).cast("long")})
+
+    own.merge("orders", put(orders.filter("id % 17 = 3"), "first", 1), ddl, keys)
+    own.merge("orders", put(orders.filter("id % 23 = 4 AND id % 29 <> 5"), "late", 2), ddl, keys, gone=orders.filter("id % 29 = 5"))
+    own.merge("orders", put(orders.filter("id % 31 = 6").withColumn("id", F.col("id") + 1_000_000_000_000), "new", 3), ddl, keys)
+    return own.read("orders", ddl, keys)
+
+
+@query("""
+    WITH e AS (SELECT event_id AS id, user_id, event_type, epoch_us(ts) // 1000000 AS t FROM events WHERE event_id % 7 <> 5),
+    o AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, id), 1000000000) > 7200 AS starts FROM e),
+    s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY user_id, event_type ORDER BY t, id) AS burst FROM o),
+    g AS (SELECT *, min(id) OVER w AS component, count(*) OVER w AS members FROM s WINDOW w AS (PARTITION BY user_id, event_type, burst))
+    SELECT id, component FROM g WHERE members > 1""")
+def component_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of events without a seventh, brought to where another seventh is gone and the first is there."""
+    events = table(spark, sf_dir, "events").withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")))
+
+    def links(rows: DataFrame) -> DataFrame:
+        pairs = similar.band_pairs(rows, 7200, by=("user_id", "event_type"), id="event_id", ts="t")
+        return cut(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "links")
+
+    before, after = links(events.filter("event_id % 7 <> 3")), links(events.filter("event_id % 7 <> 5"))
+    return updated_components(connected_components(before), after, after.subtract(before), before.subtract(after))
+
+
+@query("""
+    WITH e AS (SELECT event_id AS id, user_id % 10 AS key, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t, coalesce(value, -1) AS value FROM events),
+    o AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY key, event_type ORDER BY t, id), 1000000000) > 3600 AS starts FROM e),
+    s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY key, event_type ORDER BY t, id) AS burst FROM o),
+    g AS (SELECT *, min(id) OVER w AS component, count(*) OVER w AS members, first_value(id) OVER b AS keeper_id, first_value(t) OVER b AS keeper_t FROM s
+        WINDOW w AS (PARTITION BY key, event_type, burst), b AS (PARTITION BY key, event_type, burst ORDER BY value DESC, id))
+    SELECT CAST(key AS VARCHAR) AS key, id, component, keeper_id, 'e' || keeper_id AS keeper_path, id = keeper_id AS is_keeper, abs(t - keeper_t) AS delta FROM g WHERE members > 1""")
+def burst_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of photos, a look for each type: bursts close as the watermark passes, the last ones by a row of a later year."""
+    events = table(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")
+    items = events.select((F.col("user_id") % 10).cast("string").alias("key"), F.col("event_id").cast("long").alias("id"), ts.alias("ts"), F.xxhash64("event_type").alias("phash"), null("long").alias("edited_of"), F.col("value").alias("sharpness"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"))
+    last = items.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(F.lit("end").alias("key"), F.lit(-1).cast("long").alias("id"), "ts", F.lit(0).cast("long").alias("phash"), null("long").alias("edited_of"), null("double").alias("sharpness"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit("end").alias("path"))
+    folder = scratch_path(spark, "photos")
+    items.unionByName(last).write.parquet(folder)
+    out, check = scratch_path(spark, "bursts"), scratch_path(spark, "bursts-checkpoint")
+    with settings(spark, STATE_STORE | {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}):
+        found = similar_stream(spark.readStream.schema(items.schema).parquet(folder), window=3600)
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(GROUPS).parquet(out)
+
+
+@query("""
+    WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, embedding[i + 1]::DOUBLE AS g FROM embeddings, range(64) r(i) WHERE len(embedding) = 64),
+    c AS (SELECT k, i, cos(pi() * k * (2 * i + 1) / 16) * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 8) AS w FROM range(8) a(k), range(8) b(i)),
+    h AS (SELECT vec_id, k, x, sum(w * g) AS v FROM p JOIN c ON c.i = p.y GROUP BY ALL),
+    f AS (SELECT h.vec_id, h.k * 8 + c.k AS place, sum(w * v) AS v FROM h JOIN c ON c.i = h.x GROUP BY ALL),
+    b AS (SELECT vec_id, v > median(v) OVER (PARTITION BY vec_id) AS bit, place FROM f)
+    SELECT vec_id, CAST(sum(CASE WHEN bit THEN CASE WHEN place = 0 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << CAST(63 - place AS INTEGER)) END ELSE 0 END) AS BIGINT) AS phash FROM b GROUP BY vec_id""")
+def phash_dct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The perceptual hash of embeddings as frames of 8 x 8, by DCT on the JVM."""
+    rows = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64)
+    return rows.select("vec_id", pixels.dct_bits(F.col("embedding"), 8).alias("phash"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) - 1 AS place FROM orders), n AS (SELECT count(*) AS n FROM orders)
+    SELECT page, place - start AS nth, id FROM o, n, (VALUES (0, 0), (1, 440), (2, -1)) v(page, spot), LATERAL (SELECT CASE WHEN spot < 0 THEN n - 60 ELSE spot END AS start) WHERE place >= start AND place < start + 120""")
+def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of a list, the one around place 500 and the last, each read from its ranges."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
+    order = [F.col("o_totalprice").desc(), F.col("id").desc()]
+    ranked = listing.RankedList(orders, *order)
+    pages = [ranked.around(index) for index in (0, 500, ranked.size)]
+    nth = F.row_number().over(Window.partitionBy("page").orderBy(*order)) - 1  # of 120 rows a page
+    every = functools.reduce(DataFrame.unionByName, [p.withColumn("page", F.lit(k)) for k, p in enumerate(pages)])
+    return every.select("page", nth.cast("long").alias("nth"), "id")
