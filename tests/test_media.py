@@ -496,3 +496,22 @@ def test_pages_by_rank(spark):
     assert "PartitionFilters: [isnotnull(_range" in plan and "Exchange rangepartitioning" not in plan
     assert [r.id for r in ranked.around(3, 10).collect()] == want[:10]
     assert RankedList(rows.limit(0), F.col("id")).page(0, 10).count() == 0
+
+
+def test_digests_are_taken_once(spark, sf_dir, monkeypatch):
+    """The funnel's queries read documents in one job, and nothing after that reads texts."""
+    from tidemill.operators import dedupe
+    from tidemill.plans import catalogue
+
+    plans, written = [], dedupe.cut
+
+    def noted(rows, tag):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return written(rows, tag)
+
+    monkeypatch.setattr(dedupe, "cut", noted)
+    for name in ("exact_duplicates", "dedupe_funnel"):
+        plans.clear()
+        out = catalogue.QUERIES[name](spark, sf_dir)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        assert sum("text#" in p for p in plans) == 1 and plans[0].count("Relation") == 1

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import constants as C
 from tidemill.functions import hashing, names
 from tidemill.operators.numbering import numbered
+from tidemill.session import cut
 
 
 def repeated(df: DataFrame, *keys: str) -> DataFrame:
@@ -20,14 +21,19 @@ def repeated(df: DataFrame, *keys: str) -> DataFrame:
     return df.join(counts, list(keys), "left_semi")
 
 
-def funnel(files: DataFrame, content: Column | None = None) -> DataFrame:
-    """The rows of `files` (id, size and content) that have an exact copy, with partial_hash and full_hash. Empty files take no part.
+def digested(files: DataFrame, content: Column | None = None) -> DataFrame:
+    """`files` (id, size and content) without content, with partial_hash and full_hash; empty files take no part.
 
-    Digests are taken where the rows are and content goes no further: only ids, sizes and digests are shuffled.
+    Digests are taken where the rows are, once, and written: content goes no further, and what counts on them reads ids, sizes and digests.
     """
     content = F.col("content") if content is None else content
     rest = [c for c in files.columns if c != "content"]
-    hashed = files.filter(F.col("size") > 0).select(*rest, hashing.partial_hash(content).alias("partial_hash"), hashing.full_hash(content).alias("full_hash"))
+    return cut(files.filter(F.col("size") > 0).select(*rest, hashing.partial_hash(content).alias("partial_hash"), hashing.full_hash(content).alias("full_hash")), "digests")
+
+
+def funnel(files: DataFrame, content: Column | None = None) -> DataFrame:
+    """The rows of `files` (id, size and content, or those of `digested`) that have an exact copy, with partial_hash and full_hash."""
+    hashed = files if "full_hash" in files.columns else digested(files, content)
     return repeated(partially_equal(hashed), "full_hash")
 
 
@@ -48,7 +54,8 @@ def duplicate_groups(rows: DataFrame, run_id: int = 1) -> DataFrame:
 
     Groups are numbered by their smallest id: `d<run>-<n>`.
     """
-    shared = repeated(rows.filter(F.col("full_hash").isNotNull()), "full_hash")
+    # read three times: written, so that what led here runs once
+    shared = cut(repeated(rows.filter(F.col("full_hash").isNotNull()), "full_hash"), "copies")
     best = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(keeper_order(F.col("stem"), F.col("ts"), F.col("path"), F.col("id")))], F.col("path").alias("path"))
     groups = shared.groupBy("full_hash").agg(F.min(best).alias("_best"), F.min("id").alias("_first"))
     # one row a group: numbering orders groups, never their members

@@ -63,11 +63,10 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'partial', count(*) FROM p WHERE (size, e) IN (SELECT (size, e) FROM p GROUP BY size, e HAVING count(*) > 1)
     UNION ALL SELECT 'full', count(*) FROM d WHERE h IN (SELECT h FROM d GROUP BY h HAVING count(*) > 1)""")
 def dedupe_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = documents_as_files(spark, sf_dir)
-    sized = dedupe.repeated(files.filter(F.col("size") > 0).select("id", "size"), "size").select(F.lit("size").alias("step"))
-    ends = dedupe.partially_equal(files.filter(F.col("size") > 0).select("size", hashing.partial_hash(F.col("content")).alias("partial_hash"))).select(F.lit("partial").alias("step"))
-    full = dedupe.funnel(files).select(F.lit("full").alias("step"))
-    return sized.unionByName(ends).unionByName(full).groupBy("step").agg(F.count("*").alias("n"))
+    files = dedupe.digested(documents_as_files(spark, sf_dir))
+    steps = {"size": dedupe.repeated(files, "size"), "partial": dedupe.partially_equal(files), "full": dedupe.funnel(files)}
+    every = [rows.select(F.lit(step).alias("step")) for step, rows in steps.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("step").agg(F.count("*").alias("n"))
 
 
 _PENALTY = " + ".join("CASE WHEN regexp_matches(stem, '{}') THEN {} ELSE 0 END".format(p, w) for p, w in NAME_PENALTIES)
