@@ -11,9 +11,9 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def row_of(docs: DataFrame) -> Column:
-    """All columns of a table as one struct, _row."""
-    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row")
+def row_of(docs: DataFrame, changed: dict[str, Column] | None = None) -> Column:
+    """All columns of a table, some of them `changed`, as one struct, _row."""
+    return F.struct(*[(changed or {}).get(c, F.col(quoted(c))).alias(c) for c in docs.columns]).alias("_row")
 
 
 def columns_of(docs: DataFrame, changed: dict[str, Column] | None = None) -> list[Column]:

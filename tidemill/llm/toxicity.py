@@ -123,18 +123,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     share = min(1.0, train_rows / max(1, marks.count()))
     order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(1 << 30))
     chosen = marks.filter(order < int(share * (1 << 30)))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    # one text a doc_id, so that the bound on doc_ids is one on rows: the text of least hash
-    sample = rows.groupBy("doc_id", "_toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("_order", order)
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select(order.alias("_order"), "_toxic", F.xxhash64("doc_id", F.lit(5)).alias("_key"), "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        # one text a doc_id, the one of least hash, so that the bound on doc_ids is one on rows but for doc_ids that several tasks have
+        cache, kept = WordHashes(), {}
         for batch in batches:
-            slots = [features(x, cache).tobytes() for x in texts_of(batch.column(2))]
-            tie = np.array([xxhash.xxh3_64_intdigest(x) for x in slots], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tie), pa.array(slots, pa.binary())], ["_order", "_toxic", "tie", "slots"])
-
-    found = sample.select("_order", "_toxic", "text").mapInArrow(featured, "_order long, _toxic int, tie long, slots binary").toArrow()
+            for order, toxic, key, text in zip(*[batch.column(k).to_pylist() for k in range(3)], texts_of(batch.column(3)), strict=True):
+                mark = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                if key not in kept or mark < kept[key][3]:
+                    slots = features(text, cache).tobytes()
+                    kept[key] = (order, toxic, key, mark, xxhash.xxh3_64_intdigest(slots) - (1 << 63), slots)
+        columns = list(zip(*kept.values(), strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["_order", "_toxic", "_key", "mark", "tie", "slots"])
+
+    found = sample.mapInArrow(featured, "_order long, _toxic int, _key long, mark long, tie long, slots binary").toArrow()
     learnt = sample_of(found)
     del found
     return ftrl(learnt)
@@ -142,6 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
 
 def sample_of(found: pa.Table) -> Sample:
     """The sample as a few large arrays, which go back to the system as a whole once the driver is done with them."""
+    by_key = np.lexsort((found.column("mark").to_numpy(), found.column("_key").to_numpy()))
+    keys = found.column("_key").to_numpy()[by_key]
+    again = np.concatenate([[False], keys[1:] == keys[:-1]])[: len(keys)]
+    if again.any():  # several tasks had texts of one doc_id
+        kept = np.ones(len(keys), bool)
+        kept[by_key[again]] = False
+        found = found.filter(pa.array(kept))
     labels = (found.column("_toxic").to_numpy() != 0).astype(np.int8)
     order = np.lexsort((labels, found.column("tie").to_numpy(), found.column("_order").to_numpy()))
     sizes, parts = [], []
@@ -154,23 +165,24 @@ def sample_of(found: pa.Table) -> Sample:
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """_row (the columns of `docs` as they are) and the score of each row's whole text."""
+    """_row (the columns of `docs`, text as a string) and the score of each row's whole text."""
+    text_at = docs.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, dense = WordHashes(), model.dense()
         for batch in batches:
-            sums = np.array([dense[features(x, cache)].sum() for x in texts_of(batch.column(1))], np.float64) + model.bias
+            sums = np.array([dense[features(x, cache)].sum() for x in texts_of(batch.column(0).field(text_at))], np.float64) + model.bias
             with np.errstate(over="ignore"):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-sums)), pa.float64())], ["_row", "score"])
 
-    rows = docs.select(row_of(docs), F.col("text").cast("string").alias("text"))
+    rows = docs.select(row_of(docs, {"text": F.col("text").cast("string")}))
     return rows.mapInArrow(scored, StructType([rows.schema["_row"], StructField("score", DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, toxic_at: float = TOXIC_AT) -> DataFrame:
     """The rows of `docs` that score under `toxic_at`, with the columns of `docs`."""
     scored = with_score(docs, fit(docs, labels, train_rows=train_rows)).filter(F.col("score") < toxic_at)
-    return scored.select(*columns_of(docs, {"text": F.col("_row.text").cast("string")}))
+    return scored.select(*columns_of(docs))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, toxic_at: float = TOXIC_AT) -> DataFrame:
