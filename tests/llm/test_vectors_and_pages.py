@@ -187,3 +187,35 @@ def test_buckets_grow_and_lengths_are_spaces(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     want = brute(own, 5) | brute(other, 5)
     assert got.keys() == want.keys() and np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+
+
+def test_class_words_inside_an_article(spark):
+    """Inside an article, a class is a part of the page only as a whole; what isn't shown goes."""
+    inside = "<p class='share-price'>price</p><p class='reply-hint'>hint</p><section class='promo-story'><p>story</p></section>"
+    gone = "<div class='ad-banner'>buy</div><div class='comments'><p>nice</p></div><ul class='comment-list'><li>more</li></ul><div class='ad box'>x</div><p style='color:red; display : none'>hidden</p>"
+    got = extract(spark, [(1, "u", page(f"<article><h1>t</h1>{inside}{gone}</article>"), ""), (2, "u", page(f"<div><p>t</p></div><div class='share-price'>beside</div>"), "")])
+    assert got[1].text == "t price hint story" and got[2].text == "t"
+
+
+def test_the_tree_measures_frames_by_articles(spark):
+    """Teasers from a pool, on a host whose articles hardly repeat, leave its pages without an article too; headings stay."""
+    rng = random.Random(5)
+    pool = [f"teaser {k}" for k in range(12)]
+    own = [" ".join(str(rng.random()) for _ in range(4)) for _ in range(60)]
+    teaser = lambda: f"<div class=teaser>{rng.choice(pool)}</div>"
+    rows = [(k, "http://i.example/p", page(f"{teaser()}<article><h1>head {k % 30}</h1><p>{own[k]}</p></article>"), "") for k in range(50)]
+    rows += [(k, "http://i.example/p", page(f"{teaser()}<div class=body><h1>head {k % 30}</h1><p>{own[k]}</p></div>"), "") for k in range(50, 60)]
+    got = extract(spark, rows)
+    assert all(got[k].text == f"head {k % 30} {own[k]}" for k in range(60))
+    nodes = html.site_nodes(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    importance = {r.node: r.importance for r in nodes.collect()}[">html>body>div.teaser"]
+    assert html.LOW < importance
+    assert [r.low for r in html.low_nodes(nodes).collect()] == [[">html>body>div.teaser"]]
+
+
+def test_deep_nesting_is_no_square():
+    import time
+
+    began = time.time()
+    found = html.Page("<div>" * 100_000 + "deep" + "</b>" * 100_000 + "</div>" * 100_000)
+    assert [b[3] for b in found.blocks] == ["deep"] and time.time() - began < 20

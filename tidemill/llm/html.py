@@ -6,12 +6,15 @@ leaf's content importance the entropy of the texts found there, both with the nu
 agree, 1 if all differ. A text or child sequence counts once for each distinct page of the host that has it, so that copies of a
 page are one page; pages that agree in their longest own blocks, up to `SAME` of their characters, are copies. A branch's importance
 is the mean of the content importances below it, weighted by observations, mixed with its own presentation importance. Branches
-below `LOW`, with every leaf of theirs, on at least `LEAST_PAGES` observations leave every page of the host; inside an article or main
-element the limit is `LOW_INSIDE`. What a frame shows comes from few texts however many pages a host has, so the tree decides the more, the larger a host is.
+that are low, with every leaf of theirs, on at least `LEAST_PAGES` observations leave every page of the host. What is low depends on where it
+stands: beside the host's articles, under `LOW_BESIDE` of their importance; inside an article or main element, under `LOW_INSIDE`; headings and
+hosts without such elements, under `LOW`. What a frame shows comes from few texts however many pages a host has, and the articles of the host
+tell how much its pages repeat anyway, so hosts of any size are measured by themselves.
 
 What statistics don't know (hosts of a few pages, adverts and reader comments that differ from page to page) is left to the meaning of
 elements: menus, headers, footers, sidebars, notices, adverts, forms and comments by tag, role and class are listed and go from each
-page; where a page has an article or main element, only that counts. Scripts, styles and what isn't shown never take part.
+page; where a page has an article or main element, only that counts. Inside one, a class is listed only as a whole (`ad-banner`, not
+`share-price`). Scripts, styles and what isn't shown (`hidden`, `display: none`) never take part.
 
 Statistics travel as (host, node, hash, page) rows that are made distinct before they are shuffled by all four, so a host with a
 third of all pages is no task's own; what joins back to the pages is a list of low nodes for each host, broadcast if its counted
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +42,8 @@ from tidemill.session import cut
 
 LOW = 0.5
 LOW_INSIDE = 0.2
+#: Share of the importance of its host's articles under which a branch outside them is low.
+LOW_BESIDE = 0.95
 LEAST_PAGES = 10
 #: Share of a page's characters, longest blocks first, that tells it from other pages; what is shorter (a date, a counter) doesn't.
 SAME = 0.9
@@ -49,7 +55,7 @@ BROADCAST_NODES = 100_000
 DEPTH = 48
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=\s|$|/)", re.S | re.I)
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=\s|$|/)", re.S | re.I)
 
 # Element names of HTML, and words that name the parts of a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,7 +67,11 @@ UNSEEN = set("script style textarea title iframe noscript template svg math obje
 LISTED = set("form button input nav footer aside menu dialog".split())
 MAIN = {"article", "main"}
 LISTED_WORDS = set("nav navbar navigation menu footer sidebar aside widget notice notices cookie cookies consent banner popup modal ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond share sharing social related breadcrumb breadcrumbs newsletter subscribe subscription login signup search pagination pager toolbar".split())
+#: Words that may stand beside a listed one in a class name inside an article; any other makes it the article's own (share-price).
+PLAIN_WORDS = set("area bar block box btn button container content group inner item items link links list outer panel section slot strip wrap wrapper".split())
 HEADER_WORDS = {"header", "masthead", "topbar"}
+UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HEADING = r"^h[1-6](\.|$)"
 LISTED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
 
@@ -78,6 +88,7 @@ class Page:
         # name, node, unseen, listed, inside main, names of block children
         self.stack: list[tuple[str, str, bool, bool, bool, list[str]]] = [("", "", False, False, False, [])]
         self.parts: list[str] = []
+        self.opened: Counter[str] = Counter()
         self.read(source)
         self.flush()
         while self.stack:
@@ -131,13 +142,17 @@ class Page:
             self.parts.append(" ")
         if name in VOID:
             return
-        words, role, hidden = [], "", False
+        words, names, role, hidden = [], [], "", False
         for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
             value = value.strip("\"'").lower()
             if key.lower() in ("class", "id"):
-                words += re.split(r"[^a-z0-9]+", value)
+                own = [re.split(r"[^a-z0-9]+", x) for x in value.split()]
+                names += own
+                words += [w for x in own for w in x]
             elif key.lower() == "role":
                 role = value
+            elif key.lower() == "style":
+                hidden |= bool(UNSHOWN.search(value))
             else:
                 hidden |= key.lower() == "hidden" or value == "true"
         if name not in INLINE:
@@ -149,7 +164,9 @@ class Page:
         above = self.stack[-1]
         inside = above[4] or name in MAIN or role == "main"
         unseen = above[2] or hidden or name in UNSEEN
-        named = bool(LISTED_WORDS.intersection(words)) and name not in MAIN and name not in ("body", "html")
+        # inside an article a class says what it is as a whole: ad-banner, comment-list, not share-price
+        whole = [x for x in names if LISTED_WORDS.intersection(x) and not set(x) - LISTED_WORDS - PLAIN_WORDS - {""} - {w for w in x if w.isdigit()}]
+        named = bool(whole if above[4] else LISTED_WORDS.intersection(words)) and name not in MAIN and name not in ("body", "html")
         top = not above[4] and (name == "header" or (bool(HEADER_WORDS.intersection(words)) and name not in ("body", "html", *MAIN)))
         listed = above[3] or name in LISTED or role in LISTED_ROLES or named or top
         apart = (unseen, listed) != above[2:4]
@@ -162,6 +179,7 @@ class Page:
             if len(self.stack) <= DEPTH:
                 node = f"{node}>{label}"
         self.stack.append((name, node, unseen, listed, inside, []))
+        self.opened[name] += 1
 
     def imply(self, name: str, until: set[str]) -> None:
         """Closes an open `name` that the next element ends, unless `until` stands between."""
@@ -175,7 +193,7 @@ class Page:
                 return
 
     def close(self, name: str) -> None:
-        if any(x[0] == name for x in self.stack[1:]):
+        if self.opened[name]:
             if name not in INLINE or self.stack[-1][2:4] != self.stack[-2][2:4]:
                 self.flush()
             while self.stack[-1][0] != name:
@@ -185,7 +203,8 @@ class Page:
             self.leave()
 
     def leave(self) -> None:
-        _, node, unseen, _, inside, children = self.stack.pop()
+        name, node, unseen, _, inside, children = self.stack.pop()
+        self.opened[name] -= 1
         if children and not unseen and node:
             self.children.append((node, inside, " ".join(children)))
 
@@ -233,10 +252,17 @@ def site_nodes(pages: DataFrame) -> DataFrame:
     return content.join(shown, ["host", "node"], "left").select("host", "node", "inside", importance.alias("importance"), "most", "seen")
 
 
-def low_nodes(nodes: DataFrame, *, low: float = LOW, low_inside: float = LOW_INSIDE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, low: the nodes to remove from each host's pages. A branch that holds any of an article or main element has the lower limit."""
-    limit = F.when(F.col("inside"), low_inside).otherwise(low)
-    found = nodes.filter((F.col("node") != "") & (F.col("importance") < limit) & (F.col("most") < limit) & (F.col("seen") >= least_pages))
+def low_nodes(nodes: DataFrame, *, low: float = LOW, low_inside: float = LOW_INSIDE, low_beside: float = LOW_BESIDE, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, low: the nodes to remove from each host's pages.
+
+    A branch that holds any of an article or main element has the limit `low_inside`. Others are measured by the articles of their host: a host of few pages
+    shows few repetitions in its frames, but fewer still in its articles. Headings, and hosts without such elements, have the limit `low`.
+    """
+    main = nodes.filter(F.col("inside") & (F.col("seen") >= least_pages)).groupBy("host").agg((F.sum(F.col("importance") * F.col("seen")) / F.sum("seen")).alias("main"))
+    heading = F.element_at(F.split("node", ">"), -1).rlike(HEADING)
+    beside = F.when(heading, low).otherwise(F.greatest(F.lit(low), F.coalesce(F.col("main") * low_beside, F.lit(low))))
+    limit = F.when(F.col("inside"), low_inside).otherwise(beside)
+    found = nodes.join(main, "host", "left").filter((F.col("node") != "") & (F.col("importance") < limit) & (F.col("most") < limit) & (F.col("seen") >= least_pages))
     return found.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low"))
 
 
