@@ -515,3 +515,45 @@ def test_digests_are_taken_once(spark, sf_dir, monkeypatch):
         out = catalogue.QUERIES[name](spark, sf_dir)
         plans.append(out._jdf.queryExecution().optimizedPlan().toString())
         assert sum("text#" in p for p in plans) == 1 and plans[0].count("Relation") == 1
+
+
+def test_console_report_and_lists(spark, archive, tmp_path):
+    """The report as lines, in two languages; CSV columns; where a host had its folders; only photos with neighbours in time."""
+    from tidemill.plans.console import plan_lines
+    from tidemill.sources import sinks
+
+    ws = W.open_workspace(spark, str(archive / "src"), str(archive / "review"), str(archive / "elsewhere"))
+    assert "No classification yet" in next(plan_lines(W.get_plan(ws)))
+    W.run_scan(ws)
+    W.run_classify(ws)
+    lines = "\n".join(plan_lines(W.get_plan(ws)))
+    assert "File is empty (0 bytes)" in lines and "junk" in lines and "total (enabled)" in lines and "Report only" in lines
+    assert "Пустой файл (0 байт)" in "\n".join(plan_lines(W.get_plan(ws, lang="ru"), lang="ru"))
+    rows = sinks.candidate_rows(ws.catalog.candidates(), ws.catalog.read("files"))
+    assert rows.columns == ["category", *sinks.CANDIDATE_COLUMNS] and {r.root for r in rows.collect()} == {"source"} and {r.keeper for r in rows.collect()} <= {0, 1}
+    ws.close()
+    again = W.open_workspace(spark, str(archive / "src"), str(archive / "review"))
+    assert again.roots["delete"] == str(archive / "elsewhere")
+    again.close()
+
+
+def test_network_volumes(tmp_path):
+    table = tmp_path / "mounts"
+    table.write_text("/dev/sda / ext4 rw 0 0\nnas:/x /mnt/the\\040nas nfs4 rw 0 0\n")
+    assert tree.network_volume("/mnt/the nas/photos", str(table)) and not tree.network_volume("/home/x", str(table)) and not tree.network_volume("/x", str(tmp_path / "none"))
+
+
+def test_pixels_of_neighbours_only(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    for k in range(4):
+        (tmp_path / "src" / f"p{k}.png").write_bytes(gray_png(np.random.default_rng(k).integers(0, 255, (40, 40)).astype(np.uint8)))
+        os.utime(tmp_path / "src" / f"p{k}.png", (1_600_000_000 + 1000 * (k // 2) * (k + 1),) * 2)
+    ws = W.open_workspace(spark, str(tmp_path / "src"), str(tmp_path / "review"), str(tmp_path / "delete"))
+    W.run_scan(ws)
+    cfg = ClassifyConfig().with_overrides(enabled={c: c == "similar" for c in ("duplicates", "screenshots", "screen_recordings", "short_videos", "no_camera_media", "junk", "blurry_dark", "similar")})
+    W.run_analysis(ws, cfg)
+    names = {r.id: r.name for r in ws.catalog.read("files").collect()}
+    assert {names[r.file_id] for r in ws.catalog.read("file_analysis").filter("phash is not null").collect()} == {"p0.png", "p1.png"}
+    W.run_analysis(ws)
+    assert ws.catalog.read("file_analysis").filter("phash is not null").count() == 4
+    ws.close()

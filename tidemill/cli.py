@@ -10,7 +10,9 @@ import json
 import sys
 
 from tidemill.functions.config import ClassifyConfig
+from tidemill.functions.display import LANGUAGES
 from tidemill.plans import workspace as W
+from tidemill.plans.console import plan_lines
 from tidemill.session import build_session
 from tidemill.sources.catalog import Locked
 
@@ -33,6 +35,9 @@ def parser() -> argparse.ArgumentParser:
             own.add_argument("--move-all-aae", action="store_true", default=None)
         if name == "report":
             own.add_argument("--out")
+            own.add_argument("--json", action="store_true", help="print the report as JSON instead of a table")
+            own.add_argument("--lang", choices=LANGUAGES, default="en")
+            own.add_argument("--examples", type=int, default=5)
         if name in ("apply", "undo", "purge"):
             own.add_argument("--yes", action="store_true", help="carry out instead of a dry run")
         if name == "apply":
@@ -54,9 +59,11 @@ def run(args: argparse.Namespace, spark) -> tuple[object, int]:
             cfg: ClassifyConfig = ws.catalog.config().with_overrides(**{f: getattr(args, f) for f in fields})
             out = W.run_classify(ws, cfg)
         elif args.command == "report":
-            out = W.get_plan(ws)
+            out = W.get_plan(ws, examples=max(args.examples, 12), lang=args.lang)
             if args.out:
-                W.write_reports(ws, args.out)
+                W.write_reports(ws, args.out, args.lang)
+            if not args.json:
+                return "\n".join(plan_lines(out, examples=args.examples, lang=args.lang)), 0
         elif args.command == "apply":
             out = W.run_apply(ws, args.category, dry_run=not args.yes)
         elif args.command == "undo":
@@ -83,7 +90,7 @@ def main(argv: list[str] | None = None) -> int:
     except OSError as error:
         print(error, file=sys.stderr)
         return 1
-    print(json.dumps(out, ensure_ascii=False, indent=2, default=str))
+    print(out if isinstance(out, str) else json.dumps(out, ensure_ascii=False, indent=2, default=str))
     return code
 
 

@@ -28,15 +28,43 @@ REASONS = {
 }
 
 
+# The same templates in Russian, with the same places in the same order.
+REASONS_RU = {
+    "duplicate_of": "Точная копия %s",
+    "screenshot_comment": "В EXIF UserComment записано «Screenshot»",
+    "screenshot_resolution": "PNG без данных камеры с разрешением экрана телефона (%s×%s)",
+    "screen_recording_name": "Имя файла как у записи экрана iOS",
+    "screen_recording_resolution": "Видео без данных камеры с разрешением экрана телефона (%s×%s)",
+    "short_video": "Длительность %.1f с (порог %.0f с)",
+    "no_camera": "В метаданных нет производителя и модели камеры",
+    "junk_name": "Системный или служебный файл",
+    "junk_empty": "Пустой файл (0 байт)",
+    "junk_broken": "Файл не декодируется (%s)",
+    "junk_orphan_aae": "Файл правок .AAE без фотографии",
+    "junk_aae": "Файл правок .AAE (опция «все .AAE»)",
+    "blurry": "Очень низкая резкость (%.1f < %.1f)",
+    "dark": "Почти чёрный кадр (средняя яркость %.0f%%)",
+    "similar_member": "Похож на %s, снят с разницей %.0f с",
+    "similar_keeper": "Лучший кадр группы %s",
+}
+LANGUAGES = ("en", "ru")
+
+
+def template_of(name: str, lang: str = "en") -> str:
+    """A reason's template; English where a language has none."""
+    return REASONS_RU.get(name, REASONS[name][0]) if lang == "ru" else REASONS[name][0]
+
+
 def places(template: str, k: int) -> int:
     """Decimals that the placeholder number `k` of a template shows."""
     return 1 if re.findall(r"%(?:\.\d)?[sf]", template)[k] == "%.1f" else 0
 
 
-def reason_text(key: Column, params: Column) -> Column:
-    """The text of a reason; `params` maps names to strings. An unknown key is shown itself. Ties round to even, as in printf."""
+def reason_text(key: Column, params: Column, lang: str = "en") -> Column:
+    """The text of a reason in a language; `params` maps names to strings. An unknown key is shown itself. Ties round to even, as in printf."""
     out = key
-    for name, (template, wanted) in REASONS.items():
+    for name, (_, wanted) in REASONS.items():
+        template = template_of(name, lang)
         if wanted:
             numeric = [w in ("seconds", "threshold", "sharpness", "percent", "delta") for w in wanted]
             values = [F.bround(params[w].try_cast("double"), places(template, wanted.index(w))) if n else params[w] for w, n in zip(wanted, numeric, strict=True)]
@@ -69,3 +97,13 @@ def format_eta(seconds: float | None) -> str:
     if whole < 3600:
         return f"{whole // 60}m {whole % 60:02d}s"
     return f"{whole // 3600}h {whole % 3600 // 60:02d}m"
+
+
+def bytes_text(size: float) -> str:
+    """`human_bytes` of one number."""
+    if size < 1024:
+        return f"{int(size)} B"
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
+        if size < 1 << 10 * (power + 1):
+            return f"{size / (1 << 10 * power):.1f} {unit}"
+    return f"{size / (1 << 40):.1f} TB"

@@ -65,9 +65,14 @@ def first_examples(candidates: DataFrame, n: int, *, partition: str = "category"
     return candidates.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= n)
 
 
-def large_videos(files: DataFrame, n: int = 100) -> DataFrame:
-    """The `n` largest rows (id, size, codec) with what HEVC would save; ties by id."""
-    return files.orderBy(F.col("size").desc(), "id").limit(n).withColumn("saving", display.hevc_saving(F.col("size"), F.col("codec")))
+def large_videos(files: DataFrame, n: int = 100, meta: DataFrame | None = None, *, on: str = "id") -> DataFrame:
+    """The `n` largest rows (id, size, codec) with what HEVC would save; ties by id.
+
+    Where codecs are in another table, `meta` (`on`, codec and more), it is joined to the n rows, not to all.
+    """
+    top = files.orderBy(F.col("size").desc(), "id").limit(n)
+    top = top if meta is None else top.join(meta, on, "left")
+    return top.withColumn("saving", display.hevc_saving(F.col("size"), F.col("codec")))
 
 
 def candidate_rows(candidates: DataFrame, files: DataFrame) -> DataFrame:

@@ -265,12 +265,9 @@ def ancestor_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o AS (SELECT *, row_number() OVER (ORDER BY size DESC, id) AS k FROM t)
     SELECT id, size, codec, CASE WHEN codec = 'h264' THEN CAST(floor(size * 0.45::DOUBLE) AS BIGINT) ELSE 0 END AS saving FROM o WHERE k <= 100""")
 def top_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.floor("l_extendedprice").alias("size"), "l_partkey")
-    # the hundred first, then their parts: the join sees a hundred rows
-    top = sized.orderBy(F.col("size").desc(), "id").limit(100)
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "h264").otherwise("hevc").alias("codec"))
-    named = top.join(parts, top["l_partkey"] == parts["p_partkey"], "left").select("id", "size", F.coalesce("codec", F.lit("hevc")).alias("codec"))
-    return named.withColumn("saving", display.hevc_saving(F.col("size"), F.col("codec")))
+    sized = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.floor("l_extendedprice").alias("size"), F.col("l_partkey").alias("part"))
+    codecs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.when(F.col("p_size") % 2 == 0, "h264").otherwise("hevc").alias("codec"))
+    return report.large_videos(sized, 100, codecs, on="part").select("id", "size", F.coalesce("codec", F.lit("hevc")).alias("codec"), "saving")
 
 
 @query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS nth FROM part WHERE p_size IN (1, 2, 3, 4, 5) AND starts_with(p_brand, 'Brand#1') ORDER BY nth LIMIT 200")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import constants as C
-from tidemill.functions import dates, hashing, names, pixels
+from tidemill.functions import dates, display, hashing, names, pixels
 from tidemill.operators import dedupe, journal, listing, report, similar, snapshot
 from tidemill.operators.components import connected_components, updated_components
 from tidemill.plans.catalogue import _CANDIDATES, content, document_candidates, query
@@ -331,3 +331,18 @@ def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("page").orderBy(*order)) - 1  # of 120 rows a page
     every = functools.reduce(DataFrame.unionByName, [p.withColumn("page", F.lit(k)) for k, p in enumerate(pages)])
     return every.select("page", nth.cast("long").alias("nth"), "id")
+
+
+@query("""
+    SELECT doc_id AS id FROM documents WHERE contains(lower(source || '/IMG_' || doc_id || '%.JPG'), 'g_1') OR contains(lower(coalesce(lang, '') || '/x' || doc_id || '.MOV'), 'g_1') ORDER BY id DESC LIMIT 40 OFFSET 3""")
+def journal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text sought in both paths of a journal, without regard to case and with pattern signs taken as they are."""
+    id = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(id.alias("id"), F.concat("source", F.lit("/IMG_"), id.cast("string"), F.lit("%.JPG")).alias("from_rel"), F.concat(F.coalesce("lang", F.lit("")), F.lit("/x"), id.cast("string"), F.lit(".MOV")).alias("to_rel"))
+    return journal.search(rows, text="G_1", limit=40, offset=3).select("id")
+
+
+@query(f"""WITH {_CANDIDATES} SELECT doc_id, CASE category WHEN 'duplicates' THEN 'Точная копия ' || keeper WHEN 'screenshots' THEN 'В EXIF UserComment записано «Screenshot»' WHEN 'junk' THEN 'Файл не декодируется (low quality)'
+    WHEN 'short_videos' THEN 'Длительность ' || printf('%.1f', n_chars / 10) || ' с (порог 20 с)' ELSE 'В метаданных нет производителя и модели камеры' END AS reason FROM c""")
+def reason_text_ru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_candidates(spark, sf_dir).select("doc_id", display.reason_text(F.col("found.reason"), F.col("found.params"), "ru").alias("reason"))

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions import hashing
+from tidemill.functions import display, hashing
 from tidemill.functions.config import ClassifyConfig
 from tidemill.functions.constants import CATEGORIES, MEDIA_KINDS
-from tidemill.operators import dedupe, journal, link, report, rules, snapshot
+from tidemill.operators import dedupe, journal, link, report, rules, similar, snapshot
 from tidemill.operators.numbering import numbered
 from tidemill.plans.running import Running
 from tidemill.session import cut, settings
@@ -68,7 +68,9 @@ class Workspace:
 def open_workspace(spark: SparkSession, source: str, review: str | None = None, delete: str | None = None, *, recursive: bool = True, read_only: bool = False, force_lock: bool = False, session_kind: str = "cli") -> Workspace:
     """Checks the roots, takes the lock, and starts a session. Raises ValueError on roots that must not be used."""
     review = review or os.path.join(source, "_review")
-    delete = delete or os.path.join(source, "_delete")
+    if delete is None:  # as this host had it last
+        known = Catalog(spark, f"file://{os.path.abspath(os.path.join(review, CATALOG_DIR))}").resolve_roots()
+        delete = known[2] if known and os.path.abspath(known[0]) == os.path.abspath(source) else os.path.join(source, "_delete")
     errors, _ = tree.check_roots(source, review, delete)
     if errors:
         raise ValueError(", ".join(errors))
@@ -202,8 +204,12 @@ def wide(ws: Workspace) -> DataFrame:
     return snapshot.wide_rows(files, meta, analysis).withColumn("path", F.col("rel_path"))
 
 
-def run_analysis(ws: Workspace) -> None:
-    """Digests along the duplicate funnel and pixel features of decodable photos, for files whose stored features are not valid."""
+def run_analysis(ws: Workspace, cfg: ClassifyConfig | None = None) -> None:
+    """Digests along the duplicate funnel and pixel features of decodable photos, for files whose stored features are not valid.
+
+    Where no wanted category but similar photos looks at pixels, only photos with a neighbour in time are decoded.
+    """
+    cfg = cfg or ClassifyConfig()
     files = ws.catalog.read("files").filter((F.col("root") == "source") & (F.col("status") == "present") & (F.col("item_id") == F.col("id")))
     media = files.filter(F.col("kind").isin(*MEDIA_KINDS) & (F.col("size") > 0)).withColumn("path", full_path(ws))
     features = ("partial_hash", "full_hash", "phash", "sharpness", "brightness", "dark_p99", "decode_error")
@@ -220,6 +226,11 @@ def run_analysis(ws: Workspace) -> None:
     hashed = partly.join(wholly, "id", "left").select(F.col("id").alias("file_id"), "size", "mtime_ns", "partial_hash", F.coalesce("_full", "full_hash").alias("full_hash"))
     turns = ws.catalog.read("file_meta").select(F.col("file_id").alias("id"), "size", "mtime_ns", "orientation")
     photos = known.filter(F.col("ext").isin(*DECODED) & F.col("phash").isNull() & F.col("decode_error").isNull()).join(turns, ["id", "size", "mtime_ns"], "left").select("id", "size", "mtime_ns", "path", "orientation")
+    if not cfg.is_enabled("junk") and not cfg.is_enabled("blurry_dark"):
+        taken = media.filter("kind = 'photo'").select("id").join(ws.catalog.read("file_meta").select(F.col("file_id").alias("id"), F.col("date_taken_ts").alias("ts")), "id")
+        window = cfg.similar_window_seconds
+        near = similar.time_neighbours(taken, window, bucket=max(1, int(window)) * 60)
+        photos = photos.join(near, "id", "left_semi") if cfg.is_enabled("similar") else photos.limit(0)
     photos = cut(photos, "photos")
     seen = ws.spark.createDataFrame([], "path string, phash long, sharpness double, brightness double, dark_p99 double, decode_error string")
     # Spark's image source takes paths from the driver, so they come in batches until none is left; small files share listing and reading tasks
@@ -242,7 +253,7 @@ def run_classify(ws: Workspace, cfg: ClassifyConfig | None = None, *, compute: b
     with ws.running("classify") as job:
         job.at("analyse")
         if compute:
-            run_analysis(ws)
+            run_analysis(ws, cfg)
         job.at("rules")
         found = rules.classify(wide(ws), cfg, run_id=job.id).withColumn("run_id", F.lit(job.id)).withColumn("applied_op", F.lit(None).cast("string"))
         table = ws.catalog.write("candidates", snapshot.replace_candidates(ws.catalog.read("candidates"), found))
@@ -250,21 +261,22 @@ def run_classify(ws: Workspace, cfg: ClassifyConfig | None = None, *, compute: b
     return {r["category"]: r["n"] for r in report.category_counts(table.filter(F.col("run_id") == job.id)).collect()}
 
 
-def get_plan(ws: Workspace, cfg: ClassifyConfig | None = None, *, examples: int = 12) -> dict:
-    """The nested report of the last run."""
+def get_plan(ws: Workspace, cfg: ClassifyConfig | None = None, *, examples: int = 12, lang: str = "en") -> dict:
+    """The nested report of the last run, with reasons in a language."""
     cfg = cfg or ws.catalog.config()
     files = ws.catalog.read("files")
     found = ws.catalog.candidates(int(ws.catalog.setting("last_run", 0)), unapplied_only=True)
     rows = report.candidate_rows(found, files)
     table = report.category_report(report.category_dimension(ws.spark, cfg.enabled), rows)
-    shown = report.first_examples(rows.filter(~F.col("is_keeper")), examples, order=[F.col("group_id").asc_nulls_first(), F.col("file_id")]).select("category", "nth", "file_id", "path", "size", "group_id", "reason").collect()
+    rows_shown = rows.filter(~F.col("is_keeper")).withColumn("reason", display.reason_text(F.col("reason"), F.col("params"), lang))
+    shown = report.first_examples(rows_shown, examples, order=[F.col("group_id").asc_nulls_first(), F.col("file_id")]).select("category", "nth", "file_id", "path", "size", "group_id", "reason").collect()
     own = files.filter((F.col("root") == "source") & (F.col("status") == "present"))
     pairs = report.live_and_edited(own).first()
     codec = ws.catalog.read("file_meta").select(F.col("file_id").alias("id"), "codec", "width", "height", "bitrate", "duration_ms")
-    large = report.large_videos(own.filter("kind = 'video'").select("id", "rel_path", "size").join(codec, "id", "left"), cfg.large_video_top)
+    large = report.large_videos(own.filter("kind = 'video'").select("id", "rel_path", "size"), cfg.large_video_top, codec)
     categories = [r.asDict() | {"examples": [s.asDict() for s in sorted(shown, key=lambda s: s["nth"]) if s["category"] == r["category"]]} for r in table.orderBy("nth").collect()]
     totals = report.report_totals(table).first().asDict()
-    return {"run_id": ws.catalog.setting("last_run"), "categories": categories, "live_photos": {"count": pairs["live_count"], "bytes": pairs["live_bytes"]}, "edited_pairs": {"count": pairs["edited_count"], "bytes": pairs["edited_bytes"]}, "large_videos": [r.asDict() for r in large.collect()], "totals": totals}
+    return {"run_id": ws.catalog.setting("last_run"), "categories": categories, "live_photos": {"count": pairs["live_count"], "bytes": pairs["live_bytes"]}, "edited_pairs": {"count": pairs["edited_count"], "bytes": pairs["edited_bytes"]}, "large_videos": sorted((r.asDict() for r in large.collect()), key=lambda v: (-v["size"], v["id"])), "totals": totals}
 
 
 def record(ws: Workspace, done: DataFrame, steps: DataFrame | None = None) -> dict[str, int]:
@@ -468,8 +480,8 @@ def status(ws: Workspace) -> dict:
     return {"roots": roots, "last_run": ws.catalog.setting("last_run"), "jobs": [r.asDict() for r in ws.catalog.jobs(limit=5).collect()], "lock": CatalogLock(os.path.join(ws.roots["review"], CATALOG_DIR)).owner()}
 
 
-def write_reports(ws: Workspace, folder: str) -> None:
+def write_reports(ws: Workspace, folder: str, lang: str = "en") -> None:
     """JSON plan, CSV of candidates by category and of the session's journal."""
     sinks.write_json(folder, "plan.json", get_plan(ws))
-    sinks.candidate_csv(ws.catalog.candidates(int(ws.catalog.setting("last_run", 0))), ws.catalog.read("files"), os.path.join(folder, "candidates"))
+    sinks.candidate_csv(ws.catalog.candidates(int(ws.catalog.setting("last_run", 0))), ws.catalog.read("files"), os.path.join(folder, "candidates"), lang)
     sinks.journal_csv(ws.catalog.read("journal"), os.path.join(folder, "journal"))

@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.display import reason_text
 
-CANDIDATE_COLUMNS = ["file_id", "rel_path", "size", "confidence", "reason", "group_id", "is_keeper", "also", "applied_op"]
+CANDIDATE_COLUMNS = ["file_id", "path", "root", "size", "confidence", "group", "keeper", "reason", "also", "applied"]
 JOURNAL_COLUMNS = ["id", "op_id", "session_id", "ts", "action", "file_id", "item_id", "from_root", "from_rel", "to_root", "to_rel", "method", "conflict", "category", "size", "undoes", "undone_by"]
 
 
-def candidate_csv(candidates: DataFrame, files: DataFrame, folder: str) -> None:
-    """One folder of CSV for each category, header first; `also` joined by commas, nulls as empty strings."""
-    placed = candidates.join(files.select(F.col("id").alias("file_id"), "rel_path", "size"), "file_id")
-    text = reason_text(F.col("reason"), F.col("params"))
-    rows = placed.select("category", "file_id", "rel_path", "size", "confidence", text.alias("reason"), F.coalesce("group_id", F.lit("")).alias("group_id"), "is_keeper", F.concat_ws(",", "also").alias("also"), F.coalesce("applied_op", F.lit("")).alias("applied_op"))
-    rows.write.mode("overwrite").partitionBy("category").csv(folder, header=True)
+def candidate_rows(candidates: DataFrame, files: DataFrame, lang: str = "en") -> DataFrame:
+    """category and CANDIDATE_COLUMNS: keeper as 0 or 1, `also` joined by commas, nulls as empty strings."""
+    placed = candidates.join(files.select(F.col("id").alias("file_id"), F.col("rel_path").alias("path"), "root", "size"), "file_id")
+    more = {"group": F.coalesce("group_id", F.lit("")), "keeper": F.col("is_keeper").cast("int"), "reason": reason_text(F.col("reason"), F.col("params"), lang), "also": F.concat_ws(",", "also"), "applied": F.coalesce("applied_op", F.lit(""))}
+    return placed.select("category", *[more.get(c, F.col(c)).alias(c) for c in CANDIDATE_COLUMNS])
+
+
+def candidate_csv(candidates: DataFrame, files: DataFrame, folder: str, lang: str = "en") -> None:
+    """One folder of CSV for each category, header first."""
+    candidate_rows(candidates, files, lang).write.mode("overwrite").partitionBy("category").csv(folder, header=True)
 
 
 def journal_csv(journal: DataFrame, folder: str, session_id: int | None = None) -> None:

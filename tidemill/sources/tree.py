@@ -23,6 +23,8 @@ from tidemill.functions.constants import EXCLUDED_DIRS, EXCLUDED_SUFFIXES, TEMP_
 from tidemill.session import cut
 
 LISTING = "root string, rel_path string, rel_path_os string, name string, size long, mtime_ns long, path string, error string, folder boolean, task int"
+# File systems that are on a network.
+NETWORK_KINDS = {"nfs", "nfs4", "cifs", "smb3", "smbfs", "afpfs", "fuse.sshfs", "fuse.rclone", "9p", "ceph", "glusterfs", "lustre"}
 #: Entries that a task meets before it hands folders back; few in the first round, whose frontier is the roots.
 BUDGET = 50_000
 FIRST_BUDGET = 2_000
@@ -115,8 +117,23 @@ def scan_roots(spark: SparkSession, source: str, review: str | None = None, dele
     return named(walk(spark, roots | {name: Walk(path) for name, path in others.items()}))
 
 
+def network_volume(path: str, mounts: str = "/proc/self/mounts") -> bool:
+    """Whether a path is on a network file system, by the mount it lies under; False where there is no table of mounts."""
+    own, best = os.path.realpath(path), ("", "")
+    try:
+        with open(mounts, encoding="utf-8") as f:
+            for line in f:
+                _, point, kind, *_ = line.split(" ")
+                point = point.replace("\\040", " ")
+                if (own == point or own.startswith(point.rstrip("/") + "/")) and len(point) >= len(best[0]):
+                    best = point, kind
+    except OSError:
+        return False
+    return best[1] in NETWORK_KINDS
+
+
 def check_roots(source: str, review: str | None = None, delete: str | None = None) -> tuple[list[str], list[str]]:
-    """Errors and warnings about a choice of roots: photo libraries, missing or nested folders, catalogs, other volumes."""
+    """Errors and warnings about a choice of roots: photo libraries, missing or nested folders, catalogs, other and network volumes."""
     errors, warnings = [], []
     base = os.path.abspath(source)
     if any(part.lower().endswith(".photoslibrary") for part in base.split(os.sep)):
@@ -135,4 +152,6 @@ def check_roots(source: str, review: str | None = None, delete: str | None = Non
     volumes = {os.stat(p).st_dev for p in (base, review, delete) if p and os.path.isdir(p)}
     if len(volumes) > 1:
         warnings.append("different_volumes")
+    if network_volume(base):
+        warnings.append("network_volume")
     return errors, warnings
