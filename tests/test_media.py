@@ -557,3 +557,29 @@ def test_pixels_of_neighbours_only(spark, tmp_path):
     W.run_analysis(ws)
     assert ws.catalog.read("file_analysis").filter("phash is not null").count() == 4
     ws.close()
+
+
+def test_reevaluation_is_a_new_run_with_the_old_number(spark, archive, monkeypatch):
+    """Other settings give what a new classification gives; unchanged rules aren't worked out, similar groups only if need be."""
+    ws = W.open_workspace(spark, str(archive / "src"), str(archive / "review"), str(archive / "delete"))
+    with pytest.raises(ValueError):
+        W.run_reevaluate(ws, ClassifyConfig())
+    W.run_scan(ws)
+    W.run_classify(ws)
+    run, sought, worked = ws.catalog.setting("last_run"), [], []
+    groups, matched = rules.similar_groups, rules.matches_of
+    monkeypatch.setattr(rules, "similar_groups", lambda *a, **k: sought.append(1) or groups(*a, **k))
+    monkeypatch.setattr(rules, "matches_of", lambda *a, **k: worked.append(k.get("only")) or matched(*a, **k))
+    view = lambda found: sorted((r.file_id, r.category, r.reason, str(r.params), r.group_id, r.is_keeper, str(r.also)) for r in found.collect())
+    seen = set()
+    for changes, rules_again in (({"short_video_seconds": 20.0}, [["short_videos"]]), ({"similar_distance": 9}, []), ({"enabled": {"junk": False}}, []), ({"move_all_aae": True, "enabled": {"junk": True}}, [["junk"]])):
+        cfg = ws.catalog.config().with_overrides(**changes)
+        sought.clear(), worked.clear()
+        W.run_reevaluate(ws, cfg)
+        assert worked == rules_again and ws.catalog.setting("last_run") == run
+        seen.add(len(sought))
+        got = ws.catalog.candidates()
+        assert {r.run_id for r in got.collect()} == {run}
+        assert view(got) == view(rules.classify(W.wide(ws), cfg, run_id=run))
+    assert seen == {0, 1}
+    ws.close()

@@ -106,34 +106,73 @@ def first_match(rows: DataFrame, matches: list[Column], *, drop_unmatched: bool
     return out.filter(F.col("found").isNotNull()) if drop_unmatched else out
 
 
-def classify(files: DataFrame, cfg: ClassifyConfig | None = None, *, run_id: int = 1) -> DataFrame:
+#: Settings that a rule's matches depend on; the others have none.
+RULE_SETTINGS = {"short_videos": ("short_video_seconds",), "junk": ("move_all_aae",), "blurry_dark": ("blur_threshold", "dark_mean", "dark_p99"), "similar": ("similar_window_seconds", "similar_distance")}
+FLAT = ("category", "confidence", "reason", "params", "group_id", "is_keeper")
+
+
+def changed_rules(before: ClassifyConfig, cfg: ClassifyConfig) -> list[str]:
+    """The rules whose settings differ."""
+    return [rule for rule, names_ in RULE_SETTINGS.items() if any(getattr(before, n) != getattr(cfg, n) for n in names_)]
+
+
+def matches_of(files: DataFrame, cfg: ClassifyConfig, *, run_id: int = 1, only: list[str] | None = None) -> DataFrame:
+    """file_id and `matches`, a map from category to match, of every file that a rule but the similar one matches; of the rules `only`, if given."""
+    wanted = [c for c in C.CATEGORIES if c != "similar" and (only is None or c in only)]
+    rows = files
+    if "duplicates" in wanted:
+        hashed = files.filter(is_primary() & is_kind(*C.MEDIA_KINDS) & valid()).select("id", "full_hash", "stem", F.col("date_taken_ts").alias("ts"), "path")
+        dup = duplicate_groups(hashed, run_id).select(F.col("id").alias("_id"), F.col("group_id").alias("dup_group"), F.col("is_keeper").alias("dup_keeper"), F.col("keeper_path").alias("dup_path"))
+        rows = files.join(dup, F.col("id") == F.col("_id"), "left").drop("_id")
+    every = {
+        "duplicates": lambda: group_match("duplicates", "dup", "duplicate_keeper", "duplicate_of"),
+        "screenshots": screenshots,
+        "screen_recordings": screen_recordings,
+        "short_videos": lambda: short_videos(cfg),
+        "no_camera_media": no_camera_media,
+        "junk": lambda: junk(cfg),
+        "blurry_dark": lambda: blurry_dark(cfg),
+    }
+    pairs = F.array(*[F.struct(F.lit(c).alias("key"), every[c]().alias("value")) for c in wanted])
+    found_ = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+    return rows.select(F.col("id").alias("file_id"), found_.alias("matches")).filter(F.size("matches") > 0)
+
+
+def ranked(matches: DataFrame, cfg: ClassifyConfig) -> DataFrame:
+    """Candidates from stored matches: the first enabled category assigns."""
+    order = [c for c in C.CATEGORIES if c != "similar" and cfg.is_enabled(c)]
+    rows = first_match(matches, [F.element_at("matches", c) for c in order] or [F.lit(None).cast(FOUND)])
+    return rows.select("file_id", *[f"found.{c}" for c in FLAT], "also")
+
+
+def similar_candidates(files: DataFrame, assigned: DataFrame, cfg: ClassifyConfig, *, run_id: int = 1) -> DataFrame:
+    """Candidates of the similar rule, sought among photos that no other rule, keepers included, has named."""
+    photos = files.filter(is_primary() & is_kind("photo") & valid()).join(assigned.select(F.col("file_id").alias("id")), "id", "left_anti")
+    items = photos.select("id", F.col("date_taken_ts").alias("ts"), "phash", "edited_of", "sharpness", "width", "height", "path")
+    sim = similar_groups(items, window=cfg.similar_window_seconds, distance=cfg.similar_distance, run_id=run_id).select("id", F.col("group_id").alias("sim_group"), F.col("is_keeper").alias("sim_keeper"), F.col("keeper_path").alias("sim_path"), F.col("delta").alias("sim_delta"))
+    rows = first_match(sim, [group_match("similar", "sim", "similar_keeper", "similar_member", delta=F.col("sim_delta"))])
+    return rows.select(F.col("id").alias("file_id"), *[f"found.{c}" for c in FLAT], "also")
+
+
+def classify(files: DataFrame, cfg: ClassifyConfig | None = None, *, run_id: int = 1, matches: DataFrame | None = None) -> DataFrame:
     """Candidates (file_id, category, confidence, reason, params, group_id, is_keeper, also) of wide rows.
 
-    `files` has the columns of the catalog's wide projection: id, item_id, name, stem, ext, kind, size, path, metadata and analysis.
-    Similar groups are sought among files that no other rule, keepers included, has named.
+    `files` has the columns of the catalog's wide projection: id, item_id, name, stem, ext, kind, size, path, metadata and analysis. `matches` are
+    those of `matches_of`, where they are known.
     """
     cfg = cfg or ClassifyConfig()
-    hashed = files.filter(is_primary() & is_kind(*C.MEDIA_KINDS) & valid()).select("id", "full_hash", "stem", F.col("date_taken_ts").alias("ts"), "path")
-    dup = duplicate_groups(hashed, run_id).select(F.col("id").alias("_id"), F.col("group_id").alias("dup_group"), F.col("is_keeper").alias("dup_keeper"), F.col("keeper_path").alias("dup_path"))
-    rows = files.join(dup, F.col("id") == F.col("_id"), "left").drop("_id")
-    by_category = {
-        "duplicates": group_match("duplicates", "dup", "duplicate_keeper", "duplicate_of"),
-        "screenshots": screenshots(),
-        "screen_recordings": screen_recordings(),
-        "short_videos": short_videos(cfg),
-        "no_camera_media": no_camera_media(),
-        "junk": junk(cfg),
-        "blurry_dark": blurry_dark(cfg),
-    }
-    flat = [F.col("id").alias("file_id"), "found.category", "found.confidence", "found.reason", "found.params", "found.group_id", "found.is_keeper", "also"]
-    matches = [m for c, m in by_category.items() if cfg.is_enabled(c)]
-    assigned = first_match(rows, matches).select(*flat) if matches else None
-    if not cfg.is_enabled("similar"):
-        return assigned if assigned is not None else first_match(rows, [F.lit(None).cast(FOUND)]).select(*flat)
-    photos = files.filter(is_primary() & is_kind("photo") & valid())
-    if assigned is not None:
-        photos = photos.join(assigned.select(F.col("file_id").alias("id")), "id", "left_anti")
-    items = photos.select("id", F.col("date_taken_ts").alias("ts"), "phash", "edited_of", "sharpness", "width", "height", "path")
-    sim = similar_groups(items, window=cfg.similar_window_seconds, distance=cfg.similar_distance, run_id=run_id).select("id", F.col("group_id").alias("sim_group"), F.col("is_keeper").alias("sim_keeper"), F.col("keeper_path").alias("sim_path"), F.col("delta").alias("sim_delta"))
-    similar = first_match(sim, [group_match("similar", "sim", "similar_keeper", "similar_member", delta=F.col("sim_delta"))]).select(*flat)
-    return similar if assigned is None else assigned.unionByName(similar)
+    if matches is None:
+        matches = matches_of(files, cfg, run_id=run_id, only=[c for c in C.CATEGORIES if cfg.is_enabled(c)])
+    assigned = ranked(matches, cfg)
+    return assigned.unionByName(similar_candidates(files, assigned, cfg, run_id=run_id)) if cfg.is_enabled("similar") else assigned
+
+
+def rematched(files: DataFrame, stored: DataFrame, before: ClassifyConfig, cfg: ClassifyConfig, *, run_id: int = 1) -> DataFrame:
+    """Stored matches brought to other settings: only rules whose settings changed are worked out again."""
+    again = [c for c in changed_rules(before, cfg) if c != "similar"]
+    if not again:
+        return stored.select("file_id", "matches")
+    kept = stored.select("file_id", F.map_filter("matches", lambda k, v: ~k.isin(*again)).alias("_kept"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{FOUND}>"))
+    both = kept.join(matches_of(files, cfg, run_id=run_id, only=again), "file_id", "full_outer")
+    return both.select("file_id", F.map_concat(F.coalesce("_kept", none), F.coalesce("matches", none)).alias("matches")).filter(F.size("matches") > 0)

@@ -6,6 +6,7 @@ Plans are DataFrames; side effects, dry by default, are carried out on executors
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import shutil
 import uuid
@@ -255,12 +256,54 @@ def run_classify(ws: Workspace, cfg: ClassifyConfig | None = None, *, compute: b
         if compute:
             run_analysis(ws, cfg)
         job.at("rules")
-        found = rules.classify(wide(ws), cfg, run_id=job.id).withColumn("run_id", F.lit(job.id)).withColumn("applied_op", F.lit(None).cast("string"))
-        table = ws.catalog.write("candidates", snapshot.replace_candidates(ws.catalog.read("candidates"), found))
+        rows = wide(ws)
+        ws.catalog.write("matches", rules.matches_of(rows, cfg, run_id=job.id).withColumn("run_id", F.lit(job.id)))
+        found = rules.classify(rows, cfg, run_id=job.id, matches=ws.catalog.read("matches"))
+        table = put_candidates(ws, found, job.id)
         ws.catalog.set_setting("last_run", job.id)
+        ws.catalog.set_setting("run_config", json.loads(cfg.to_json()))
     return {r["category"]: r["n"] for r in report.category_counts(table.filter(F.col("run_id") == job.id)).collect()}
 
 
+def put_candidates(ws: Workspace, found: DataFrame, run_id: int) -> DataFrame:
+    new = found.withColumn("run_id", F.lit(run_id)).withColumn("applied_op", F.lit(None).cast("string"))
+    return ws.catalog.write("candidates", snapshot.replace_candidates(ws.catalog.read("candidates"), new))
+
+
+def run_reevaluate(ws: Workspace, cfg: ClassifyConfig) -> dict[str, int]:
+    """The last run under other settings, with the same number and without a look at files.
+
+    Rules whose settings changed are worked out again, the stored matches of the others are ranked anew; similar groups are sought again only if
+    their own settings, or the files that other rules name, are others.
+    """
+    run_id, before = ws.catalog.setting("last_run"), ws.catalog.setting("run_config")
+    if run_id is None:
+        raise ValueError("nothing was classified yet")
+    before = ClassifyConfig.from_json(json.dumps(before))
+    ws.catalog.save_config(cfg)
+    with ws.running("reevaluate") as job:
+        job.at("rules")
+        rows, stored = wide(ws), ws.catalog.read("matches")
+        own = cut(rules.rematched(rows, stored, before, cfg, run_id=run_id).join(rows.select(F.col("id").alias("file_id")), "file_id", "left_semi"), "matches")
+        assigned = rules.ranked(own, cfg)
+        old = ws.catalog.candidates(run_id, unapplied_only=True)
+        similar_before = old.filter("category = 'similar'")
+        if not cfg.is_enabled("similar"):
+            found = assigned
+        else:
+            same = "similar" not in rules.changed_rules(before, cfg) and before.is_enabled("similar")
+            named = assigned.select("file_id")
+            were = old.filter("category <> 'similar'").select("file_id")
+            if same and not named.exceptAll(were).union(were.exceptAll(named)).limit(1).count():
+                found = assigned.unionByName(cut(similar_before.select(*assigned.columns), "similar"))
+            else:
+                found = assigned.unionByName(rules.similar_candidates(rows, assigned, cfg, run_id=run_id))
+        table = put_candidates(ws, cut(found, "candidates"), run_id)
+        ws.catalog.write("matches", own.withColumn("run_id", F.lit(run_id)))
+        ws.catalog.set_setting("run_config", json.loads(cfg.to_json()))
+    return {r["category"]: r["n"] for r in report.category_counts(table.filter(F.col("run_id") == run_id)).collect()}
+
+
 def get_plan(ws: Workspace, cfg: ClassifyConfig | None = None, *, examples: int = 12, lang: str = "en") -> dict:
     """The nested report of the last run, with reasons in a language."""
     cfg = cfg or ws.catalog.config()

@@ -32,6 +32,7 @@ TABLES = {
     "sessions": "id long, kind string, host string, app string, started_at string, ended_at string, params string",
     "jobs": "id long, session_id long, kind string, state string, params string, progress string, checkpoint string, started_at string, updated_at string, finished_at string, error string",
     "candidates": "run_id long, file_id long, category string, confidence string, reason string, params map<string,string>, group_id string, is_keeper boolean, also array<string>, applied_op string",
+    "matches": "file_id long, run_id long, matches map<string,struct<category:string,confidence:string,reason:string,params:map<string,string>,group_id:string,is_keeper:boolean>>",
     "journal": "id long, op_id string, session_id long, ts string, action string, file_id long, item_id long, from_root string, from_rel string, to_root string, to_rel string, method string, conflict boolean, category string, reason string, params map<string,string>, size long, undoes long, undone_by long",
     "issues": "id long, job_id long, ts string, path string, kind string, message string",
 }
@@ -46,6 +47,7 @@ KEYS = {
     "sessions": ("id",),
     "jobs": ("id",),
     "candidates": ("run_id", "file_id", "category"),
+    "matches": ("file_id",),
     "journal": ("id",),
     "issues": ("id",),
 }
