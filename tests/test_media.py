@@ -583,3 +583,39 @@ def test_reevaluation_is_a_new_run_with_the_old_number(spark, archive, monkeypat
         assert view(got) == view(rules.classify(W.wide(ws), cfg, run_id=run))
     assert seen == {0, 1}
     ws.close()
+
+
+def test_embedded_previews(spark, tmp_path):
+    """A RAW file and a JPEG are seen by their embedded preview, turned by their orientation; a small one isn't taken."""
+    import bench_media
+    from tidemill.sources import images
+
+    body = bench_media.jpeg_body(spark, 160, 120)
+    small = bench_media.jpeg_body(spark, 80, 60)
+
+    def tiff(preview, orientation):
+        entries = [(0x103, 3, 1, 6), (0x111, 4, 1, 1000), (0x112, 3, 1, orientation), (0x117, 4, 1, len(preview))]
+        head = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
+        return head.ljust(1000, b"\0") + preview
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "raw.nef").write_bytes(tiff(body, 1))
+    (src / "turned.nef").write_bytes(tiff(body, 6))
+    (src / "tiny.nef").write_bytes(tiff(small, 1))
+    (src / "plain.jpg").write_bytes(body)
+    ws = W.open_workspace(spark, str(src), str(tmp_path / "review"), str(tmp_path / "delete"))
+    W.run_scan(ws)
+    names = {r.id: r.name for r in ws.catalog.read("files").collect()}
+    meta = {names[r.file_id]: (r.preview_kind, r.preview_offset) for r in ws.catalog.read("file_meta").collect()}
+    assert meta["raw.nef"] == ("jpeg", 1000) == meta["tiny.nef"]
+    W.run_analysis(ws)
+    got = {names[r.file_id]: (r.phash_source, r.phash) for r in ws.catalog.read("file_analysis").collect()}
+    assert got["raw.nef"] == ("embedded", got["plain.jpg"][1]) and got["plain.jpg"][0] == "decode"
+    assert got["turned.nef"][0] == "embedded" and got["turned.nef"][1] != got["raw.nef"][1]
+    assert got.get("tiny.nef", (None, None))[0] is None
+    before = sorted(ws.catalog.read("file_analysis").collect())
+    W.run_analysis(ws)
+    assert sorted(ws.catalog.read("file_analysis").collect()) == before
+    ws.close()
+    assert images.LEAST_PREVIEW == 96

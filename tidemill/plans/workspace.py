@@ -21,7 +21,7 @@ from tidemill.functions.constants import CATEGORIES, MEDIA_KINDS
 from tidemill.operators import dedupe, journal, link, report, rules, similar, snapshot
 from tidemill.operators.numbering import numbered
 from tidemill.plans.running import Running
-from tidemill.session import cut, settings
+from tidemill.session import cut, scratch_path, settings
 from tidemill.sources import headers, images, mover, sinks, tree
 from tidemill.sources.catalog import KEEP_SECONDS, Catalog, CatalogLock, utcnow
 
@@ -213,9 +213,9 @@ def run_analysis(ws: Workspace, cfg: ClassifyConfig | None = None) -> None:
     cfg = cfg or ClassifyConfig()
     files = ws.catalog.read("files").filter((F.col("root") == "source") & (F.col("status") == "present") & (F.col("item_id") == F.col("id")))
     media = files.filter(F.col("kind").isin(*MEDIA_KINDS) & (F.col("size") > 0)).withColumn("path", full_path(ws))
-    features = ("partial_hash", "full_hash", "phash", "sharpness", "brightness", "dark_p99", "decode_error")
+    features = ("partial_hash", "full_hash", "phash", "phash_source", "sharpness", "brightness", "dark_p99", "decode_error")
     stored = ws.catalog.read("file_analysis").select(F.col("file_id").alias("id"), "size", "mtime_ns", *features)
-    known = media.select("id", "size", "mtime_ns", "path", "ext").join(stored, ["id", "size", "mtime_ns"], "left")
+    known = media.select("id", "size", "mtime_ns", "path", "ext", "kind").join(stored, ["id", "size", "mtime_ns"], "left")
     # executors read the files that the path table names, each in pieces; what is stored for the same version isn't read again
     tasks = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     sized = dedupe.repeated(known, "size").repartition(tasks, "id")
@@ -225,23 +225,36 @@ def run_analysis(ws: Workspace, cfg: ClassifyConfig | None = None) -> None:
     full = hashing.full_file_hash(F.when(F.col("full_hash").isNull(), F.col("path")))
     wholly = cut(both.select("id", F.coalesce("full_hash", full).alias("_full")), "full")
     hashed = partly.join(wholly, "id", "left").select(F.col("id").alias("file_id"), "size", "mtime_ns", "partial_hash", F.coalesce("_full", "full_hash").alias("full_hash"))
-    turns = ws.catalog.read("file_meta").select(F.col("file_id").alias("id"), "size", "mtime_ns", "orientation")
-    photos = known.filter(F.col("ext").isin(*DECODED) & F.col("phash").isNull() & F.col("decode_error").isNull()).join(turns, ["id", "size", "mtime_ns"], "left").select("id", "size", "mtime_ns", "path", "orientation")
+    turns = ws.catalog.read("file_meta").select(F.col("file_id").alias("id"), "size", "mtime_ns", "orientation", "preview_kind", "preview_offset", "preview_length")
+    looked = known.filter(F.col("kind").isin("photo", "raw") & F.col("phash").isNull() & F.col("decode_error").isNull())
+    photos = looked.join(turns, ["id", "size", "mtime_ns"], "left").select("id", "ext", "size", "mtime_ns", "path", "orientation", "preview_kind", "preview_offset", "preview_length")
     if not cfg.is_enabled("junk") and not cfg.is_enabled("blurry_dark"):
         taken = media.filter("kind = 'photo'").select("id").join(ws.catalog.read("file_meta").select(F.col("file_id").alias("id"), F.col("date_taken_ts").alias("ts")), "id")
         window = cfg.similar_window_seconds
         near = similar.time_neighbours(taken, window, bucket=max(1, int(window)) * 60)
         photos = photos.join(near, "id", "left_semi") if cfg.is_enabled("similar") else photos.limit(0)
     photos = cut(photos, "photos")
-    seen = ws.spark.createDataFrame([], "path string, phash long, sharpness double, brightness double, dark_p99 double, decode_error string")
-    # Spark's image source takes paths from the driver, so they come in batches until none is left; small files share listing and reading tasks
+    # an embedded preview that is large enough stands for its photo, RAW ones too
+    shown, folder = photos.filter("preview_kind = 'jpeg' AND preview_offset > 0"), scratch_path(ws.spark, "previews")
+    pre = None
+    if shown.limit(1).count():
+        images.write_previews(shown.repartition(tasks, "id"), folder)
+        pre = cut(images.preview_features(shown, folder).withColumn("phash_source", F.lit("embedded")), "previews")
+        photos = cut(photos.join(pre.select("id"), "id", "left_anti"), "photos")
+        pre = shown.select("id", "size", "mtime_ns").join(pre, "id")
+    photos = photos.filter(F.col("ext").isin(*DECODED))
+    # Spark's image source takes paths from the driver, so they come in batches until none is left; each adds to one table, whose plan stays one read.
+    # Small files share listing and reading tasks
+    target, kinds = scratch_path(ws.spark, "pixels"), "path string, phash long, sharpness double, brightness double, dark_p99 double, decode_error string"
+    ws.spark.createDataFrame([], kinds).write.parquet(target)
     shared = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * tasks), "spark.sql.files.openCostInBytes": str(1 << 18)}
     with settings(ws.spark, shared):
         for batch in itertools.batched(((r["path"], r["orientation"]) for r in photos.select("path", "orientation").toLocalIterator()), PATHS):
             turned = ws.spark.createDataFrame([x for x in batch if x[1] not in (None, 1)], "path string, orientation int")
-            seen = seen.unionByName(cut(images.image_features(ws.spark, [f"file://{path}" for path, _ in batch], turned), "pixels"))
-            ws.touch()
-    pixels = photos.select(F.col("id").alias("file_id"), "size", "mtime_ns", "path").join(seen, "path").drop("path")
+            images.image_features(ws.spark, [f"file://{path}" for path, _ in batch], turned).write.mode("append").parquet(target)
+    seen = ws.spark.read.schema(kinds).parquet(target)
+    pixels = photos.select(F.col("id").alias("file_id"), "size", "mtime_ns", "path").join(seen, "path").drop("path").withColumn("phash_source", F.when(F.col("phash").isNotNull(), "decode"))
+    pixels = pixels if pre is None else pixels.unionByName(pre.withColumnRenamed("id", "file_id"), allowMissingColumns=True)
     found = cut(hashed.join(pixels, ["file_id", "size", "mtime_ns"], "full_outer"), "analysis")
     known = ws.catalog.read("file_analysis").join(found.select("file_id"), "file_id", "left_semi")
     ws.catalog.merge("file_analysis", snapshot.merge_features(known, found, features))

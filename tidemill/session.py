@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -64,6 +65,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def shared_files(path: str) -> tuple[FileSystem, str]:
+    """pyarrow's file system for a path of the shared folder, which tasks write through, and the path in it."""
+    return FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends in files that outlive any executor."""
     spark = df.sparkSession

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tidemill.functions.pixels import brightness_of, phash_of, sharpness_of
+from tidemill.session import shared_files
 
 LONG_SIDE = 256
 FEATURES = StructType([StructField("phash", LongType()), *[StructField(c, DoubleType()) for c in ("sharpness", "brightness", "dark_p99")], StructField("decode_error", StringType())])
@@ -58,12 +60,46 @@ def pixel_features(data: pd.Series, height: pd.Series, width: pd.Series, channel
     return pd.DataFrame(rows, columns=FEATURES.names).astype({"phash": "Int64"})
 
 
-def image_features(spark: SparkSession, paths: list[str], orientations: DataFrame | None = None) -> DataFrame:
+#: Longest side from which an embedded preview stands for its photo.
+LEAST_PREVIEW = 96
+
+
+def write_previews(photos: DataFrame, folder: str) -> None:
+    """Writes the embedded JPEG of each of `photos` (id, path, preview_offset, preview_length) to `folder`/<id mod 1024>/<id>.jpg, from executors."""
+
+    def written(rows: Iterator) -> None:
+        files, base = shared_files(folder)
+        for row in rows:
+            try:
+                with open(row["path"], "rb") as f:
+                    f.seek(row["preview_offset"])
+                    data = f.read(row["preview_length"] or 0)
+            except OSError:  # gone since it was listed
+                continue
+            own = f"{base}/{row['id'] % 1024}"
+            files.create_dir(own, recursive=True)
+            with files.open_output_stream(f"{own}/{row['id']}.jpg") as out:
+                out.write(data)
+
+    shared_files(folder)[0].create_dir(shared_files(folder)[1], recursive=True)
+    photos.select("id", "path", "preview_offset", "preview_length").foreachPartition(written)
+
+
+def preview_features(photos: DataFrame, folder: str) -> DataFrame:
+    """id, phash, sharpness, brightness, dark_p99 of photos by their embedded previews (`write_previews`), turned by their orientation; small ones have none."""
+    path = F.concat(F.lit(shared_files(folder)[1] + "/"), F.col("id") % 1024, F.lit("/"), F.col("id"), F.lit(".jpg"))
+    turned = photos.filter(F.col("orientation").isNotNull() & (F.col("orientation") != 1)).select(path.alias("path"), "orientation")
+    found = image_features(photos.sparkSession, [folder], turned, least_side=LEAST_PREVIEW)
+    return found.filter("phash IS NOT NULL").select(F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("long").alias("id"), "phash", "sharpness", "brightness", "dark_p99")
+
+
+def image_features(spark: SparkSession, paths: list[str], orientations: DataFrame | None = None, *, least_side: int = 0) -> DataFrame:
     """path, phash, sharpness, brightness, dark_p99, decode_error of the images under `paths`, turned as `orientations` (path, orientation) say."""
     # paths are taken as patterns, so what means something in one is escaped
     images = spark.read.format("image").option("recursiveFileLookup", True).load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
     # origins are encoded as in a URL, where a plus is a plus
     origin = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
     own = images.select("image.*", F.regexp_replace(origin, "^file:(//)?", "").alias("path"))
+    own = own.filter(F.greatest("height", "width") >= least_side) if least_side else own
     turned = own.withColumn("orientation", F.lit(None).cast("int")) if orientations is None else own.join(F.broadcast(orientations), "path", "left")
     return turned.withColumn("f", pixel_features("data", "height", "width", "nChannels", "orientation")).select("path", "f.*")
