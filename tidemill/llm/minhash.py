@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.rows import columns_of, row_of
-from tidemill.llm.text import MIX, WordHashes, mixed, texts_of
+from tidemill.llm.text import MIX, WordHashes, give_back, mixed, texts_of
 from tidemill.operators.components import connected_components
 from tidemill.session import cut, release
 
@@ -107,6 +107,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "hash", "n_shingles", "digest", "keys"])
+        words.clear()
+        give_back()
 
     text = F.col("text").cast("string")
     return docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(sketched, f"doc_id {kind}, hash long, n_shingles long, digest binary, keys array<long>")
@@ -156,6 +158,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                         out.append((node, centre))
             nodes, middles = zip(*out, strict=True) if out else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(middles, pa.int64())], ["a", "b"])
+        words.clear()
+        give_back()
 
     return dealt.mapInArrow(compared, "a long, b long")
 

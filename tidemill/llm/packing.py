@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.text import CACHE_WORDS, texts_of
+from tidemill.llm.text import CACHE_WORDS, give_back, texts_of
 from tidemill.session import cut
 
 SEQUENCE_TOKENS = 4096
@@ -103,6 +103,8 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, *, capacity: int = SEQUEN
             types = [batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = list(zip(*rows, strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
+        del words
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(pieces, schema)
 

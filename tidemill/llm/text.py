@@ -5,12 +5,16 @@ Words are the runs `[^\\x20\\x09-\\x0D]+`, which is exactly what `bytes.split()`
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: Entries after which a worker's word cache is emptied, so that its memory stays bounded.
+#: Entries after which a worker's word cache is emptied, so that its memory stays bounded; hashes are soon made again.
 CACHE_WORDS = 700_000
+HASH_WORDS = 200_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -19,7 +23,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= HASH_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -28,6 +32,13 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def give_back() -> None:
+    """Returns to the system what a task held: its worker outlives it, beside an executor that needs the memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A finalizer over uint64: every input bit reaches every output bit."""
     values = values ^ (values >> np.uint64(32))

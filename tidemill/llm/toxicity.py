@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemill.llm.rows import columns_of, row_of
-from tidemill.llm.text import MIX, WordHashes, mixed, texts_of
+from tidemill.llm.text import MIX, WordHashes, give_back, mixed, texts_of
 
 SLOTS = 1 << 20
 TRAIN_ROWS = 16_000
@@ -137,6 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
         columns = list(zip(*kept.values(), strict=True)) or [[]] * 6
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["_order", "_toxic", "_key", "mark", "tie", "slots"])
+        del cache, kept, columns
+        give_back()
 
     found = sample.mapInArrow(featured, "_order long, _toxic int, _key long, mark long, tie long, slots binary").toArrow()
     learnt = sample_of(found)
@@ -174,6 +176,8 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
             sums = np.array([dense[features(x, cache)].sum() for x in texts_of(batch.column(0).field(text_at))], np.float64) + model.bias
             with np.errstate(over="ignore"):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-sums)), pa.float64())], ["_row", "score"])
+        del cache, dense
+        give_back()
 
     rows = docs.select(row_of(docs, {"text": F.col("text").cast("string")}))
     return rows.mapInArrow(scored, StructType([rows.schema["_row"], StructField("score", DoubleType())]))
