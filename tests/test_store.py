@@ -205,7 +205,7 @@ def test_a_cancelled_job(spark, tmp_path, monkeypatch):
     W.run_scan(ws)
     before, progress = versions(ws), []
 
-    def slow(ws):
+    def slow(ws, cfg):
         job = ws.catalog.records("jobs")[-1]["id"]
         folder = os.path.dirname(ws.lock.path)
 
