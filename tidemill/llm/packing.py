@@ -22,11 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.text import CACHE_WORDS, give_back, texts_of
+from tidemill.llm.text import give_back, texts_of
 from tidemill.session import cut
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
+#: Words, and parts of words, whose ids a task remembers: some 100 bytes each.
+CACHE_WORDS = 400_000
 OPEN_BINS = 1024
 #: Pieces a packing group has on average. The last open bins of each group are what packing loses.
 GROUP_PIECES = 50_000

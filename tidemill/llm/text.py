@@ -13,7 +13,6 @@ import pyarrow as pa
 import xxhash
 
 #: Entries after which a worker's word cache is emptied, so that its memory stays bounded; hashes are soon made again.
-CACHE_WORDS = 700_000
 HASH_WORDS = 200_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
