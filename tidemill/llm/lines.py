@@ -73,7 +73,8 @@ def cleaned(docs: DataFrame, *, sites: int, clear: float, least_words: int) -> D
     rows = docs.select(row_of(docs))
     text = F.col("_row.text").cast("string")
     rows = rows.withColumn("_own", F.xxhash64(text))
-    placed = rows.join(lost, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    # texts that lose lines grow with the table: joined alike at every size, never broadcast where there happen to be few
+    placed = rows.join(lost.hint("merge"), F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     # places and lines are columns of their own: inside a lambda they would be worked out again for every line
     placed = placed.withColumn("_lines", F.split(text, "\n")).withColumn("_n_removed", F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long"))
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
