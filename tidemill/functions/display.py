@@ -75,12 +75,16 @@ def reason_text(key: Column, params: Column, lang: str = "en") -> Column:
     return out
 
 
-def human_bytes(size: Column) -> Column:
-    """Steps of 1024; bytes without decimals, others with one."""
-    out = F.format_string("%.1f TB", F.bround(size / float(1 << 40), 1))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(size < (1 << 10 * (power + 1)), F.format_string(f"%.1f {unit}", F.bround(size / float(1 << 10 * power), 1))).otherwise(out)
-    return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).otherwise(out)
+UNITS = ("KB", "MB", "GB", "TB")
+
+
+def human_bytes(size: Column, largest: str = "TB") -> Column:
+    """Steps of 1024 up to the unit `largest`; bytes without decimals, others with one. Null stays null."""
+    powers = range(1, UNITS.index(largest) + 2)
+    *steps, out = [F.format_string(f"%.1f {unit}", F.bround(size / float(1 << 10 * power), 1)) for power, unit in zip(powers, UNITS, strict=False)]
+    for power, text in reversed(list(zip(powers, steps, strict=False))):
+        out = F.when(size < (1 << 10 * (power + 1)), text).otherwise(out)
+    return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).when(size.isNotNull(), out)
 
 
 def hevc_saving(size: Column, codec: Column) -> Column:
