@@ -1,8 +1,14 @@
 """What only shows on tables larger than the given ones, or on rows that these don't hold."""
 
+import random
+
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 from tidemill.plans import catalogue
+from tidemill.session import settings
+from tidemill.streaming import bursts
 
 
 def test_sizes_above_a_gigabyte_and_null(spark, tmp_path):
@@ -11,3 +17,40 @@ def test_sizes_above_a_gigabyte_and_null(spark, tmp_path):
     want = duckdb.sql(catalogue.ORACLES["human_sizes"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
     got = [(r.event_id, r["size"]) for r in catalogue.QUERIES["human_sizes"](spark, str(tmp_path)).collect()]
     assert set(got) == set(want) and len(got) == len(ids) and (5_999_999, "2935.4 MB") in got and (None, None) in got
+
+
+def test_many_alike_photos_of_one_moment(spark, tmp_path):
+    """30,000 photos of two looks within one window have 225 million links; the groups come without them."""
+    n = 30_000
+    photo = F.lit(1_700_000_000) + F.when(F.col("id") == n, 10**7).otherwise(F.col("id") * 50 % 1013)
+    rows = spark.range(n + 1).select(F.lit("cam").alias("key"), "id", F.timestamp_seconds(photo).alias("ts"), (F.col("id") % 2 * 255).alias("phash"), F.lit(None).cast("long").alias("edited_of"), (F.col("id") % 1000).cast("double").alias("sharpness"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.concat(F.lit("p"), "id").alias("path"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    with settings(spark, bursts.STATE_STORE):
+        found = bursts.similar_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), window=3600)
+        stream = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        try:
+            assert stream.awaitTermination(120)
+        finally:
+            stream.stop()
+    got = spark.read.schema(bursts.GROUPS).parquet(str(tmp_path / "out")).groupBy("component", "keeper_id", "keeper_path").agg(F.count_distinct("id").alias("n"), F.sum(F.col("is_keeper").cast("int")).alias("kept"), F.max("delta").alias("most")).collect()
+    at = [k * 50 % 1013 for k in range(n)]
+    far = {keeper: max(abs(at[k] - at[keeper]) for k in range(keeper % 2, n, 2)) for keeper in (998, 999)}
+    assert {tuple(r) for r in got} == {(0, 998, "p998", n // 2, 1, far[998]), (1, 999, "p999", n // 2, 1, far[999])}
+
+
+def test_burst_groups_are_those_of_all_links():
+    rng = random.Random(3)
+    for _ in range(400):
+        n, window, distance = rng.randrange(1, 40), rng.choice([0, 1, 5, 60]), rng.choice([0, 1, 6])
+        looks = [rng.getrandbits(64) for _ in range(2)]
+        ids = rng.sample(range(60), n) if rng.random() < 0.7 else [rng.randrange(n) for _ in range(n)]
+        rows = sorted((rng.randrange(-50, 100), i, rng.choice([i, i, rng.choice(ids), 99]), rng.choice(looks) ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 0, 1, 3])))) for i in ids)
+        roots = list(range(n))
+        for i in range(n):
+            for j in range(i + 1, n):
+                (s, a, e, v), (t, b, f, w) = rows[i], rows[j]
+                if t - s <= window and (v ^ w).bit_count() <= distance and a not in (b, f) and e != b:
+                    low, high = sorted((roots[i], roots[j]))
+                    roots = [low if r == high else r for r in roots]
+        at, id, edited = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        assert bursts.burst_roots(at, id, np.array([r[3] for r in rows], np.uint64).view(np.int64), edited, window, distance).tolist() == roots

@@ -300,7 +300,7 @@ def burst_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "photos")
     items.unionByName(last).write.parquet(folder)
     out, check = scratch_path(spark, "bursts"), scratch_path(spark, "bursts-checkpoint")
-    with settings(spark, STATE_STORE | {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}):
+    with settings(spark, STATE_STORE | {"spark.sql.shuffle.partitions": str(2 * spark.sparkContext.defaultParallelism)}):  # few keys meet in a task
         found = similar_stream(spark.readStream.schema(items.schema).parquet(folder), window=3600)
         found.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(GROUPS).parquet(out)
