@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemill.operators import similar
 from tidemill.plans import catalogue
 from tidemill.session import settings
 from tidemill.streaming import bursts
@@ -54,3 +55,37 @@ def test_burst_groups_are_those_of_all_links():
                     roots = [low if r == high else r for r in roots]
         at, id, edited = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         assert bursts.burst_roots(at, id, np.array([r[3] for r in rows], np.uint64).view(np.int64), edited, window, distance).tolist() == roots
+
+
+def test_hashes_that_probing_would_look_up_too_often(spark, monkeypatch):
+    """Pairs and groups are the same by probing and by blocks, with copies and repeated ids; a distance of 18 bits is compared, whatever the number of rows."""
+    rng = np.random.default_rng(4)
+    hashes = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 300)]
+    hashes += [h ^ (1 << int(b)) ^ (1 << 3) for h, b in zip(hashes[:60], rng.integers(0, 62, 60), strict=True)] + hashes[100:140] + [hashes[7]] * 5
+    rows = [(f"v{k % 390:03d}", h) for k, h in enumerate(hashes)] + [(None, hashes[0]), ("n", None)]
+    frame = spark.createDataFrame(rows, "vec string, h long").repartition(3)
+    known, n = similar._known(frame, "vec", "h")
+    own = [(i, h) for i, h in rows if i is not None and h is not None]
+    assert n == len(own)
+    for distance in (0, 2, 6, 18):
+        want = sorted((a, b, ((v ^ w) & (1 << 64) - 1).bit_count()) for a, v in own for b, w in own if a < b and ((v ^ w) & (1 << 64) - 1).bit_count() <= distance)
+        near = {}
+        for a, b, _ in want:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        groups, seen = {}, set()
+        for start in sorted(near):
+            todo = [] if start in seen else [start]
+            while todo:
+                at = todo.pop()
+                if at not in seen:
+                    seen.add(at)
+                    groups[at] = start
+                    todo += near[at]
+        for least in (4, 1 << 12):
+            monkeypatch.setattr(similar, "LEAST_BLOCK", least)
+            assert sorted(tuple(r) for r in similar.compared_pairs(known, n, distance).collect()) == want
+            assert {r.id: r.component for r in similar.hash_groups(frame, distance, id="vec", value="h").collect()} == groups
+        if distance < 18:
+            assert sorted(tuple(r) for r in similar.probed_pairs(known, n, distance).collect()) == want
+    assert [similar._probing_pays(n, 18) for n in (500, 10**5, 10**6, 10**8)] == [False] * 4 and similar._probing_pays(10**6, 3)
